@@ -9,6 +9,9 @@ their sizes in a gzip extra field, so such members are skipped whole).
 ``df.write.format("warc")`` writes gzip members, one a record, and lists the files of the
 tasks that were committed in a manifest; what a lost or repeated task left is not read.
 
+Load anew for each query: Spark keeps the filters that the first query on a loaded frame pushed
+down, and would apply them to the next one on the same frame.
+
 Paths may be of any file system that pyarrow knows; on a cluster they must be shared.
 
 Defined results: a null payload is empty; equal payloads of equal ids are all responses; a
