@@ -229,8 +229,17 @@ def test_near_duplicates_chain_and_crowd(spark):
     texts = [" ".join([*base[i:], *(f"v{j}" for j in range(i))]) for i in range(0, 120, 4)]
     texts += [" ".join([*(f"u{j}" for j in range(100)), f"tail{i}"]) for i in range(150)]
     _, roots = brute_components(texts)
-    rows = {x.doc_id: x.component_id for x in minhash.near_duplicates(table(spark, texts)).collect()}
-    assert [rows[i] for i in range(len(texts))] == roots
+    r = random.Random(8)
+    words = [f"x{i}" for i in range(80)]
+    for _ in range(60):  # near copies, some of them linked to no other
+        w = list(words)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(80)] = f"y{r.randrange(999)}"
+        texts.append(" ".join(w))
+    _, roots = brute_components(texts)
+    for block in (4096, 7):
+        rows = {x.doc_id: x.component_id for x in minhash.near_duplicates(table(spark, texts), block=block).collect()}
+        assert [rows[i] for i in range(len(texts))] == roots
     assert minhash.near_duplicates(table(spark, []).where("false")).count() == 0
 
 
