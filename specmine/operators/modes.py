@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specmine.operators.rows import DOC
+from specmine.operators.rows import in_document
 
 # Number words, and heading patterns of the grammars in order of preference.
 NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
@@ -29,7 +29,7 @@ def sections_by_heading(lines: DataFrame, pattern: str = TABLE, stop: str = r"(?
     """Each line with the number and text of the latest matching heading; a stop heading ends it."""
     head, end = F.col("text").rlike(pattern), F.col("text").rlike(stop)
     mark = F.when(head, F.col("text")).when(end, F.lit(""))
-    s = lines.withColumn("section", F.sum((head | end).cast("int")).over(DOC).cast("int")).withColumn("heading", F.last(mark, ignorenulls=True).over(DOC))
+    s = lines.withColumn("section", F.sum((head | end).cast("int")).over(in_document()).cast("int")).withColumn("heading", F.last(mark, ignorenulls=True).over(in_document()))
     return s.where("heading is not null and heading <> ''")
 
 
@@ -70,7 +70,7 @@ def header_sparse(lines: DataFrame, above: int = 5) -> DataFrame:
     """2 to 8 bare distinct counts ahead of "Function", if some header of the document has a
     legend in the lines above it."""
     p = r"(?i)^([0-9]{1,3}(?:\s+[0-9]{1,3}){1,7})\s+function"
-    legend = F.max(F.col("text").rlike("(?i)channel mode|ch mode").cast("int")).over(DOC.rowsBetween(-above, -1))
+    legend = F.max(F.col("text").rlike("(?i)channel mode|ch mode").cast("int")).over(in_document().rowsBetween(-above, -1))
     counts = ints(F.regexp_extract("text", p, 1), "([0-9]{1,3})")
     h = lines.withColumn("_l", legend).where(F.col("text").rlike(p)).withColumn("counts", counts).where("size(counts) between 2 and 8 and size(array_distinct(counts)) = size(counts)")
     trusted = h.groupBy("doc_id").agg(F.bool_or(F.col("_l") == 1).alias("t")).where("t").select("doc_id")
@@ -81,7 +81,7 @@ def header_index_total(lines: DataFrame, above: int = 5) -> DataFrame:
     """ "mode/total 5 9 Value" or bare indices under a mode label; bare ones have unknown totals."""
     total = r"(?i)^mode.*total((?:\s+[0-9]{1,3})+)\s+value"
     bare = r"(?i)^((?:[0-9]\s+){2,})value"
-    label = F.max(F.col("text").rlike("(?i)mode|channel").cast("int")).over(DOC.rowsBetween(-above, -1))
+    label = F.max(F.col("text").rlike("(?i)mode|channel").cast("int")).over(in_document().rowsBetween(-above, -1))
     t, b = F.regexp_extract("text", total, 1), F.regexp_extract("text", bare, 1)
     counts = F.when(t != "", ints(t, "([0-9]{1,3})")).otherwise(F.transform(ints(b, "([0-9])"), lambda x: F.lit(None).cast("int")))
     return _headers(lines.withColumn("_l", label), counts, ((t != "") | (b != "")) & (F.col("_l") == 1))
@@ -92,7 +92,7 @@ def header_traits(lines: DataFrame) -> DataFrame:
     above their units."""
     p = r"(?i)\b([0-9]{1,3}) ?ch[a-z]?\b"
     own = F.regexp_extract_all("text", F.lit(r"(?i)\b([0-9]{1,3} ?ch[a-z]?)\b"), F.lit(1))
-    below = F.lead("text").over(DOC)
+    below = F.lead("text").over(in_document())
     stacked = F.col("text").rlike(r"^([0-9]{1,3}\s*){2,16}$") & F.lower("_below").rlike(r"^(ch\s*){2,16}$")
     counts = F.when(stacked, ints(F.col("text"), "([0-9]{1,3})")).otherwise(ints(F.col("text"), p))
     good = (stacked | ((F.size(own) >= 2) & (F.size(F.array_distinct(F.transform(own, lambda x: F.lower(x)))) == F.size(own)))) & F.size(counts).between(2, 16) & F.forall(counts, lambda n: n.between(1, 512))
@@ -143,7 +143,7 @@ def collapse_code_aliases(codes: DataFrame) -> DataFrame:
 
 def named_headings(lines: DataFrame) -> DataFrame:
     """ "<Name> DMX Mode" with "N DMX channels" on the next line; two or more are needed."""
-    nxt = F.lead("text").over(DOC)
+    nxt = F.lead("text").over(in_document())
     h = lines.withColumn("_n", nxt).where(F.col("text").rlike("^[A-Z][a-z]+ DMX Mode$") & F.col("_n").rlike("^[0-9]{1,3} DMX channels$"))
     h = h.select("doc_id", "line_no", F.regexp_extract("text", "^([A-Z][a-z]+)", 1).alias("name"), F.regexp_extract("_n", "^([0-9]+)", 1).cast("int").alias("size"))
     return h.withColumn("_k", F.count("*").over(W.partitionBy("doc_id"))).where("_k >= 2").drop("_k")
@@ -161,7 +161,7 @@ def inherit_modes(modes: DataFrame, rows: DataFrame, depth: int = 3) -> DataFram
 
 def contextual_personalities(lines: DataFrame) -> DataFrame:
     """Named personalities with sizes under a context heading."""
-    s = lines.withColumn("_ctx", F.last(F.when(F.col("text").rlike("(?i)personalit|operating mode|choose from|^basic"), F.col("line_no")), ignorenulls=True).over(DOC)).where("line_no - _ctx <= 3")
+    s = lines.withColumn("_ctx", F.last(F.when(F.col("text").rlike("(?i)personalit|operating mode|choose from|^basic"), F.col("line_no")), ignorenulls=True).over(in_document())).where("line_no - _ctx <= 3")
     hit = s.where(F.col("text").rlike(r"(?i)^[A-Z][a-z]+ [0-9]{1,3} ch$"))
     return hit.select("doc_id", "line_no", F.regexp_extract("text", "^([A-Za-z]+)", 1).alias("name"), F.regexp_extract("text", r"([0-9]{1,3}) ch$", 1).cast("int").alias("size"))
 

@@ -18,7 +18,11 @@ FULL_ROW = rf"^([0-9]{{1,3}})\s+(?:[0-9-]{{1,3}}\s+)?{RANGE}\s+(.+)$"
 RANGE_ONLY = rf"^{RANGE}\s+(.+)$"
 NAME_ONLY = r"^([0-9]{1,3})\s+([A-Za-z].*)$"
 HEADING = r"(?i)\b(channel table|channel mode|[0-9]+-channel mode|dmx values|dmx mode|ch function|function$|value$)"
-DOC = W.partitionBy("doc_id").orderBy("line_no")
+
+
+def in_document():
+    """Lines of a document in order."""
+    return W.partitionBy("doc_id").orderBy("line_no")
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 
 def sections(classified: DataFrame) -> DataFrame:
     """Number of the latest heading of each line's document, 0 ahead of the first."""
-    return classified.withColumn("section", F.sum((F.col("kind") == "heading").cast("int")).over(DOC).cast("int"))
+    return classified.withColumn("section", F.sum((F.col("kind") == "heading").cast("int")).over(in_document()).cast("int"))
 
 
 def carry_channel(classified: DataFrame) -> DataFrame:
@@ -103,7 +107,7 @@ def merge_split_rows(lines: DataFrame) -> DataFrame:
     """A line of leading cells alone is spliced to the next usable line of its document."""
     usable = lines.where(~F.col("text").rlike(r"(?i)^(page|user manual|\.{2,})"))
     bare = F.col("text").rlike(r"^([0-9]{1,3}|-)(\s+([0-9]{1,3}|-))*$")
-    u = usable.withColumn("_bare", bare).withColumn("_next", F.lead("text").over(DOC)).withColumn("_eaten", F.coalesce(F.lag("_bare").over(DOC), F.lit(False)))
+    u = usable.withColumn("_bare", bare).withColumn("_next", F.lead("text").over(in_document())).withColumn("_eaten", F.coalesce(F.lag("_bare").over(in_document()), F.lit(False)))
     return u.where("not _eaten or _bare").select("doc_id", "line_no", F.when(F.col("_bare") & F.col("_next").isNotNull(), F.concat_ws("   ", "text", "_next")).otherwise(F.col("text")).alias("text"))
 
 
@@ -156,13 +160,15 @@ def fill_missing_positions(rows: DataFrame) -> DataFrame:
     return every.join(first, ["doc_id", "mode_idx", "position"], "left").select("doc_id", "mode_idx", "position", "parsed", F.coalesce("f.name", F.concat(F.lit("Channel "), F.col("position").cast("string"))).alias("name"), F.coalesce("f.confidence", F.lit(0.25)).alias("confidence"))
 
 
-MODE = W.partitionBy("doc_id", "mode_idx").orderBy("position", "channel_idx")
+def in_mode():
+    """Rows of a mode in order."""
+    return W.partitionBy("doc_id", "mode_idx").orderBy("position", "channel_idx")
 
 
 def pair_fine_channels(rows: DataFrame) -> DataFrame:
     """A fine row right behind a coarse one of its kind takes its name, colour and link."""
     fine = F.col("name").rlike(r"(?i)\b(fine|lsb|16.?bit)\b")
-    r = rows.withColumn("is_fine", fine).withColumn("_p", F.lag(F.struct("name", "kind", "color", "channel_id", "is_fine")).over(MODE))
+    r = rows.withColumn("is_fine", fine).withColumn("_p", F.lag(F.struct("name", "kind", "color", "channel_id", "is_fine")).over(in_mode()))
     linked = F.col("is_fine") & F.col("_p").isNotNull() & ~F.col("_p.is_fine") & (F.col("_p.kind") == F.col("kind"))
     return r.select("doc_id", "mode_idx", "position", "channel_idx", F.when(linked, F.concat("_p.name", F.lit(" fine"))).otherwise(F.col("name")).alias("name"), F.when(linked, F.col("_p.color")).otherwise(F.col("color")).alias("color"), F.when(linked, F.col("_p.channel_id")).alias("fine_of"))
 
@@ -249,9 +255,9 @@ def appendix_ranges(lines: DataFrame, heading: str = "(?i)dmx channel table", li
     """Range lines under a heading, up to the next heading and so many characters."""
     c = classify_lines(lines)
     head = F.col("text").rlike(heading)
-    run = F.sum(F.length("text") + 1).over(DOC)
-    c = c.withColumn("_at", run).withColumn("_from", F.when(head, run)).withColumn("_from", F.last("_from", ignorenulls=True).over(DOC))
-    c = c.withColumn("_stop", F.when((F.col("kind") == "heading"), head)).withColumn("_in", F.last("_stop", ignorenulls=True).over(DOC))
+    run = F.sum(F.length("text") + 1).over(in_document())
+    c = c.withColumn("_at", run).withColumn("_from", F.when(head, run)).withColumn("_from", F.last("_from", ignorenulls=True).over(in_document()))
+    c = c.withColumn("_stop", F.when((F.col("kind") == "heading"), head)).withColumn("_in", F.last("_stop", ignorenulls=True).over(in_document()))
     r = parse_range(F.col("line"))
     return c.where("_in and kind in ('range_only', 'full_row')").where(F.col("_at") - F.col("_from") <= limit).withColumn("r", r).where("r is not null").select("doc_id", "line_no", "r.start", "r.end", "r.label")
 
