@@ -47,6 +47,24 @@ CHUNK = 4 << 20
 SHARD_TOKENS = 3_000_000
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, a place of each, and for each key the rank of its value."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(keys) else np.zeros(0, bool)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], back
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, a place of each, and how often each occurs."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return ranked[first], order[first], np.diff(np.append(first, len(keys)))
+
+
 # ---- Elias-Fano sequences
 
 
@@ -99,20 +117,24 @@ def ef_find(ef: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
     todo = np.flatnonzero(high < top)
     if not len(todo):
         return out
-    distinct, back = np.unique(high[todo], return_inverse=True)
-    end = _ends(ef, distinct)
-    begin = np.where(distinct > 0, _ends(ef, np.maximum(distinct - 1, 0)), 0)
+    part = high[todo]  # increasing, as the keys are
+    new = np.concatenate(([True], part[1:] != part[:-1]))
+    back, part = np.cumsum(new) - 1, part[new]
+    end = _ends(ef, part)
+    begin = np.where(part > 0, _ends(ef, np.maximum(part - 1, 0)), 0)
     at, end = begin[back], end[back]
     want = keys[todo] & np.uint64((1 << low) - 1)
-    while True:
-        live = at < end
-        todo, at, end, want = todo[live], at[live], end[live], want[live]
-        if not len(todo):
-            return out
-        got = ef_low(ef, at, low)
-        same = got == want
-        out[todo[same]] = at[same]
-        at = np.where(got < want, at + 1, end)  # values within a high part increase
+    stop, live = end.copy(), np.flatnonzero(at < end)
+    while len(live):  # low parts increase within a high part: halve the range
+        middle = (at[live] + stop[live]) // 2
+        less = ef_low(ef, middle, low) < want[live]
+        at[live] = np.where(less, middle + 1, at[live])
+        stop[live] = np.where(less, stop[live], middle)
+        live = live[at[live] < stop[live]]
+    inside = np.flatnonzero(at < end)
+    hit = inside[ef_low(ef, at[inside], low) == want[inside]]
+    out[todo[hit]] = at[hit]
+    return out
 
 
 def ef_low(ef: dict[str, np.ndarray], at: np.ndarray, low: int) -> np.ndarray:
@@ -309,10 +331,10 @@ class Coded:
 
     def __init__(self, model: Model, texts: list[bytes]):
         hashes, self.sizes = token_hashes(texts)
-        distinct, back = np.unique(hashes, return_inverse=True)
-        ids, counts, before = model.words(distinct)
-        self.ids, self.counts, self.before = ids[back], counts[back], before[back]
-        end = np.searchsorted(distinct, END)
+        known, _, back = distinct(hashes)
+        ids, counts, before = model.words(known)
+        self.ids, self.before, self.back, self.word_counts = ids[back], before[back], back, counts
+        end = np.searchsorted(known, END)
         # each text's first word follows an end token
         self.left = np.concatenate(([0], self.ids[:-1]))
         self.left_before = np.concatenate(([0], self.before[:-1]))
@@ -330,9 +352,9 @@ def _looked_up(model: Model, level: str, n_shards: int, keys: np.ndarray, shards
     """``Model.find`` for keys in any order; the shards too."""
     at, value, where = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
     if known.any() and n_shards:
-        distinct, first, back = np.unique(keys[known], return_index=True, return_inverse=True)
+        one, first, back = distinct(keys[known])
         own = shards[known][first]
-        a, v = model.find(level, n_shards, distinct, own)
+        a, v = model.find(level, n_shards, one, own)
         at[known], value[known], where[known] = a[back], v[back], own[back]
     return at, value, where
 
@@ -378,7 +400,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
     folder = model.top
 
     def count_words(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.unique(token_hashes(texts)[0], return_counts=True)
+        keys, _, counts = counted(token_hashes(texts)[0])
         yield from _counted(keys, word_shard(keys, n), counts)
 
     def write_words(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +424,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
 
     def count_bigrams(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         keys, shards, known = Coded(model, texts).bigrams(model)
-        keys, first, counts = np.unique(keys[known], return_index=True, return_counts=True)
+        keys, first, counts = counted(keys[known])
         yield from _counted(keys, shards[known][first], counts)
 
     def write_bigrams(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +457,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
         coded = Coded(model, texts)
         at, _, where = _looked_up(model, "bigrams", model.bigram_shards, *coded.bigrams(model))
         keys, shards, known = _trigram_keys(model, coded, at, where)
-        keys, first, counts = np.unique(keys[known], return_index=True, return_counts=True)
+        keys, first, counts = counted(keys[known])
         yield from _counted(keys, shards[known][first], counts)
 
     def write_trigrams(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -524,7 +546,7 @@ def _successors(model: Model, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def log_probabilities(model: Model, texts: list[bytes]) -> tuple[Coded, np.ndarray]:
     """log10 probability of every token of a chunk."""
     coded = Coded(model, texts)
-    out = np.log10(model.word_probability(coded.counts))
+    out = np.log10(model.word_probability(coded.word_counts))[coded.back]
     if not model.tokens:
         return coded, out
     keys, shards, known = coded.bigrams(model)
@@ -569,11 +591,11 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, text_col, CHUNK):
+            for batch in pieces(whole, text_col, CHUNK // 4):  # arrays that stay in cache
                 coded, logs = log_probabilities(model, as_bytes(batch.column(text_col)))
-                base = np.log10((coded.counts + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+                base = np.log10((coded.word_counts + 0.1) / (model.tokens + 0.1 * (model.types + 1)))[coded.back]
                 by_doc = lambda x: np.add.reduceat(x, coded.first)
-                columns = (coded.sizes, by_doc((coded.counts > 0).astype(np.int64)), np.full(len(coded.sizes), model.tokens), by_doc(base), by_doc(logs))
+                columns = (coded.sizes, by_doc((coded.ids >= 0).astype(np.int64)), np.full(len(coded.sizes), model.tokens), by_doc(base), by_doc(logs))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(x, t) for x, (_, _, t) in zip(columns, SCORES))], [*rest, *(n for n, _, _ in SCORES)])
 
     return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias(text_col)).mapInArrow(run, schema)
