@@ -71,7 +71,7 @@ def classify(c: Column) -> Column:
         value = F.struct(text.alias("name"), F.lit(kind_).alias("kind"), F.lit("").alias("color"), link.alias("fine_of"))
         out = F.when(d.rlike(pattern), value) if out is None else out.when(d.rlike(pattern), value)
     for word, color in COLORS:
-        pattern = rf"\b(?:(fine) )?{word} ?([0-9]{{1,2}})?(?: (fine))?\b"
+        pattern = rf"\b(?:(fine) )?{word}(?: ?([0-9]{{1,2}}))?(?: (fine))?\b"
         zone = F.regexp_extract(d, pattern, 2)
         fine = (F.regexp_extract(d, pattern, 1) != "") | (F.regexp_extract(d, pattern, 3) != "")
         label = "UV" if word == "uv" else word.capitalize()

@@ -7,13 +7,16 @@ each (document, footprint) bucket, which holds a manual's modes of one size.
 from __future__ import annotations
 
 import difflib
-from itertools import permutations
+from collections.abc import Iterator
+from itertools import groupby, permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType
 
 from specmine.functions.text import norm_name
@@ -145,17 +148,35 @@ def best_of(scores: np.ndarray) -> list[tuple[int, int]]:
 
 
 def best_pairing(scored: DataFrame) -> DataFrame:
-    """The pairs of each bucket's best pairing."""
+    """The pairs of each (document, footprint) bucket's best pairing. Buckets stream through sorted
+    partitions, one at a time."""
     schema = scored.schema
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["truth_mode", "mode"], ignore_index=True)
-        t, e = sorted(rows["truth_mode"].unique()), sorted(rows["mode"].unique())
-        scores = rows.pivot(index="truth_mode", columns="mode", values="name_score").fillna(0).to_numpy()
+    at = {c: i for i, c in enumerate(scored.columns)}
+
+    def chosen(rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1:
+            return rows
+        t, e = sorted({r[at["truth_mode"]] for r in rows}), sorted({r[at["mode"]] for r in rows})
+        scores = np.zeros((len(t), len(e)))
+        for r in rows:
+            s = r[at["name_score"]]
+            scores[t.index(r[at["truth_mode"]]), e.index(r[at["mode"]])] = 0 if s is None or s != s else s
         keep = {(t[i], e[j]) for i, j in best_of(scores)}
-        return rows[[(a, b) in keep for a, b in zip(rows["truth_mode"], rows["mode"])]]
-
-    return scored.groupBy("doc_id", "footprint").applyInPandas(run, schema)
+        return [r for r in rows if (r[at["truth_mode"]], r[at["mode"]]) in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(r.values()) for b in batches for r in b.to_pylist())
+        out: list[tuple] = []
+        for _, bucket in groupby(rows, key=lambda r: (r[at["doc_id"]], r[at["footprint"]])):
+            out += chosen(list(bucket))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_pylist([dict(zip(at, r)) for r in out], arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(at, r)) for r in out], arrow)
+
+    arrow = to_arrow_schema(schema)
+    return scored.repartition("doc_id", "footprint").sortWithinPartitions("doc_id", "footprint", "truth_mode", "mode").mapInArrow(run, schema)
 
 
 def scoreboard(fixtures: DataFrame, truth: DataFrame, extracted: DataFrame, best: DataFrame) -> DataFrame:

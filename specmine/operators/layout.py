@@ -81,7 +81,7 @@ def detect_stacked_headers(rows: DataFrame) -> DataFrame:
 
 def column_pitch(headers: DataFrame) -> DataFrame:
     """Least gap of neighbouring centres and the table's span, half a pitch beyond the outer ones."""
-    gaps = F.zip_with(F.slice("centres", 2, 1000), F.slice("centres", 1, F.size("centres") - 1), lambda b, a: b - a)
+    gaps = F.zip_with(F.slice("centres", 2, 1000), F.slice("centres", F.lit(1), F.greatest(F.size("centres") - 1, F.lit(0))), lambda b, a: b - a)
     h = headers.withColumn("pitch", F.array_min(gaps))
     return h.withColumn("left_edge", F.element_at("centres", 1) - F.col("pitch") / 2).withColumn("right_edge", F.element_at("centres", -1) + F.col("pitch") / 2)
 
@@ -114,4 +114,4 @@ def snap_cells(rows: DataFrame, active: DataFrame, headers: DataFrame) -> DataFr
     best = near.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("fits", F.col("far") <= F.col("pitch") * 0.4)
     cells = best.groupBy(*PAGE, "row_id", "header_row").agg(F.bool_and("fits").alias("ok"), F.count("*").alias("n"), F.count_distinct("col").alias("d"), F.first(F.size("centres")).alias("width"), F.array_sort(F.collect_list(F.struct("col", "text"))).alias("m"))
     text = lambda i: F.coalesce(F.get(F.transform(F.filter("m", lambda s: s["col"] == i), lambda s: s["text"]), F.lit(0)), F.lit("-"))
-    return cells.where("ok and n = d and n < width").select(*PAGE, "row_id", "header_row", F.transform(F.sequence(F.lit(0), F.col("width") - 1), text).alias("cells"))
+    return cells.where("ok and n = d and n < width").select(*PAGE, "row_id", "header_row", F.transform(F.sequence(F.lit(0), F.greatest(F.col("width") - 1, F.lit(0))), text).alias("cells"))

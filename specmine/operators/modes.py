@@ -125,7 +125,7 @@ def coded_headings(lines: DataFrame) -> DataFrame:
     """Coded table titles with words the scanner may have misread; the code in normal form."""
     p = r"(?i)\bt[a4]b[l1i]e\s+([0-9]{1,3})\s*([A-Z0-9]{0,3})\b"
     code = F.upper(F.concat(F.regexp_extract("text", p, 1), F.regexp_extract("text", p, 2)))
-    return lines.where(F.col("text").rlike(p)).select("doc_id", "line_no", F.regexp_extract("text", p, 1).cast("int").alias("size"), code.alias("code"))
+    return lines.where(F.col("text").rlike(p)).select("doc_id", "line_no", F.regexp_extract("text", p, 1).try_cast("int").alias("size"), code.alias("code"))
 
 
 def collapse_code_aliases(codes: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def named_headings(lines: DataFrame) -> DataFrame:
     """ "<Name> DMX Mode" with "N DMX channels" on the next line; two or more are needed."""
     nxt = F.lead("text").over(in_document())
     h = lines.withColumn("_n", nxt).where(F.col("text").rlike("^[A-Z][a-z]+ DMX Mode$") & F.col("_n").rlike("^[0-9]{1,3} DMX channels$"))
-    h = h.select("doc_id", "line_no", F.regexp_extract("text", "^([A-Z][a-z]+)", 1).alias("name"), F.regexp_extract("_n", "^([0-9]+)", 1).cast("int").alias("size"))
+    h = h.select("doc_id", "line_no", F.regexp_extract("text", "^([A-Z][a-z]+)", 1).alias("name"), F.regexp_extract("_n", "^([0-9]+)", 1).try_cast("int").alias("size"))
     return h.withColumn("_k", F.count("*").over(W.partitionBy("doc_id"))).where("_k >= 2").drop("_k")
 
 
@@ -163,7 +163,7 @@ def contextual_personalities(lines: DataFrame) -> DataFrame:
     """Named personalities with sizes under a context heading."""
     s = lines.withColumn("_ctx", F.last(F.when(F.col("text").rlike("(?i)personalit|operating mode|choose from|^basic"), F.col("line_no")), ignorenulls=True).over(in_document())).where("line_no - _ctx <= 3")
     hit = s.where(F.col("text").rlike(r"(?i)^[A-Z][a-z]+ [0-9]{1,3} ch$"))
-    return hit.select("doc_id", "line_no", F.regexp_extract("text", "^([A-Za-z]+)", 1).alias("name"), F.regexp_extract("text", r"([0-9]{1,3}) ch$", 1).cast("int").alias("size"))
+    return hit.select("doc_id", "line_no", F.regexp_extract("text", "^([A-Za-z]+)", 1).alias("name"), F.regexp_extract("text", r"([0-9]{1,3}) ch$", 1).try_cast("int").alias("size"))
 
 
 def choose_grammar(tables: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ def guard_value_bleed(rows: DataFrame) -> DataFrame:
 def expand_rgb_blocks(blocks: DataFrame) -> DataFrame:
     """ "N x RGB = M channels" as N triplets from a first position, numbered segments."""
     p = r"(?i)([0-9]{1,3})\s*x\s*(RGBW?)\s*=\s*([0-9]{1,3})\s*channels"
-    b = blocks.where(F.col("text").rlike(p)).select("doc_id", "first", F.regexp_extract("text", p, 1).cast("int").alias("n"), F.upper(F.regexp_extract("text", p, 2)).alias("c"), F.regexp_extract("text", p, 3).cast("int").alias("m")).where("n * length(c) = m")
+    b = blocks.where(F.col("text").rlike(p)).select("doc_id", "first", F.regexp_extract("text", p, 1).try_cast("int").alias("n"), F.upper(F.regexp_extract("text", p, 2)).alias("c"), F.regexp_extract("text", p, 3).try_cast("int").alias("m")).where("n * length(c) = m")
     e = b.select("doc_id", "first", "c", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("segment"))
     e = e.select("doc_id", "first", "c", "segment", F.posexplode(F.split("c", "")).alias("k", "letter")).where("letter <> ''")
     names = F.create_map(*map(F.lit, ["R", "Red", "G", "Green", "B", "Blue", "W", "White"]))

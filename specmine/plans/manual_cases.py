@@ -35,7 +35,7 @@ def _files(t: Tables):
     return manuals.read_manual_text(t.spark, f"{path}/*").select("text")
 
 
-case("s1_read_manual_text", _files, "lines", f"{DOCS} select text from docs_b where doc_id % 100 = 0")
+case("s1_read_manual_text", _files, "lines", f"{DOCS} select text || chr(10) as text from docs_b where doc_id % 100 = 0")
 case(
     "p11_append_region_text",
     lambda t: manuals.append_region_text(manuals.assemble_text(page_table(t)), t("lines").where("line_no = 1").select("doc_id", F.col("text").alias("region_text")).where("doc_id % 3 = 0")),

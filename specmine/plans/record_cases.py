@@ -122,7 +122,6 @@ case("r34_unstructured_modes", lambda t: rows.unstructured_modes(t("base").selec
 
 # ---- classification
 
-CLASSIFY = [("Pan", "pan"), ("Tilt", "tilt")]
 case("c1_classify_channels", lambda t: t("channels").withColumn("c", ch.classify(F.col("name"))).select("doc_id", "channel_idx", "c.name", "c.kind", "c.color", "c.fine_of"), "channels", r"""x as (select doc_id, channel_idx, name, regexp_replace(lower(name), '\blsb\b', 'fine') as d, regexp_extract(name, '([0-9]+)', 1) as z from channels)
     select doc_id, channel_idx, case d when 'pan' then 'Pan' when 'pan fine' then 'Pan fine' when 'tilt' then 'Tilt' when 'tilt fine' then 'Tilt fine' when 'dimmer' then 'Dimmer' when 'dimmer fine' then 'Dimmer fine' when 'red' then 'Red' when 'red fine' then 'Red fine' when 'strobe' then 'Light switch / strobe' when 'gobo wheel' then 'Gobo wheel' when 'color wheel' then 'Color wheel' when 'reset' then 'Reset / function' when 'program speed' then 'Program speed' else case when d like 'green %' then 'Green ' || z else name end end as name,
       case when d like 'pan%' then 'pan' when d like 'tilt%' then 'tilt' when d like 'dimmer%' then 'intensity' when d like 'red%' or d like 'green%' then 'colorIntensity' when d = 'strobe' then 'strobe' when d = 'gobo wheel' then 'goboWheel' when d = 'color wheel' then 'colorWheel' when d = 'reset' then 'maintenance' when d = 'program speed' then 'speed' else 'generic' end as kind,
@@ -333,7 +332,7 @@ def variant_listing(t: Tables) -> DataFrame:
 case("f5_nested_footprints", lambda t: lookup.nested_footprints(variant_listing(t)), "", "select p_partkey as rid, p_size as footprint from part union all select p_partkey, cast(p_partkey % 30 as int) from part")
 case("f6_match_listing", matches, "queries listing", f"{MATCH} select query_id, rid, score, rating from mt")
 case("f7_top_matches", lambda t: lookup.top_matches(matches(t)), "queries listing", f"{MATCH} select query_id, rid, score, rating, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, coalesce(rating, 0) desc, rid) as rank from mt) where rank <= 5")
-case("f8_sanitize_matches", lambda t: lookup.sanitize_matches(t("pages").select(F.col("page_id").alias("id"), "url", (F.col("page_id") % 9 - 1.5).cast("double").alias("rating"), (F.col("page_id") % 7 / 4 - 0.25).alias("score")), ["example.com", "example.org"]), "", r"""select page_id as id, case when regexp_matches(url, '^https://([a-z0-9.]+\.)?example\.(com|org)(/|$)') then regexp_replace(url, '#.*$', '') end as url, case when page_id % 9 - 1.5 between 0 and 5 then cast(page_id % 9 - 1.5 as double) end as rating, least(1.0, greatest(0.0, page_id % 7 / 4 - 0.25)) as score from pages""")
+case("f8_sanitize_matches", lambda t: lookup.sanitize_matches(t("pages").select(F.col("page_id").alias("id"), "url", (F.col("page_id") % 9 - 1.5).cast("double").alias("rating"), (F.col("page_id") % 7 / 4 - 0.25).alias("score")), ["example.com", "example.org"]), "", r"""select page_id as id, case when regexp_matches(url, '^https://([a-z0-9.-]+\.)?example\.(com|org)(/|$)') then regexp_replace(url, '#.*$', '') end as url, case when page_id % 9 - 1.5 between 0 and 5 then cast(page_id % 9 - 1.5 as double) end as rating, least(1.0, greatest(0.0, page_id % 7 / 4 - 0.25)) as score from pages""")
 case("f9_lookup_eligible", lambda t: lookup.lookup_eligible(t("fixtures"), parsed_sizes(t).select("doc_id", F.col("size").alias("footprint"))), "fixtures assignments", f"{PARSED}, p as (select doc_id, string_agg(size, ' ' order by size) as f from (select distinct doc_id, size from sizes) group by 1) select doc_id, manufacturer, model, coalesce(f, '') as footprints from fixtures left join p using (doc_id) where trim(manufacturer) <> '' and trim(model) <> '' and model <> 'Unknown model'")
 HISTORY = "history as (select doc_id, ts, event_id, event_type as key, level % 17 = 0 as forced from log)"
 

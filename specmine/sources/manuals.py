@@ -10,7 +10,7 @@ MARKER = r"=== PAGE ([0-9]+) ==="
 
 def read_manual_text(spark: SparkSession, folder: str) -> DataFrame:
     """One document a .txt file: doc_id, source_name (base name + .pdf), text."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     base = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
     return files.select(base.alias("doc_id"), F.concat(base, F.lit(".pdf")).alias("source_name"), F.col("value").alias("text"))
 

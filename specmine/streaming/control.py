@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,13 +34,17 @@ def validate_commands(events: DataFrame) -> DataFrame:
     return events.withColumn("reason", reason)
 
 
+def micros(name: str) -> Column:
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
 def _w(*keys: str) -> W:
     return W.partitionBy(*keys).orderBy("ts", "event_id")
 
 
 def leases(events: DataFrame, timeout_s: int) -> DataFrame:
     """Each controller's gap-sessions: events with a ``lease_no`` from 1."""
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(_w("controller")) > timeout_s * 1_000_000
+    gap = micros("ts") - F.lag(micros("ts")).over(_w("controller")) > timeout_s * 1_000_000
     return events.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("lease_no", F.sum("_new").over(_w("controller")).cast("int")).drop("_new")
 
 
@@ -67,14 +71,14 @@ def live_frames(leased: DataFrame) -> DataFrame:
 def idle_periods(events: DataFrame, timeout_s: int) -> DataFrame:
     """Spans longer than the timeout without any event of a key, from the end of one to the next."""
     n = events.withColumn("next_ts", F.lead("ts").over(_w("key")))
-    return n.where(F.unix_micros("next_ts") - F.unix_micros("ts") > timeout_s * 1_000_000).select("key", F.col("ts").alias("idle_from"), F.col("next_ts").alias("idle_to"))
+    return n.where(micros("next_ts") - micros("ts") > timeout_s * 1_000_000).select("key", F.col("ts").alias("idle_from"), F.col("next_ts").alias("idle_to"))
 
 
 def session_expiry(uses: DataFrame, tokens: DataFrame, hours: int) -> DataFrame:
     """Uses of a token (key, origin, ts) are valid for so many hours from issue and one origin."""
     t = tokens.select("key", F.col("origin").alias("_o"), F.col("ts").alias("_issued"))
     j = uses.join(t, "key", "left")
-    valid = (F.col("_o") == F.col("origin")) & (F.col("ts") >= F.col("_issued")) & (F.unix_micros("ts") <= F.unix_micros("_issued") + hours * 3_600_000_000)
+    valid = (F.col("_o") == F.col("origin")) & (F.col("ts") >= F.col("_issued")) & (micros("ts") <= micros("_issued") + hours * 3_600_000_000)
     return j.select(*uses.columns, F.coalesce(valid, F.lit(False)).alias("valid"))
 
 
