@@ -49,9 +49,11 @@ def fill_fixture_defaults(fx: DataFrame) -> DataFrame:
 
 def read_fixtures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Records with defaults, and the files that couldn't be parsed."""
-    raw = spark.read.schema(FIXTURE + ", _corrupt_record string").option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
-    bad = raw.where("_corrupt_record is not null").select("file", "_corrupt_record")
-    return fill_fixture_defaults(raw.where("_corrupt_record is null and id is not null").drop("_corrupt_record")), bad
+    schema = f"{FIXTURE}, _corrupt_record string"
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    raw = files.select("file", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("file", "r.*")
+    bad = raw.where("_corrupt_record is not null or id is null").select("file", "_corrupt_record")
+    return fill_fixture_defaults(raw.where("_corrupt_record is null and id is not null").drop("_corrupt_record", "file")), bad
 
 
 def normalize_fixtures(fx: DataFrame) -> dict[str, DataFrame]:
