@@ -56,19 +56,16 @@ def word_offsets(text: Column, word: Column) -> Column:
     """0-based offsets of a word or phrase with no letter or digit on either side."""
     low, w = F.lower(text), F.lower(word)
     pieces = F.split(F.concat(F.lit(" "), low, F.lit(" ")), F.concat(F.lit("\\Q"), w, F.lit("\\E")), -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, p: Column) -> Column:
-        at = s["at"] + F.length(p)
-        return F.struct((at + F.length(w)).alias("at"), p.alias("last"), F.concat(s["out"], F.array(at)).alias("out"))
-
-    ends = F.aggregate(pieces, start, step)["out"]
-    cut = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.sequence(F.lit(0), F.greatest(F.size(ends) - 2, F.lit(0))), lambda e, i: F.struct(e.alias("e"), i.alias("i")))
-    edge = lambda p, pattern: p.rlike(pattern)
-    # the piece ahead must not end in a letter or digit, nor the one behind begin with one; an
-    # empty piece between two hits is an edge as well
-    ok = F.filter(cut, lambda c: ~edge(F.get(pieces, c["i"]), "[A-Za-z0-9]$") & ~edge(F.get(pieces, c["i"] + 1), "^[A-Za-z0-9]"))
-    return F.when(F.size(pieces) > 1, F.transform(ok, lambda c: c["e"] - 1)).otherwise(F.array().cast("array<int>"))
+    n = F.greatest(F.size(pieces) - 1, F.lit(0))
+    # each hit with the pieces on either side; an empty piece between two hits is an edge as well
+    hits = F.zip_with(F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n), lambda a, b: F.struct(F.length(a).alias("n"), (~a.rlike("[A-Za-z0-9]$") & ~b.rlike("^[A-Za-z0-9]")).alias("ok")))
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, h: Column) -> Column:
+        at = s["at"] + h["n"]
+        return F.struct((at + F.length(w)).alias("at"), F.when(h["ok"], F.concat(s["out"], F.array(at))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(hits, start, step)["out"]
 
 
 def brand_occurrences(docs: DataFrame, candidates: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -298,7 +298,7 @@ def unstructured_modes(sizes: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 # Controls looked for anywhere in a text.
-COMPONENTS = [("pan", r"(?i)\bpan\b"), ("tilt", r"(?i)\btilt\b"), ("dimmer", r"(?i)\bdimmer\b"), ("strobe", r"(?i)\bstrobe\b"), ("gobo", r"(?i)\bgobo"), ("zoom", r"(?i)\bzoom\b"), ("rgbw", r"(?i)\brgbwa?\b"), ("in", r"(?i)\bin\b"), ("unter", r"(?i)\bof\b")]
+COMPONENTS = [(n, rf"(?i)(^|[^a-z0-9]){w}([^a-z0-9]|$)") for n, w in [("pan", "pan"), ("tilt", "tilt"), ("dimmer", "dimmer"), ("strobe", "strobe"), ("gobo", "gobos?"), ("zoom", "zoom"), ("rgbw", "rgbwa?"), ("in", "in"), ("of", "of")]]
 
 
 def component_scan(docs: DataFrame, components: list[tuple[str, str]] = COMPONENTS) -> DataFrame:
