@@ -162,7 +162,8 @@ _parsers: dict[str, CrossParser] = {}
 def identify(docs: DataFrame, sample: list[tuple[str, bytes]], *, text_col: str = "text", out_cols: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Every row of ``docs`` with the predicted language and a score from 0 to 1 added.
 
-    The score is how many fewer phrases the winner needs than the next language.
+    The score is how many fewer phrases the winner needs than the next language. Columns of the
+    added names that ``docs`` already has are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(sample)  # bounded by bytes_per_lang
     clean = docs.drop(*out_cols)

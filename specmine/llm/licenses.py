@@ -95,7 +95,8 @@ def matched(ids: Column) -> Column:
 
 
 def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``sentence_ids`` (array) and ``licenses`` (sorted array) added."""
+    """``docs`` with ``sentence_ids`` (array) and ``licenses`` (sorted array) added; columns of
+    those names are replaced."""
     known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (s.replace("cc0", "cc#"), k)])
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     cue = F.lower(text).rlike(CUES)
