@@ -38,6 +38,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one call in a folder of their own in the shared folder, dropped together."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/specmine-{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+    def drop(self) -> None:
+        """Only once nothing lazy reads the tables any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of frames that nothing refers to any more."""
     gc.collect()

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from specmine.llm.common import LAST_ID, as_bytes, keyed, kmer_hashes, materialize, mix, pieces, release, sliding_min, text_bytes
 
@@ -295,12 +296,15 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, kept (the remaining bytes), spans (maximal removed runs, in bytes), n_bytes, _k."""
-    rows = keyed(docs, id_col, text_col)
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, kept (the remaining bytes), spans (maximal removed runs, in bytes), n_bytes, and a
+    struct ``row`` of the columns named in ``keep``."""
+    row = F.struct(F.col(f"`{text_col}`").isNull().alias("_null_text"), *[F.col(f"`{c}`") for c in keep or []])
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), row.alias("row")).withColumn("_k", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length)
     spans = spans.groupBy("k").agg(F.collect_list("payload").alias("blobs"))
-    joined = rows.join(spans.hint("shuffle_hash"), rows._k == spans.k, "left").select("doc_id", "_k", "text", "blobs")
+    joined = rows.join(spans.hint("shuffle_hash"), rows._k == spans.k, "left").select("doc_id", "row", "text", "blobs")
+    schema = joined.select("doc_id", "row").schema.add("kept", BinaryType()).add("spans", ArrayType(StructType().add("start", LongType()).add("end", LongType()))).add("n_bytes", LongType())
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,6 +326,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     a, b = start[new], reach[np.concatenate((new[1:], [True]))]
                     kept.append(b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)])))
                     removed.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_k"), pa.array(kept, pa.binary()), pa.array(removed, kind), pa.array(list(map(len, texts)), pa.int64())], ["doc_id", "_k", "kept", "spans", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(kept, pa.binary()), pa.array(removed, kind), pa.array(list(map(len, texts)), pa.int64())], ["doc_id", "row", "kept", "spans", "n_bytes"])
 
-    return joined.mapInArrow(run, "doc_id bigint, _k bigint, kept binary, spans array<struct<start:bigint,end:bigint>>, n_bytes bigint")
+    return joined.mapInArrow(run, schema)
