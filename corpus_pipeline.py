@@ -32,13 +32,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur in a document of smaller id; a document of which
     nothing is left goes. Cut characters at the edges of a passage go with it."""
-    left = suffix_dedup.remove_repeats(docs).where(F.size("spans") > 0)
-    left = left.select("_k", F.try_validate_utf8(F.col("kept").cast("string")).alias("_plain"), "kept").dropDuplicates(["_k"])
-    rows = docs.select(*COLUMNS).withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    changed = F.coalesce(F.col("_plain"), F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
-    out = rows.join(left, "_k", "left").withColumn("text", F.when(F.col("kept").isNotNull(), changed).otherwise(F.col("text")))
-    out = out.where(F.col("kept").isNull() | (F.length("text") > 0))
-    return out.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    left = suffix_dedup.remove_repeats(docs, keep=["lang", "source", "n_chars"])
+    changed = F.size("spans") > 0
+    plain = F.col("kept").cast("string")
+    text = F.when(F.col("row._null_text"), F.lit(None).cast("string")).when(F.is_valid_utf8(plain), plain).otherwise(F.replace(F.make_valid_utf8(plain), F.lit("\ufffd"), F.lit("")))
+    out = left.where(~changed | (F.length("kept") > 0)).select("doc_id", text.alias("text"), "row.lang", "row.source", changed.alias("_changed"), F.col("row.n_chars").alias("n_chars"))
+    return out.select("doc_id", "text", "lang", "source", F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
