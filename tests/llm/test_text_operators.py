@@ -111,6 +111,19 @@ def test_packing_is_gapless_and_tight(spark):
     assert len(by) <= 1.01 * -(-sum(x.length for x in rows) // 2048) + 1
 
 
+def test_encoder_gives_the_library_s_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    t.encode_special_tokens = True
+    r = random.Random(6)
+    letters = "ab'sdtrev lm  \n\t\r\u00a0\u3000éß12٣½.,!<|endoftext|>_-漢🙂\u0301"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    encoder = packing.Encoder(queries.tokenizer_path())
+    assert encoder.fast is not None
+    assert encoder.encode(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_sum_of_squares_choice():
     sequence, offset = packing.sum_of_squares(np.array([6, 5, 4, 5]), 10)
     assert len(set(sequence)) == 2 and sorted(offset) == [0, 0, 5, 6]
@@ -276,3 +289,22 @@ def test_cross_parsing_counts_longest_matches():
     for text in ("abcabcab", "xyzab", "abxq", "qq"):
         got = parser.phrases([text.encode()])[0] * len(text)
         assert np.allclose(got, [count(text, "abcab"), count(text, "xyz")], atol=1.01)
+
+
+# ---- other columns
+
+
+def test_columns_with_clashing_names(spark):
+    from specmine.llm import licenses, ngram_lm
+
+    rows = [(1, "one two three four five six", "en", "x", "x", "x", 1), (2, "one two three four five six", None, "y", None, "y", 2), (None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score string, bucket string, kept string, rank_id bigint")
+    bench = spark.createDataFrame([(1, "one two three four five six seven", "x")], "item_id bigint, text string, spans string")
+    assert decontam.find_hits(docs, bench).drop("_hits").columns == docs.columns
+    assert sorted(r.bucket or "" for r in decontam.decontaminate(docs, bench).collect()) == ["", "", "x"]
+    assert sorted(r.kept or "" for r in minhash.drop_near_duplicates(docs).collect()) == ["", "x"]
+    assert {r.score for r in langid.identify(docs, []).collect()} == {0.0}
+    assert suffix_dedup.remove_repeats(docs).count() == 3 and licenses.scan(docs).count() == 3
+    assert packing.pack(packing.token_pieces(docs, queries.tokenizer_path()), 3).count() == 3
+    assert fingerprints.fingerprints_with_edits(docs).count() == 3
+    assert [r.n_tokens for r in ngram_lm.score(docs, ngram_lm.train(docs)).orderBy("n_tokens").collect()] == [1, 7, 7]
