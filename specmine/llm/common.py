@@ -158,7 +158,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> list[np.ndarray]:
     """BASE**i and its inverse for i below n, kept for the next call."""
     if len(_powers[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         for j, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
             x = np.full(size, b, np.uint64)
             x[0] = 1
