@@ -18,6 +18,7 @@ from specmine.functions.text import RANGE, edit_similarity, flatten_text, ocr_fo
 # that aren't model names.
 PERSON = ["mr", "mrs", "ms", "dr", "by", "author", "designer", "engineer", "manager"]
 SELF = ["thank you for purchasing", "thank you for choosing", "congratulations on your"]
+TITLE = r"^([A-Z][A-Za-z0-9]+(?: [A-Z0-9][A-Za-z0-9]*)+)"
 DOC_WORDS = ["manual", "user", "guide", "dmx", "chart", "instructions", "quick", "start", "rev", "version"]
 
 
@@ -153,11 +154,16 @@ def model_candidates(docs: DataFrame) -> DataFrame:
     """Model names by ordered sources; the first source that gives one wins."""
     first = F.get(F.split("text", "\n"), F.lit(0))
     e = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    sources = [("line", e(F.col("text"), r"(?i)product(?: line)?: *([A-Za-z0-9 ]{3,40})")), ("number", e(F.col("text"), r"(?i)model: *([A-Za-z0-9-]{2,20})")), ("title", e(first, r"^([A-Z][A-Za-z0-9]+(?: [A-Z0-9][A-Za-z0-9]*)+)")), ("spaced", F.nullif(F.regexp_replace(e(first, r"^((?:[A-Z] ){3,}[A-Z])\b"), " ", ""), F.lit(""))), ("word", e(F.col("text"), r"\b([A-Z][a-z]{3,})\b"))]
+    sources = [("line", e(F.col("text"), r"(?i)product(?: line)?: *([A-Za-z0-9 ]{3,40})")), ("number", e(F.col("text"), r"(?i)model: *([A-Za-z0-9-]{2,20})")), ("title", e(first, TITLE)), ("spaced", F.nullif(F.regexp_replace(e(first, r"^((?:[A-Z] ){3,}[A-Z])\b"), " ", ""), F.lit(""))), ("word", e(F.col("text"), r"\b([A-Z][a-z]{3,})\b"))]
     found = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("source"), c.alias("model"))) for n, c in sources]))
     return docs.select("doc_id", F.get(found, F.lit(0)).alias("m")).where("m is not null").select("doc_id", "m.source", "m.model")
 
 
+def titles(docs: DataFrame) -> DataFrame:
+    """(doc_id, title) of the manuals whose first line is a title."""
+    return docs.select("doc_id", F.nullif(F.regexp_extract(F.get(F.split("text", "\n"), F.lit(0)), TITLE, 1), F.lit("")).alias("title")).where("title is not null")
+
+
 def is_title(c: Column) -> Column:
     """Not page furniture, a data line (copyright, dot leaders, dates, colon, three numbers) or
     words of the document's kind alone."""

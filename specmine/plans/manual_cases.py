@@ -24,18 +24,27 @@ case("s2_split_pages", lambda t: manuals.split_pages(manuals.assemble_text(page_
 case("s3_split_lines", lambda t: manuals.split_lines(page_table(t)), "lines", "select doc_id, page, line_no, text from lines")
 
 
-def _files(t: Tables):
-    """The manuals written as text files in the shared folder, read back by the file source."""
+def _files(t: Tables, docs, folder: str, records: int = 0):
+    """Manuals written as text files in the shared folder, read back by the file source."""
     import uuid
 
     top = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or t.spark.conf.get("spark.sql.warehouse.dir")
-    docs = manuals.assemble_text(page_table(t)).where("doc_id % 100 = 0")
     path = f"{top.rstrip('/')}/specmine-manuals-{uuid.uuid4().hex}"
-    docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text").write.partitionBy("name").text(path)
+    docs.select(F.expr(folder).alias("name"), "text").write.option("maxRecordsPerFile", records).partitionBy("name").text(path)
     return manuals.read_manual_text(t.spark, f"{path}/*").select("text")
 
 
-case("s1_read_manual_text", _files, "lines", f"{DOCS} select text || chr(10) as text from docs_b where doc_id % 100 = 0")
+def _some_files(t: Tables):
+    return _files(t, manuals.assemble_text(page_table(t)).where("doc_id % 100 = 0"), "concat('doc', doc_id)")
+
+
+def _every_file(t: Tables):
+    """All manuals, a file each, dealt over 64 folders."""
+    return _files(t, manuals.assemble_text(page_table(t)), "pmod(xxhash64(doc_id), 64)", 1)
+
+
+case("s1_read_manual_text", _some_files, "lines", f"{DOCS} select text || chr(10) as text from docs_b where doc_id % 100 = 0")
+case("s1_read_every_manual_text", _every_file, "lines", f"{DOCS} select text || chr(10) as text from docs_b")
 case(
     "p11_append_region_text",
     lambda t: manuals.append_region_text(manuals.assemble_text(page_table(t)), t("lines").where("line_no = 1").select("doc_id", F.col("text").alias("region_text")).where("doc_id % 3 = 0")),
