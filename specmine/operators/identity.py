@@ -38,19 +38,23 @@ def spellings(catalog: DataFrame) -> DataFrame:
 def brand_candidates(docs: DataFrame, catalog: DataFrame, limit: int = 20_000) -> DataFrame:
     """(doc_id, canonical) by case-blind containment of any spelling.
 
-    The catalog's size is checked: up to ``limit`` spellings are sent along as one array and
-    tested in one pass over the texts; a larger catalog is joined on words instead.
+    Up to ``limit`` spellings are sent along as one array and tested in one pass over the texts.
+    A larger catalog is tested by the same rule in blocks of about ``limit`` spellings, which
+    are dealt by hash of the name and stay in Spark: each text meets each block's array once.
     """
-    s = spellings(catalog)
+    s = spellings(catalog).select("canonical", F.lower("spelling").alias("s")).where("s is not null")
+    low = F.lower("text")
     rows = s.limit(limit + 1).collect()
     if len(rows) <= limit:
-        known = F.array(*[F.struct(F.lit(r.canonical).alias("canonical"), F.lit(r.spelling.lower()).alias("s")) for r in rows])
-        low = F.lower("text")
-        hits = F.array_distinct(F.transform(F.filter(known, lambda k: F.contains(F.col("_low"), k["s"])), lambda k: k["canonical"]))
-        return docs.withColumn("_low", low).select("doc_id", F.explode(hits).alias("canonical"))
-    first = s.withColumn("_w", F.lower(F.regexp_extract("spelling", "([A-Za-z0-9]+)", 1)))
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("_w"))
-    return words.join(first, "_w").where(F.contains(F.lower("text"), F.lower("spelling"))).select("doc_id", "canonical").distinct()
+        known = F.array(*[F.struct(F.lit(r.canonical).alias("canonical"), F.lit(r.s).alias("s")) for r in rows]) if rows else F.array().cast("array<struct<canonical:string,s:string>>")
+        texts = docs.withColumn("_low", low)
+    else:
+        n = -(-s.count() // limit)
+        blocks = s.groupBy(F.pmod(F.xxhash64("canonical"), F.lit(n)).alias("_b")).agg(F.collect_set(F.struct("canonical", "s")).alias("_known"))
+        known = F.col("_known")
+        texts = docs.withColumn("_low", low).crossJoin(blocks.select("_known"))
+    hits = F.array_distinct(F.transform(F.filter(known, lambda k: F.contains(F.col("_low"), k["s"])), lambda k: k["canonical"]))
+    return texts.select("doc_id", F.explode(hits).alias("canonical"))
 
 
 def word_offsets(text: Column, word: Column) -> Column:

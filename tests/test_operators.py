@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from specmine.functions import channels as ch
 from specmine.functions import text as tx
-from specmine.operators import evaluate, layout, lookup, modes, pages, rows, validate
+from specmine.operators import evaluate, identity, layout, lookup, modes, pages, rows, validate
 from specmine.sources import manuals, records
 from specmine.streaming import control
 
@@ -214,3 +214,17 @@ def test_offers_meet_answers_in_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.key for r in spark.table("met").collect()] == ["a"]
+
+
+# ---- identity
+
+
+def test_large_catalogs_match_as_small_ones_do(spark):
+    texts = ["other words", "a Robe Robin lamp", "made by \u5149\u5cf0 and \u0421\u0432\u0435\u0442", "xMartin-y", "nothing", None, "a Robe Robin lamp"]
+    docs = spark.createDataFrame([(i % 6, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    catalog = spark.createDataFrame([("the", [], False), ("Robe", ["obe rob", "ROBIN"], False), ("\u5149\u5cf0", [], False), ("Свет", None, False), ("Martin-Y", ["artin"], False), ("absent", [], False)], "canonical string, aliases array<string>, requires_strong_signal boolean")
+    small = sorted(map(tuple, identity.brand_candidates(docs, catalog).collect()))
+    spelt = [(r.canonical, [r.canonical, *(r.aliases or [])]) for r in catalog.collect()]
+    assert small == sorted((i % 6, c) for i, t in enumerate(texts) for c, words in spelt if any(w.lower() in (t or "").lower() for w in words))
+    for limit in (1, 3):
+        assert sorted(map(tuple, identity.brand_candidates(docs, catalog, limit=limit).collect())) == small
