@@ -236,6 +236,17 @@ def test_near_duplicates_by_brute_force(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(roots)) and kept.columns == docs.columns
 
 
+def test_near_duplicates_leave_one_row_of_each_group(spark):
+    a = [" ".join([*(f"a{j}" for j in range(100)), f"tail{i}"]) for i in range(3)]
+    b, c, d = (" ".join(f"{x}{j}" for j in range(30)) for x in "bcd")
+    rows = [(1, a[0]), (1, a[0]), (1, a[0]), (1, a[1]), (2, a[2]), (1, b), (7, b), (None, c), (None, c), (None, c), (None, d), (None, d + " more"), (5, d), (None, None), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted((r.doc_id or -1, r.text or "") for r in minhash.drop_near_duplicates(docs).collect())
+    group = [x for x in got if x[1] in a]
+    assert len(group) == 1 and group[0][0] == 1 and group[0][1] in a[:2]
+    assert [x for x in got if x not in group] == sorted([(1, b), (-1, c), (5, d), (-1, ""), (-1, ""), (9, ""), (9, "")])
+
+
 def test_near_duplicates_chain_and_crowd(spark):
     """A long chain of links and a crowd of near copies, none of which equals another."""
     base = [f"w{i}" for i in range(200)]
