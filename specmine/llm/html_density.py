@@ -7,8 +7,10 @@ density on the path from there to the body is the threshold at which other nodes
 content too. The text is that of the content's common ancestor, or of the article or main
 element that holds the densest subtree.
 
-Before that, elements that never hold the article are left out: by tag, by role, and by words
-in their class or id. Nothing is dropped from the chosen subtree.
+Before that, elements that never hold the article are left out: by tag, or if hidden. Elements
+whose class, id or role has a word of page furniture as a whole token are left out unless they
+hold an article or main element, or more than half of the page's text that isn't links; the
+density decides on those. Nothing is dropped from the chosen subtree.
 
 Defined results: null, empty or markup-only pages give an empty text; unclosed, stray and
 truncated tags are read as a browser would close them; repeated rows give equal texts.
@@ -31,7 +33,8 @@ from specmine.llm.common import pieces
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "object", "embed", "head", "fieldset", "audio", "video", "canvas", "math"}
+INLINE |= {"math", "semantics", "mrow", "mi", "mo", "mn", "ms", "mtext", "mspace", "mstyle", "mpadded", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mfenced", "menclose"}
+FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "object", "embed", "head", "fieldset", "audio", "video", "canvas", "annotation", "annotation-xml"}
 WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription",
     "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "masthead", "footer", "sidebar", "aside", "widget", "related", "recommended", "share", "sharing", "social", "comment", "comments", "disqus", "respond", "reply", "login", "signup", "search", "pagination", "pager", "toolbar", "complementary", "contentinfo", "alert",
@@ -45,12 +48,11 @@ P_CLOSERS = {"address", "article", "aside", "blockquote", "center", "details", "
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-SPLIT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "furniture")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "furniture", "suspect", "plain", "holds")
 
     def __init__(self, tag: str, parent: Node | None, furniture: bool):
         self.tag, self.parent, self.furniture = tag, parent, furniture
@@ -58,6 +60,8 @@ class Node:
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.suspect = self.holds = False
+        self.plain = 0
 
 
 def is_furniture(tag: str, attributes: str, within_article: bool) -> bool:
@@ -69,8 +73,16 @@ def is_furniture(tag: str, attributes: str, within_article: bool) -> bool:
         name, text = name.lower(), (value[0] or value[1] or value[2]).lower()
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", text):
             return True
-        if name in ("class", "id", "role"):
-            words = {*SPLIT.split(text)}
+    return False
+
+
+def is_suspect(tag: str, attributes: str, within_article: bool) -> bool:
+    """Whether a whole token of class, id or role is a word of page furniture."""
+    if not attributes:
+        return False
+    for name, *value in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            words = {*(value[0] or value[1] or value[2]).lower().split()}
             if tag in HOLDERS:
                 if words & {"comment", "comments", "ad", "ads", "advertisement", "sponsored", "related"}:
                     return True
@@ -79,8 +91,35 @@ def is_furniture(tag: str, attributes: str, within_article: bool) -> bool:
     return False
 
 
+def without_suspects(nodes: list[Node]) -> list[Node]:
+    """The nodes without the suspects that hold no article or main element and at most half of
+    the page's text that isn't links; they are taken from their parents as well."""
+    if not any(x.suspect for x in nodes):
+        return nodes
+    for node in nodes:
+        node.plain = node.chars - node.link_chars
+    for node in reversed(nodes):
+        if (p := node.parent) is not None:
+            p.plain += node.plain
+            p.holds |= node.holds or node.tag in HOLDERS and not node.suspect
+    out, touched = [], {}
+    for node in nodes:  # parents come first
+        p = node.parent
+        if p is not None and p.furniture:
+            node.furniture = True
+        elif node.suspect and not node.holds and 2 * node.plain <= nodes[0].plain:
+            node.furniture = True
+            touched[id(p)] = p
+        else:
+            out.append(node)
+    for p in touched.values():
+        p.children = [x for x in p.children if not x.furniture]
+        p.parts = [x for x in p.parts if isinstance(x, str) or not x.furniture]
+    return out
+
+
 def parse(page: str) -> list[Node]:
-    """The nodes in page order, the root first; text of furniture is left out."""
+    """The nodes in page order, the root first; furniture is left out."""
     root = Node("html", None, False)
     nodes, stack = [root], [root]
     links, inside = 0, 0  # open a elements; open article and main elements
@@ -104,7 +143,7 @@ def parse(page: str) -> list[Node]:
         found = TOKEN.search(page, at)
         put(page[at : found.start()] if found else page[at:])
         if not found:
-            return nodes
+            return without_suspects(nodes)
         at = found.end()
         slash, tag, attributes = found[1] if found[2] else found[4], found[2] or found[5], found[3] or found[6] or ""
         if not tag:
@@ -160,6 +199,7 @@ def parse(page: str) -> list[Node]:
         top = stack[-1]
         node = Node(tag, top, top.furniture or is_furniture(tag, attributes, inside > 0))
         if not node.furniture:
+            node.suspect = is_suspect(tag, attributes, inside > 0)
             top.children.append(node)
             top.parts.append(node)
             nodes.append(node)

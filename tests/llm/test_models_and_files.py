@@ -170,6 +170,18 @@ def test_pages_without_article_element():
     assert html_density.main_text(deep) == "deep text"
 
 
+def test_wrapper_classes_keep_the_article():
+    p = "<p>" + "Some longer sentence of the text, with words. " * 6 + "</p>"
+    side = "<div class='sidebar'><p>Other things to read here</p></div>"
+    for wrapper in ("id=page class='has-sidebar'", "class='content-with-sidebar'", "class='no-comments'", "class='related-view'", "class='search-result'", "id=search", "class='wide sidebar'"):
+        for inner in (f"<article><h2>Title</h2>{p}</article>", f"<h2>Title</h2>{p}{p}{p}"):
+            text = html_density.main_text(f"<body><nav><a href=/>x</a></nav><div {wrapper}>{inner}{side}</div><footer>foot</footer></body>")
+            assert text.startswith("Title Some longer") and text.endswith("words."), (wrapper, text)
+            assert "Other things" not in text and "foot" not in text
+    page = f"<body><article>{p}<p>So <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds.</p></article><div class='comments'><article class=comment><p>Well said</p></article></div></body>"
+    assert "So E=m holds." in html_density.main_text(page) and "Well said" not in html_density.main_text(page)
+
+
 def test_extract_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, None, "old"), (2, "<p>a<p>b", "old")], "page_id bigint, html string, text string")
     assert [(r.page_id, r.text) for r in html_density.extract(df).orderBy("page_id").collect()] == [(1, ""), (2, "a b")]
