@@ -1,8 +1,9 @@
 """Licence recognition by sentence rules, in DataFrame functions alone.
 
 A text is cut into sentences twice: at line ends and sentence ends, and at sentence ends and
-blank lines only (for licence texts that are wrapped). Sentences are lower-cased, version
-numbers become ``#`` and what isn't a letter, digit or ``#`` becomes a space. Known sentences
+blank lines only (for licence texts that are wrapped). Comment marks at the start of a line are
+left out, and a copyright statement's line is cut from its neighbours. Sentences are lower-cased,
+version numbers become ``#`` and what else isn't a letter becomes a space. Known sentences
 are mapped to identifiers; a rule names a licence by identifiers in order, which must occur
 in that order, others between them allowed. Everything stays in the row: no shuffle, no
 Python; the tables of sentences and rules are fixed values in the plan.
@@ -73,35 +74,78 @@ RULES = [
     ("Proprietary", ["all-rights"]),
 ]
 CUES = "licen[sc]e|permission|redistribution|rights reserved|public domain|without warranty|in no event shall|you may obtain a copy|neither the name"
+# Sentences and rules of real notices; the SQL form doesn't have them. Notices are cut where they
+# have ';', ':' or 'v. '.
+_FSF = "you can redistribute it and or modify it under the terms of the gnu {0} as published by the free software foundation"
+_GNU = {"gpl": ["general public license"], "lgpl": ["lesser general public license", "library general public license"], "agpl": ["affero general public license"]}
+_EITHER = " either version # of the license or at your option any later version"
+_EPL = "this program and the accompanying materials are made available under the terms of the eclipse public license "
+MORE_SENTENCES = {
+    **{_FSF.format(f"{n}{v}") + e: f"{k}-redistribute" for k, names in _GNU.items() for n in names for v in ("", " version #") for e in ("", _EITHER)},
+    "the asf licenses this file to you under the apache license version # the license": "apache-asf",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-notice-v",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "distributed under the boost software license version #": "boost-notice",
+    "use modification and distribution are subject to the boost software license version #": "boost-use",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boost-grant",
+    **{_EPL + x: "epl-notice" for x in ("v", "v#", "version #", "#", "v# which accompanies this distribution and is available at", *(f"v# which accompanies this distribution and is available at {h} www eclipse org legal epl v# html" for h in ("http", "https")), "# which is available at", "# which is available at https www eclipse org legal epl #")},
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "bsd-liability",
+}
+MORE_RULES = [
+    ("GPL", ["gpl-redistribute"]),
+    ("LGPL", ["lgpl-redistribute"]),
+    ("AGPL", ["agpl-redistribute"]),
+    ("Apache", ["apache-asf"]),
+    ("MPL", ["mpl-notice-v"]),
+    ("Unlicense", ["unlicense"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL", ["boost-notice"]),
+    ("BSL", ["boost-use"]),
+    ("BSL", ["boost-grant"]),
+    ("EPL", ["epl-notice"]),
+]
+CUES = "licen[sc]e|permission|redistribution|rights reserved|public domain|without warranty|in no event shall|you may obtain a copy|neither the name"
 BY_LINE = r"[.;:!?][ \t]+|[.;:!?]?[\r\n]+"
 BY_SENTENCE = r"[.;:!?][ \t\r\n]+|[\r\n][ \t]*[\r\n]+"
 
+MORE_CUES = CUES + "|free software foundation|express or implied warranties"
+MARKS = r"(?m)^[ \t]*(?://+|/?\*+/?|#+|--+|;+|%+|>+|!+|<!--|\"{3}|(?:REM|dnl)\b)[ \t]*"
+STATEMENT = r"(?im)^([ \t]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|the [^\r\n]*authors)|\(c\)[ \t]+[^\r\n]*[0-9]{4}|©)[^\r\n]*)"
+
+
+def uncommented(text: Column) -> Column:
+    """Without comment marks; copyright statements stand between blank lines."""
+    return F.regexp_replace(F.regexp_replace(text, MARKS, ""), STATEMENT, "\n$1\n")
+
 
 def normalised(sentence: Column) -> Column:
-    versions = F.regexp_replace(F.lower(sentence), r"[0-9]+([.][0-9]+)*", "#")
+    versions = F.regexp_replace(F.translate(F.lower(sentence), "#", " "), r"[0-9]+([.][0-9]+)*", "#")
     return F.trim(F.regexp_replace(versions, "[^a-z#]+", " "))
 
 
 def known_ids(text: Column, separator: str, known: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    maybe = F.filter(F.split(text, separator), lambda s: F.lower(s).rlike(CUES))
+    maybe = F.filter(F.split(text, separator), lambda s: F.lower(s).rlike(MORE_CUES))
     return F.filter(F.transform(maybe, lambda s: F.try_element_at(known, normalised(s))), lambda i: i.isNotNull())
 
 
 def matched(ids: Column) -> Column:
     """Licences whose rule's identifiers occur in order."""
     joined = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
-    return F.array(*[F.when(joined.rlike("," + ",(.*,)?".join(rule) + ","), F.lit(name)) for name, rule in RULES])
+    return F.array(*[F.when(joined.rlike("," + ",(.*,)?".join(rule) + ","), F.lit(name)) for name, rule in RULES + MORE_RULES])
 
 
 def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``sentence_ids`` (array) and ``licenses`` (sorted array) added; columns of
     those names are replaced."""
-    known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (s.replace("cc0", "cc#"), k)])
+    sentences = {s.replace("cc0", "cc#"): k for k, s in SENTENCES.items()} | MORE_SENTENCES
+    known = F.create_map(*[F.lit(x) for s, k in sentences.items() for x in (s, k)])
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    cue = F.lower(text).rlike(CUES)
+    cue = F.lower(text).rlike(MORE_CUES)
     none = F.array().cast("array<string>")
-    by_line, by_sentence = (F.when(cue, known_ids(text, s, known)).otherwise(none) for s in (BY_LINE, BY_SENTENCE))
+    by_line, by_sentence = (F.when(cue, known_ids(uncommented(text), s, known)).otherwise(none) for s in (BY_LINE, BY_SENTENCE))
     out = docs.withColumn("_l", by_line).withColumn("_s", by_sentence)
     some = (F.size("_l") > 0) | (F.size("_s") > 0)
     names = F.when(some, F.array_sort(F.array_distinct(F.filter(F.concat(matched(F.col("_l")), matched(F.col("_s"))), lambda x: x.isNotNull())))).otherwise(none)

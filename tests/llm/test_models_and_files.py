@@ -215,3 +215,33 @@ SOFTWARE."""
     plan = licenses.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert hashlib and licenses.scan(df.where("false")).count() == 0
+
+
+def test_licences_of_real_notices(spark):
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+    fsf = "This {0} is free software{1} you can redistribute it and/or\nmodify it under the terms of the GNU {2}\nas published by the Free Software Foundation{3} either version {4} of\nthe License, or (at your option) any later version.\n"
+    isc = "Copyright (c) 2020 Someone\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    zlib = "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n"
+    notices = [
+        (apache, "Apache"),
+        (fsf.format("program", ";", "General Public License", ";", 2), "GPL"),
+        (fsf.format("program", ":", "General Public License", ",", 3), "GPL"),
+        (fsf.format("library", ";", "Lesser General Public License", ";", 2.1), "LGPL"),
+        (fsf.format("program", ":", "Affero General Public License", ",", 3), "AGPL"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy\n", "MPL"),
+        ("This is free and unencumbered software released into the public domain.\n", "Unlicense"),
+        (isc, "ISC"),
+        (zlib, "Zlib"),
+        ("Distributed under the Boost Software License, Version 1.0.\n", "BSL"),
+        ("This program and the accompanying materials\nare made available under the terms of the Eclipse Public License v1.0\nwhich accompanies this distribution, and is available at\nhttp://www.eclipse.org/legal/epl-v10.html\n", "EPL"),
+        ("Licensed under the Apache License, Version 2.0.\n", "Apache"),
+    ]
+    marks = ["", "# ", "// ", " * ", "-- ", ";; ", "## "]
+    rows = [(i, "\n".join((m + line).rstrip() for line in text.split("\n")), name) for i, (text, name, m) in enumerate((t, n, m) for t, n in notices for m in marks)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, name string")
+    assert [(r.text, r.licenses) for r in licenses.scan(df).collect()] == [(t, [n]) for _, t, n in rows]
