@@ -19,6 +19,7 @@ from specmine.functions.text import RANGE, edit_similarity, flatten_text, ocr_fo
 PERSON = ["mr", "mrs", "ms", "dr", "by", "author", "designer", "engineer", "manager"]
 SELF = ["thank you for purchasing", "thank you for choosing", "congratulations on your"]
 TITLE = r"^([A-Z][A-Za-z0-9]+(?: [A-Z0-9][A-Za-z0-9]*)+)"
+KIND = r"(?:user[ \t]+manual|owner'?s?[ \t]+manual|programming[ \t]+manual|instructions?[ \t]+manual|user[ \t]+instructions|dmx[ \t]+traits)"
 DOC_WORDS = ["manual", "user", "guide", "dmx", "chart", "instructions", "quick", "start", "rev", "version"]
 
 
@@ -154,13 +155,26 @@ def identity_confidence(df: DataFrame) -> DataFrame:
     return df.withColumn("identity_confidence", F.round(F.least(F.lit(0.97), F.greatest(F.lit(0.05), mean)), 4))
 
 
+def model_sources(docs: DataFrame) -> Column:
+    """(source, model) of every source that gives one, in order."""
+    first = F.get(F.split("text", "\n"), F.lit(0))
+    e = lambda c, p: F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit(""))
+    cover = F.element_at(F.split("text", r"(?m)^=== PAGE (?!1 ===)[0-9]+ ==="), 1)
+    above = e(cover, rf"(?im)^[ \t]*(?!===)([^\n]{{3,70}}?)[ \t]*\n[ \t]*{KIND}(?:[ \t]+(?:rev\.?|revision)[ \t]*[A-Z0-9.]+)?[ \t]*$")
+    sources = [("line", e(F.col("text"), r"(?i)product(?: line)?: *([A-Za-z0-9 ]{3,40})")), ("number", e(F.col("text"), r"(?i)model: *([A-Za-z0-9-]{2,20})")), ("title", e(first, TITLE)), ("two_line", F.when(is_title(above), above)), ("spaced", F.nullif(F.regexp_replace(e(first, r"^((?:[A-Z] ){3,}[A-Z])\b"), " ", ""), F.lit(""))), ("cover", e(cover, rf"\b([A-Z][A-Za-z0-9_-]{{2,30}})[ \t]+(?i:{KIND})\b")), ("word", e(F.col("text"), r"\b([A-Z][a-z]{3,})\b"))]
+    return F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("source"), c.alias("model"))) for n, c in sources]))
+
+
 def model_candidates(docs: DataFrame) -> DataFrame:
     """Model names by ordered sources; the first source that gives one wins."""
-    first = F.get(F.split("text", "\n"), F.lit(0))
-    e = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    sources = [("line", e(F.col("text"), r"(?i)product(?: line)?: *([A-Za-z0-9 ]{3,40})")), ("number", e(F.col("text"), r"(?i)model: *([A-Za-z0-9-]{2,20})")), ("title", e(first, TITLE)), ("spaced", F.nullif(F.regexp_replace(e(first, r"^((?:[A-Z] ){3,}[A-Z])\b"), " ", ""), F.lit(""))), ("word", e(F.col("text"), r"\b([A-Z][a-z]{3,})\b"))]
-    found = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("source"), c.alias("model"))) for n, c in sources]))
-    return docs.select("doc_id", F.get(found, F.lit(0)).alias("m")).where("m is not null").select("doc_id", "m.source", "m.model")
+    return docs.select("doc_id", F.get(model_sources(docs), F.lit(0)).alias("m")).where("m is not null").select("doc_id", "m.source", "m.model")
+
+
+def stated_models(docs: DataFrame) -> DataFrame:
+    """The first source whose model can stand: titles must pass the title filters, and any
+    capitalised word of the text is no statement of the model."""
+    good = F.filter(model_sources(docs), lambda m: m["source"].isin("line", "number") | (m["source"] != "word") & is_title(m["model"]))
+    return docs.select("doc_id", F.get(good, F.lit(0)).alias("m")).where("m is not null").select("doc_id", "m.source", "m.model")
 
 
 def titles(docs: DataFrame) -> DataFrame:
@@ -219,15 +233,30 @@ def fixture_ids(df: DataFrame) -> DataFrame:
 
 
 def resolve_identity(docs: DataFrame, catalog: DataFrame, priority: DataFrame) -> DataFrame:
-    """All of the above as one row for each document, with placeholders and flags."""
+    """All of the above as one row for each document, with placeholders and flags.
+
+    The model is the manual's own (a title as the body spells it and without the brand), else
+    the file name's; brands whose only mention is in the model's words are no candidates.
+    """
+    stated = stated_models(docs)
+    named = stated.where("source in ('line', 'number')").select("doc_id", "model")
+    picked = stated.where("source not in ('line', 'number')").select("doc_id", "model")
+    spelt = corroborate_model(docs, picked).select("doc_id", F.col("model").alias("spelt"))
+    title = picked.join(spelt, "doc_id", "left").select("doc_id", F.coalesce("spelt", "model").alias("title"))
+    manual = named.unionByName(title.withColumnRenamed("title", "model"))
+    file = model_from_filename(docs).where("model is not null").select("doc_id", F.col("model").alias("file"))
+    hints = docs.select("doc_id").join(manual, "doc_id", "left").join(file, "doc_id", "left").select("doc_id", F.coalesce("model", "file").alias("hint")).where("hint is not null")
+
     cands = brand_candidates(docs, catalog)
     occ = drop_person_contexts(docs, brand_occurrences(docs, cands, catalog))
-    hints = model_from_filename(docs).where("model is not null").select("doc_id", F.col("model").alias("hint"))
     scored = score_brands(occ, early_boundary(docs), model_proximity(docs, occ, hints), self_identification(docs, cands), catalog)
+    scored = exclude_self_reference(scored, manual.withColumnRenamed("model", "title"))
     brand = known_brand_override(docs, priority, pick_brand(scored))
     facts = brand.join(scored.select("doc_id", F.col("canonical").alias("brand"), "hits", "early", "co_occurs"), ["doc_id", "brand"], "left")
-    titles = model_candidates(docs).where("source = 'title'").select("doc_id", F.col("model").alias("title"))
-    m = docs.select("doc_id").join(titles, "doc_id", "left").join(hints, "doc_id", "left")
-    m = m.select("doc_id", F.coalesce("title", "hint").alias("model"), F.when(F.col("title").isNotNull(), "title").when(F.col("hint").isNotNull(), "file").otherwise("none").alias("model_source"))
+
+    bare = title_filters(title, brand.select("doc_id", "brand"))
+    m = docs.select("doc_id").join(manual, "doc_id", "left").join(bare, "doc_id", "left").join(file, "doc_id", "left")
+    m = m.select("doc_id", F.coalesce("title", "model", "file").alias("model"), F.when(F.col("model").isNotNull(), "title").when(F.col("file").isNotNull(), "file").otherwise("none").alias("model_source"))
     out = identity_confidence(m.join(facts, "doc_id", "left").na.fill(False, ["is_known"]))
-    return out.select("doc_id", F.coalesce("brand", F.lit("Unknown maker")).alias("manufacturer"), F.coalesce("model", F.lit("Unknown model")).alias("model"), "identity_confidence", (F.col("model_source") == "title").alias("from_manual"), (F.col("model_source") == "file").alias("filename_echo"))
+    out = out.select("doc_id", F.coalesce("brand", F.lit("Unknown maker")).alias("manufacturer"), F.coalesce("model", F.lit("Unknown model")).alias("model"), "identity_confidence", (F.col("model_source") == "title").alias("from_manual"), (F.col("model_source") == "file").alias("filename_echo"))
+    return fixture_ids(out)

@@ -228,3 +228,22 @@ def test_large_catalogs_match_as_small_ones_do(spark):
     assert small == sorted((i % 6, c) for i, t in enumerate(texts) for c, words in spelt if any(w.lower() in (t or "").lower() for w in words))
     for limit in (1, 3):
         assert sorted(map(tuple, identity.brand_candidates(docs, catalog, limit=limit).collect())) == small
+
+
+def test_identity_takes_the_model_from_any_source(spark):
+    rows = [
+        (1, "Cover words\nProduct line: Aura XB\nRobe lamps. The Robe is bright", "a.pdf", ("line", "Aura XB"), ("Robe", "Aura XB", True, "robe-aura-xb")),
+        (2, "cover\nModel: MHX-250\nnothing else", "b.pdf", ("number", "MHX-250"), ("Unknown maker", "MHX-250", True, "unknown-maker-mhx-250")),
+        (3, "=== PAGE 1 ===\nLumabeam\nUser Manual Rev. 2\n=== PAGE 2 ===\nThe Lumabeam is bright", "c.pdf", ("two_line", "Lumabeam"), ("Unknown maker", "Lumabeam", True, "unknown-maker-lumabeam")),
+        (4, "W A S H E R\nbody", "d.pdf", ("spaced", "WASHER"), ("Unknown maker", "WASHER", True, "unknown-maker-washer")),
+        (5, "Robe Spikie Wash\nbody", "e.pdf", ("title", "Robe Spikie Wash"), ("Unknown maker", "Robe Spikie Wash", True, "unknown-maker-robe-spikie-wash")),
+        (6, "Robe Spikie Wash\nthank you for choosing Robe lamps", "f.pdf", ("title", "Robe Spikie Wash"), ("Robe", "Spikie Wash", True, "robe-spikie-wash")),
+        (7, "text. Then nothing", "Spot 300X manual.pdf", ("word", "Then"), ("Unknown maker", "300X", False, "unknown-maker-300x")),
+    ]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id int, text string, source_name string")
+    catalog = spark.createDataFrame([("Robe", [], False)], "canonical string, aliases array<string>, requires_strong_signal boolean")
+    priority = spark.createDataFrame([], "rank int, canonical string, pattern string, min_hits int")
+    assert {r.doc_id: (r.source, r.model) for r in identity.model_candidates(docs).collect()} == {r[0]: r[3] for r in rows}
+    got = identity.resolve_identity(docs, catalog, priority).collect()
+    assert {r.doc_id: (r.manufacturer, r.model, r.from_manual, r.fixture_id) for r in got} == {r[0]: r[4] for r in rows} and len(got) == len(rows)
+    assert {r.doc_id: r.filename_echo for r in got} == {r[0]: r[0] == 7 for r in rows}
