@@ -2,12 +2,14 @@
 
 A k-mer of bytes is a closed syncmer if the smallest hash of its inner s-mers lies at its
 first or last place. That depends on the k-mer alone, so an edit moves only the anchors that
-touch it. A fingerprint keeps the ``keep`` anchors of smallest hash, in text order; two are
-compared by the anchors they share in the same order, against the smallest of their union.
+touch it. A fingerprint holds every anchor of a text with its offset, in text order; about
+2 in k - s + 1 places are anchors, so ``k`` sets the density. Two fingerprints are compared by
+position: the n-th occurrence of an anchor in one meets the n-th in the other, and the longest
+run of such pairs in the same order, as a share of all anchors of both, is their likeness.
 
 Defined results: null or empty text has the empty fingerprint; a text without a syncmer is
 its own anchor; equal fingerprints have likeness 1 (two empty ones too), an empty and
-another one 0. Repeated rows get equal fingerprints.
+another one 0. Repeated rows get equal fingerprints; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from specmine.llm.common import LAST_ID, kmer_hashes, mix, pieces, sliding_min
 
-K, S, KEEP = 24, 8, 48
+K, S = 32, 8
+Anchors = tuple[np.ndarray, np.ndarray]  # offsets in bytes, 32-bit hashes
 
 
 def closed_syncmers(data: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -37,92 +40,137 @@ def closed_syncmers(data: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarra
     return at, mix(outer[at])
 
 
-def fingerprint(text: bytes, k: int = K, s: int = S, keep: int = KEEP) -> str:
-    """Eight hex digits for each kept anchor, in the order of their first places."""
+def anchors_of(text: bytes, k: int = K, s: int = S) -> Anchors:
+    """Offsets and hashes of all anchors of a text, in text order."""
     if not text:
-        return ""
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
     data = np.frombuffer(text, np.uint8)
     at, value = closed_syncmers(data, k, s)
     if not len(at):
-        whole = np.zeros(1, np.uint64)
-        for c in data.tolist():
-            whole = mix(whole * np.uint64(257) + np.uint64(c + 1))
-        at, value = np.zeros(1, np.int64), whole
-    distinct, first = np.unique((value >> np.uint64(32)).astype(np.uint32), return_index=True)
-    value = distinct[:keep][np.argsort(first[:keep])]
-    return value.astype(">u4").tobytes().hex()
-
-
-def likeness(a: str, b: str, keep: int = KEEP) -> float:
-    """Shared anchors in a common order, as a share of the smallest anchors of both."""
-    if a == b:
+        at, value = np.zeros(1, np.int64), np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), "<u8")
+    return at, (value >> np.uint64(32)).astype(np.uint32)
+
+
+def occurrences(hashes: np.ndarray) -> np.ndarray:
+    """A key for each anchor: its hash, and how often it came before."""
+    key = hashes.astype(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    again = np.concatenate(([False], ranked[1:] == ranked[:-1]))
+    if again.any():
+        at = np.arange(len(ranked))
+        key[order] |= (at - np.maximum.accumulate(np.where(again, 0, at))).astype(np.uint64) << np.uint64(32)
+    return key
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Anchors of both (hashes in text order) that pair up in a common order, as a share of all."""
+    if len(a) == len(b) and (a == b).all():
         return 1.0
-    if not a or not b:
-        return 0.0
-    left = [a[i : i + 8] for i in range(0, len(a), 8)]
-    place = {b[i : i + 8]: i for i in range(0, len(b), 8)}
-    union = {*left, *place}
-    least = {*sorted(union)[:keep]} if len(union) > keep else union
-    chain: list[int] = []
-    for x in left:
-        if x in place and x in least:
-            i = bisect.bisect_left(chain, place[x])
-            chain[i : i + 1] = [place[x]]
-    return len(chain) / len(least)
+    _, left, right = np.intersect1d(occurrences(a), occurrences(b), assume_unique=True, return_indices=True)
+    place = right[np.argsort(left)]
+    n = len(place)
+    if n > 1 and (np.diff(place) < 0).any():  # the longest increasing run
+        chain: list[int] = []
+        for x in place.tolist():
+            i = bisect.bisect_left(chain, x)
+            chain[i : i + 1] = [x]
+        n = len(chain)
+    return n / (len(a) + len(b) - n)
+
+
+def as_text(hashes: np.ndarray) -> str:
+    """Eight hex digits for each anchor."""
+    return hashes.astype(">u4").tobytes().hex()
+
+
+def cut_points(rows: DataFrame, n_buckets: int, each: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and text hashes between ``n_buckets`` ranges of about equal size, from a sample of about
+    ``each`` rows a range. Any cuts give the same results; even ones give even tasks."""
+    if n_buckets < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = (1 << 32) - 1
+    share = min(1.0, each * n_buckets / max(1, rows.count()))
+    few = rows.where(F.pmod(F.xxhash64("rank_id", "text_hash", F.lit("cut")), F.lit(of)) < int(share * of)).select("rank_id", "text_hash").toArrow()
+    rank, hashed = few["rank_id"].to_numpy(), few["text_hash"].to_numpy()
+    order = np.lexsort((hashed, rank))[np.linspace(0, max(0, len(rank) - 1), n_buckets + 1).astype(np.int64)[1:-1]] if len(rank) else np.zeros(0, np.int64)
+    return rank[order], hashed[order]
+
+
+def place_among(cuts: tuple[np.ndarray, np.ndarray], rank: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """How many cuts lie below each row; rows with a cut's id are told apart by their hashes."""
+    low, high = np.searchsorted(cuts[0], rank, "left"), np.searchsorted(cuts[0], rank, "right")
+    out = low.copy()
+    for i in np.unique(low[high > low]).tolist():
+        mine = np.flatnonzero((low == i) & (high > low))
+        out[mine] = i + np.searchsorted(cuts[1][i : high[mine[0]]], hashed[mine], "left")
+    return out.astype(np.int32)
 
 
 def next_texts(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """Rows (bucket, own, rank_id, doc_id, text) such that, in descending order of ``rank_id``
-    within a bucket, each row with ``own`` is followed by its successor.
+    """Rows (bucket, own, rank_id, text_hash, doc_id, text) such that, in descending order of
+    ``rank_id`` and ``text_hash`` within a bucket, each row with ``own`` is followed by its successor.
 
     Buckets are ranges of ids; the first row of a bucket is sent to the bucket before it as
-    well, and the very first row to the last one. Texts are shuffled once.
+    well, and the very first row to the last one. Texts are shuffled once; what comes to the
+    driver is one line a bucket. Rows equal in id and text stay together.
     """
-    cuts = docs.approxQuantile("rank_id", [i / n_buckets for i in range(1, n_buckets)], 0.2 / n_buckets) if n_buckets > 1 else []
-    bucket = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(int(c)).cast("bigint") for c in sorted(set(cuts))])
-        bucket = F.size(F.filter(edges, lambda e: e >= F.col("rank_id")))
-    rows = docs.withColumn("bucket", bucket)
-    first = {r.bucket: r.top for r in rows.groupBy("bucket").agg(F.max("rank_id").alias("top")).collect()}  # one row a bucket
-    if not first:
-        return rows.select("bucket", F.lit(True).alias("own"), "rank_id", "doc_id", "text")
-    there = sorted(first)
-    before = {b: there[i - 1] for i, b in enumerate(there)}  # the first bucket's top goes to the last one
-    tops = F.create_map(*[x for b in there for x in (F.lit(b), F.struct(F.lit(first[b]).cast("bigint").alias("r"), F.lit(before[b]).alias("to")))])
-    top = tops[F.col("bucket")]
+    cuts = cut_points(docs, n_buckets)
+
+    @F.pandas_udf("int")
+    def bucket_of(rank, hashed):
+        import pandas as pd
+
+        return pd.Series(place_among(cuts, rank.to_numpy(), hashed.to_numpy()))
+
+    rows = docs.withColumn("bucket", bucket_of("rank_id", "text_hash"))
+    tops = rows.groupBy("bucket").agg(F.max(F.struct("rank_id", "text_hash")).alias("top")).collect()  # one row a bucket
+    there = sorted((r.bucket, r.top.rank_id, r.top.text_hash) for r in tops)
+    if not there:
+        return rows.select("bucket", F.lit(True).alias("own"), "rank_id", "text_hash", "doc_id", "text")
+    # ids fall: the top of a bucket follows the last row of the next one, the very top that of the first
+    lines = [(b, r, h, there[(i + 1) % len(there)][0]) for i, (b, r, h) in enumerate(there)]
+    heads = docs.sparkSession.createDataFrame(lines, "bucket int, r bigint, h bigint, before int")
+    marked = rows.join(F.broadcast(heads) if len(lines) <= 1_000_000 else heads, "bucket")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("own"))
-    copy = F.struct(top["to"].alias("bucket"), F.lit(False).alias("own"))
-    to = F.when(F.col("rank_id") == top["r"], F.array(own, copy)).otherwise(F.array(own))
-    return rows.select(F.explode(to).alias("_to"), "rank_id", "doc_id", "text").select("_to.bucket", "_to.own", "rank_id", "doc_id", "text")
+    copy = F.struct(F.col("before").alias("bucket"), F.lit(False).alias("own"))
+    first = (F.col("rank_id") == F.col("r")) & (F.col("text_hash") == F.col("h"))
+    to = F.when(first, F.array(own, copy)).otherwise(F.array(own))
+    return marked.select(F.explode(to).alias("_to"), "rank_id", "text_hash", "doc_id", "text").select("_to.bucket", "_to.own", "rank_id", "text_hash", "doc_id", "text")
+
+
+def bucket_count(n_rows: int, bucket_rows: int) -> int:
+    """Buckets of ``bucket_rows`` up to 2000 of them, then larger ones of up to 50,000 rows, then
+    more of those: a task reads its bucket as a stream, so none grows without end."""
+    return max(1, -(-n_rows // 50_000), min(-(-n_rows // bucket_rows), 2000))
 
 
-def fingerprints_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 8000) -> DataFrame:
+def fingerprints_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, bucket_rows: int = 8000) -> DataFrame:
     """Fingerprints of every text, of its edited text (second half replaced by the beginning of
-    the next document's) and their likeness.
+    the next document's) and their likeness; ``anchor_offsets`` are those of the text's anchors.
 
-    Null ids come first in the descending order; equal ids are ordered by their text.
+    Null ids come first in the descending order; equal ids are ordered by a hash of their text.
     """
-    ident = F.col(f"`{id_col}`").cast("long")
-    rows = docs.select(ident.alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(ident, F.lit(LAST_ID)).alias("rank_id"))
-    n_buckets = max(1, min(-(-rows.count() // bucket_rows), 2000))
+    ident, body = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(ident.alias("doc_id"), body.alias("text"), F.coalesce(ident, F.lit(LAST_ID)).alias("rank_id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("text_hash"))
+    n_buckets = bucket_count(rows.count(), bucket_rows)
     placed = next_texts(rows, n_buckets)
 
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, anchor_offsets array<int>"
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int32()))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "anchor_offsets"]
 
     def emit(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
         out: list[tuple] = []
-        known: tuple[str, str] = ("", "")  # the text before, and its fingerprint
+        known: tuple = (None, None)  # the text before, and its anchors
         for doc, text, following in pairs:
             half = len(text) // 2
             edited = (text[: len(text) - half] + following[:half]).encode()
-            mine = known[1] if known[0] is text else fingerprint(text.encode())
-            theirs, changed = fingerprint(following.encode()), fingerprint(edited)
+            at, mine = known[1] if known[0] is text else anchors_of(text.encode(), k, s)
+            theirs, (_, changed) = anchors_of(following.encode(), k, s), anchors_of(edited, k, s)
             known = (following, theirs)
-            out.append((doc, len(text), hashlib.sha256(edited).hexdigest(), mine, changed, likeness(mine, changed), likeness(mine, theirs)))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names)
+            out.append((doc, len(text), hashlib.sha256(edited).hexdigest(), as_text(mine), as_text(changed), likeness(mine, changed), likeness(mine, theirs[1]), at.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # bucket, own, doc_id, text of the row before
@@ -137,5 +185,5 @@ def fingerprints_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col
                 if pairs:
                     yield emit(pairs)
 
-    order = placed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", F.desc("own"), F.desc("rank_id"), "text")
+    order = placed.repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket", F.desc("own"), F.desc("rank_id"), F.desc("text_hash"))
     return order.mapInArrow(run, schema)

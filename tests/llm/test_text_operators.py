@@ -132,8 +132,34 @@ def test_sum_of_squares_choice():
 # ---- fingerprints
 
 
+def scanned_anchors(text, k=fingerprints.K, s=fingerprints.S):
+    """Offsets of closed syncmers by their definition, k-mer by k-mer."""
+    data = np.frombuffer(text, np.uint8)
+    if len(data) < k:
+        return [0] if len(data) else []
+    inner = fingerprints.mix(fingerprints.kmer_hashes(data, s)[0]).tolist()
+    parts = [inner[i : i + k - s + 1] for i in range(len(data) - k + 1)]
+    return [i for i, p in enumerate(parts) if min(p) in (p[0], p[-1])]
+
+
+def matched_share(a, b):
+    """Longest common subsequence by table, over anchors with how often they came before."""
+    a, b = ([(x, s[:i].count(x)) for i, x in enumerate(s)] for s in (a, b))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    n = best[-1][-1]
+    return 1.0 if a == b else n / (len(a) + len(b) - n)
+
+
+def hex_words(f):
+    return [f[i : i + 8] for i in range(0, len(f), 8)]
+
+
 def test_fingerprints(spark):
     texts = corpus(7, 30)
+    texts[3] = "ab" * 200  # every k-mer again and again
     rows = {r.doc_id: r for r in fingerprints.fingerprints_with_edits(table(spark, texts).repartition(4), bucket_rows=7).collect()}
     assert len(rows) == len(texts)
     whole = [t or "" for t in texts]
@@ -143,22 +169,42 @@ def test_fingerprints(spark):
         edited = t[: len(t) - half] + following[:half]
         assert rows[i].n_chars == len(t)
         assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert rows[i].fingerprint == fingerprints.fingerprint(t.encode())
-        assert rows[i].near_next == fingerprints.likeness(rows[i].fingerprint, rows[(i - 1) % len(whole)].fingerprint)
+        assert rows[i].anchor_offsets == scanned_anchors(t.encode())
+        assert len(hex_words(rows[i].edited_fingerprint)) == len(scanned_anchors(edited.encode()))
+        if len(t) < 900:
+            mine = hex_words(rows[i].fingerprint)
+            assert rows[i].near_next == matched_share(mine, hex_words(rows[(i - 1) % len(whole)].fingerprint))
+            assert rows[i].near_edited == matched_share(mine, hex_words(rows[i].edited_fingerprint))
         if t == following:
             assert rows[i].near_next == 1
+    same = {}
+    for i, t in enumerate(whole):
+        assert same.setdefault(t, rows[i].fingerprint) == rows[i].fingerprint
     assert fingerprints.fingerprints_with_edits(table(spark, []).where("false")).count() == 0
 
 
+def test_fingerprint_ranges_with_ties_and_no_ids(spark):
+    rows = [(None, f"text {i} without a number") for i in range(40)] + [(7, f"text {i} of seven") for i in range(40)] + [(7, "same")] * 9
+    out = fingerprints.fingerprints_with_edits(spark.createDataFrame(rows, "doc_id bigint, text string"), bucket_rows=5).collect()
+    assert len(out) == 89 and sum(r.doc_id is None for r in out) == 40
+    assert sum(r.near_next == 1 for r in out) >= 8  # of nine equal rows, eight are followed by another
+    assert fingerprints.bucket_count(10**10, 8000) == 200_000 and fingerprints.bucket_count(10**6, 8000) == 125
+
+
+def test_very_long_text_keeps_all_its_anchors(spark):
+    text = " ".join(f"word{i * i % 7919}" for i in range(150_000))
+    (row,) = fingerprints.fingerprints_with_edits(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert len(row.anchor_offsets) == len(row.fingerprint) // 8 > len(text) // 20 and row.near_next == 1
+
+
 def test_likeness_follows_edits():
     r = random.Random(1)
     text = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(400)).encode()
-    f = fingerprints.fingerprint(text)
-    assert fingerprints.likeness(f, fingerprints.fingerprint(text[:100] + b"zzz" + text[103:])) > 0.9
+    f = lambda t: fingerprints.anchors_of(t)[1]
+    assert fingerprints.likeness(f(text), f(text[:100] + b"zzz" + text[103:])) > 0.9
     other = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(400)).encode()
-    assert fingerprints.likeness(f, fingerprints.fingerprint(other)) < 0.1
-    at, _ = fingerprints.closed_syncmers(np.frombuffer(text, np.uint8))
-    assert np.diff(at).max() <= 24 - 8 + 1
+    assert fingerprints.likeness(f(text), f(other)) < 0.1
+    assert np.diff(fingerprints.anchors_of(text)[0]).max() <= fingerprints.K - fingerprints.S + 1
 
 
 # ---- decontamination
