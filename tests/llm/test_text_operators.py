@@ -139,7 +139,7 @@ def scanned_anchors(text, k=fingerprints.K, s=fingerprints.S):
         return [0] if len(data) else []
     inner = fingerprints.mix(fingerprints.kmer_hashes(data, s)[0]).tolist()
     parts = [inner[i : i + k - s + 1] for i in range(len(data) - k + 1)]
-    return [i for i, p in enumerate(parts) if min(p) in (p[0], p[-1])]
+    return [i for i, p in enumerate(parts) if min(p) in (p[0], p[-1])] or [0]
 
 
 def matched_share(a, b):
