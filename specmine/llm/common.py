@@ -21,10 +21,13 @@ LAST_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark
+    runs in this one process (tests). A cluster without the setting is an error."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(top)
     return top.rstrip("/")
@@ -67,6 +70,14 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(ident.alias("doc_id"), text.alias("text")).withColumn("_k", F.xxhash64("doc_id", "text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores added as it takes to be no column of ``df``."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Bytes of text in the whole table: one small aggregate, used to size buckets."""
     return df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

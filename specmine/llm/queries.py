@@ -49,7 +49,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("_k", "_root")
+    return minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("_k", "_rank", "_root")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
