@@ -6,9 +6,10 @@ symbol wins. Before parsing, letters are lower-cased and every run of other char
 becomes one space, so digits, punctuation and markup say nothing.
 
 The sample is the only bounded thing: at most ``docs_per_lang`` documents of a language,
-picked by a hash of their ids, and at most ``bytes_per_lang`` bytes of their normalised
-text. Parsing covers whole texts, in stretches of ``STRETCH`` bytes side by side (at most one
-phrase more for each).
+picked by a hash of their ids, of each at most its first 0.4 * ``bytes_per_lang`` characters, and
+at most ``bytes_per_lang`` bytes of their normalised text. Predictions are by whole texts, parsed
+without cuts: stretches of ``STRETCH`` bytes run side by side from a fresh start, then each is run
+again from where the one before it ended, until it falls in with its first run.
 
 Defined results: null text or text without a letter is ``und`` with score 0; so is every text
 if nothing was learned. Ties go to the language that sorts first. Repeated rows are predicted
@@ -40,7 +41,7 @@ def normalise(text: str) -> bytes:
 
 def sample_by_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, docs_per_lang: int = 60, bytes_per_lang: int = 40_000) -> list[tuple[str, bytes]]:
     """Labelled text of each language, of bounded size. ``learn`` says which rows may be used."""
-    rows = docs.where((F.lit(True) if learn is None else learn) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    rows = docs.where((F.lit(True) if learn is None else learn) & F.col(f"`{lang_col}`").isNotNull() & (F.length(F.col(f"`{text_col}`")) > 0))
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
     if not counts:
         return []
@@ -68,7 +69,7 @@ def sample_by_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def automaton_table(text: bytes, symbol: np.ndarray, width: int) -> np.ndarray:
     """Suffix automaton of ``text`` as one table: entry [state * width + symbol] is the next
-    state's offset; where a match ends, it is the offset after starting anew, plus FLAG."""
+    state's offset; where a phrase starts, it is the offset after starting anew, plus FLAG."""
     nxt, link, length, last = [{}], [-1], [0], 0
     for c in symbol[np.frombuffer(text, np.uint8)].tolist():
         cur = len(nxt)
@@ -99,9 +100,8 @@ def automaton_table(text: bytes, symbol: np.ndarray, width: int) -> np.ndarray:
         fresh[c] = v * width | FLAG
     table[:] = fresh
     for v, row in enumerate(nxt):
-        if row:
+        if v and row:  # what follows the root starts a phrase
             table[v, list(row)] = np.fromiter(row.values(), np.int32, len(row)) * width
-    table[0, [c for c in range(width) if c not in nxt[0]]] = FLAG
     return table.ravel()
 
 
@@ -126,21 +126,51 @@ class CrossParser:
         within = (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * STRETCH
         start, size = first[owner] + within, np.minimum(STRETCH, sizes[owner] - within)
         order = np.argsort(-size, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        follows = np.full(len(order), -1)  # the stretch after each, of the same text
+        follows[place[np.flatnonzero(within > 0) - 1]] = place[within > 0]
         owner, start, size = owner[order], start[order], size[order]
         steps = int(size[0]) if len(size) else 0
         alive = np.searchsorted(-size, -np.arange(1, steps + 1), "right") if steps else []
         out = np.zeros((len(texts), len(self.langs)))
         for j, table in enumerate(self.tables):
             state = np.zeros(len(size), np.int32)
-            count = np.ones(len(size), np.int64)
+            count = np.zeros(len(size), np.int64)  # phrases started
+            run = np.empty((steps, len(size)), np.int32)
             for i in range(steps):
                 n = alive[i]
                 x = table[state[:n] + flat[start[:n] + i]]
+                run[i, :n] = x
                 count[:n] += x >> 30
                 state[:n] = x & (FLAG - 1)
+            lane = follows[follows >= 0]
+            entry = state[follows >= 0]
+            while len(lane):
+                moved = self._fall_in(table, flat, start, size, run, count, lane, entry)
+                ends = run[size[moved] - 1, moved] & (FLAG - 1)
+                on = follows[moved] >= 0
+                lane, entry = follows[moved][on], ends[on]
             np.add.at(out[:, j], owner, count)
         return out / np.maximum(sizes, 1)[:, None]
 
+    @staticmethod
+    def _fall_in(table: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray, run: np.ndarray, count: np.ndarray, lane: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Run stretches again from other states, up to where they fall in with their last run, which
+        is mended in place. Returns the stretches that never did: their ends have changed."""
+        moved, i = [lane[:0]], 0
+        while len(lane):
+            x = table[entry + flat[start[lane] + i]]
+            old = run[i, lane]
+            run[i, lane] = x
+            count[lane] += (x >> 30) - (old >> 30)
+            i += 1
+            apart = (x ^ old) & (FLAG - 1) != 0
+            over = size[lane] == i
+            moved.append(lane[apart & over])
+            lane, entry = lane[apart & ~over], x[apart & ~over] & (FLAG - 1)
+        return np.concatenate(moved)
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         there = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.langs else []

@@ -1,9 +1,11 @@
 """Packing of tokenised documents into sequences by the sum-of-squares rule.
 
 Documents longer than a sequence are cut into whole sequences and a rest. Pieces are dealt by
-a hash of the document into groups of about ``group_size``; in a group, longest first, each
-piece goes where the sum over gaps of (open sequences with that gap) squared becomes
-smallest; of equal choices the tightest. Only lengths and ids are shuffled, never tokens.
+a hash of what they hold into groups of at most about ``group_size``; in a group, longest first,
+each piece goes where the sum over gaps of (open sequences with that gap) squared becomes
+smallest; of equal choices the tightest. With ``dissolve`` the emptiest sequences are then taken
+apart as long as all their pieces fit into gaps of others. Only lengths and checksums are
+shuffled, never tokens.
 
 Defined results: null or empty text is the end token alone; repeated rows are packed each;
 a null id is packed like any other; an empty table gives an empty result.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specmine.llm.common import pieces
+from specmine.llm.common import pieces, unused
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -30,39 +32,59 @@ WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+
 
 
 class Encoder:
-    """Ids of texts by a file of the tokenizers library; special tokens' strings are text.
+    """Ids of texts as the tokenizers library gives them; a special token's string is its id.
 
-    A plain byte-level BPE file is run by tiktoken's engine, which gives the same ids in a third
-    of the time; a probe is compared on loading. Other files are run by tokenizers itself.
+    A plain byte-level BPE file whose merges are in the order of their ids is run by tiktoken's
+    engine, which then gives the same ids in a third of the time; probes are compared on loading.
+    Other files are run by tokenizers itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.fast = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         cut = spec.get("pre_tokenizer") or {}
-        if spec["model"]["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer"):
+        added = spec.get("added_tokens") or []
+        plain = all(not t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if spec["model"]["type"] == "BPE" and in_order(spec["model"]) and plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer"):
             import tiktoken
 
             own = [*range(33, 127), *range(161, 173), *range(174, 256)]
             letters = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
-            special = {t["content"] for t in spec["added_tokens"]}
+            special = {t["content"]: t["id"] for t in added}
             ranks = {bytes(letters[x] for x in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
-            self.fast = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-            probe = "It's  a Test:\n\n 12 ünïcödé <|endoftext|> \t x "
-            if self.fast.encode_ordinary(probe) != self.tokenizer.encode(probe, add_special_tokens=False).ids:
-                self.fast = None
+            self.fast = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
+            for probe in PROBES:
+                if self._fast(probe) != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+                    self.fast = None
+                    break
+
+    def _fast(self, text: str) -> list[int]:
+        return self.fast.encode(text, allowed_special="all")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.fast is not None:
-            return [self.fast.encode_ordinary(t) for t in texts]
+            return [self._fast(t) for t in texts]
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+PROBES = ("It's  a Test:\n\n 12 ünïcödé <|endoftext|> \t x ", "<|endoftext|><|endoftext|> end", "\u3000\u00a0wide\r\n\u2028we'll I'VE 3½ ٣٤ नमस्ते 👩‍👩‍👧 e\u0301", " \n \n\n   tail   ")
+
+
+def in_order(model: dict) -> bool:
+    """Whether the n-th merge makes the n-th id, so that the order of ids is that of merges."""
+    vocab, last = model["vocab"], -1
+    for merge in model["merges"]:
+        left, right = merge.split(" ") if isinstance(merge, str) else merge
+        if vocab[left + right] < last:
+            return False
+        last = vocab[left + right]
+    return True
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -125,7 +147,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
         if gap > s:
             count[gap - s] += 1
             holders[gap - s].append(which)
-    return emptied(sequence, offset, lengths, size)
+    return sequence, offset
 
 
 def emptied(sequence: np.ndarray, offset: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,15 +183,26 @@ def emptied(sequence: np.ndarray, offset: np.ndarray, lengths: np.ndarray, size:
     return sequence, offset
 
 
-def pack(parts: DataFrame, n_parts: int, *, size: int = 2048, group_size: int = 50_000) -> DataFrame:
-    """``sequence_id`` and ``offset`` for every piece (columns doc_id, piece, length and any others)."""
-    groups = max(1, round(n_parts / group_size))
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+def most_pieces(docs: DataFrame, *, text_col: str = "text", size: int = 2048) -> int:
+    """A bound for the number of pieces: a token is a byte at least."""
+    n, n_bytes = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()
+    return n + (n_bytes or 0) // size
+
+
+def pack(parts: DataFrame, n_parts: int, *, size: int = 2048, group_size: int = 50_000, dissolve: bool = True) -> DataFrame:
+    """``sequence_id`` and ``offset`` for every piece (columns doc_id, piece, start, length, ids_crc32
+    and any others). ``n_parts`` is the number of pieces, or a bound for it."""
+    groups = max(1, -(-n_parts // group_size))
+    name = unused(parts, "_group")
+    dealt = parts.withColumn(name, F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
     schema = parts.schema.add("sequence_id", "long").add("offset", "long")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns(["_group"]).sort_by([("doc_id", "ascending"), ("piece", "ascending")])
-        sequence, offset = sum_of_squares(rows["length"].to_numpy(), size)
+        rows = rows.drop_columns([name]).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        lengths = rows["length"].to_numpy()
+        sequence, offset = sum_of_squares(lengths, size)
+        if dissolve:
+            sequence, offset = emptied(sequence, offset, lengths, size)
         return rows.append_column("sequence_id", pa.array((key[0].as_py() << 40) + sequence)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("_group").applyInArrow(run, schema)
+    return dealt.groupBy(name).applyInArrow(run, schema)

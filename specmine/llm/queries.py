@@ -34,7 +34,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     parts = packing.token_pieces(docs, tokenizer_path(), with_ids=False)
-    return packing.pack(parts, docs.count())
+    return packing.pack(parts, packing.most_pieces(docs))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

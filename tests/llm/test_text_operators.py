@@ -93,7 +93,6 @@ def test_packing_is_gapless_and_tight(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (None, "a b"), (-3, "x " * 5000), (-4, "<|endoftext|> it's\n\n  two")], "doc_id bigint, text string"))
     rows = packing.pack(packing.token_pieces(docs, queries.tokenizer_path()), docs.count()).collect()
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     for r in docs.collect():
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
         own = sorted((x for x in rows if x.doc_id == r.doc_id), key=lambda x: x.piece)
@@ -109,13 +108,18 @@ def test_packing_is_gapless_and_tight(spark):
             at += n
         assert at <= 2048
     assert len(by) <= 1.01 * -(-sum(x.length for x in rows) // 2048) + 1
+    parts = packing.token_pieces(docs, queries.tokenizer_path(), with_ids=False)
+    plain = packing.pack(parts, packing.most_pieces(docs), dissolve=False)
+    assert len(by) <= plain.select("sequence_id").distinct().count() <= 1.02 * len(by) + 1
+    assert packing.most_pieces(docs) >= len(rows)
+    empty = docs.where("false")
+    assert packing.pack(packing.token_pieces(empty, queries.tokenizer_path()), packing.most_pieces(empty)).count() == 0
 
 
 def test_encoder_gives_the_library_s_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     r = random.Random(6)
     letters = "ab'sdtrev lm  \n\t\r\u00a0\u3000éß12٣½.,!<|endoftext|>_-漢🙂\u0301"
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(4000)]
@@ -129,6 +133,24 @@ def test_sum_of_squares_choice():
     assert len(set(sequence)) == 2 and sorted(offset) == [0, 0, 5, 6]
 
 
+def test_sum_of_squares_by_definition():
+    """Each piece, longest first, where the squared counts of gaps become smallest; the tightest of equals."""
+    r = random.Random(5)
+    for size in (7, 20):
+        lengths = [r.randint(1, size) for _ in range(120)]
+        bins: list[int] = []
+        for n in sorted(lengths, reverse=True):
+            def squares(b):
+                gaps = [size - x for x in b if x < size]
+                return sum(gaps.count(g) ** 2 for g in set(gaps))
+
+            tries = [[*bins, n]] + [[*bins[:i], bins[i] + n, *bins[i + 1 :]] for i in range(len(bins)) if bins[i] + n <= size]
+            gap = [size] + [size - bins[i] for i in range(len(bins)) if bins[i] + n <= size]
+            bins = tries[min(range(len(tries)), key=lambda i: (squares(tries[i]), gap[i]))]
+        sequence, offset = packing.sum_of_squares(np.array(lengths), size)
+        assert sorted(np.bincount(sequence, lengths).astype(int)) == sorted(bins)
+
+
 # ---- fingerprints
 
 
@@ -343,9 +365,22 @@ def test_cross_parsing_counts_longest_matches():
             n, i = n + 1, i + k
         return n
 
-    for text in ("abcabcab", "xyzab", "abxq", "qq"):
-        got = parser.phrases([text.encode()])[0] * len(text)
-        assert np.allclose(got, [count(text, "abcab"), count(text, "xyz")], atol=1.01)
+    texts = ["abcabcab", "xyzab", "abxq", "qq", "aqa", ""]
+    r = random.Random(2)
+    texts += ["".join(r.choice("abcxyzq") for _ in range(r.randint(1, 9000))) for _ in range(20)] + ["abc" * 3000, "cab" * 700 + "q"]
+    got = parser.phrases([t.encode() for t in texts]) * np.array([[len(t)] for t in texts])
+    assert np.allclose(got, [[count(t, "abcab"), count(t, "xyz")] for t in texts])
+
+
+def test_phrases_are_whole_over_stretches(monkeypatch):
+    """Long matches that run over several stretches: each falls in late or never."""
+    sample = "".join(random.Random(3).choice("abcd") for _ in range(3000))
+    texts = [sample[i : i + n] + sample[j : j + n] for i, j, n in ((0, 5, 2500), (100, 1, 2800), (7, 900, 40))] + ["d" + sample * 2, sample[3:999]]
+    got = []
+    for stretch in (1 << 20, 1024, 64, 3):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        got.append(langid.CrossParser([("a", sample.encode()), ("b", b"ab")]).phrases([t.encode() for t in texts]).tolist())
+    assert got[0] == got[1] == got[2] == got[3]
 
 
 # ---- other columns
