@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece: where it stands in which sequence, and its tokens' checksum."""
-    return packing.pack(packing.token_pieces(docs, tokenizer_path(), with_ids=False), docs.count())
+    return packing.pack(packing.token_pieces(docs, tokenizer_path(), with_ids=False), packing.most_pieces(docs))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("repeat_removal", repeat_removal), ("decontamination", decontamination), ("best_fit_packing", best_fit_packing)]
