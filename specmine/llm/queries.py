@@ -66,7 +66,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = f"{shared_dir(spark)}/specmine-warc-{uuid.uuid4().hex}"
     records.write.format("warc").mode("append").option("path", path).save()
-    back = spark.read.format("warc").option("payloads", "response").load(path)
+    back = warc.read_archive(spark, path, payloads=["response"])
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
     size = F.when(F.col("type") == "response", F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_bytes"))
     return back.select(number("record_id").alias("page_id"), size.alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))

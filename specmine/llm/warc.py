@@ -2,20 +2,23 @@
 
 ``spark.read.format("warc")`` plans one partition for each stretch of a file between known
 record starts (from the archive's manifest) or for each file. Comparisons of headers with
-constants are pushed down: headers are parsed first, and the payload of a record that fails,
+constants go down to the reader: headers are parsed first, and the payload of a record that fails,
 or whose type isn't wanted, is neither decompressed nor copied (members written here carry
 their sizes in a gzip extra field, so such members are skipped whole).
 
+Predicates are bound to a frame by ``read_archive(..., where={header: values})``, which holds for
+every use of it. Spark can also push a query's own filters (option ``pushdown``), but it keeps them
+with the loaded frame and would serve its other scans from them; so that option is off unless
+asked for, and is for frames that are scanned once.
+
 ``df.write.format("warc")`` writes gzip members, one a record, and lists the files of the
 tasks that were committed in a manifest; what a lost or repeated task left is not read.
 
-Load anew for each query: Spark keeps the filters that the first query on a loaded frame pushed
-down, and would apply them to the next one on the same frame.
-
 Paths may be of any file system that pyarrow knows; on a cluster they must be shared.
 
 Defined results: a null payload is empty; equal payloads of equal ids are all responses; a
-null id is the smallest; an archive without records gives no rows.
+null id is the smallest; an archive without records gives no rows; one that ends within a record
+is an error; line ends in a header value become spaces, nothing else of it is changed.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -37,11 +41,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from specmine.llm.common import unused
+
 SCHEMA = "record_id string, type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
 WRITES = "record_id string, type string, target_uri string, date string, refers_to string, payload binary"
 HEADERS = {"record_id": "WARC-Record-ID", "type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 MANIFEST = "_MANIFEST.json"
 STRETCH = 16 << 20
+LINE_END = re.compile(r"[\r\n]+")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -66,7 +73,7 @@ def record_bytes(row: dict) -> bytes:
         value = digest_of(payload) if column == "payload_digest" else row.get(column)
         if value is not None:
             value = f"sha1:{value}" if column == "payload_digest" else str(value)
-            lines.append(f"{header}: " + " ".join(value.split()))
+            lines.append(f"{header}: " + LINE_END.sub(" ", value))
     if revisit:
         lines.append(f"WARC-Profile: {REVISIT}")
     lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Length: {len(payload)}", f"Content-Length: {len(block)}"]
@@ -157,6 +164,10 @@ class Bytes:
             self.kept += got
         return self.kept
 
+    def left(self) -> int:
+        """Bytes from here to the end."""
+        return len(self.kept) + self.end - self.at
+
     def drop(self, n: int) -> None:
         if n <= len(self.kept):
             self.kept = self.kept[n:]
@@ -168,20 +179,26 @@ class Bytes:
 
 def headers_of(block: bytes) -> dict[str, str]:
     lines = block.decode("utf-8", "replace").split("\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
+    return {k.strip().lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines[1:] if x)}
+
+
+class Truncated(ValueError):
+    """The archive ends within a record."""
 
 
 def records(source: Bytes, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """Headers of each record, and its block if ``wanted(headers)`` says so."""
-    while len(source.fill(4)) >= 4:
+    while source.fill(4).strip(b"\r\n"):
         if source.kept[:2] != b"\x1f\x8b":
             while (end := source.fill(1).find(b"\r\n\r\n")) < 0:
                 before = len(source.kept)
                 if len(source.fill(before + 1)) == before:
-                    return
+                    raise Truncated("the archive ends within a record's headers")
             headers = headers_of(source.kept[:end].lstrip(b"\r\n"))
             source.drop(end + 4)
             size, keep = int(headers.get("content-length", 0)), wanted(headers)
+            if source.left() < size:
+                raise Truncated("the archive ends within a record's block")
             yield headers, bytes(source.fill(size)[:size]) if keep else None
             source.drop(size)
             while source.fill(2)[:2] == b"\r\n":
@@ -195,7 +212,7 @@ def records(source: Bytes, wanted) -> Iterator[tuple[dict[str, str], bytes | Non
         while not packer.eof:
             piece = source.fill(used + (1 << 12 if headers is None else 1 << 16))[used : used + (1 << 12 if headers is None else 1 << 16)]
             if not piece:
-                break
+                raise Truncated("the archive ends within a gzip member")
             data += packer.decompress(piece)
             used += len(piece)
             if headers is None and (end := data.find(b"\r\n\r\n")) >= 0:
@@ -206,23 +223,29 @@ def records(source: Bytes, wanted) -> Iterator[tuple[dict[str, str], bytes | Non
             if headers is not None and not keep:
                 data = b""
         if headers is None:
-            return
-        yield headers, data[: int(headers.get("content-length", 0))] if keep else None
+            raise Truncated("a gzip member without the end of a record's headers")
+        size = int(headers.get("content-length", 0))
+        if keep and len(data) < size:
+            raise Truncated("a gzip member ends within a record's block")
+        if total > source.left():
+            raise Truncated("the archive ends within a gzip member")
+        yield headers, data[:size] if keep else None
         source.drop(total or used - len(packer.unused_data))
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, types: set[str] | None, verify: bool):
-        self.path, self.types, self.verify = path, types, verify
-        self.tests: list[tuple[str, tuple]] = []
+    def __init__(self, path: str, types: set[str] | None, verify: bool, pushdown: bool = False, where: dict[str, list[str]] | None = None):
+        self.path, self.types, self.verify, self.pushdown = path, types, verify, pushdown
+        self.tests: list[tuple[str, tuple]] = [(c, tuple(v)) for c, v in (where or {}).items()]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
+            yield f  # Spark tests again what comes out
+            if not self.pushdown:
+                continue
             column = f.attribute[0] if isinstance(f, (EqualTo, In)) else None
             if column in HEADERS and len(f.attribute) == 1:
                 self.tests.append((column, (f.value,) if isinstance(f, EqualTo) else tuple(f.value)))
-            else:
-                yield f
 
     def partitions(self) -> list[Stretch]:
         return plan(self.path) or [Stretch("", 0, 0)]
@@ -271,7 +294,9 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """Options: path; payloads (comma-separated record types whose payload is read, default all); verify (default true)."""
+    """Options: path; payloads (comma-separated record types whose payload is read, default all); verify
+    (default true); where (JSON object of header columns and their wanted values); pushdown (default false:
+    a query's own filters too, for frames that are scanned once)."""
 
     @classmethod
     def name(cls) -> str:
@@ -282,7 +307,7 @@ class WarcSource(DataSource):
 
     def reader(self, schema: StructType) -> WarcReader:
         types = self.options.get("payloads")
-        return WarcReader(self.options["path"], None if types is None else {t for t in types.split(",") if t}, self.options.get("verify", "true") == "true")
+        return WarcReader(self.options["path"], None if types is None else {t for t in types.split(",") if t}, self.options.get("verify", "true") == "true", self.options.get("pushdown") == "true", json.loads(self.options.get("where", "{}")))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"])
@@ -293,15 +318,30 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def mark_revisits(records: DataFrame, *, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
-    """``records`` with ``_original``: the largest id of equal payloads of ``min_bytes`` or more,
-    for the others of them; null for responses. Only digests are grouped."""
-    size = F.coalesce(F.octet_length(payload_col), F.lit(0))
-    digest = F.when(size >= min_bytes, F.sha1(F.coalesce(F.col(payload_col), F.lit("").cast("binary"))))
-    marked = records.withColumn("_digest", digest)
-    groups = marked.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.max(id_col).alias("_largest"), F.count("*").alias("_n")).where("_n > 1")
-    own = F.coalesce(F.col(id_col) == F.col("_largest"), F.col("_largest").isNull())
-    return marked.join(groups, "_digest", "left").withColumn("_original", F.when(~own, F.col("_largest"))).drop("_digest", "_largest", "_n")
+def read_archive(spark: SparkSession, path: str, *, where: dict[str, list[str]] | None = None, payloads: list[str] | None = None) -> DataFrame:
+    """The records whose headers have the values of ``where`` (columns of ``HEADERS``), with the
+    payloads of the record types named, of all if none are."""
+    if unknown := {*(where or {})} - {*HEADERS}:
+        raise ValueError(f"no header columns: {sorted(unknown)}")
+    register(spark)
+    reader = spark.read.format("warc").option("where", json.dumps(where or {}))
+    return (reader if payloads is None else reader.option("payloads", ",".join(payloads))).load(path)
+
+
+def mark_revisits(records: DataFrame, *, id_col: str, payload_col: str, out_col: str = "_original", min_bytes: int = 0) -> DataFrame:
+    """``records`` with ``out_col``: the largest id of equal payloads of ``min_bytes`` or more, for
+    the others of them; null for responses. Only digests and ids are grouped and joined among
+    themselves; payloads move once, by id, so that a payload common to many is no hot key."""
+    ident, payload = F.col(f"`{id_col}`"), F.col(f"`{payload_col}`")
+    size = F.coalesce(F.octet_length(payload), F.lit(0))
+    digest = F.when(size >= min_bytes, F.sha1(F.coalesce(payload.cast("binary"), F.lit("").cast("binary"))))
+    narrow = records.select(ident.alias("id"), digest.alias("digest")).where("digest is not null")
+    groups = narrow.groupBy("digest").agg(F.max("id").alias("largest"), F.count("*").alias("n")).where("n > 1")
+    later = narrow.join(groups, "digest").where(~F.coalesce(F.col("id") == F.col("largest"), F.col("largest").isNull()))
+    later = later.select(F.col("id").alias("_later_id"), F.col("digest").alias("_later_digest"), F.col("largest").alias(out_col)).distinct()
+    rows, key = records.drop(out_col), unused(records, "_payload_digest")
+    rows = rows.withColumn(key, digest)
+    return rows.join(later, ident.eqNullSafe(F.col("_later_id")) & (F.col(key) == F.col("_later_digest")), "left").drop(key, "_later_id", "_later_digest")
 
 
 def gunzip_all(data: bytes) -> bytes:

@@ -2,9 +2,11 @@
 
 import gzip
 import hashlib
+import io
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -115,6 +117,27 @@ def test_archives_round_trip(spark, tmp_path):
     assert spark.read.format("warc").load(str(other)).groupBy("record_id").count().where("count = 2").count() == 40
     skipped = lambda: spark.read.format("warc").option("payloads", "revisit").load(str(other))
     assert skipped().where("type = 'response' and payload is not null").count() == 0 and skipped().count() == 80
+    # one frame in many scans, and predicates bound to a frame
+    f = spark.read.format("warc").load(top)
+    one, two = f.where("type = 'response'"), f.where("type = 'revisit'")
+    assert (one.count(), two.count(), f.count(), f.union(one).count()) == (26, 14, 40, 66)
+    assert one.alias("x").join(two.alias("y"), F.col("x.record_id") != F.col("y.record_id")).count() == 26 * 14
+    bound = warc.read_archive(spark, top, where={"type": ["response"], "target_uri": ["http://x/4", "http://x/6"]}, payloads=[])
+    assert [(r.target_uri, r.payload) for r in bound.collect()] == [("http://x/4", None)]
+    assert bound.where("type = 'revisit'").count() == 0 and bound.count() == 1
+    once = spark.read.format("warc").option("pushdown", "true").load(top).where("type = 'response'")
+    assert once.count() == 26
+    # an archive that ends within a record is an error, wherever it was cut
+    for data in (plain, b"".join(map(gzip.compress, members)), b"".join(map(warc.member, members))):
+        whole = list(warc.records(warc.Bytes(io.BytesIO(data), 0, len(data)), lambda h: True))
+        assert len(whole) == 40
+        for cut in (len(data) - 5, len(data) // 2, len(data) // 3, 7):
+            for keep in (True, False):
+                with pytest.raises((warc.Truncated, zlib.error)):
+                    if len(list(warc.records(warc.Bytes(io.BytesIO(data[:cut]), 0, cut), lambda h: keep))) < 40:
+                        raise AssertionError(f"lost records without an error, cut at {cut}")
+                    raise warc.Truncated
+    assert warc.headers_of(warc.record_bytes({"type": "response", "target_uri": "http://x/a  b\r\n c", "payload": None}).partition(b"\r\n\r\n")[0])["warc-target-uri"] == "http://x/a  b  c"
     (tmp_path / "none").mkdir()
     assert spark.read.format("warc").load(str(tmp_path / "none")).count() == 0
 
@@ -126,6 +149,13 @@ def test_revisits(spark):
     assert warc.mark_revisits(pages, id_col="page_id", payload_col="html", min_bytes=1).where("page_id = 3 and _original is null").count() == 1
 
 
+def test_revisits_with_clashing_columns_and_no_rows(spark):
+    pages = spark.createDataFrame([(1, "x", "a", "b"), (2, "x", None, "c")], "page_id bigint, html string, _payload_digest string, _original string")
+    got = warc.mark_revisits(pages, id_col="page_id", payload_col="html", out_col="first")
+    assert sorted((r.page_id, r._payload_digest, r._original, r["first"]) for r in got.collect()) == [(1, "a", "b", 2), (2, None, "c", None)]
+    assert warc.mark_revisits(pages.where("false"), id_col="page_id", payload_col="html").count() == 0
+
+
 def test_archived_pages(spark):
     sf = "/root/testdata/sf0.001"
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
