@@ -4,8 +4,10 @@ Words are maximal runs of digits, lower-cased letters and non-ASCII characters.
 words make one automaton; every document's words run through it, which gives the longest
 match ending at each word. A match of ``window`` words (or of a whole shorter item) is a hit.
 
-Items are taken in blocks of bounded size, so what is sent to the executors is bounded for
-any number of items; each block is one more pass over the same rows, with no shuffle.
+Items are streamed in blocks of bounded size, so what the driver holds and what is sent to the
+executors is bounded for any number of items. Each block is a pass over the rows without a
+shuffle; between two passes the rows are written to the shared folder, and the block before is
+given up.
 
 Defined results: null or empty text has no words, no hits; an item without words never
 matches; repeated items each count; repeated documents are judged one by one; empty tables
@@ -16,13 +18,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specmine.llm.common import as_bytes, pieces
+from specmine.llm.common import as_bytes, materialize, pieces, unused
 
 WORD_TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 BLOCK_BYTES = 8 << 20
@@ -148,11 +151,12 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
     block, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
     for row in rows.toLocalIterator():
-        if block and size + len(row.t) > limit:
+        n = len(row.t.encode())
+        if block and size + n > limit:
             yield block
             block, size = [], 0
         block.append((row.i, row.t))
-        size += len(row.t)
+        size += n
     if block:
         yield block
 
@@ -160,19 +164,23 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
 _built: dict[str, ItemAutomaton] = {}
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every row of ``docs`` with ``n_words``, ``spans`` (hit runs of words) and ``items`` added.
-
-    The three columns go into one struct ``_hits``, so that no name of ``docs`` can clash.
-    """
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "_hits", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every row of ``docs`` with a struct ``out_col`` of ``n_words``, ``spans`` (hit runs of words)
+    and ``items`` added; a column of that name is replaced."""
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
     ddl = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
-    out = docs.withColumn("_hits", F.lit(None).cast(ddl))
+    out = docs.drop(out_col).withColumn(out_col, F.lit(None).cast(ddl))
     schema = out.schema
+    names = [n for n in schema.names if n != out_col]
     spark = docs.sparkSession
-    blocks = list(item_blocks(benchmark, item_col, item_text_col, block_bytes)) or [[]]
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
+    sent = None
+    for block in chain(item_blocks(benchmark, item_col, item_text_col, block_bytes), [None]):
+        if block is None and sent is not None:
+            break
+        if sent is not None:  # one more pass: the rows so far are written, and the last block is given up
+            out = materialize(out, "hits")
+            sent.unpersist()
+        sent = spark.sparkContext.broadcast(block or [])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             if key not in _built:  # once for each worker process
@@ -182,7 +190,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
             get = machine.vocabulary.get
             for whole in batches:
                 for batch in pieces(whole, text_col):
-                    before = batch.column("_hits").to_pylist()
+                    before = batch.column(out_col).to_pylist()
                     result = []
                     for text, old in zip(as_bytes(batch.column(text_col)), before):
                         words = words_of(text)
@@ -193,36 +201,37 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                             spans += [(s["start"], s["end"]) for s in old["spans"]]
                             items += old["items"]
                         result.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in merged(spans)], "items": sorted(items)})
-                    columns = [batch.column(n) for n in batch.schema.names if n != "_hits"]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(result, kind)], [*(n for n in batch.schema.names if n != "_hits"), "_hits"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(result, kind)], [*names, out_col])
 
         out = out.mapInArrow(run, schema)
     return out
 
 
-def n_hit() -> F.Column:
-    return F.aggregate("_hits.spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+def n_hit(hits: str = "_hits") -> F.Column:
+    return F.aggregate(F.col(hits)["spans"], F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
-def is_contaminated() -> F.Column:
+def is_contaminated(hits: str = "_hits") -> F.Column:
     """Some word is hit, and hit words are a twentieth of all words or more."""
-    return (n_hit() > 0) & (n_hit() * 20 >= F.col("_hits.n_words"))
+    return (n_hit(hits) > 0) & (n_hit(hits) * 20 >= F.col(hits)["n_words"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated documents; the others stay as they are."""
-    return find_hits(docs, benchmark, **options).where(~is_contaminated()).drop("_hits")
+    hits = unused(docs, "_hits")
+    return find_hits(docs, benchmark, out_col=hits, **options).where(~is_contaminated(hits)).drop(hits)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """``docs`` whose contaminated texts lose their hit words; the white space between them stays."""
-    found = find_hits(docs, benchmark, text_col=text_col, **options).withColumn("_cut", is_contaminated())
+    hits, bad_col = unused(docs, "_hits"), unused(docs, "_cut")
+    found = find_hits(docs, benchmark, text_col=text_col, out_col=hits, **options).withColumn(bad_col, is_contaminated(hits))
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            for i, (hits, bad) in enumerate(zip(batch.column("_hits").to_pylist(), batch.column("_cut").to_pylist())):
+            for i, (found, bad) in enumerate(zip(batch.column(hits).to_pylist(), batch.column(bad_col).to_pylist())):
                 if bad:
                     data = texts[i].encode()
                     flat = data.translate(WORD_TABLE)
@@ -230,7 +239,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
                     starts, ends = edge[::2], edge[1::2]
                     kept, at = [], 0
-                    for s in hits["spans"]:
+                    for s in found["spans"]:
                         kept.append(data[at : starts[s["start"]]])
                         at = ends[s["end"] - 1]
                     texts[i] = b"".join([*kept, data[at:]]).decode()

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specmine.llm.common import unused
+
 # Known sentences in normalised form, and the ordered rules over their identifiers.
 SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
@@ -146,8 +148,9 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     cue = F.lower(text).rlike(MORE_CUES)
     none = F.array().cast("array<string>")
     by_line, by_sentence = (F.when(cue, known_ids(uncommented(text), s, known)).otherwise(none) for s in (BY_LINE, BY_SENTENCE))
-    out = docs.withColumn("_l", by_line).withColumn("_s", by_sentence)
-    some = (F.size("_l") > 0) | (F.size("_s") > 0)
-    names = F.when(some, F.array_sort(F.array_distinct(F.filter(F.concat(matched(F.col("_l")), matched(F.col("_s"))), lambda x: x.isNotNull())))).otherwise(none)
-    longer = F.when(F.size("_s") > F.size("_l"), F.col("_s")).otherwise(F.col("_l"))
-    return out.withColumn("licenses", names).withColumn("sentence_ids", longer).drop("_l", "_s")
+    lines, sentences = unused(docs, "_by_line"), unused(docs, "_by_sentence")
+    out = docs.withColumn(lines, by_line).withColumn(sentences, by_sentence)
+    some = (F.size(lines) > 0) | (F.size(sentences) > 0)
+    names = F.when(some, F.array_sort(F.array_distinct(F.filter(F.concat(matched(F.col(lines)), matched(F.col(sentences))), lambda x: x.isNotNull())))).otherwise(none)
+    longer = F.when(F.size(sentences) > F.size(lines), F.col(sentences)).otherwise(F.col(lines))
+    return out.withColumn("licenses", names).withColumn("sentence_ids", longer).drop(lines, sentences)

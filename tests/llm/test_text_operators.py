@@ -393,6 +393,9 @@ def test_columns_with_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score string, bucket string, kept string, rank_id bigint")
     bench = spark.createDataFrame([(1, "one two three four five six seven", "x")], "item_id bigint, text string, spans string")
     assert decontam.find_hits(docs, bench).drop("_hits").columns == docs.columns
+    odd = docs.withColumnsRenamed({"bucket": "_hits", "score": "_l", "kept": "_kept_row_key", "rank_id": "_cut"})
+    for out in (decontam.decontaminate(odd, bench), decontam.remove_spans(odd, bench), minhash.drop_near_duplicates(odd), licenses.scan(odd).drop("licenses", "sentence_ids")):
+        assert out.columns == odd.columns and {r._hits for r in out.collect()} <= {"x", "y", None}
     assert sorted(r.bucket or "" for r in decontam.decontaminate(docs, bench).collect()) == ["", "", "x"]
     assert sorted(r.kept or "" for r in minhash.drop_near_duplicates(docs).collect()) == ["", "x"]
     assert {r.score for r in langid.identify(docs, []).collect()} == {0.0}
