@@ -2,15 +2,17 @@
 
 Each page becomes a tree of block elements. A node's density is its characters for each tag,
 adjusted for links: links make text count less, the more so the more of a page's text is
-links. The sum of its children's densities picks the subtree of most content; the least
-density on the path from there to the body is the threshold at which other nodes count as
-content too. The text is that of the content's common ancestor, or of the article or main
-element that holds the densest subtree.
-
-Before that, elements that never hold the article are left out: by tag, or if hidden. Elements
-whose class, id or role has a word of page furniture as a whole token are left out unless they
-hold an article or main element, or more than half of the page's text that isn't links; the
-density decides on those. Nothing is dropped from the chosen subtree.
+links. The sum of its children's densities picks the subtree of most content. The least density
+on the path from there to the body is the threshold at which text elsewhere counts as content:
+from the densest subtree the choice goes up as long as what its parent adds is mostly such
+text. Last, it takes in a headline right before it, and an enclosing article or main element of
+whose text it has the greater part. Nothing is dropped from the chosen subtree but furniture.
+
+Furniture are elements that never hold the article, by tag, or if hidden; and those whose class, id
+or role has as a whole token a word of adverts or reader comments, or, if they lie outside article
+and main elements or are mostly links, of menus, sidebars, notices and the like. Elements that hold
+an article or main element, or more than half of the page's text that isn't links (adverts and
+comments: all of it), are no furniture.
 
 Defined results: null, empty or markup-only pages give an empty text; unclosed, stray and
 truncated tags are read as a browser would close them; repeated rows give equal texts.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,11 +42,14 @@ WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription",
     "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "masthead", "footer", "sidebar", "aside", "widget", "related", "recommended", "share", "sharing", "social", "comment", "comments", "disqus", "respond", "reply", "login", "signup", "search", "pagination", "pager", "toolbar", "complementary", "contentinfo", "alert",
 }
+CERTAIN = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "comment", "comments", "disqus"}
 HEADER = {"header", "banner"}
 HOLDERS = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 # what a start tag closes if it is open, up to a boundary
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+P_BOUNDS = {"table", "td", "th", "button", "caption", "object"}
 P_CLOSERS = {"address", "article", "aside", "blockquote", "center", "details", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dd", "dt"}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -52,7 +58,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "furniture", "suspect", "plain", "holds")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "furniture", "suspect", "plain", "linked", "holds")
 
     def __init__(self, tag: str, parent: Node | None, furniture: bool):
         self.tag, self.parent, self.furniture = tag, parent, furniture
@@ -60,8 +66,8 @@ class Node:
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.suspect = self.holds = False
-        self.plain = 0
+        self.suspect, self.holds = 0, False
+        self.plain = self.linked = 0
 
 
 def is_furniture(tag: str, attributes: str, within_article: bool) -> bool:
@@ -76,38 +82,43 @@ def is_furniture(tag: str, attributes: str, within_article: bool) -> bool:
     return False
 
 
-def is_suspect(tag: str, attributes: str, within_article: bool) -> bool:
-    """Whether a whole token of class, id or role is a word of page furniture."""
+def suspicion(tag: str, attributes: str, within_article: bool) -> int:
+    """1 if a whole token of class, id or role is a word of page furniture, 2 if it is one wherever
+    it stands, 3 if it is one only if mostly links."""
     if not attributes:
-        return False
+        return 0
+    most = 0
     for name, *value in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role"):
             words = {*(value[0] or value[1] or value[2]).lower().split()}
-            if tag in HOLDERS:
-                if words & {"comment", "comments", "ad", "ads", "advertisement", "sponsored", "related"}:
-                    return True
-            elif words & WORDS or words & HEADER and not within_article:
-                return True
-    return False
+            if words & CERTAIN:
+                return 2
+            if tag not in HOLDERS and (words & WORDS or words & HEADER):
+                most = 3 if within_article else 1
+    return most
 
 
 def without_suspects(nodes: list[Node]) -> list[Node]:
-    """The nodes without the suspects that hold no article or main element and at most half of
-    the page's text that isn't links; they are taken from their parents as well."""
+    """The nodes without the suspects that hold no article or main element and, of the page's text
+    that isn't links, at most half (adverts and comments: not all); they leave their parents too."""
     if not any(x.suspect for x in nodes):
         return nodes
     for node in nodes:
-        node.plain = node.chars - node.link_chars
+        node.plain, node.linked = node.chars - node.link_chars, node.link_chars
     for node in reversed(nodes):
         if (p := node.parent) is not None:
             p.plain += node.plain
+            p.linked += node.linked
             p.holds |= node.holds or node.tag in HOLDERS and not node.suspect
     out, touched = [], {}
     for node in nodes:  # parents come first
         p = node.parent
         if p is not None and p.furniture:
             node.furniture = True
-        elif node.suspect and not node.holds and 2 * node.plain <= nodes[0].plain:
+        elif node.suspect == 2 and not node.holds and node.plain < nodes[0].plain:
+            node.furniture = True
+            touched[id(p)] = p
+        elif node.suspect in (1, 3) and not node.holds and 2 * node.plain <= nodes[0].plain and (node.suspect == 1 or node.linked >= node.plain):
             node.furniture = True
             touched[id(p)] = p
         else:
@@ -119,15 +130,19 @@ def without_suspects(nodes: list[Node]) -> list[Node]:
 
 
 def parse(page: str) -> list[Node]:
-    """The nodes in page order, the root first; furniture is left out."""
+    """The nodes in page order, the root first; furniture is left out. Time is linear in the page:
+    how many elements of a name are open, and the last open p and its bounds, are kept at hand."""
     root = Node("html", None, False)
     nodes, stack = [root], [root]
     links, inside = 0, 0  # open a elements; open article and main elements
-    at = 0
+    count: Counter[str] = Counter()
+    marks: list[int] = []  # places of open p elements and of what bounds them
+    muted: list[str] = []  # an open inline advert or hidden element, and those of its name inside
+    depth = at = 0
 
     def put(text: str) -> None:
         node = stack[-1]
-        if not node.furniture and text:
+        if not node.furniture and text and not muted:
             text = html.unescape(text) if "&" in text else text
             node.parts.append(text)
             n = len(SPACE.sub(" ", text).strip())
@@ -137,7 +152,13 @@ def parse(page: str) -> list[Node]:
     def close(to: int) -> None:
         nonlocal inside
         while len(stack) > to:
-            inside -= stack.pop().tag in HOLDERS
+            tag = stack.pop().tag
+            inside -= tag in HOLDERS
+            count[tag] -= 1
+        while marks and marks[-1] >= to:
+            marks.pop()
+        if len(stack) <= depth:
+            muted.clear()
 
     while True:
         found = TOKEN.search(page, at)
@@ -153,11 +174,13 @@ def parse(page: str) -> list[Node]:
         if slash:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag in INLINE:
+            if muted and muted[-1] == tag:
+                muted.pop()
+            if tag in INLINE:
                 pass
             elif tag == "br":
                 put(" ")
-            elif tag not in ("html", "body"):
+            elif tag not in ("html", "body") and count[tag]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         close(i)
@@ -177,33 +200,35 @@ def parse(page: str) -> list[Node]:
                 links = 1  # links don't nest
             elif tag in ("br", "hr", "img"):
                 put(" ")
+            if tag in INLINE and (muted and muted[-1] == tag or not muted and attributes and (is_furniture(tag, attributes, True) or suspicion(tag, attributes, True) == 2)):
+                depth = depth if muted else len(stack) - 1
+                muted.append(tag)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in P_CLOSERS:
+        if tag in P_CLOSERS and marks and stack[marks[-1]].tag == "p":
+            close(marks[-1])
+            links = 0
+        if tag in CLOSES and any(count[x] for x in CLOSES[tag]):
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    links = 0
+                if stack[i].tag in BOUNDS[tag]:
                     break
-                if stack[i].tag in ("table", "td", "th", "button", "caption", "object"):
+                if stack[i].tag in CLOSES[tag]:
+                    close(i)
                     break
-        for i in range(len(stack) - 1, 0, -1):
-            if tag not in CLOSES or stack[i].tag in BOUNDS[tag]:
-                break
-            if stack[i].tag in CLOSES[tag]:
-                close(i)
-                break
         if stack[-1].tag == "head" and tag not in ("head", "base", "link"):
             close(len(stack) - 1)
         top = stack[-1]
-        node = Node(tag, top, top.furniture or is_furniture(tag, attributes, inside > 0))
+        node = Node(tag, top, top.furniture or bool(muted) or is_furniture(tag, attributes, inside > 0))
         if not node.furniture:
-            node.suspect = is_suspect(tag, attributes, inside > 0)
+            node.suspect = suspicion(tag, attributes, inside > 0)
             top.children.append(node)
             top.parts.append(node)
             nodes.append(node)
+        if tag == "p" or tag in P_BOUNDS:
+            marks.append(len(stack))
         stack.append(node)
+        count[tag] += 1
         inside += tag in HOLDERS
 
 
@@ -232,35 +257,38 @@ def content(nodes: list[Node]) -> Node | None:
     body = nodes[0]
     if not body.chars:
         return None
-    best = max(nodes, key=lambda n: n.total)
+    best = body
+    for node in nodes:  # of equal sums down a line, the innermost
+        if node.total > best.total or node.total == best.total and node.parent is best:
+            best = node
     if not best.total:
         return body
     threshold, up = best.density, best
-    while up is not None:
-        threshold = min(threshold, up.density) if up.parent is not None else threshold
-        up = up.parent
-    up = best
+    while up.parent is not None:
+        threshold, up = min(threshold, up.density), up.parent
+    # characters of each subtree in leaves that are dense enough
+    for node in nodes:
+        node.plain = node.chars if node.density >= threshold and not node.children else 0
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.plain += node.plain
+    up = chosen = best
+    while (up := up.parent) is not None:
+        if up.plain > chosen.plain and 2 * (up.plain - chosen.plain) >= up.chars - chosen.chars:
+            chosen = up
+    if chosen.parent is not None and follows_headline(chosen):
+        chosen = chosen.parent
+    up = chosen
     while up is not None and up.tag not in HOLDERS:
         up = up.parent
-    if up is not None:
-        return up
-
-    def path(n: Node) -> list[Node]:
-        out = []
-        while n is not None:
-            out.append(n)
-            n = n.parent
-        return out[::-1]
-
-    common = path(best)
-    for node in nodes[1:]:
-        if node.density >= threshold and not node.children:
-            other = path(node)
-            n = 0
-            while n < min(len(common), len(other)) and common[n] is other[n]:
-                n += 1
-            common = common[:n]
-    return common[-1]
+    return up if up is not None and 2 * chosen.chars > up.chars else chosen
+
+
+def follows_headline(node: Node) -> bool:
+    """Whether a headline stands right before a node in its parent, and nothing else but it."""
+    parts = [x for x in node.parent.parts if not isinstance(x, str) or x.strip()]
+    before = parts[: parts.index(node)]
+    return parts[-1] is node and any(not isinstance(x, str) and x.tag in ("h1", "h2") for x in before) and all(not isinstance(x, str) and x.tag in HEADINGS for x in before)
 
 
 def text_of(node: Node | None) -> str:

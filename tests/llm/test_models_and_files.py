@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -200,6 +201,102 @@ def test_pages_without_article_element():
     assert html_density.main_text(deep) == "deep text"
 
 
+def brute_choice(tree):
+    """Densities by their definition over a tree of (tag, text, children, is_link): the path to the
+    node with the largest sum over its children, of equals the innermost."""
+
+    def measure(node):
+        tag, text, children = node
+        chars, tags, lc, lt = len(text), 0, 0, 0
+        for child in children:
+            if child[0] == "a":
+                chars, tags, lc, lt = chars + len(child[1]), tags + 1, lc + len(child[1]), lt + 1
+            else:
+                c, t, x, y = measure(child)
+                chars, tags, lc, lt = chars + c, tags + t + 1, lc + x, lt + y
+        return chars, tags, lc, lt
+
+    c, _, lc, _ = measure(tree)
+    share = lc / c
+
+    def density(node):
+        c, t, lc, lt = measure(node)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / max(0.1, math.log(base))
+
+    sums = {}
+
+    def walk(node, path):
+        inner = [x for x in node[2] if x[0] != "a"]
+        sums[path] = sum(density(x) for x in inner)
+        for i, x in enumerate(inner):
+            walk(x, (*path, i))
+
+    walk(tree, ())
+    top = max(sums.values())
+    return {p for p, v in sums.items() if math.isclose(v, top)}
+
+
+def test_densest_subtree_by_brute_force():
+    r = random.Random(12)
+
+    def grow(depth):
+        children = [grow(depth + 1) for _ in range(r.randint(0, 4))] if depth < 4 else []
+        children += [("a", "x" * r.randint(1, 9), [])] * (r.random() < 0.3)
+        return ("div", "w" * r.choice((0, 0, 3, 40, 200)), children)
+
+    def markup(node):
+        return f"<{node[0]}>{node[1]}{''.join(map(markup, node[2]))}</{node[0]}>"
+
+    for _ in range(60):
+        tree = grow(0)
+        page = markup(tree)
+        if not re.sub("<[^>]*>", "", page):
+            continue
+        nodes = html_density.parse(f"<body>{tree[1]}{''.join(map(markup, tree[2]))}</body>")
+        html_density.densities(nodes)
+        paths, best = {id(nodes[0]): ()}, nodes[0]
+        for n in nodes:
+            for i, x in enumerate(n.children):
+                paths[id(x)] = (*paths[id(n)], i)
+            if n.total > best.total:
+                best = n
+        assert paths[id(best)] in brute_choice(tree)
+
+
+def test_sections_of_an_article_stay():
+    p = "<p>" + "Some longer sentence of the text, with words. " * 6 + "</p>"
+    for name in ("class=notice", "class=banner-story", "class=comment-on-law", "class=share-prices", "class=login-security", "class=widget-design", "class=alert", "class=search-theory", "id=related-work"):
+        text = html_density.main_text(f"<body><nav><a href=/>x</a></nav><article><h1>T</h1>{p}<section {name}><p>Kept here.</p></section>{p}<p>A <span class=advert>buy <span>it</span> now</span><b hidden>not</b> end.</p></article></body>")
+        assert text.startswith("T Some") and "Kept here." in text and text.endswith("A end."), (name, text)
+    linked = "<div class=related><a href=/1>One more</a> <a href=/2>and two</a></div>"
+    assert "One more" not in html_density.main_text(f"<body><article><h1>T</h1>{p}{linked}{p}</article></body>")
+    ad = "<div class=ad>" + "Buy this thing. " * 50 + "</div>"
+    assert html_density.main_text(f"<body>{ad}<article><p>Short text.</p></article></body>") == "Short text."
+    assert html_density.main_text(f"<body><article>{p}{p}</article><div class=comments><p>{'So true. ' * 400}</p></div></body>").count("So true") == 0
+    # the density decides, not the element's name: a short article element beside the text
+    assert html_density.main_text(f"<body><article><p>Teaser</p></article><div>{p}{p}{p}</div></body>").startswith("Some longer")
+    assert html_density.main_text(f"<body><div><h1>Headline</h1><div>{p}{p}</div></div><div class=x><a href=/>y</a></div></body>").startswith("Headline Some")
+
+
+def test_time_is_linear_in_depth():
+    n = 60_000
+    for page in ("<div>" * n + "deep text" + "</div>" * n, "<div>" * n + "<p>a</x></li>" * n, "<p><span>" * n + "deep"):
+        began = time.time()
+        assert html_density.main_text(page)
+        assert time.time() - began < 20
+    assert html_density.extract
+
+
+def test_pages_table_edge_cases(spark):
+    pages = spark.createDataFrame([(1, "u", None, "a"), (1, "u", "", None), (None, None, "<p>x</p>", "b"), (2, "u", "<p>x</p>", "b")], "page_id bigint, url string, html string, text string")
+    got = html_density.extract(pages)
+    assert got.columns == ["page_id", "url", "text"] and sorted(r.text for r in got.collect()) == ["", "", "x", "x"]
+    assert html_density.extract(pages.where("false")).count() == 0
+
+
 def test_wrapper_classes_keep_the_article():
     p = "<p>" + "Some longer sentence of the text, with words. " * 6 + "</p>"
     side = "<div class='sidebar'><p>Other things to read here</p></div>"
