@@ -3,21 +3,25 @@
 Levels, each cut into shards that are files in the shared folder and mapped into memory:
 
 * words: the sorted 64-bit hashes of the vocabulary with their counts; a word's id is its rank.
-* bigrams: keys (word, next word) of all bigrams seen twice or more, as an Elias-Fano
-  sequence; because keys are ordered by the first word, each word's successors are one range.
+* bigrams: keys (word, next word) of all bigrams seen ``min_count`` times or more, as an
+  Elias-Fano sequence; because keys are ordered by the first word, each word's successors are
+  one range.
 * trigrams: keys (bigram, next word), where the next word is given relative to its context:
   its rank among the successors of the bigram's second word. Only trigrams whose two bigrams
   are kept can be kept, so only those are counted.
 
-Monotone pointers (first entry of each context) and probabilities in steps of 1/24 decade go
-with every level. Probabilities are by interpolated absolute discounting: a context gives
-(count - 1/2) / total to each kept successor and what remains to the shorter context. At the
-bottom a word has (count - d) / N, and unknown words share the d V / N left over.
+Monotone pointers (first entry of each context) and probabilities in steps of 1/STEP decade, 16
+bits each, go with every level. Probabilities are by interpolated absolute discounting: a context
+gives (count - discount) / total to each kept successor and what remains to the shorter context.
+At the bottom a word has (count - d) / N, and unknown words share the d V / N left over.
 
 Counting is partial in each task (a word, bigram or trigram once a chunk), so frequent n-grams
-reach their shard once a chunk. Shards are cut by counts and grow in number with the corpus;
-nothing of it passes through the driver but a line for each shard. A shard file is written
-under a name of its own and renamed, so lost or repeated tasks do no harm.
+reach their shard once a chunk. Shards are cut at equal numbers of tokens, within the successors of
+a frequent context as well: an n-gram's place is its context's tokens and of those the share that
+stands before its last word. Contexts that are cut have their shares of all shards added up by the
+driver, at most two a shard; their entries keep the undivided part alone, and queries add the rest.
+Shards grow in number with the corpus; nothing of it passes through the driver but a line for each.
+A shard file is written under a name of its own and renamed, so lost or repeated tasks do no harm.
 
 Defined results: null or empty text is the end token alone; unknown words have the unknown
 probability; a model of no documents gives log10 probability 0; repeated rows count and score
@@ -41,8 +45,8 @@ from specmine.llm.minhash import LOWER, SPACE
 from specmine.llm.warc import open_fs
 
 END = np.uint64(0x45D9F3B3335B369)  # the end token's hash
-STEP = 24  # quantised steps for each decade
-DISCOUNT = 0.5
+STEP = 2000  # quantised steps for each decade: 16 bits reach down to 1e-32
+DISCOUNT = 0.75
 CHUNK = 4 << 20
 SHARD_TOKENS = 3_000_000
 
@@ -250,25 +254,50 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    """log10 of probabilities in 255 steps of 1/STEP, from 0 down."""
-    return np.clip(np.rint(-STEP * np.log10(np.maximum(p, 1e-300))), 0, 255).astype(np.uint8)
+    """log10 of probabilities in steps of 1/STEP, from 0 down; below 1e-32 isn't told apart."""
+    return np.clip(np.rint(-STEP * np.log10(np.maximum(p, 1e-300))), 0, 65535).astype("<u2")
 
 
 def restored(q: np.ndarray) -> np.ndarray:
     return q.astype(np.float64) / -STEP
 
 
+class Cut:
+    """Contexts whose successors lie in several shards: their numbers in order, what they leave to
+    shorter contexts, and their first entry over all shards."""
+
+    def __init__(self, parts: list[tuple[int, int, float, int]] = []):  # noqa: B006
+        given: dict[int, float] = {}
+        begin: dict[int, int] = {}
+        for _, context, share, first in sorted(parts):  # by shard
+            given[context] = given.get(context, 0.0) + share
+            begin.setdefault(context, first)
+        self.ids = np.array(sorted(given), np.int64)
+        self.rest = np.log10(np.clip([1 - given[c] for c in sorted(given)], 1e-9, 1)) if given else np.zeros(0)
+        self.begin = np.array([begin[c] for c in sorted(given)], np.int64)
+
+    def find(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``contexts`` that are cut, and which they are."""
+        if not len(self.ids):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.ids, contexts), len(self.ids) - 1)
+        hit = np.flatnonzero(self.ids[at] == contexts)
+        return hit, at[hit]
+
+
 class Model:
     """Where the shards are and the few numbers that all of them share; queries by batch."""
 
-    def __init__(self, top: str):
-        self.top = top
+    def __init__(self, top: str, min_count: int = 1, discount: float = DISCOUNT):
+        self.top, self.min_count, self.less = top, min_count, discount
         self.tokens = self.types = self.ones = self.twos = 0
         self.word_starts: list[int] = [0]  # ids and tokens before each word shard
         self.token_starts: list[int] = [0]
         self.bigram_shards = self.trigram_shards = 0
-        self.bigram_starts: list[int] = [0]
+        self.bigram_starts: list[int] = [0]  # bigrams and their occurrences before each bigram shard
+        self.bigram_mass: list[int] = [0]
         self.widest = 1
+        self.cut_words, self.cut_bigrams = Cut(), Cut()
 
     # numbers of the bottom level
 
@@ -300,13 +329,19 @@ class Model:
             before[a:b][hit] = x["before"][at[hit]].astype(np.int64) + self.token_starts[s]
         return ids, counts, before
 
-    def bigram_shard(self, before: np.ndarray) -> np.ndarray:
-        """Shards are cut by the number of tokens whose word comes before a bigram's first word."""
-        return (before.astype(np.float64) / max(1, self.tokens) * self.bigram_shards).astype(np.int64).clip(0, max(0, self.bigram_shards - 1))
+    def place(self, n_shards: int, before: np.ndarray, count: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+        """Shard of an n-gram: ``before`` tokens lie before its context, which has ``count``, and a
+        ``share`` of those before its last word."""
+        return ((before + count * share) / max(1, self.tokens) * n_shards).astype(np.int64).clip(0, max(0, n_shards - 1))
 
-    def find(self, level: str, n_shards: int, keys: np.ndarray, shards: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index within its shard (-1: none) and stored log10 probability of sorted keys."""
-        at, value = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
+    def is_cut(self, n_shards: int, before: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Whether a context's successors may lie in several shards."""
+        return self.place(n_shards, before, count, 0.0) != self.place(n_shards, before, count, 1 - 1 / max(1, self.tokens))
+
+    def find(self, level: str, n_shards: int, keys: np.ndarray, shards: np.ndarray, *fields: str) -> list[np.ndarray]:
+        """Index within its shard (-1: none) and stored log10 probability of sorted keys, and more
+        fields of what was found."""
+        out = [np.full(len(keys), -1, np.int64), np.zeros(len(keys)), *(np.zeros(len(keys), np.int64) for _ in fields)]
         cut = np.searchsorted(shards, np.arange(n_shards + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             x, a, b = shard(f"{self.top}/{level}-{s}"), cut[s], cut[s + 1]
@@ -316,10 +351,12 @@ class Model:
             inside = keys[a:b] >= base
             found = np.full(b - a, -1, np.int64)
             found[inside] = ef_find(x, keys[a:b][inside] - base)
-            at[a:b] = found
+            out[0][a:b] = found
             hit = found >= 0
-            value[a:b][hit] = restored(x["probability"][found[hit]])
-        return at, value
+            out[1][a:b][hit] = restored(x["probability"][found[hit]])
+            for o, f in zip(out[2:], fields):
+                o[a:b][hit] = x[f][found[hit]]
+        return out
 
 
 def word_shard(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -335,64 +372,72 @@ class Coded:
         ids, counts, before = model.words(known)
         self.ids, self.before, self.back, self.word_counts = ids[back], before[back], back, counts
         end = np.searchsorted(known, END)
-        # each text's first word follows an end token
-        self.left = np.concatenate(([0], self.ids[:-1]))
-        self.left_before = np.concatenate(([0], self.before[:-1]))
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.left[self.first], self.left_before[self.first] = ids[end], before[end]
+
+        def shifted(x: np.ndarray) -> np.ndarray:  # each text's first word follows an end token
+            out = np.concatenate(([0], x[back][:-1]))
+            out[self.first] = x[end]
+            return out
+
+        self.left, self.left_before, self.left_count = shifted(ids), shifted(before), shifted(counts)
+        self.share = self.before / max(1, model.tokens)
 
     def bigrams(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Key of the bigram ending at each token, its shard, and whether both words are known."""
         known = (self.ids >= 0) & (self.left >= 0)
         keys = self.left.astype(np.uint64) * np.uint64(max(1, model.types)) + self.ids.astype(np.uint64)
-        return keys, model.bigram_shard(self.left_before), known
+        return keys, model.place(model.bigram_shards, self.left_before, self.left_count, self.share), known
 
 
-def _looked_up(model: Model, level: str, n_shards: int, keys: np.ndarray, shards: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``Model.find`` for keys in any order; the shards too."""
-    at, value, where = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+def _looked_up(model: Model, level: str, n_shards: int, keys: np.ndarray, shards: np.ndarray, known: np.ndarray, *fields: str) -> list[np.ndarray]:
+    """``Model.find`` for keys in any order; the shards too, before the further fields."""
+    out = [np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys), np.int64), *(np.zeros(len(keys), np.int64) for _ in fields)]
     if known.any() and n_shards:
         one, first, back = distinct(keys[known])
         own = shards[known][first]
-        a, v = model.find(level, n_shards, one, own)
-        at[known], value[known], where[known] = a[back], v[back], own[back]
-    return at, value, where
-
-
-def _context(model: Model, bigram_at: np.ndarray, bigram_shard: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """First entry of a known bigram's first word, within its shard: the pointer of the context."""
-    out = np.zeros(len(ids), np.int64)
-    for s in np.unique(bigram_shard).tolist():
-        x, mine = shard(f"{model.top}/bigrams-{s}"), bigram_shard == s
-        out[mine] = x["pointer"][ids[mine] - int(x["first"][0])]
+        at, value, *more = model.find(level, n_shards, one, own, *fields)
+        for o, x in zip(out, (at, value, own, *more)):
+            o[known] = x[back]
     return out
 
 
-def _trigram_keys(model: Model, coded: Coded, at: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key of the trigram ending at each token: the bigram before it, and the rank of the token
-    among the successors of the word before it. Known if both bigrams are kept."""
-    before_at, before_where = np.concatenate(([-1], at[:-1])), np.concatenate(([0], where[:-1]))
-    known = (at >= 0) & (before_at >= 0)
-    known[coded.first] = False  # a text's first word has one word of context
-    starts = np.array(model.bigram_starts, np.int64)
-    keys = np.zeros(len(at), np.uint64)
-    if known.any():
-        rank = at[known] - _context(model, at[known], where[known], coded.left[known])
-        whole = starts[before_where[known]] + before_at[known]
-        keys[known] = whole.astype(np.uint64) * np.uint64(model.widest) + rank.astype(np.uint64)
-    return keys, trigram_shard(model, keys), known
-
-
-def trigram_shard(model: Model, keys: np.ndarray) -> np.ndarray:
-    total = max(1, model.bigram_starts[-1])
-    whole = (keys // np.uint64(model.widest)).astype(np.float64)
-    return (whole / total * model.trigram_shards).astype(np.int64).clip(0, max(0, model.trigram_shards - 1))
-
-
-def train(docs: DataFrame, *, text_col: str = "text") -> Model:
-    """Count and write the model of ``docs`` into a folder of its own in the shared folder."""
+class Pairs:
+    """The bigrams that end at each token of a chunk: where they are kept, and as contexts."""
+
+    def __init__(self, model: Model, coded: Coded):
+        keys, self.shards, known = coded.bigrams(model)
+        self.at, self.value, self.where, count, before = _looked_up(model, "bigrams", model.bigram_shards, keys, self.shards, known, "count", "before")
+        starts, mass = np.array(model.bigram_starts, np.int64), np.array(model.bigram_mass, np.int64)
+        self.whole = np.where(self.at >= 0, starts[self.where] + self.at, -1)
+        # as contexts of the next token; a text's first word has one word of context
+        self.context = np.concatenate(([-1], self.whole[:-1]))
+        self.context[coded.first] = -1
+        self.context_count = np.concatenate(([0], count[:-1]))
+        self.context_before = np.concatenate(([0], (mass[self.where] + before)[:-1]))
+
+    def trigrams(self, model: Model, coded: Coded) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key of the trigram ending at each token: the bigram before it, and the rank of the token
+        among the successors of the word before it. Known if both bigrams are kept."""
+        known = (self.whole >= 0) & (self.context >= 0)
+        keys = np.zeros(len(known), np.uint64)
+        some = np.flatnonzero(known)
+        if len(some):
+            left, where = coded.left[some], self.where[some]
+            begin = np.zeros(len(some), np.int64)
+            for s in np.unique(where).tolist():
+                x, mine = shard(f"{model.top}/bigrams-{s}"), where == s
+                begin[mine] = x["pointer"][left[mine] - int(x["first"][0])] + model.bigram_starts[s]
+            hit, at = model.cut_words.find(left)
+            begin[hit] = model.cut_words.begin[at]
+            keys[some] = self.context[some].astype(np.uint64) * np.uint64(model.widest) + (self.whole[some] - begin).astype(np.uint64)
+        return keys, model.place(model.trigram_shards, self.context_before, self.context_count, coded.share), known
+
+
+def train(docs: DataFrame, *, text_col: str = "text", min_count: int = 1, discount: float = DISCOUNT) -> Model:
+    """Count and write the model of ``docs`` into a folder of its own in the shared folder; bigrams
+    and trigrams seen less than ``min_count`` times are left out (1: none is)."""
     spark = docs.sparkSession
-    model = Model(f"{shared_dir(spark)}/specmine-lm-{uuid.uuid4().hex}")
+    model = Model(f"{shared_dir(spark)}/specmine-lm-{uuid.uuid4().hex}", min_count, discount)
     fs, top = open_fs(model.top)
     fs.create_dir(top, recursive=True)
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -420,6 +465,8 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
         if r:
             model.ones, model.twos = model.ones + r.ones, model.twos + r.twos
     model.types, model.tokens = model.word_starts[-1], model.token_starts[-1]
+    if model.types >= 1 << 32:
+        raise OverflowError("pairs of words don't fit into 64-bit keys")
     model.bigram_shards = max(1, -(-model.tokens // SHARD_TOKENS))
 
     def count_bigrams(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -428,35 +475,50 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
         yield from _counted(keys, shards[known][first], counts)
 
     def write_bigrams(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = key[0].as_py()
         keys, counts = _summed(batches)
         left = (keys // np.uint64(model.types)).astype(np.int64)
         first, last = int(left[0]), int(left[-1])
+        lefts = np.arange(first, last + 1)
         # every token but the last of a text precedes one, and an end token the next text's first
-        total = np.bincount(left - first, counts, last - first + 1)
-        kept = counts >= 2
+        total, before_left = _word_counts(model, lefts), _word_tokens_before(model, lefts)
+        kept = counts >= model.min_count
         keys, counts, left = keys[kept], counts[kept], left[kept]
-        given = (counts - DISCOUNT) / total[left - first]
-        rest = np.clip(1 - np.bincount(left - first, given, last - first + 1), 1e-9, 1)
+        given = (counts - model.less) / total[left - first]
+        sums = np.bincount(left - first, given, last - first + 1)
+        several = model.is_cut(model.bigram_shards, before_left, total)
+        rest = np.clip(1 - sums, 1e-9, 1)
         right = (keys % np.uint64(model.types)).astype(np.int64)
-        p = given + rest[left - first] * model.word_probability(_word_counts(model, right))
+        p = given + np.where(several, 0, rest)[left - first] * model.word_probability(_word_counts(model, right))
         pointer = np.concatenate(([0], np.cumsum(np.bincount(left - first, minlength=last - first + 1))))
         base = first * model.types
-        write_shard(f"{folder}/bigrams-{key[0].as_py()}", {"base": np.array([base], "<u8"), "first": np.array([first], "<i8"), **ef_encode(keys - np.uint64(base), (last - first + 1) * model.types), "pointer": pointer.astype("<u4"), "rest": quantised(rest), "probability": quantised(p), "total": counts.astype("<u4")})
-        facts = (key[0].as_py(), len(keys), int(np.diff(pointer).max()))
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in facts], ["shard", "kept", "widest"])
-
-    facts = {r.shard: r for r in _chunks(rows, count_bigrams, COUNTED).groupBy("shard").applyInArrow(write_bigrams, "shard bigint, kept bigint, widest bigint").collect()}
+        before = np.cumsum(counts) - counts
+        write_shard(f"{folder}/bigrams-{number}", {"base": np.array([base], "<u8"), "first": np.array([first], "<i8"), **ef_encode(keys - np.uint64(base), (last - first + 1) * model.types), "pointer": pointer.astype("<u4"), "rest": quantised(rest), "probability": quantised(p), "count": counts.astype("<u8"), "before": before.astype("<u8")})
+        some = np.flatnonzero(several)
+        facts = ([number], [len(keys)], [int(counts.sum())], [int(np.diff(pointer).max())], [lefts[some].tolist()], [sums[some].tolist()], [pointer[some].tolist()])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(facts, (*[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())))], ["shard", "kept", "mass", "widest", "cut", "given", "at"])
+
+    ddl = "shard bigint, kept bigint, mass bigint, widest bigint, cut array<bigint>, given array<double>, at array<bigint>"
+    facts = {r.shard: r for r in _chunks(rows, count_bigrams, COUNTED).groupBy("shard").applyInArrow(write_bigrams, ddl).collect()}
+    parts, widths = [], {}
     for s in range(model.bigram_shards):
         if s not in facts:
             write_shard(f"{folder}/bigrams-{s}", {"base": np.zeros(1, "<u8")})
+        else:
+            parts += [(s, c, g, model.bigram_starts[-1] + a) for c, g, a in zip(facts[s].cut, facts[s].given, facts[s]["at"])]
+            for i, (c, a) in enumerate(zip(facts[s].cut, facts[s]["at"])):
+                widths[c] = widths.get(c, 0) + facts[s].kept  # an upper bound for successors in several shards
         model.bigram_starts.append(model.bigram_starts[-1] + (facts[s].kept if s in facts else 0))
-    model.widest = max([1, *(r.widest for r in facts.values())])
-    model.trigram_shards = max(1, -(-model.bigram_starts[-1] * 3 // SHARD_TOKENS))
+        model.bigram_mass.append(model.bigram_mass[-1] + (facts[s].mass if s in facts else 0))
+    model.cut_words = Cut(parts)
+    model.widest = max([1, *(r.widest for r in facts.values()), *widths.values()])
+    if model.bigram_starts[-1] * model.widest >= 1 << 64:
+        raise OverflowError("bigrams and ranks don't fit into 64-bit keys")
+    model.trigram_shards = max(1, -(-model.bigram_mass[-1] // SHARD_TOKENS))
 
     def count_trigrams(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         coded = Coded(model, texts)
-        at, _, where = _looked_up(model, "bigrams", model.bigram_shards, *coded.bigrams(model))
-        keys, shards, known = _trigram_keys(model, coded, at, where)
+        keys, shards, known = Pairs(model, coded).trigrams(model, coded)
         keys, first, counts = counted(keys[known])
         yield from _counted(keys, shards[known][first], counts)
 
@@ -465,20 +527,29 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
         wide = np.uint64(model.widest)
         left = (keys // wide).astype(np.int64)
         first, last = int(left[0]), int(left[-1])
-        kept = counts >= 2
+        kept = counts >= model.min_count
         keys, counts, left = keys[kept], counts[kept], left[kept]
-        total = _bigram_field(model, np.arange(first, last + 1), "total")
-        given = np.maximum(counts - DISCOUNT, 0) / np.maximum(total[left - first], counts)
-        rest = np.clip(1 - np.bincount(left - first, given, last - first + 1), 1e-9, 1)
+        contexts = np.arange(first, last + 1)
+        total = _bigram_field(model, contexts, "count").astype(np.int64)
+        given = np.maximum(counts - model.less, 0) / np.maximum(total[left - first], counts)
+        sums = np.bincount(left - first, given, last - first + 1)
+        rest = np.clip(1 - sums, 1e-9, 1)
+        edges = np.unique([0, last - first])  # only these can go on in another shard
+        before = _bigram_field(model, contexts[edges], "before").astype(np.int64) + np.array(model.bigram_mass, np.int64)[np.searchsorted(model.bigram_starts, contexts[edges], "right") - 1]
+        some = edges[model.is_cut(model.trigram_shards, before, total[edges])]
+        own = rest.copy()
+        own[some] = 0
         # the shorter context's probability: the bigram (second word, third word)
-        second = _bigram_words(model, left)[1]
-        begin, own = _successors(model, second)
-        shorter = 10 ** restored(_bigram_field(model, np.array(model.bigram_starts, np.int64)[own] + begin + (keys % wide).astype(np.int64), "probability"))
+        index = _begin(model, _bigram_words(model, left)[1]) + (keys % wide).astype(np.int64)
+        shorter = _bigram_probability(model, index)
         base = first * model.widest
-        write_shard(f"{folder}/trigrams-{key[0].as_py()}", {"base": np.array([base], "<u8"), "first": np.array([first], "<i8"), **ef_encode(keys - np.uint64(base), (last - first + 1) * model.widest), "rest": quantised(rest), "probability": quantised(given + rest[left - first] * shorter)})
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([len(keys)], pa.int64())], ["shard", "kept"])
+        write_shard(f"{folder}/trigrams-{key[0].as_py()}", {"base": np.array([base], "<u8"), "first": np.array([first], "<i8"), **ef_encode(keys - np.uint64(base), (last - first + 1) * model.widest), "rest": quantised(rest), "probability": quantised(given + own[left - first] * shorter)})
+        facts = ([key[0].as_py()], [len(keys)], [contexts[some].tolist()], [sums[some].tolist()])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(facts, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))], ["shard", "kept", "cut", "given"])
 
-    facts = {r.shard: r for r in _chunks(rows, count_trigrams, COUNTED).groupBy("shard").applyInArrow(write_trigrams, "shard bigint, kept bigint").collect()}
+    ddl = "shard bigint, kept bigint, cut array<bigint>, given array<double>"
+    facts = {r.shard: r for r in _chunks(rows, count_trigrams, COUNTED).groupBy("shard").applyInArrow(write_trigrams, ddl).collect()}
+    model.cut_bigrams = Cut([(s, c, g, 0) for s, r in facts.items() for c, g in zip(r.cut, r.given)])
     for s in range(model.trigram_shards):
         if s not in facts:
             write_shard(f"{folder}/trigrams-{s}", {"base": np.zeros(1, "<u8")})
@@ -533,14 +604,50 @@ def _bigram_words(model: Model, index: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, second
 
 
-def _successors(model: Model, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First bigram of each word within its shard, and the shard."""
-    own = model.bigram_shard(_word_tokens_before(model, words))
+def _begin(model: Model, words: np.ndarray) -> np.ndarray:
+    """First bigram of each word, over all shards."""
+    own = model.place(model.bigram_shards, _word_tokens_before(model, words), np.zeros(1), 0.0)
     begin = np.zeros(len(words), np.int64)
     for s in np.unique(own).tolist():
         mine, x = own == s, shard(f"{model.top}/bigrams-{s}")
-        begin[mine] = x["pointer"][words[mine] - int(x["first"][0])]
-    return begin, own
+        if "pointer" in x:
+            begin[mine] = x["pointer"][np.clip(words[mine] - int(x["first"][0]), 0, len(x["pointer"]) - 1)]
+        begin[mine] += model.bigram_starts[s]
+    hit, at = model.cut_words.find(words)
+    begin[hit] = model.cut_words.begin[at]
+    return begin
+
+
+def _bigram_probability(model: Model, index: np.ndarray) -> np.ndarray:
+    p = 10 ** restored(_bigram_field(model, index, "probability"))
+    if len(model.cut_words.ids):
+        first, second = _bigram_words(model, index)
+        hit, at = model.cut_words.find(first)
+        p[hit] += 10 ** model.cut_words.rest[at] * model.word_probability(_word_counts(model, second[hit]))
+    return p
+
+
+def _left_over(model: Model, level: str, contexts: np.ndarray, shards: np.ndarray) -> np.ndarray:
+    """log10 of what contexts leave to shorter ones (0 where nothing is kept of them)."""
+    rest = np.zeros(len(contexts))
+    for s in np.unique(shards).tolist():
+        x, mine = shard(f"{model.top}/{level}-{s}"), shards == s
+        if "rest" in x:
+            place = contexts[mine] - int(x["first"][0])
+            inside = (place >= 0) & (place < len(x["rest"]))
+            rest[np.flatnonzero(mine)[inside]] = restored(x["rest"][place[inside]])
+    return rest
+
+
+def _backed_off(out: np.ndarray, context: np.ndarray, at: np.ndarray, value: np.ndarray, rest: np.ndarray, cut: Cut) -> np.ndarray:
+    """log10 probabilities of one level more: what is stored, or what the context leaves times the
+    shorter context's; both added up where a context is cut."""
+    hit, which = cut.find(context)
+    rest[hit] = cut.rest[which]
+    longer = np.where(at >= 0, value, out + rest)
+    both = hit[at[hit] >= 0]
+    longer[both] = np.log10(10 ** value[both] + 10 ** (rest[both] + out[both]))
+    return longer
 
 
 def log_probabilities(model: Model, texts: list[bytes]) -> tuple[Coded, np.ndarray]:
@@ -549,34 +656,15 @@ def log_probabilities(model: Model, texts: list[bytes]) -> tuple[Coded, np.ndarr
     out = np.log10(model.word_probability(coded.word_counts))[coded.back]
     if not model.tokens:
         return coded, out
-    keys, shards, known = coded.bigrams(model)
-    at, value, where = _looked_up(model, "bigrams", model.bigram_shards, keys, shards, known)
-    # a known context word leaves what its kept successors don't take
-    context = np.flatnonzero(coded.left >= 0)
-    rest = np.zeros(len(out))
-    for s in np.unique(shards[context]).tolist():
-        x, mine = shard(f"{model.top}/bigrams-{s}"), context[shards[context] == s]
-        if "rest" in x:
-            place = coded.left[mine] - int(x["first"][0])
-            inside = (place >= 0) & (place < len(x["rest"]))
-            rest[mine[inside]] = restored(x["rest"][place[inside]])
-    out = np.where(at >= 0, value, out + rest)
-    keys, shards, known = _trigram_keys(model, coded, at, where)
-    three, value, _ = _looked_up(model, "trigrams", model.trigram_shards, keys, shards, known)
-    # a kept bigram as context leaves its own rest; any other leaves all
-    before_at, before_where = np.concatenate(([-1], at[:-1])), np.concatenate(([0], where[:-1]))
-    before_at[coded.first] = -1
-    context = np.flatnonzero(before_at >= 0)
-    whole = np.array(model.bigram_starts, np.int64)[before_where[context]] + before_at[context]
-    own = trigram_shard(model, whole.astype(np.uint64) * np.uint64(model.widest))
-    rest = np.zeros(len(out))
-    for s in np.unique(own).tolist():
-        x, mine = shard(f"{model.top}/trigrams-{s}"), own == s
-        if "rest" in x:
-            place = whole[mine] - int(x["first"][0])
-            inside = (place >= 0) & (place < len(x["rest"]))
-            rest[context[mine][inside]] = restored(x["rest"][place[inside]])
-    return coded, np.where(three >= 0, value, out + rest)
+    pairs = Pairs(model, coded)
+    rest, some = np.zeros(len(out)), np.flatnonzero((coded.left >= 0) & (pairs.at < 0))
+    rest[some] = _left_over(model, "bigrams", coded.left[some], pairs.shards[some])
+    out = _backed_off(out, coded.left, pairs.at, pairs.value, rest, model.cut_words)
+    keys, shards, known = pairs.trigrams(model, coded)
+    at, value, _ = _looked_up(model, "trigrams", model.trigram_shards, keys, shards, known)
+    rest, some = np.zeros(len(out)), np.flatnonzero((pairs.context >= 0) & (at < 0))
+    rest[some] = _left_over(model, "trigrams", pairs.context[some], shards[some])
+    return coded, _backed_off(out, pairs.context, at, value, rest, model.cut_bigrams)
 
 
 SCORES = [("n_tokens", "bigint", pa.int64()), ("n_known", "bigint", pa.int64()), ("train_tokens", "bigint", pa.int64()), ("base_score", "double", pa.float64()), ("score", "double", pa.float64())]

@@ -29,7 +29,7 @@ def test_elias_fano_finds_what_it_holds():
         assert ngram_lm.ef_find(ef, keys).tolist() == [where.get(int(k), -1) for k in keys]
 
 
-def reference_scores(train, texts):
+def reference_scores(train, texts, least=1, less=0.75):
     """The same model by dictionaries, without quantisation."""
     words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + ["</s>"]
     uni, two, three = Counter(), Counter(), Counter()
@@ -42,22 +42,22 @@ def reference_scores(train, texts):
     ones, twos = sum(c == 1 for c in uni.values()), sum(c == 2 for c in uni.values())
     d = ones / (ones + 2 * twos) if ones else 0
     unknown = max(d * types / n, 1 / (n + 1)) if n else 1
-    kept2 = {k: c for k, c in two.items() if c >= 2}
-    kept3 = {k: c for k, c in three.items() if c >= 2 and k[:2] in kept2 and k[1:] in kept2}
+    kept2 = {k: c for k, c in two.items() if c >= least}
+    kept3 = {k: c for k, c in three.items() if c >= least and k[:2] in kept2 and k[1:] in kept2}
     total2, given2, given3 = Counter(), Counter(), Counter()
     for k, c in two.items():
         total2[k[0]] += c
     for k, c in kept2.items():
-        given2[k[0]] += (c - 0.5) / total2[k[0]]
+        given2[k[0]] += (c - less) / total2[k[0]]
     for k, c in kept3.items():
-        given3[k[:2]] += (c - 0.5) / two[k[:2]]
+        given3[k[:2]] += (c - less) / two[k[:2]]
 
     def p(a, b, w):
         one = (uni[w] - d) / n if uni[w] else unknown
-        second = (kept2[b, w] - 0.5) / total2[b] if (b, w) in kept2 else 0
+        second = (kept2[b, w] - less) / total2[b] if (b, w) in kept2 else 0
         q = second + max(1 - given2[b], 1e-9) * one if uni[b] else one
         if a is not None and (a, b) in kept2:
-            q = ((kept3[a, b, w] - 0.5) / two[a, b] if (a, b, w) in kept3 else 0) + max(1 - given3[a, b], 1e-9) * q
+            q = ((kept3[a, b, w] - less) / two[a, b] if (a, b, w) in kept3 else 0) + max(1 - given3[a, b], 1e-9) * q
         return q
 
     out = []
@@ -75,13 +75,17 @@ def test_scores_by_definition(spark, monkeypatch):
     r = random.Random(2)
     texts = [" ".join(r.choice("Ab c\td e f g h ih iij".split(" ")) for _ in range(r.randint(0, 60))) for _ in range(60)] + [None, "", "zz top", "a b\nc"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    model = ngram_lm.train(docs.where("doc_id < 50"))
-    assert model.bigram_shards > 2 and model.trigram_shards > 1
-    rows = {x.doc_id: x for x in ngram_lm.score(docs, model).collect()}
-    for i, (tokens, known, n, base, score) in enumerate(reference_scores(texts[:50], texts)):
-        x = rows[i]
-        assert (x.n_tokens, x.n_known, x.train_tokens) == (tokens, known, n)
-        assert x.base_score == pytest.approx(base) and x.score == pytest.approx(score, abs=0.05 * tokens)
+    for least in (1, 2):
+        model = ngram_lm.train(docs.where("doc_id < 50"), min_count=least)
+        assert model.bigram_shards > 2 and model.trigram_shards > 1
+        # frequent contexts lie in several shards of 100 tokens
+        assert len(model.cut_words.ids) > 2 and (least > 1 or len(model.cut_bigrams.ids) > 2)
+        rows = {x.doc_id: x for x in ngram_lm.score(docs, model).collect()}
+        for i, (tokens, known, n, base, score) in enumerate(reference_scores(texts[:50], texts, least)):
+            x = rows[i]
+            assert (x.n_tokens, x.n_known, x.train_tokens) == (tokens, known, n)
+            # three rounded values a token at most, each by half a step
+            assert x.base_score == pytest.approx(base) and x.score == pytest.approx(score, abs=2 / ngram_lm.STEP * tokens)
     empty = ngram_lm.score(docs, ngram_lm.train(docs.where("false"))).collect()
     assert {x.score for x in empty} == {0.0}
 
