@@ -6,18 +6,22 @@ so suffixes are dealt by a content-defined anchor first:
 
 1. Every window of ``length`` bytes has a least k-mer hash (k = 22 for 50). Neighbouring windows with
    the same one form a stretch of 50 to 78 bytes. Equal windows have equal anchors, so equal
-   strings always meet in the bucket of their anchor; a stretch is sent as two hashes.
-2. In a bucket, a stretch that equals one of a smaller document is removed whole. Stretches
-   of one anchor that differ are asked for by content.
-3. For those, a suffix array of their windows is built, with the longest common prefixes of
-   neighbours. The nearest earlier and later suffix of a smaller document (previous and next
-   smaller value) give each suffix's longest previous factor; one of ``length`` bytes or
+   strings always meet in the bucket of their anchor; a stretch is sent as two hashes, 112 bits
+   in all (in 10**13 stretches two unlike ones agree with a chance of about 1e-8).
+2. In a bucket, a stretch that equals one of a smaller document is a run of equal suffixes, whose
+   longest previous factors cover it: it is removed whole. Stretches of one anchor that differ are
+   asked for by content.
+3. For those, a suffix array of their windows is built from the bytes, with the longest common
+   prefixes of neighbours. The nearest earlier and later suffix of a smaller document (previous and
+   next smaller value) give each suffix's longest previous factor; one of ``length`` bytes or
    more is a repeat.
 4. The intervals found are joined to the texts and cut out.
 
 Stretches that repeat within a task's own chunk are settled there and sent once, so a passage
-or document that fills a third of the table reaches its bucket once a chunk. All buckets grow
-in number with the input.
+or document that fills a third of the table reaches its bucket once a chunk. An anchor with
+``HOT`` unlike stretches in some chunk (the edge of a passage that very many documents share) is
+hot: chunks send but a witness of it, no bucket gathers it, and its windows are dealt out by a hash
+of their own bytes in step 3, where equal ones still meet. All buckets grow in number with the input.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; of rows with
 equal ids none is smaller; a null id comes after all others; an empty table gives an empty one.
@@ -25,6 +29,7 @@ equal ids none is smaller; a null id comes after all others; an empty table give
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +42,8 @@ from specmine.llm.common import LAST_ID, as_bytes, keyed, kmer_hashes, materiali
 
 LENGTH = 50
 SEGMENT = 1 << 16  # window starts of one segment of a text
+HOT = 16  # unlike stretches of one anchor in one chunk of 6 MB
+HOT_FLAG = np.uint64(1 << 63)
 LOW48 = np.uint64((1 << 48) - 1)
 FOUND = np.dtype([("pos", "<u4"), ("len", "u1")])
 WANTED = np.dtype([("pos", "<u4"), ("len", "u1"), ("kmer", "<u8")])
@@ -80,6 +87,7 @@ def _send(rows: DataFrame, n_buckets: int, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", 6 << 20):
+                batch = once(batch)
                 texts = as_bytes(batch.column("text"))
                 key, rank = batch.column("_k").to_numpy(), batch.column("rank_id").to_numpy()
                 segments = [(i, a) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - length + 1), SEGMENT)]
@@ -98,7 +106,7 @@ def _send(rows: DataFrame, n_buckets: int, length: int, k: int) -> DataFrame:
                 seg, pos, size, kmer, content = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
                 if not len(seg):
                     continue
-                bucket, kmer, content = (kmer % np.uint64(n_buckets)).astype(np.int32), (kmer >> np.uint64(8)) & LOW48, (content >> np.uint64(32)).astype("<u4")
+                bucket, kmer, content = (kmer % np.uint64(n_buckets)).astype(np.int32), (kmer >> np.uint64(8)) & LOW48, content.astype("<u8")
                 owner = np.array([i for i, _ in segments])
                 ids = rank[owner[seg]]
                 order = np.lexsort((ids, content, kmer, bucket))
@@ -108,57 +116,83 @@ def _send(rows: DataFrame, n_buckets: int, length: int, k: int) -> DataFrame:
                 later = ids > ids[head]
                 base = np.array([a for _, a in segments])
                 out: list[tuple] = []
-                if later.any():  # repeats inside the chunk
-                    own = owner[seg[later]]
+
+                def tell(some: np.ndarray, kind: np.dtype, n: int) -> None:
+                    """A row for each document: intervals to remove (n = 0) or contents asked for (n = -1)."""
+                    own = owner[seg[some]]
                     by = np.argsort(own, kind="stable")
-                    found = np.zeros(len(by), FOUND)
-                    found["pos"], found["len"] = (base[seg[later]] + pos[later])[by], size[later][by]
+                    blob = np.zeros(len(by), kind)
+                    blob["pos"], blob["len"] = (base[seg[some]] + pos[some])[by], size[some][by]
+                    if n:
+                        blob["kmer"] = kmer[some][by] | HOT_FLAG
                     cut = np.flatnonzero(np.diff(own[by])) + 1
-                    for i, f in zip(own[by][np.concatenate(([0], cut))].tolist(), np.split(found, cut)):
-                        out.append((int(key[i]) % n_buckets, 0, int(key[i]), f.tobytes(), b""))
+                    for i, f in zip(own[by][np.concatenate(([0], cut))].tolist(), np.split(blob, cut)):
+                        out.append((int(key[i]) % n_buckets, n, int(key[i]), int(rank[i]), f.tobytes(), b""))
+
+                if later.any():  # repeats inside the chunk
+                    tell(later, FOUND, 0)
                     seg, pos, size, bucket, kmer, content = (x[~later] for x in (seg, pos, size, bucket, kmer, content))
-                table = np.stack((base, rank[owner], key[owner]), 1).astype("<i8")
+                new = np.concatenate(([True], (kmer[1:] != kmer[:-1]) | (bucket[1:] != bucket[:-1])))
+                of = np.cumsum(new) - 1
+                hot = (np.bincount(of) >= HOT)[of]
+                if hot.any():
+                    tell(hot, WANTED, -1)
+                    size = np.where(hot, 0, size)  # a witness for each hot anchor
+                    seg, pos, size, bucket, kmer, content = (x[~hot | new] for x in (seg, pos, size, bucket, kmer, content))
+                table = np.stack((rank[owner], key[owner]), 1).astype("<i8")
                 edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
                 for b in np.flatnonzero(np.diff(edges)).tolist():
                     s = slice(edges[b], edges[b + 1])
                     used, seg_no = np.unique(seg[s], return_inverse=True)
                     planes = kmer[s].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T  # sorted: the high bytes shrink well
-                    payload = np.ascontiguousarray(planes).tobytes() + content[s].tobytes() + pos[s].astype("<u2").tobytes() + size[s].astype(np.uint8).tobytes() + seg_no.astype("<u4" if len(used) > 65535 else "<u2").tobytes()
-                    out.append((b, edges[b + 1] - edges[b], 0, payload, table[used].tobytes()))
+                    place = (base[seg[s]] + pos[s]).astype("<u4")
+                    payload = np.ascontiguousarray(planes).tobytes() + content[s].tobytes() + (place >> 16).astype("<u2").tobytes() + (place & 0xFFFF).astype("<u2").tobytes() + size[s].astype(np.uint8).tobytes() + seg_no.astype("<u4" if len(used) > 65535 else "<u2").tobytes()
+                    out.append((b, edges[b + 1] - edges[b], 0, 0, payload, table[used].tobytes()))
                 for i in range(0, len(out), 500):
                     cols = list(zip(*out[i : i + 500]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "n", "k", "payload", "segments"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "n", "k", "rank", "payload", "segments"])
+
+    return rows.mapInArrow(run, "bucket int, n int, k bigint, rank bigint, payload binary, segments binary")
 
-    return rows.mapInArrow(run, "bucket int, n int, k bigint, payload binary, segments binary")
 
+def once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch without rows whose key came before: rows equal in id and text get equal results."""
+    key = np.stack((batch.column("_k").to_numpy(), batch.column("rank_id").to_numpy()), 1)
+    first = np.unique(key, axis=0, return_index=True)[1]
+    return batch if len(first) == batch.num_rows else batch.take(pa.array(np.sort(first)))
 
-def _blobs_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]:
-    by = np.argsort(keys, kind="stable")
-    keys, values = keys[by], values[by]
-    cut = np.flatnonzero(np.diff(keys)) + 1
-    return keys[np.concatenate(([0], cut))].tolist() if len(keys) else [], [x.tobytes() for x in np.split(values, cut)] if len(keys) else []
+
+def _blobs_by_row(keys: np.ndarray, ranks: np.ndarray, values: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(key, rank, values as bytes) of each row."""
+    if not len(keys):
+        return []
+    by = np.lexsort((keys, ranks))
+    keys, ranks, values = keys[by], ranks[by], values[by]
+    cut = np.flatnonzero((keys[1:] != keys[:-1]) | (ranks[1:] != ranks[:-1])) + 1
+    first = np.concatenate(([0], cut))
+    return list(zip(keys[first].tolist(), ranks[first].tolist(), [x.tobytes() for x in np.split(values, cut)]))
 
 
 def _settle(sent: DataFrame) -> DataFrame:
     """Of each bucket: intervals to remove (wanted = false) and contents that must be compared."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple[int, bytes]] = []
+        done: list[tuple[int, int, bytes]] = []
+        asked: list[tuple[int, int, bytes]] = []
         parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for n, k, payload, segments in zip(*(batch.column(c).to_pylist() for c in ("n", "k", "payload", "segments"))):
-                if not n:
-                    done.append((k, payload))
+            for n, k, rank, payload, segments in zip(*(batch.column(c).to_pylist() for c in ("n", "k", "rank", "payload", "segments"))):
+                if n < 1:
+                    (asked if n else done).append((k, rank, payload))
                     continue
                 raw = np.zeros((n, 8), np.uint8)
                 raw[:, :6] = np.frombuffer(payload, np.uint8, 6 * n).reshape(6, n).T
-                table = np.frombuffer(segments, "<i8").reshape(-1, 3)
-                seg = np.frombuffer(payload, "<u4" if len(payload) - 13 * n == 4 * n else "<u2", n, 13 * n)
-                pos = np.frombuffer(payload, "<u2", n, 10 * n).astype(np.int64) + table[seg, 0]
-                parts.append((raw.view("<u8")[:, 0], np.frombuffer(payload, "<u4", n, 6 * n), pos.astype(np.uint32), np.frombuffer(payload, np.uint8, n, 12 * n), table[seg, 1], table[seg, 2]))
-        names = ["k", "wanted", "payload"]
-        wanted_keys: list[int] = []
-        wanted_blobs: list[bytes] = []
+                table = np.frombuffer(segments, "<i8").reshape(-1, 2)
+                seg = np.frombuffer(payload, "<u4" if len(payload) - 19 * n == 4 * n else "<u2", n, 19 * n)
+                pos = np.frombuffer(payload, "<u2", n, 14 * n).astype(np.uint32) << 16 | np.frombuffer(payload, "<u2", n, 16 * n)
+                parts.append((raw.view("<u8")[:, 0], np.frombuffer(payload, "<u8", n, 6 * n), pos, np.frombuffer(payload, np.uint8, n, 18 * n), table[seg, 0], table[seg, 1]))
+        names = ["k", "rank", "wanted", "payload"]
+        kmer = np.zeros(0, np.uint64)
         if parts:
             kmer, content, pos, size, ids, keys = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
@@ -167,51 +201,59 @@ def _settle(sent: DataFrame) -> DataFrame:
             lone = np.concatenate(([True], k2[1:] != k2[:-1])) & np.concatenate((k2[1:] != k2[:-1], [True]))
             order = order[~lone]  # most anchors occur once
             kmer, content, pos, size, ids, keys = (x[order] for x in (kmer, content, pos, size, ids, keys))
-        else:
-            kmer = np.zeros(0, np.uint64)
         if len(kmer):
             at = np.arange(len(kmer))
             new_kmer = np.concatenate(([True], kmer[1:] != kmer[:-1]))
             new = new_kmer | np.concatenate(([True], content[1:] != content[:-1]))
+            start = np.flatnonzero(new_kmer)
+            group = np.cumsum(new_kmer) - 1
+            # anchors that are hot in some chunk are settled by their windows, whatever the chunk
+            hot = (np.minimum.reduceat(size, start) == 0)[group]
             head = np.maximum.accumulate(np.where(new, at, 0))
-            later = ids > ids[head]
+            later = (ids > ids[head]) & ~hot
             found = np.zeros(int(later.sum()), FOUND)
             found["pos"], found["len"] = pos[later], size[later]
-            done += zip(*_blobs_by_key(keys[later], found))
+            done += _blobs_by_row(keys[later], ids[later], found)
             # anchors with several contents, in more than one document
-            start = np.flatnonzero(new_kmer)
-            group = np.cumsum(new_kmer) - 1
             several = np.add.reduceat(new.astype(np.int64), start) > 1
             spread = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
-            ask = (several & spread)[group] & ~later
+            ask = ((several & spread)[group] & ~later | hot) & (size > 0)
             wanted = np.zeros(int(ask.sum()), WANTED)
-            wanted["pos"], wanted["len"], wanted["kmer"] = pos[ask], size[ask], kmer[ask]
-            wanted_keys, wanted_blobs = _blobs_by_key(keys[ask], wanted)
-        for ks, blobs, flag in (([k for k, _ in done], [b for _, b in done], False), (wanted_keys, wanted_blobs, True)):
-            for i in range(0, len(ks), 5000):
-                n = len(ks[i : i + 5000])
-                yield pa.RecordBatch.from_arrays([pa.array(ks[i : i + 5000], pa.int64()), pa.array([flag] * n), pa.array(blobs[i : i + 5000], pa.binary())], names)
+            wanted["pos"], wanted["len"], wanted["kmer"] = pos[ask], size[ask], kmer[ask] | np.where(hot[ask], HOT_FLAG, np.uint64(0))
+            asked += _blobs_by_row(keys[ask], ids[ask], wanted)
+        for rows, flag in ((done, False), (asked, True)):
+            for i in range(0, len(rows), 5000):
+                k, rank, blobs = zip(*rows[i : i + 5000])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(rank, pa.int64()), pa.array([flag] * len(k)), pa.array(blobs, pa.binary())], names)
 
-    return sent.groupBy("bucket").applyInArrow(run, "k bigint, wanted boolean, payload binary")
+    return sent.groupBy("bucket").applyInArrow(run, "k bigint, rank bigint, wanted boolean, payload binary")
 
 
-def _contents(texts: DataFrame, n_buckets: int) -> DataFrame:
-    """The bytes of the stretches that were asked for, by bucket of their anchors."""
+def _contents(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
+    """The bytes of the stretches that were asked for, by bucket of their anchors; those of hot
+    anchors window by window, by bucket of the window's own bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", 6 << 20):
+                batch = once(batch)
                 out: list[tuple] = []
                 for text, key, rank, blobs in zip(as_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in ("_k", "rank_id", "blobs"))):
-                    want = np.frombuffer(b"".join(blobs), WANTED)
-                    bucket = (want["kmer"] % np.uint64(n_buckets)).astype(np.int64)
-                    for b, kmer, pos, size in zip(bucket.tolist(), want["kmer"].tolist(), want["pos"].tolist(), want["len"].tolist()):
-                        out.append((b, kmer, rank, key, pos, text[pos : pos + size]))
+                    want = np.unique(np.frombuffer(b"".join(blobs), WANTED))
+                    hot = want["kmer"] >= HOT_FLAG
+                    few = want[~hot]
+                    bucket = (few["kmer"] % np.uint64(n_buckets)).astype(np.int64)
+                    for b, pos, size in zip(bucket.tolist(), few["pos"].tolist(), few["len"].tolist()):
+                        out.append((b, rank, key, pos, text[pos : pos + size]))
+                    for pos, size in zip(want["pos"][hot].tolist(), want["len"][hot].tolist()):
+                        for at in range(pos, pos + size - length + 1):
+                            window = text[at : at + length]
+                            out.append((zlib.crc32(window) % n_buckets, rank, key, at, window))
                 for i in range(0, len(out), 20000):
                     cols = list(zip(*out[i : i + 20000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "kmer", "rank_id", "k", "pos", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "rank_id", "k", "pos", "content"])
 
-    return texts.mapInArrow(run, "bucket bigint, kmer bigint, rank_id bigint, k bigint, pos bigint, content binary")
+    return texts.mapInArrow(run, "bucket bigint, rank_id bigint, k bigint, pos bigint, content binary")
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,14 +313,15 @@ def _factors(contents: DataFrame, length: int) -> DataFrame:
             first, last = hit[gap], hit[np.concatenate((gap[1:], [True]))]
             found = np.zeros(len(first), FOUND)
             found["pos"], found["len"] = pos[owner[first]] + within[first], within[last] - within[first] + length
-            ks, blobs = _blobs_by_key(keys[owner[first]], found)
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(blobs, pa.binary())], ["k", "payload"])
+            k, rank, blobs = zip(*_blobs_by_row(keys[owner[first]], ids[owner[first]], found))
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(rank, pa.int64()), pa.array(blobs, pa.binary())], ["k", "rank", "payload"])
 
-    return contents.groupBy("bucket").applyInArrow(run, "k bigint, payload binary")
+    return contents.groupBy("bucket").applyInArrow(run, "k bigint, rank bigint, payload binary")
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket_bytes: int = 12 << 20) -> DataFrame:
-    """(k, payload): the intervals to remove of each row key, in any number of rows."""
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket_bytes: int = 16 << 20) -> DataFrame:
+    """(k, rank, payload): the intervals to remove of each row (a hash of id and text, and the id),
+    in any number of rows."""
     rows = keyed(docs, id_col, text_col).withColumn("rank_id", F.coalesce("doc_id", F.lit(LAST_ID)))
     spark = docs.sparkSession
     if not 25 <= length <= 160:
@@ -288,10 +331,10 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     unique = rows.select("_k", "rank_id", "text")
     settled = materialize(_settle(_send(unique, n_buckets, length, k)), "repeats")
     release(spark)
-    wanted = settled.where("wanted").groupBy("k").agg(F.collect_list("payload").alias("blobs"))
-    texts = unique.join(wanted.hint("shuffle_hash"), unique._k == wanted.k).select("_k", "rank_id", "text", "blobs")
-    factors = _factors(_contents(texts, n_buckets), length)
-    out = settled.where("not wanted").select("k", "payload").unionByName(materialize(factors, "factors"))
+    wanted = settled.where("wanted").groupBy("k", "rank").agg(F.collect_set("payload").alias("blobs"))
+    texts = unique.join(wanted.hint("shuffle_hash"), (unique._k == wanted.k) & (unique.rank_id == wanted["rank"])).select("_k", "rank_id", "text", "blobs")
+    factors = _factors(_contents(texts, 8 * n_buckets, length), length)
+    out = settled.where("not wanted").select("k", "rank", "payload").unionByName(materialize(factors, "factors"))
     release(spark)
     return out
 
@@ -300,10 +343,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """doc_id, kept (the remaining bytes), spans (maximal removed runs, in bytes), n_bytes, and a
     struct ``row`` of the columns named in ``keep``."""
     row = F.struct(F.col(f"`{text_col}`").isNull().alias("_null_text"), *[F.col(f"`{c}`") for c in keep or []])
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), row.alias("row")).withColumn("_k", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), row.alias("row")).withColumns({"_k": F.xxhash64("doc_id", "text"), "_rank": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))})
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length)
-    spans = spans.groupBy("k").agg(F.collect_list("payload").alias("blobs"))
-    joined = rows.join(spans.hint("shuffle_hash"), rows._k == spans.k, "left").select("doc_id", "row", "text", "blobs")
+    spans = spans.groupBy("k", "rank").agg(F.collect_set("payload").alias("blobs"))
+    joined = rows.join(spans.hint("shuffle_hash"), (rows._k == spans.k) & (rows._rank == spans["rank"]), "left").select("doc_id", "row", "text", "blobs")
     schema = joined.select("doc_id", "row").schema.add("kept", BinaryType()).add("spans", ArrayType(StructType().add("start", LongType()).add("end", LongType()))).add("n_bytes", LongType())
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

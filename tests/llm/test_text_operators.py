@@ -61,6 +61,25 @@ def test_repeats_are_removed_exactly(spark, seed, monkeypatch):
         assert [(s.start, s.end) for s in rows[i].spans] == list(zip(edges[::2], edges[1::2]))
 
 
+@pytest.mark.parametrize("hot", [16, 3])
+def test_repeats_at_hot_anchors(spark, hot, monkeypatch):
+    """A passage that most documents share, each with its own words around it: hot in some chunks only."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage = letters(180)
+    texts = [letters(r.randint(0, 90)) + passage[r.choice((0, 0, 3)) :] + letters(r.randint(0, 90)) for _ in range(90)]
+    texts += [letters(5) + "cdabc" + passage[:60], letters(9) + "cdabc" + passage[:60] + "zz", passage, passage, None]
+    data, gone = brute_removed(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    # one part with nearly all of them, and parts in which the anchors aren't hot
+    docs = docs.where("doc_id % 9 > 1").coalesce(1).unionByName(docs.where("doc_id % 9 <= 1").repartition(5))
+    rows = docs.unionByName(docs.where("doc_id % 7 = 0"))  # repeated rows
+    for got in suffix_dedup.remove_repeats(rows, keep=["lang"]).collect():
+        d, g = data[got.doc_id], gone[got.doc_id]
+        assert bytes(got.kept) == bytes(b for b, x in zip(d, g) if not x), got.doc_id
+
+
 def test_repeats_small_buckets(spark):
     texts = corpus(5, 40)
     found = suffix_dedup.repeated_spans(table(spark, texts), bucket_bytes=500)
