@@ -1,27 +1,27 @@
 """Evaluation: extraction against truth, slot by slot and mode by mode.
 
-Multisets are joined as counts and never gathered across documents. Pairing of modes runs for
-each (document, footprint) bucket, which holds a manual's modes of one size.
+Multisets are joined as counts. Scoring gathers a manual's slots into one row of truth and
+extracted modes, joined once by document; everything after stays in that partitioning. What a
+row gathers is one manual's record, never rows of several documents.
 """
 
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
-from itertools import groupby, permutations
+from functools import lru_cache
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
 from specmine.functions.text import norm_name
 
 MODE = ["doc_id", "mode_idx"]
+FILENAME_ECHO = r"(?i)\bum$"  # fixed value: a model that ends like a file name's "user manual"
 
 
 def truth_slots(modes: DataFrame, channels: DataFrame, functions: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def extract_slots(rows: DataFrame) -> DataFrame:
     """Assignments with an offset; the last of a slot wins."""
     w = W.partitionBy(*MODE, "dmx_break", "channel_offset").orderBy(F.desc("slot_idx"))
     r = rows.where("channel_offset is not null").withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return r.select(*MODE, "dmx_break", F.col("channel_offset").alias("slot"), "name", "attribute", "n_ranges")
+    return r.select(*MODE, "dmx_break", F.col("channel_offset").alias("slot"), "name", "attribute", "fine_of", "n_ranges")
 
 
 def footprints(slots: DataFrame) -> DataFrame:
@@ -72,12 +72,9 @@ def footprint_recall_precision(truth: DataFrame, extracted: DataFrame) -> DataFr
     return g.select("doc_id", "n_truth", "n_extracted", F.try_divide("hits", "n_truth").alias("recall"), F.try_divide("hits", "n_extracted").alias("precision"))
 
 
-def recall_tol1(truth: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Greedy match of sorted sizes that differ by one at most, one document's sizes at a time."""
-    t = truth.groupBy("doc_id").agg(F.sort_array(F.collect_list("footprint")).alias("t"))
-    e = extracted.groupBy("doc_id").agg(F.sort_array(F.collect_list("footprint")).alias("e"))
-    j = t.join(e, "doc_id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<bigint>")))
-    start = F.struct(F.col("e").alias("pool"), F.lit(0).alias("n"))
+def greedy_hits(t: str, e: str) -> Column:
+    """How many of the sizes t find one of e, each once, that differs by one at most; both sorted."""
+    start = F.struct(F.col(e).alias("pool"), F.lit(0).alias("n"))
 
     def step(s, x):
         fit = F.filter(s["pool"], lambda p: F.abs(p - x) <= 1)
@@ -86,12 +83,25 @@ def recall_tol1(truth: DataFrame, extracted: DataFrame) -> DataFrame:
         rest = F.concat(F.slice(s["pool"], F.lit(1), (at - 1).cast("int")), F.slice(s["pool"], (at + 1).cast("int"), F.size(s["pool"])))
         return F.when(F.size(fit) > 0, F.struct(rest.alias("pool"), (s["n"] + 1).alias("n"))).otherwise(s)
 
-    return j.select("doc_id", (F.aggregate("t", start, step)["n"] / F.size("t")).alias("recall_tol1"))
+    return F.aggregate(t, start, step)["n"]
+
+
+def recall_tol1(truth: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Greedy match of sorted sizes that differ by one at most, one document's sizes at a time."""
+    t = truth.groupBy("doc_id").agg(F.sort_array(F.collect_list("footprint")).alias("t"))
+    e = extracted.groupBy("doc_id").agg(F.sort_array(F.collect_list("footprint")).alias("e"))
+    j = t.join(e, "doc_id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<bigint>")))
+    return j.select("doc_id", (greedy_hits("t", "e") / F.size("t")).alias("recall_tol1"))
+
+
+@lru_cache(1 << 16)  # a pair of names comes again and again
+def _ratio_of(a: str, b: str) -> float | None:
+    return difflib.SequenceMatcher(None, a, b).ratio() if a or b else None
 
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if not x and not y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([_ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def name_ratio(pairs: DataFrame) -> DataFrame:
@@ -107,84 +117,127 @@ def pair_modes(truth: DataFrame, extracted: DataFrame) -> DataFrame:
     return t.join(extracted.select("doc_id", "footprint", F.col("mode_idx").alias("mode")), ["doc_id", "footprint"])
 
 
-def score_pairs(pairs: DataFrame, truth: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Per pair: mean name ratio over named coarse slots, fine bytes found, attributes equal, and
-    range richness; a missing slot scores 0."""
-    key = ["doc_id", "dmx_break", "slot"]
-    t = truth.withColumnRenamed("mode_idx", "truth_mode").withColumnsRenamed({"name": "t_name", "attribute": "t_attr"})
-    e = extracted.withColumnRenamed("mode_idx", "mode").withColumnsRenamed({"name": "e_name", "attribute": "e_attr"})
-    j = pairs.join(t, ["doc_id", "truth_mode"]).join(e, [*key, "mode"], "left")
-    named = j.select(F.col("t_name").alias("a"), F.coalesce("e_name", F.lit("")).alias("b")).distinct()
-    j = j.withColumn("a", F.col("t_name")).withColumn("b", F.coalesce("e_name", F.lit(""))).join(name_ratio(named), ["a", "b"], "left")
-    got = F.col("e_name").isNotNull()
-    use = (F.col("fine") == 0) & F.col("a").isNotNull()
-    rich = (F.col("fine") == 0) & (F.col("n_functions") > 1)
-    return j.groupBy("doc_id", "footprint", "truth_mode", "mode").agg(
-        F.avg(F.when(use, F.when(got, F.coalesce("name_ratio", F.lit(0.0))).otherwise(0.0))).alias("name_score"),
-        F.count_if((F.col("fine") == 1) & got & F.col("e_name").rlike("(?i)fine")).alias("fine_hits"),
-        F.count_if(F.col("fine") == 1).alias("fine_n"),
-        F.count_if((F.col("fine") == 0) & F.coalesce(F.col("t_attr") == F.col("e_attr"), F.lit(False))).alias("attr_hits"),
-        F.count_if((F.col("fine") == 0) & F.col("t_attr").isNotNull()).alias("attr_n"),
-        F.count_if(rich & (F.coalesce("n_ranges", F.lit(0)) > 1)).alias("rich_hits"),
+def document_modes(truth: DataFrame, extracted: DataFrame) -> DataFrame:
+    """doc_id and its modes of both sides as arrays of (mode, footprint, slots)."""
+
+    def side(slots: DataFrame, name: str, *fields: str) -> DataFrame:
+        rows = slots.groupBy("doc_id").agg(F.collect_list(F.struct("mode_idx", F.struct("dmx_break", "slot").alias("at"), *fields)).alias("s"))
+        modes = F.array_sort(F.array_distinct(F.transform("s", lambda x: x["mode_idx"])))
+
+        def mode(m: Column) -> Column:
+            mine = F.array_sort(F.filter("s", lambda x: x["mode_idx"] == m))
+            return F.struct(m.alias("mode"), F.size(mine).cast("long").alias("footprint"), mine.alias("slots"))
+
+        return rows.select("doc_id", F.transform(modes, mode).alias(name))
+
+    t = side(truth, "t", "name", "attribute", "n_functions", "fine")
+    return t.join(side(extracted, "e", "name", "attribute", "fine_of", "n_ranges"), "doc_id", "full")
+
+
+def scored_modes(docs: DataFrame) -> DataFrame:
+    """A row for each pair of modes of a document with the same footprint, and what its slots score:
+    sums and numbers of name ratios, fine bytes, attributes and ranges.
+
+    Fine slots count as found if the extracted slot is a fine byte of something. Coarse ones are
+    compared by name if the truth's has letters or digits, and by attribute if it has one as well,
+    whatever the case. A missing slot scores 0.
+    """
+    pairs = F.flatten(F.transform("t", lambda t: F.transform(F.filter("e", lambda e: e["footprint"] == t["footprint"]), lambda e: F.struct(t["footprint"].alias("footprint"), t["mode"].alias("truth_mode"), e["mode"].alias("mode"), t["slots"].alias("ts"), e["slots"].alias("es")))))
+    p = docs.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.footprint", "p.truth_mode", "p.mode", F.explode("p.ts").alias("t"), F.map_from_arrays(F.transform("p.es", lambda x: x["at"]), F.col("p.es")).alias("es"))
+    p = p.withColumn("e", F.try_element_at("es", F.col("t.at"))).drop("es")
+    coarse, fine = F.col("t.fine") == 0, F.col("t.fine") == 1
+    p = p.withColumn("a", norm_name(F.col("t.name"))).withColumn("b", norm_name(F.coalesce("e.name", F.lit(""))))
+    p = p.withColumn("ratio", F.when(coarse & (F.col("a") != ""), _ratio("a", "b")))
+    trimmed = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    attr = F.col("ratio").isNotNull() & (trimmed("t.attribute") != "")
+    rich = coarse & (F.col("t.n_functions") > 1)
+    return p.groupBy("doc_id", "footprint", "truth_mode", "mode").agg(
+        F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("name_score"),
+        F.coalesce(F.sum("ratio"), F.lit(0.0)).alias("name_sum"),
+        F.count("ratio").alias("name_n"),
+        F.count_if(fine & (F.coalesce("e.fine_of", F.lit("")) != "")).alias("fine_hits"),
+        F.count_if(fine).alias("fine_n"),
+        F.count_if(attr & (trimmed("t.attribute") == trimmed("e.attribute"))).alias("attr_hits"),
+        F.count_if(attr).alias("attr_n"),
+        F.count_if(rich & (F.coalesce("e.n_ranges", F.lit(0)) > 1)).alias("rich_hits"),
         F.count_if(rich).alias("rich_n"),
     )
 
 
+def score_pairs(truth: DataFrame, extracted: DataFrame) -> DataFrame:
+    return scored_modes(document_modes(truth, extracted))
+
+
 def best_of(scores: np.ndarray) -> list[tuple[int, int]]:
-    """One-to-one pairing of greatest sum: exact up to 6 by 6, greedy beyond."""
+    """One-to-one pairing of greatest sum: exact up to 6 by 6, the first of equals; beyond, each row
+    in turn takes the best column that is left."""
     n, m = scores.shape
-    if n > m:
-        return [(a, b) for b, a in best_of(scores.T)]
-    if m <= 6:
+    if max(n, m) <= 6:
+        if n > m:
+            best = max(permutations(range(n), m), key=lambda p: (round(sum(scores[i, j] for j, i in enumerate(p)), 9), [-i for i in p]))
+            return [(i, j) for j, i in enumerate(best)]
         return list(enumerate(max(permutations(range(m), n), key=lambda p: (round(sum(scores[i, j] for i, j in enumerate(p)), 9), [-j for j in p]))))
-    out, rows, columns = [], set(range(n)), set(range(m))
-    for k in np.argsort(-scores, axis=None, kind="stable").tolist():
-        i, j = divmod(k, m)
-        if i in rows and j in columns:
-            out.append((i, j))
-            rows.discard(i)
-            columns.discard(j)
+    out, left = [], list(range(m))
+    for i in range(min(n, m)):
+        j = max(left, key=lambda j: (scores[i, j], -j))
+        out.append((i, j))
+        left.remove(j)
     return out
 
 
+@F.pandas_udf(ArrayType(BooleanType()))
+def _chosen(buckets: pd.Series, truth_modes: pd.Series, modes: pd.Series, scores: pd.Series) -> pd.Series:
+    """For a document's pairs, which are in the best pairing of their footprint."""
+    out = []
+    for sizes, rows, columns, values in zip(buckets, truth_modes, modes, scores):
+        keep = np.zeros(len(sizes), bool)
+        for size in np.unique(sizes):
+            mine = np.flatnonzero(sizes == size)
+            t, i = np.unique(rows[mine], return_inverse=True)
+            e, j = np.unique(columns[mine], return_inverse=True)
+            table = np.zeros((len(t), len(e)))
+            table[i, j] = values[mine]
+            pick = np.zeros(table.shape, bool)
+            pick[tuple(zip(*best_of(table)))] = True
+            keep[mine] = pick[i, j]
+        out.append(keep)
+    return pd.Series(out)
+
+
 def best_pairing(scored: DataFrame) -> DataFrame:
-    """The pairs of each (document, footprint) bucket's best pairing. Buckets stream through sorted
-    partitions, one at a time."""
-    schema = scored.schema
-    at = {c: i for i, c in enumerate(scored.columns)}
-
-    def chosen(rows: list[tuple]) -> list[tuple]:
-        if len(rows) == 1:
-            return rows
-        t, e = sorted({r[at["truth_mode"]] for r in rows}), sorted({r[at["mode"]] for r in rows})
-        scores = np.zeros((len(t), len(e)))
-        for r in rows:
-            s = r[at["name_score"]]
-            scores[t.index(r[at["truth_mode"]]), e.index(r[at["mode"]])] = 0 if s is None or s != s else s
-        keep = {(t[i], e[j]) for i, j in best_of(scores)}
-        return [r for r in rows if (r[at["truth_mode"]], r[at["mode"]]) in keep]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (tuple(r.values()) for b in batches for r in b.to_pylist())
-        out: list[tuple] = []
-        for _, bucket in groupby(rows, key=lambda r: (r[at["doc_id"]], r[at["footprint"]])):
-            out += chosen(list(bucket))
-            if len(out) >= 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(at, r)) for r in out], arrow)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(at, r)) for r in out], arrow)
-
-    arrow = to_arrow_schema(schema)
-    return scored.repartition("doc_id", "footprint").sortWithinPartitions("doc_id", "footprint", "truth_mode", "mode").mapInArrow(run, schema)
-
-
-def scoreboard(fixtures: DataFrame, truth: DataFrame, extracted: DataFrame, best: DataFrame) -> DataFrame:
-    """One row for each document with truth."""
-    rp, tol = footprint_recall_precision(truth, extracted), recall_tol1(truth, extracted)
-    b = best.groupBy("doc_id").agg(F.avg("name_score").alias("name_score"), F.try_divide(F.sum("fine_hits"), F.sum("fine_n")).alias("fine_score"), F.try_divide(F.sum("attr_hits"), F.sum("attr_n")).alias("attr_score"), F.try_divide(F.sum("rich_hits"), F.sum("rich_n")).alias("range_richness"), F.count("*").alias("n_paired"))
-    lists = lambda df, n: df.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("footprint")), " ").alias(n))
-    return fixtures.select("doc_id", "manufacturer", "model").join(rp.where("n_truth > 0"), "doc_id").join(tol, "doc_id", "left").join(b, "doc_id", "left").join(lists(truth, "truth_footprints"), "doc_id", "left").join(lists(extracted, "extracted_footprints"), "doc_id", "left")
+    """The pairs of each (document, footprint) bucket's best pairing."""
+    names = [c for c in scored.columns if c != "doc_id"]
+    docs = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("footprint", "truth_mode", "mode", *[c for c in names if c not in ("footprint", "truth_mode", "mode")]))).alias("p"))
+    docs = docs.withColumn("keep", _chosen(F.col("p.footprint"), F.col("p.truth_mode"), F.col("p.mode"), F.col("p.name_score")))
+    kept = docs.select("doc_id", F.explode(F.arrays_zip("p", "keep")).alias("x")).where("x.keep")
+    return kept.select("doc_id", *[F.col(f"x.p.{c}").alias(c) for c in names])
+
+
+def scoreboard(fixtures: DataFrame, identities: DataFrame, truth: DataFrame, extracted: DataFrame) -> DataFrame:
+    """The 22 columns of a scored document: fixtures(fixture_id, manufacturer, model) is the truth,
+    identities(fixture_id, file, manufacturer, model) what was extracted. Scores of slots are pooled over
+    all of a document's chosen pairs."""
+    modes = document_modes(truth, extracted)
+    b = best_pairing(scored_modes(modes)).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("name_sum", "name_n", "fine_hits", "fine_n", "attr_hits", "attr_n", "rich_hits", "rich_n")], F.count("*").alias("n_mode_pairs"))
+    sizes = lambda c: F.array_sort(F.transform(F.coalesce(F.col(c), F.array().cast(modes.schema[c].dataType)), lambda x: x["footprint"]))
+    m = modes.select("doc_id", sizes("t").alias("tc"), sizes("e").alias("ec"))
+    times = lambda c, x: F.size(F.filter(c, lambda y: y == x))
+    hits = F.aggregate(F.array_distinct("tc"), F.lit(0), lambda n, x: n + F.least(times("tc", x), times("ec", x)))
+    m = m.select("doc_id", "tc", "ec", F.try_divide(hits, F.size("tc")).alias("recall"), F.try_divide(hits, F.size("ec")).alias("precision"), F.try_divide(greedy_hits("tc", "ec"), F.size("tc")).alias("tol1"))
+    them = identities.select("fixture_id", "file", F.col("manufacturer").alias("extracted_manufacturer"), F.col("model").alias("extracted_model"))
+    r = fixtures.select("fixture_id", F.col("manufacturer").alias("brand"), "model").join(them, "fixture_id")
+    r = r.join(m.withColumnRenamed("doc_id", "fixture_id"), "fixture_id", "left").join(b.withColumnRenamed("doc_id", "fixture_id"), "fixture_id", "left")
+    alike = lambda x, y: _ratio(norm_name(F.col(x)), norm_name(F.col(y)))
+    listed = lambda c: F.coalesce(F.array_join(c, ";"), F.lit(""))
+    return r.select(
+        "file", "brand", "model", "extracted_manufacturer", "extracted_model",
+        alike("brand", "extracted_manufacturer").alias("manufacturer_score"), alike("model", "extracted_model").alias("model_score"),
+        F.col("recall").alias("footprint_recall"), F.col("precision").alias("footprint_precision"), F.col("tol1").alias("footprint_recall_tol1"),
+        F.try_divide("name_sum", "name_n").alias("channel_name_score"), F.try_divide("fine_hits", "fine_n").alias("fine_byte_score"), F.try_divide("attr_hits", "attr_n").alias("strict_attribute_score"),
+        F.try_divide("rich_hits", "rich_n").alias("range_richness"), F.coalesce("rich_n", F.lit(0)).alias("range_richness_n"), F.coalesce("n_mode_pairs", F.lit(0)).alias("n_mode_pairs"),
+        F.coalesce(F.size("tc"), F.lit(0)).cast("long").alias("n_truth_modes"), F.coalesce(F.size("ec"), F.lit(0)).cast("long").alias("n_extracted_modes"), "fixture_id",
+        listed("tc").alias("truth_footprints"), listed("ec").alias("extract_footprints"), F.coalesce(F.trim("extracted_model").rlike(FILENAME_ECHO), F.lit(False)).alias("filename_echo"),
+    )
 
 
 def metric_summary(board: DataFrame, metrics: list[str]) -> DataFrame:

@@ -105,8 +105,13 @@ SQL: dict[str, str] = {
         select cast(doc_id * 100 + r as bigint) as channel_id, f as fn from base cross join (select 1 as f union all select 2 union all select 3) y where f <= pk % 4""",
     "extract_slots_raw": """
         select doc_id, sk % 2 as mode_idx, cast(row_number() over (partition by doc_id, sk % 2 order by r) as int) - 1 as slot_idx, 1 as dmx_break, case when pk % 8 = 7 then cast(null as int) else ln end as channel_offset,
-          case when pk % 4 = 1 then 'Dimmer' else case pk % 6 when 0 then 'Dimmer' when 1 then 'Pan' when 2 then 'Gobo wheel' else 'Red' end end as name, case when pk % 4 = 0 then 'Dimmer' else 'Pan' end as attribute, pk % 3 as n_ranges
+          case when pk % 4 = 1 then 'Dimmer' else case pk % 6 when 0 then 'Dimmer' when 1 then 'Pan' when 2 then 'Gobo wheel' else 'Red' end end as name, case when pk % 4 = 0 then 'Dimmer' else 'Pan' end as attribute, pk % 3 as n_ranges,
+          case pk % 5 when 0 then concat('ch', cast(ln - 1 as string)) when 1 then '' end as fine_of
         from base where pk % 9 > 0""",
+    "extract_fixtures": """
+        select o_orderkey as fixture_id, concat('m', cast(o_orderkey as string), '.txt') as file, case when o_orderkey % 6 = 0 then '' else concat('Makers ', cast(o_custkey % 9 as string)) end as manufacturer,
+          case o_orderkey % 7 when 0 then concat('m', cast(o_orderkey as string), ' UM') when 1 then cast(null as string) else concat('model-', cast(o_custkey as string)) end as model
+        from {orders} where o_orderkey % 11 > 0""",
     # ---- B5: positioned items
     "items": """
         select doc_id, 1 as page, r as item_no, case when pk % 19 = 0 then ' ' when pk % 4 = 0 then cast(ln as string) when pk % 4 = 1 then 'A' else 'word' end as text,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,11 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return bound(self.spark, self.sf_dir, name) if name in SQL else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def folder(self, name: str) -> str:
+        """A new folder among those that the driver and all executors share."""
+        top = self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or self.spark.conf.get("spark.sql.warehouse.dir")
+        return f"{top.rstrip('/')}/specmine-{name}-{uuid.uuid4().hex}"
+
 
 def case(name: str, fn: Callable[[Tables], DataFrame], needs: str = "", sql: str | None = None) -> None:
     """``sql`` is a select, or ``x as (...), ... select``, over the derived tables in ``needs``."""

@@ -26,10 +26,7 @@ case("s3_split_lines", lambda t: manuals.split_lines(page_table(t)), "lines", "s
 
 def _files(t: Tables, docs, folder: str, records: int = 0):
     """Manuals written as text files in the shared folder, read back by the file source."""
-    import uuid
-
-    top = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or t.spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{top.rstrip('/')}/specmine-manuals-{uuid.uuid4().hex}"
+    path = t.folder("manuals")
     docs.select(F.expr(folder).alias("name"), "text").write.option("maxRecordsPerFile", records).partitionBy("name").text(path)
     return manuals.read_manual_text(t.spark, f"{path}/*").select("text")
 

@@ -30,7 +30,45 @@ case("s8_normalize_assignments", lambda t: flat(t, "assignments"), "assignments"
 case("s8_normalize_modes", lambda t: flat(t, "modes").select("doc_id", "mode_idx", "mode_id", "name", "breaks"), "modes", "select doc_id, cast(dense_rank() over (partition by doc_id order by mode_idx) as int) - 1 as mode_idx, mode_id, name, breaks from modes")
 case("s9_nest_fixtures", lambda t: nested(t).select("doc_id", F.size("channels").alias("n_channels"), F.size("modes").alias("n_modes"), F.array_join(F.transform("channels", lambda c: c["id"]), ",").alias("ids")), "channels modes", """c as (select doc_id, count(*) as n, string_agg(channel_id, ',' order by channel_idx) as ids from channels group by 1), m as (select doc_id, count(*) as n from modes group by 1)
     select o_orderkey as doc_id, c.n as n_channels, m.n as n_modes, c.ids from orders left join c on c.doc_id = o_orderkey left join m on m.doc_id = o_orderkey""")
-case("s13_fixture_json", lambda t: nested(t).select("doc_id", F.to_json(F.struct("doc_id", "channels", "modes")).alias("json")))
+
+
+def fixture_files(t: Tables) -> DataFrame:
+    """Every record written as a JSON file of its own, one in 50 of them broken, and read back."""
+    n = nested(t).withColumns({"id": F.col("doc_id").cast("string"), "channels": F.transform("channels", lambda c: c.dropFields("kind"))})
+    text = F.to_json(F.struct("id", "channels", "modes"))
+    path = t.folder("fixtures")
+    broken = F.when(F.col("doc_id") % 50 == 0, F.substring(text, 1, 20)).otherwise(text)
+    n.select(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("folder"), broken.alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    good, bad = records.read_fixtures(t.spark, f"{path}/*")
+    kinds = F.array_join(F.array_distinct(F.transform("channels", lambda c: c["kind"])), ",")
+    listed = good.select(F.col("id").cast("bigint").alias("doc_id"), F.size("channels").alias("n_channels"), F.size("modes").alias("n_modes"), kinds.alias("kinds"))
+    lost = bad.agg(F.count("*").cast("int").alias("n_channels")).select(F.lit(-1).cast("bigint").alias("doc_id"), "n_channels", F.lit(0).alias("n_modes"), F.lit("unread").alias("kinds"))
+    return listed.unionByName(lost)
+
+
+case("s7_read_fixtures", fixture_files, "channels modes", """c as (select doc_id, count(*) as n from channels group by 1), m as (select doc_id, count(*) as n from modes group by 1)
+    select o_orderkey as doc_id, coalesce(c.n, 0) as n_channels, coalesce(m.n, 0) as n_modes, case when c.n > 0 then 'generic' else '' end as kinds from orders left join c on c.doc_id = o_orderkey left join m on m.doc_id = o_orderkey where o_orderkey % 50 > 0
+    union all select -1, count(*), 0, 'unread' from orders where o_orderkey % 50 = 0""")
+
+
+def taxonomy_file(t: Tables) -> DataFrame:
+    """Attribute definitions of all parts written as XML documents of 1000 and read back."""
+    k, path = F.col("p_partkey"), t.folder("taxonomy")
+    pretty = F.when(k % 3 > 0, F.concat(F.lit(' Pretty="'), F.col("p_name"), F.lit('"'))).otherwise("")
+    feature = F.when(k % 4 > 0, F.concat(F.lit(' Feature="'), F.col("p_type"), F.lit('"'))).otherwise("")
+    one = F.concat(F.lit('<Attribute Name="A'), k.cast("string"), F.lit('"'), pretty, feature, F.lit("/>"))
+    whole = t("part").groupBy(F.floor(k / 1000).alias("n")).agg(F.concat(F.lit("<Attributes>"), F.array_join(F.collect_list(one), ""), F.lit("</Attributes>")).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return records.read_taxonomy_xml(t.spark, path)
+
+
+case("s12_read_taxonomy_xml", taxonomy_file, "", "select 'A' || p_partkey as name, case when p_partkey % 3 > 0 then p_name else 'A' || p_partkey end as pretty, case when p_partkey % 4 > 0 then p_type else 'Control.Control' end as feature from part")
+whole = {"ignoreNullFields": "false"}
+case("s13_fixture_json", lambda t: nested(t).select("doc_id", F.to_json(F.struct("doc_id", "channels", "modes"), whole).alias("json")), "channels ranges modes assignments", """r as (select doc_id, channel_id, list({'start': range_start, 'end': range_end, 'name': name, 'safety': safety, 'confidence': {'score': confidence}} order by range_idx) as ranges from ranges group by 1, 2),
+    c as (select c.doc_id, list({'id': c.channel_id, 'name': name, 'kind': kind, 'color': color, 'fineOf': fine_of, 'confidence': {'score': confidence}, 'ranges': coalesce(ranges, [])} order by channel_idx) as channels from channels c left join r on r.doc_id = c.doc_id and r.channel_id = c.channel_id group by 1),
+    a as (select doc_id, mode_idx, list({'channelId': channel_id, 'offset': channel_offset, 'dmxBreak': dmx_break} order by slot_idx) as slots from assignments group by 1, 2),
+    m as (select m.doc_id, list({'id': mode_id, 'name': name, 'breaks': breaks, 'channels': coalesce(slots, [])} order by m.mode_idx) as modes from modes m left join a on a.doc_id = m.doc_id and a.mode_idx = m.mode_idx group by 1)
+    select o_orderkey as doc_id, cast(to_json({'doc_id': o_orderkey, 'channels': channels, 'modes': modes}) as varchar) as json from orders left join c on c.doc_id = o_orderkey left join m on m.doc_id = o_orderkey""")
 case("s15_extraction_summary", lambda t: records.extraction_summary(t("fixtures"), t("modes"), t("assignments")), "fixtures modes assignments", """s as (select doc_id, mode_idx, count(distinct (dmx_break, channel_offset)) as n from assignments group by 1, 2),
     l as (select doc_id, string_agg(name || ':' || n, ', ' order by mode_idx) as footprints from modes join s using (doc_id, mode_idx) group by 1)
     select doc_id, manufacturer, model, coalesce(footprints, '') as footprints, footprints is null as failed from fixtures left join l using (doc_id)""")
@@ -249,7 +287,7 @@ EVAL = "truth_modes truth_channels truth_functions extract_slots_raw truth_fixtu
 SLOTS = """tc as (select fixture_id as doc_id, idx as mode_idx, channel_id, coalesce(dmx_break, 1) as dmx_break, coalesce(pretty, attribute) as name, attribute, coalesce(n, 0) as n_functions, offset_coarse, offset_fine from truth_channels join truth_modes using (mode_id) left join (select channel_id, count(*) as n from truth_functions group by 1) f using (channel_id)),
     ts0 as (select doc_id, mode_idx, channel_id, dmx_break, offset_coarse as slot, name, attribute, n_functions, 0 as fine from tc where offset_coarse is not null union all select doc_id, mode_idx, channel_id, dmx_break, offset_fine, name, attribute, 0, 1 from tc where offset_fine is not null and offset_fine is distinct from offset_coarse),
     ts as (select doc_id, mode_idx, dmx_break, slot, name, attribute, n_functions, fine from (select *, row_number() over (partition by doc_id, mode_idx, dmx_break, slot order by channel_id desc, fine desc) as k from ts0) where k = 1),
-    es as (select doc_id, mode_idx, dmx_break, channel_offset as slot, name, attribute, n_ranges from (select *, row_number() over (partition by doc_id, mode_idx, dmx_break, channel_offset order by slot_idx desc) as k from extract_slots_raw where channel_offset is not null) where k = 1),
+    es as (select doc_id, mode_idx, dmx_break, channel_offset as slot, name, attribute, fine_of, n_ranges from (select *, row_number() over (partition by doc_id, mode_idx, dmx_break, channel_offset order by slot_idx desc) as k from extract_slots_raw where channel_offset is not null) where k = 1),
     tf as (select doc_id, mode_idx, count(*) as footprint from ts group by 1, 2), ef as (select doc_id, mode_idx, count(*) as footprint from es group by 1, 2),
     rp as (select doc_id, cast(sum(t) as bigint) as n_truth, cast(sum(e) as bigint) as n_extracted, sum(least(t, e)) / nullif(sum(t), 0) as recall, sum(least(t, e)) / nullif(sum(e), 0) as "precision" from (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(t, 0) as t, coalesce(e, 0) as e from (select doc_id, footprint, count(*) as t from tf group by 1, 2) a full join (select doc_id, footprint, count(*) as e from ef group by 1, 2) b on a.doc_id = b.doc_id and a.footprint = b.footprint) group by 1)"""
 
@@ -274,19 +312,31 @@ def files(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 case("e4_join_truth", lambda t: evaluate.join_truth(*files(t)), "", f"{FILES} select * from jt")
 case("e5_unscored", lambda t: evaluate.unscored(files(t)[0], files(t)[1], evaluate.join_truth(*files(t))), "", f"{FILES} select file, 'no manifest row' as reason from ex where file not in (select file from man) union all select file, 'no truth' from ex where file in (select file from man) and file not in (select file from jt)")
 case("e6_recall_precision", lambda t: evaluate.footprint_recall_precision(*prints(t)), EVAL, f"{SLOTS} select * from rp")
-case("e7_recall_tol1", lambda t: evaluate.recall_tol1(*prints(t)))
+TOL1 = f"""recursive {SLOTS}, tl as (select doc_id, list(footprint order by footprint) as t from tf group by 1), el as (select doc_id, list(footprint order by footprint) as e from ef group by 1),
+    step as (select tl.doc_id, t, 0 as i, 0 as n, coalesce(e, []) as pool from tl left join el on el.doc_id = tl.doc_id union all
+      select doc_id, t, i + 1, n + (k is not null)::int, case when k is null then pool else list_concat(pool[:k - 1], pool[k + 1:]) end
+      from (select *, list_position(list_transform(pool, lambda p: abs(p - t[i + 1]) <= 1), true) as k from step where i < len(t))),
+    tol as (select doc_id, n / len(t) as recall_tol1 from step where i = len(t))"""
+case("e7_recall_tol1", lambda t: evaluate.recall_tol1(*prints(t)), EVAL, f"{TOL1} select doc_id, recall_tol1 from tol")
 case("e8_norm_name", lambda t: t("truth_channels").select("channel_id", tx.norm_name(F.col("pretty")).alias("norm")), "truth_channels", "select channel_id, regexp_replace(lower(coalesce(pretty, '')), '[^a-z0-9]', '', 'g') as norm from truth_channels")
-case("e9_name_ratio", lambda t: evaluate.name_ratio(t("truth_channels").select(F.col("pretty").alias("a"), F.col("attribute").alias("b")).distinct()))
+# Ratcliff/Obershelp: the longest common run (first in a, then in b), then the same left and right of it
+NORM = "regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]', '', 'g')"
+RUN = """list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: flatten(list_transform(range(1, length(b) + 1), lambda j: list_transform(list_filter(range(1, least(length(a) - i, length(b) - j) + 2), lambda k: substr(a, i, k) = substr(b, j, k)), lambda k: {'k': k, 'i': -i, 'j': -j}))))))"""
+RATIO = f"""rtree as (select a as a0, b as b0, a, b, cast(0 as bigint) as k from rpairs union all
+      select a0, b0, p.a, p.b, p.k from (select a0, b0, unnest([{{'a': substr(a, 1, -m.i - 1), 'b': substr(b, 1, -m.j - 1), 'k': m.k}}, {{'a': substr(a, -m.i + m.k), 'b': substr(b, -m.j + m.k), 'k': cast(0 as bigint)}}]) as p
+        from (select a0, b0, a, b, {RUN} as m from rtree where a <> '' and b <> '') x where m is not null) y),
+    ratios as (select a0 as a, b0 as b, case when a0 <> '' or b0 <> '' then 2.0 * sum(k) / (length(a0) + length(b0)) end as ratio from rtree group by 1, 2)"""
+case("e9_name_ratio", lambda t: evaluate.name_ratio(t("truth_channels").select(F.col("pretty").alias("a"), F.col("attribute").alias("b")).distinct()), "truth_channels", f"""recursive names as (select distinct pretty, attribute, {NORM.format('pretty')} as a, {NORM.format('attribute')} as b from truth_channels),
+    rpairs as (select distinct a, b from names), {RATIO} select pretty as a, attribute as b, ratio as name_ratio from names join ratios using (a, b)""")
 case("e10_pair_modes", lambda t: evaluate.pair_modes(*prints(t)), EVAL, f"{SLOTS} select t.doc_id, t.footprint, t.mode_idx as truth_mode, e.mode_idx as mode from tf t join ef e using (doc_id, footprint)")
 
 
 def scored(t: Tables) -> DataFrame:
-    return evaluate.score_pairs(evaluate.pair_modes(*prints(t)), truth(t), extracted(t))
+    return evaluate.score_pairs(truth(t), extracted(t))
 
 
 def board(t: Tables) -> DataFrame:
-    fx = t("truth_fixtures").withColumnRenamed("fixture_id", "doc_id")
-    return evaluate.scoreboard(fx, *prints(t), evaluate.best_pairing(scored(t)))
+    return evaluate.scoreboard(t("truth_fixtures"), t("extract_fixtures"), truth(t), extracted(t))
 
 
 def small_board(t: Tables) -> DataFrame:
@@ -295,11 +345,32 @@ def small_board(t: Tables) -> DataFrame:
 
 
 BOARD = f"{SLOTS}, bd as (select f.manufacturer, rp.* from truth_fixtures f join rp on rp.doc_id = f.fixture_id where n_truth > 0)"
-case("e11_score_pairs", scored)
-case("e12_best_pairing", lambda t: evaluate.best_pairing(scored(t)))
-case("e13_range_richness", lambda t: evaluate.best_pairing(scored(t)).groupBy("doc_id").agg(F.try_divide(F.sum("rich_hits"), F.sum("rich_n")).alias("range_richness")))
-case("e14_scoreboard", board)
-case("s14_scoreboard_rows", lambda t: board(t).select("doc_id", *[F.round(c, 4).alias(c) for c in ("recall", "precision", "name_score")]))
+# buckets of the bound data have two modes a side at most: the pairs of equal or of unlike rank are a pairing
+SCORED = f"""recursive {SLOTS}, pj as (select t.doc_id, t.footprint, t.mode_idx as truth_mode, e.mode_idx as mode from tf t join ef e using (doc_id, footprint)),
+    sj as (select pj.*, t.fine, t.n_functions, {NORM.format('t.name')} as a, {NORM.format('e.name')} as b, trim(coalesce(t.attribute, '')) as ta, trim(coalesce(e.attribute, '')) as ea, coalesce(e.fine_of, '') as fine_of, coalesce(e.n_ranges, 0) as n_ranges
+      from pj join ts t on t.doc_id = pj.doc_id and t.mode_idx = truth_mode left join es e on e.doc_id = pj.doc_id and e.mode_idx = mode and e.dmx_break = t.dmx_break and e.slot = t.slot),
+    rpairs as (select distinct a, b from sj where a <> '' union select distinct {NORM.format('f.manufacturer')}, {NORM.format('x.manufacturer')} from truth_fixtures f join extract_fixtures x using (fixture_id) union select distinct {NORM.format('f.model')}, {NORM.format('x.model')} from truth_fixtures f join extract_fixtures x using (fixture_id)), {RATIO},
+    sc as (select doc_id, footprint, truth_mode, mode, coalesce(avg(ratio) filter (where fine = 0 and sj.a <> ''), 0.0) as name_score, coalesce(sum(ratio) filter (where fine = 0 and sj.a <> ''), 0.0) as name_sum, count(*) filter (where fine = 0 and sj.a <> '') as name_n,
+      count(*) filter (where fine = 1 and fine_of <> '') as fine_hits, count(*) filter (where fine = 1) as fine_n, count(*) filter (where fine = 0 and sj.a <> '' and ta <> '' and lower(ta) = lower(ea)) as attr_hits, count(*) filter (where fine = 0 and sj.a <> '' and ta <> '') as attr_n,
+      count(*) filter (where fine = 0 and n_functions > 1 and n_ranges > 1) as rich_hits, count(*) filter (where fine = 0 and n_functions > 1) as rich_n from sj left join ratios r on r.a = sj.a and r.b = sj.b group by 1, 2, 3, 4),
+    sr as (select *, (dense_rank() over (partition by doc_id, footprint order by truth_mode) + dense_rank() over (partition by doc_id, footprint order by mode)) % 2 as way from sc),
+    sw as (select doc_id, footprint, way, row_number() over (partition by doc_id, footprint order by round(sum(name_score), 9) desc, way) as k from sr group by 1, 2, 3),
+    bp as (select sc.* from sc join sr using (doc_id, footprint, truth_mode, mode) join sw using (doc_id, footprint, way) where k = 1)"""
+SCORING = f"{EVAL} extract_fixtures"
+case("e11_score_pairs", lambda t: scored(t).withColumns({c: F.round(c, 9) for c in ("name_score", "name_sum")}), SCORING, f"{SCORED} select * replace (round(name_score, 9) as name_score, round(name_sum, 9) as name_sum) from sc")
+case("e12_best_pairing", lambda t: evaluate.best_pairing(scored(t)).withColumns({c: F.round(c, 9) for c in ("name_score", "name_sum")}), SCORING, f"{SCORED} select * replace (round(name_score, 9) as name_score, round(name_sum, 9) as name_sum) from bp")
+case("e13_range_richness", lambda t: evaluate.best_pairing(scored(t)).groupBy("doc_id").agg(F.try_divide(F.sum("rich_hits"), F.sum("rich_n")).alias("range_richness")), SCORING, f"{SCORED} select doc_id, sum(rich_hits) / nullif(sum(rich_n), 0) as range_richness from bp group by 1")
+FLOATS = ("manufacturer_score", "model_score", "footprint_recall", "footprint_precision", "footprint_recall_tol1", "channel_name_score", "fine_byte_score", "strict_attribute_score", "range_richness")
+LISTS = "string_agg(footprint, ';' order by footprint)"
+FULL = f"""{SCORED}, {TOL1.removeprefix(f"recursive {SLOTS}, ")}, bs as (select doc_id, sum(name_sum) as ns, sum(name_n) as nn, sum(fine_hits) as fh, sum(fine_n) as fn, sum(attr_hits) as ah, sum(attr_n) as an, sum(rich_hits) as rh, sum(rich_n) as rn, count(*) as np from bp group by 1),
+    tfl as (select doc_id, {LISTS} as l from tf group by 1), efl as (select doc_id, {LISTS} as l from ef group by 1),
+    full_board as (select file, f.manufacturer as brand, f.model, x.manufacturer as extracted_manufacturer, x.model as extracted_model, r1.ratio as manufacturer_score, r2.ratio as model_score, rp.recall as footprint_recall, rp."precision" as footprint_precision, recall_tol1 as footprint_recall_tol1,
+      ns / nullif(nn, 0) as channel_name_score, fh / nullif(fn, 0) as fine_byte_score, ah / nullif(an, 0) as strict_attribute_score, rh / nullif(rn, 0) as range_richness, cast(coalesce(rn, 0) as bigint) as range_richness_n, coalesce(np, 0) as n_mode_pairs,
+      coalesce(n_truth, 0) as n_truth_modes, coalesce(n_extracted, 0) as n_extracted_modes, fixture_id, coalesce(tfl.l, '') as truth_footprints, coalesce(efl.l, '') as extract_footprints, coalesce(regexp_matches(trim(x.model), '(?i)\\bum$'), false) as filename_echo
+      from truth_fixtures f join extract_fixtures x using (fixture_id) left join rp on rp.doc_id = fixture_id left join tol on tol.doc_id = fixture_id left join bs on bs.doc_id = fixture_id left join tfl on tfl.doc_id = fixture_id left join efl on efl.doc_id = fixture_id
+      left join ratios r1 on r1.a = {NORM.format('f.manufacturer')} and r1.b = {NORM.format('x.manufacturer')} left join ratios r2 on r2.a = {NORM.format('f.model')} and r2.b = {NORM.format('x.model')})"""
+case("e14_scoreboard", lambda t: board(t).withColumns({c: F.round(c, 9) for c in FLOATS}), SCORING, f"{FULL} select * replace ({', '.join(f'round({c}, 9) as {c}' for c in FLOATS)}) from full_board")
+case("s14_scoreboard_rows", lambda t: records.scoreboard_rows(board(t)), SCORING, f"{FULL} select * replace ({', '.join(f'round({c}, 4) as {c}' for c in FLOATS)}) from full_board")
 case("e15_metric_summary", lambda t: evaluate.metric_summary(small_board(t), ["recall", "precision"]), EVAL, f"""{BOARD} select 'recall' as metric, count(recall) as n, round(avg(recall), 6) as mean, round(median(recall), 6) as median, min(recall) as lowest, max(recall) as highest from bd union all select 'precision', count("precision"), round(avg("precision"), 6), round(median("precision"), 6), min("precision"), max("precision") from bd""")
 case("e16_brand_rollup", lambda t: evaluate.brand_rollup(small_board(t)), EVAL, f"""{BOARD} select manufacturer, count(*) as n, round(avg(recall), 6) as mean_recall, round(avg("precision"), 6) as mean_precision from bd group by 1""")
 case("e17_health_counts", lambda t: evaluate.health_counts(small_board(t)), EVAL, f"{BOARD} select count(*) filter (where recall = 0) as zero_recall, count(*) filter (where recall = 1) as perfect_recall, count(*) as n from bd")

@@ -117,9 +117,14 @@ def write_fixture_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
 
 
+def scoreboard_rows(board: DataFrame) -> DataFrame:
+    """The board as it is written: doubles rounded to 4 places."""
+    return board.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in board.dtypes])
+
+
 def write_scoreboard(board: DataFrame, path: str) -> None:
-    """CSV with doubles rounded to 4 places."""
-    board.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in board.dtypes]).write.csv(path, header=True)
+    """CSV of the board's columns with a header."""
+    scoreboard_rows(board).write.csv(path, header=True)
 
 
 def extraction_summary(fixtures: DataFrame, modes: DataFrame, assignments: DataFrame) -> DataFrame:
