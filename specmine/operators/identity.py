@@ -1,34 +1,38 @@
 """Identity: which maker and model a manual is about, and how sure that is.
 
-Brand spellings are a catalog table. Texts are scanned once for the candidates (containment),
-and only for those the whole-word offsets are taken.
+Brand spellings are a catalog table, sent to the texts in blocks. Everything that needs a manual's text
+(candidates, whole-word offsets, contexts, models nearby, phrases that name the maker) is taken in the
+manual's own row, so texts are never shuffled; only what was found goes on.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specmine.functions.text import RANGE, edit_similarity, flatten_text, ocr_fold, slug
 
-# Honorifics and roles ahead of person names, phrases that name the product, words
-# that aren't model names.
+# Honorifics and roles ahead of person names, phrases around the name of one's own
+# product, words that aren't model names.
 PERSON = ["mr", "mrs", "ms", "dr", "by", "author", "designer", "engineer", "manager"]
-SELF = ["thank you for purchasing", "thank you for choosing", "congratulations on your"]
+BOUGHT = r"(?:purchasing|buying) this\s+"
+THIS, PRODUCT = r"\bthis\s+", r"\s+product\b"
 TITLE = r"^([A-Z][A-Za-z0-9]+(?: [A-Z0-9][A-Za-z0-9]*)+)"
 KIND = r"(?:user[ \t]+manual|owner'?s?[ \t]+manual|programming[ \t]+manual|instructions?[ \t]+manual|user[ \t]+instructions|dmx[ \t]+traits)"
 DOC_WORDS = ["manual", "user", "guide", "dmx", "chart", "instructions", "quick", "start", "rev", "version"]
 
 
-def early_boundary(docs: DataFrame, marker: str = r"=== PAGE [0-9]+ ===") -> DataFrame:
+def boundary_of(text: Column, marker: str = r"=== PAGE [0-9]+ ===") -> Column:
     """Offset of the third page marker, else the length of the text."""
-    pieces = F.split("text", marker, -1)
-    marks = F.regexp_extract_all("text", F.lit(f"({marker})"), F.lit(1))
+    pieces = F.split(text, marker, -1)
+    marks = F.regexp_extract_all(text, F.lit(f"({marker})"), F.lit(1))
     third = F.aggregate(F.slice(pieces, 1, 3), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(marks, 1, 2), F.lit(0), lambda a, p: a + F.length(p))
-    return docs.select("doc_id", F.when(F.size(marks) >= 3, third).otherwise(F.length("text")).alias("boundary"))
+    return F.when(F.size(marks) >= 3, third).otherwise(F.length(text))
+
+
+def early_boundary(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", boundary_of(F.col("text")).alias("boundary"))
 
 
 def spellings(catalog: DataFrame) -> DataFrame:
@@ -36,32 +40,39 @@ def spellings(catalog: DataFrame) -> DataFrame:
     return catalog.select("canonical", F.explode(F.array_distinct(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("spelling"))
 
 
-def brand_candidates(docs: DataFrame, catalog: DataFrame, limit: int = 20_000) -> DataFrame:
-    """(doc_id, canonical) by case-blind containment of any spelling.
+def with_brands(docs: DataFrame, catalog: DataFrame, limit: int = 20_000, small: int = 1_000_000) -> DataFrame:
+    """``docs`` with ``_brand`` (canonical, spellings, strong) for each brand of which the text holds a
+    spelling, whatever the case.
 
-    Up to ``limit`` spellings are sent along as one array and tested in one pass over the texts.
-    A larger catalog is tested by the same rule in blocks of about ``limit`` spellings, which
-    are dealt by hash of the name and stay in Spark: each text meets each block's array once.
+    The catalog is a stated query set: it is cut into blocks of about ``limit`` spellings, and each text
+    is tested against each block's array. Blocks are broadcast up to ``small`` spellings in all.
     """
-    s = spellings(catalog).select("canonical", F.lower("spelling").alias("s")).where("s is not null")
-    low = F.lower("text")
-    rows = s.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        known = F.array(*[F.struct(F.lit(r.canonical).alias("canonical"), F.lit(r.s).alias("s")) for r in rows]) if rows else F.array().cast("array<struct<canonical:string,s:string>>")
-        texts = docs.withColumn("_low", low)
-    else:
-        n = -(-s.count() // limit)
-        blocks = s.groupBy(F.pmod(F.xxhash64("canonical"), F.lit(n)).alias("_b")).agg(F.collect_set(F.struct("canonical", "s")).alias("_known"))
-        known = F.col("_known")
-        texts = docs.withColumn("_low", low).crossJoin(blocks.select("_known"))
-    hits = F.array_distinct(F.transform(F.filter(known, lambda k: F.contains(F.col("_low"), k["s"])), lambda k: k["canonical"]))
-    return texts.select("doc_id", F.explode(hits).alias("canonical"))
+    strong = F.col("requires_strong_signal") if "requires_strong_signal" in catalog.columns else F.lit(False)
+    s = spellings(catalog).select("canonical", F.lower("spelling").alias("s")).where("s is not null").groupBy("canonical").agg(F.collect_set("s").alias("s"))
+    s = s.join(catalog.select("canonical", strong.alias("strong")).dropDuplicates(["canonical"]), "canonical")
+    total = s.agg(F.sum(F.size("s"))).first()[0] or 0
+    n = max(1, -(-total // limit))
+    blocks = s.groupBy(F.pmod(F.xxhash64("canonical"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("canonical", F.col("s").alias("spellings"), "strong")).alias("_known"))
+    blocks = F.broadcast(blocks.select("_known")) if total <= small else blocks.select("_known")
+    low = docs.withColumn("_low", F.lower("text")).crossJoin(blocks)
+    held = F.filter("_known", lambda k: F.exists(k["spellings"], lambda x: F.contains(F.col("_low"), x)))
+    return low.withColumn("_brand", F.explode(held)).drop("_low", "_known")
+
+
+def brand_candidates(docs: DataFrame, catalog: DataFrame, limit: int = 20_000) -> DataFrame:
+    """(doc_id, canonical) by case-blind containment of any spelling."""
+    return with_brands(docs.select("doc_id", "text"), catalog, limit).select("doc_id", "_brand.canonical")
+
+
+def escaped(c: Column) -> Column:
+    """A text as a pattern that matches it alone."""
+    return F.regexp_replace(c, r"([^\p{L}\p{N}\s])", r"\\$1")
 
 
 def word_offsets(text: Column, word: Column) -> Column:
     """0-based offsets of a word or phrase with no letter or digit on either side."""
     low, w = F.lower(text), F.lower(word)
-    pieces = F.split(F.concat(F.lit(" "), low, F.lit(" ")), F.concat(F.lit("\\Q"), w, F.lit("\\E")), -1)
+    pieces = F.split(F.concat(F.lit(" "), low, F.lit(" ")), escaped(w), -1)
     n = F.greatest(F.size(pieces) - 1, F.lit(0))
     # each hit with the pieces on either side; an empty piece between two hits is an edge as well
     hits = F.zip_with(F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n), lambda a, b: F.struct(F.length(a).alias("n"), (~a.rlike("[A-Za-z0-9]$") & ~b.rlike("^[A-Za-z0-9]")).alias("ok")))
@@ -74,57 +85,93 @@ def word_offsets(text: Column, word: Column) -> Column:
     return F.aggregate(hits, start, step)["out"]
 
 
+def offsets_of(flat: Column, spelt: Column) -> Column:
+    """Whole-word offsets of any spelling, each once."""
+    return F.array_distinct(F.flatten(F.transform(spelt, lambda x: word_offsets(flat, x))))
+
+
 def brand_occurrences(docs: DataFrame, candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """Whole-word offsets in the flattened text, distinct by offset over spellings."""
-    c = candidates.join(spellings(catalog), "canonical")
-    flat = docs.select("doc_id", flatten_text(F.col("text")).alias("flat"))
-    return c.join(flat, "doc_id").select("doc_id", "canonical", F.explode(word_offsets(F.col("flat"), F.col("spelling"))).alias("at")).distinct()
+    every = spellings(catalog).groupBy("canonical").agg(F.collect_set("spelling").alias("s"))
+    c = candidates.join(every, "canonical").groupBy("doc_id").agg(F.collect_list(F.struct("canonical", "s")).alias("c"))
+    found = docs.select("doc_id", flatten_text(F.col("text")).alias("flat")).join(c, "doc_id")
+    hits = F.transform("c", lambda x: F.struct(x["canonical"].alias("canonical"), offsets_of(F.col("flat"), x["s"]).alias("at")))
+    return found.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.canonical", F.explode("h.at").alias("at"))
+
+
+def is_person(flat: Column, at: Column) -> Column:
+    """Whether an honorific or role stands one word or two ahead of an offset."""
+    before = F.substring(flat, F.greatest(F.lit(1), at - 39), F.least(F.lit(40), at))
+    words = F.filter(F.split(F.lower(before), "[^a-z]+"), lambda w: w != "")
+    last_two = F.when(F.size(words) > 2, F.slice(words, -2, 2)).otherwise(words)
+    return F.arrays_overlap(last_two, F.array(*map(F.lit, PERSON)))
 
 
 def drop_person_contexts(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Without hits that an honorific or role precedes by one word or two."""
     flat = docs.select("doc_id", flatten_text(F.col("text")).alias("flat"))
-    before = F.substring(F.col("flat"), F.greatest(F.lit(1), F.col("at") - 39), F.least(F.lit(40), F.col("at")))
-    words = F.filter(F.split(F.lower(before), "[^a-z]+"), lambda w: w != "")
-    last_two = F.when(F.size(words) > 2, F.slice(words, -2, 2)).otherwise(words)
-    return occurrences.join(flat, "doc_id").where(~F.arrays_overlap(last_two, F.array(*map(F.lit, PERSON)))).select("doc_id", "canonical", "at")
+    return occurrences.join(flat, "doc_id").where(~is_person(F.col("flat"), F.col("at"))).select("doc_id", "canonical", "at")
 
 
 def model_proximity(docs: DataFrame, occurrences: DataFrame, hints: DataFrame) -> DataFrame:
     """Whether a model hint (3 characters or more) stands within 800, and within 20, characters."""
     flat = docs.select("doc_id", flatten_text(F.col("text")).alias("flat"))
-    h = hints.where(F.length("hint") >= 3).join(flat, "doc_id").select("doc_id", F.explode(word_offsets(F.col("flat"), F.col("hint"))).alias("h"))
-    near = occurrences.join(h, "doc_id").where(F.abs(F.col("h") - F.col("at")) < 800)
-    p = near.groupBy("doc_id", "canonical").agg(F.lit(True).alias("co_occurs"), F.bool_or(F.abs(F.col("h") - F.col("at")) <= 20).alias("adjacent"))
-    every = occurrences.select("doc_id", "canonical").distinct()
-    return every.join(p, ["doc_id", "canonical"], "left").na.fill(False, ["co_occurs", "adjacent"])
+    h = hints.where(F.length("hint") >= 3).join(flat, "doc_id").select("doc_id", F.array_sort(word_offsets(F.col("flat"), F.col("hint"))).alias("h"))
+    o = occurrences.groupBy("doc_id", "canonical").agg(F.collect_list("at").alias("at"))
+    near = lambda d: F.coalesce(is_near(F.col("at"), F.col("h"), d), F.lit(False))
+    return o.join(h, "doc_id", "left").select("doc_id", "canonical", near(799).alias("co_occurs"), near(20).alias("adjacent"))
+
+
+def is_near(a: Column, b: Column, distance: int) -> Column:
+    """Whether some offset of a and one of b are at most ``distance`` apart: both are merged in
+    order, and neighbours of different kinds compared."""
+    tag = lambda c, k: F.transform(c, lambda x: F.struct(x.alias("x"), F.lit(k).alias("k")))
+    both = F.array_sort(F.concat(tag(a, 0), tag(b, 1)))
+    ahead = F.slice(both, F.lit(2), F.greatest(F.size(both) - 1, F.lit(0)))
+    return F.exists(F.arrays_zip(both.alias("p"), ahead.alias("q")), lambda z: F.coalesce((z["p"]["k"] != z["q"]["k"]) & (z["q"]["x"] - z["p"]["x"] <= distance), F.lit(False)))
+
+
+def names_itself(flat: Column, spelt: Column) -> Column:
+    """Whether the text says "purchasing (or buying) this X" or "this X product" of a spelling X."""
 
+    def said(x: Column) -> Column:
+        w = escaped(x)
+        return F.rlike(flat, F.concat(F.lit("(?i)" + BOUGHT), w, F.lit(r"\b|" + THIS), w, F.lit(PRODUCT)))
 
-def self_identification(docs: DataFrame, candidates: DataFrame, phrases: list[str] = SELF) -> DataFrame:
-    """Candidates that a purchase phrase names."""
-    low = docs.select("doc_id", F.lower(flatten_text(F.col("text"))).alias("low"))
-    named = reduce(lambda a, p: a | F.contains(F.col("low"), F.concat(F.lit(p + " "), F.lower("canonical"))), phrases, F.lit(False))
-    return candidates.join(low, "doc_id").select("doc_id", "canonical", named.alias("self_identifies"))
+    return F.exists(spelt, said)
+
+
+def self_identification(docs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Candidates, and whether the text names one of their spellings as its own product."""
+    own = with_brands(docs.select("doc_id", "text"), catalog)
+    return own.select("doc_id", "_brand.canonical", names_itself(flatten_text(F.col("text")), F.col("_brand.spellings")).alias("self_identifies"))
 
 
 def padded_words(c: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
-def exclude_self_reference(scored: DataFrame, titles: DataFrame) -> DataFrame:
-    """Drop a brand whose only mention stands inside the title's words."""
+def exclude_self_reference(scored: DataFrame, titles: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Drop a brand whose only mention stands inside the title's words, by any of its spellings."""
     t = titles.select("doc_id", padded_words(F.col("title")).alias("_t"))
-    return scored.join(t, "doc_id", "left").where(F.coalesce(~(F.contains("_t", padded_words(F.col("canonical"))) & (F.col("hits") == 1)), F.lit(True))).drop("_t")
-
-
-def score_brands(occurrences: DataFrame, boundaries: DataFrame, proximity: DataFrame, selfs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Hits, +1 for an early one, +1 near a model, +20 for self-identification; brands that need
-    a strong signal must identify themselves."""
-    o = occurrences.join(boundaries, "doc_id").groupBy("doc_id", "canonical").agg(F.count("*").alias("hits"), F.bool_or(F.col("at") < F.col("boundary")).alias("early"))
-    s = o.join(proximity, ["doc_id", "canonical"], "left").join(selfs, ["doc_id", "canonical"], "left").na.fill(False, ["co_occurs", "adjacent", "self_identifies"])
-    s = s.join(catalog.select("canonical", "requires_strong_signal"), "canonical").where("self_identifies or not requires_strong_signal")
+    s = spellings(catalog).groupBy("canonical").agg(F.collect_set("spelling").alias("_s"))
+    inside = F.exists("_s", lambda x: (padded_words(x) != "  ") & F.contains(F.col("_t"), padded_words(x)))
+    return scored.join(t, "doc_id", "left").join(s, "canonical", "left").where(F.coalesce(~(inside & (F.col("hits") <= 1)), F.lit(True))).drop("_t", "_s")
+
+
+def score_brands(docs: DataFrame, catalog: DataFrame, hint: Column) -> DataFrame:
+    """Hits, +1 for an early one, +1 near a model hint, +20 for self-identification; brands that need
+    a strong signal must identify themselves. ``hint`` is a column of ``docs``; all in a row's own text."""
+    d = docs.select("doc_id", "text", hint.alias("_hint"), boundary_of(F.col("text")).alias("_early"), flatten_text(F.col("text")).alias("_flat"))
+    b = with_brands(d, catalog).drop("text")
+    flat = F.col("_flat")
+    b = b.withColumn("_at", F.filter(offsets_of(flat, F.col("_brand.spellings")), lambda at: ~is_person(flat, at))).where(F.size("_at") > 0)
+    b = b.withColumn("_self", names_itself(flat, F.col("_brand.spellings"))).where("_self or not _brand.strong")
+    b = b.withColumn("_h", F.when(F.length("_hint") >= 3, word_offsets(flat, F.col("_hint"))))
+    near = lambda n: F.coalesce(is_near(F.col("_at"), F.col("_h"), n), F.lit(False))
+    s = b.select("doc_id", "_brand.canonical", F.size("_at").cast("long").alias("hits"), F.exists("_at", lambda x: x < F.col("_early")).alias("early"), near(799).alias("co_occurs"), near(20).alias("adjacent"), F.col("_self").alias("self_identifies"))
     n = lambda c: F.col(c).cast("int")
-    return s.select("doc_id", "canonical", "hits", "early", "co_occurs", "adjacent", "self_identifies", (F.col("hits") + n("early") + n("co_occurs") + 20 * n("self_identifies")).alias("score"))
+    return s.withColumn("score", F.col("hits") + n("early") + n("co_occurs") + 20 * n("self_identifies"))
 
 
 def pick_brand(scored: DataFrame) -> DataFrame:
@@ -170,11 +217,10 @@ def model_candidates(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.get(model_sources(docs), F.lit(0)).alias("m")).where("m is not null").select("doc_id", "m.source", "m.model")
 
 
-def stated_models(docs: DataFrame) -> DataFrame:
-    """The first source whose model can stand: titles must pass the title filters, and any
-    capitalised word of the text is no statement of the model."""
-    good = F.filter(model_sources(docs), lambda m: m["source"].isin("line", "number") | (m["source"] != "word") & is_title(m["model"]))
-    return docs.select("doc_id", F.get(good, F.lit(0)).alias("m")).where("m is not null").select("doc_id", "m.source", "m.model")
+def stated_model(docs: DataFrame) -> Column:
+    """(source, model) of the first source whose model can stand: titles must pass the title
+    filters, and any capitalised word of the text is no statement of the model."""
+    return F.get(F.filter(model_sources(docs), lambda m: m["source"].isin("line", "number") | (m["source"] != "word") & is_title(m["model"])), F.lit(0))
 
 
 def titles(docs: DataFrame) -> DataFrame:
@@ -191,41 +237,53 @@ def is_title(c: Column) -> Column:
     return ~data & ~furniture & only.rlike("[a-z]{2,}")
 
 
+def without_brand(title: Column, brand: Column) -> Column:
+    lead = F.lower(title).startswith(F.concat(F.lower(brand), F.lit(" ")))
+    return F.when(lead, F.substring(title, F.length(brand) + 2, F.length(title))).otherwise(title)
+
+
 def title_filters(candidates: DataFrame, brands: DataFrame) -> DataFrame:
     """Acceptable titles, without a leading brand name."""
     b = candidates.where(is_title(F.col("title"))).join(brands, "doc_id", "left")
-    lead = F.lower(F.col("title")).startswith(F.concat(F.lower("brand"), F.lit(" ")))
-    return b.select("doc_id", F.when(lead, F.expr("substring(title, length(brand) + 2)")).otherwise(F.col("title")).alias("title"))
+    return b.select("doc_id", without_brand(F.col("title"), F.col("brand")).alias("title"))
 
 
-def model_from_filename(docs: DataFrame) -> DataFrame:
+def file_model(name: Column) -> Column:
     """The file name without extension, hash prefix, document words, revision and date; the first
     token of letters and digits, else what remains; a pure hash gives null."""
-    c = F.regexp_replace("source_name", r"\.[A-Za-z0-9]+$", "")
+    c = F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "")
     c = F.regexp_replace(c, r"^[0-9a-f]{16,}[_-]?", "")
     c = F.regexp_replace(c, "[_ -]+", " ")
     c = F.regexp_replace(c, rf"(?i)\b({'|'.join(DOC_WORDS)})[0-9.]*\b", " ")
     c = F.regexp_replace(c, r"\b(19|20)[0-9]{6}\b", " ")
     c = F.trim(F.regexp_replace(c, r"\s+", " "))
     token = F.regexp_extract(c, r"\b([A-Za-z]+[0-9]+[A-Za-z0-9]*|[0-9]+[A-Za-z][A-Za-z0-9]*)\b", 1)
-    return docs.select("doc_id", F.nullif(F.when(token != "", token).otherwise(c), F.lit("")).alias("model"))
-
-
-def corroborate_model(docs: DataFrame, picks: DataFrame, body_words: int = 60) -> DataFrame:
-    """The pick if its folded form stands in the words after the cover line; else the closest run
-    of one more or one fewer word of the cover that shares a folded word with it, is more than 0.8
-    similar and holds a digit; earlier runs win ties."""
-    words = docs.join(picks, "doc_id").select("doc_id", "model", F.filter(F.split(F.split("text", "\n", 2)[0], r"\s+"), lambda w: w != "").alias("cover"), ocr_fold(F.get(F.split("text", "\n", 2), F.lit(1))).alias("body"))
-    exact = F.contains("body", ocr_fold(F.col("model"))) & (F.length(ocr_fold(F.col("model"))) >= 3)
-    k = F.size(F.split("model", r"\s+"))
-    grams = F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), k - 1), k + 1), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("cover") - n, F.lit(0))), lambda i: F.struct(i.cast("int").alias("i"), F.array_join(F.slice("cover", i + 1, n), " ").alias("g")))))
-    mine = F.transform(F.split("model", r"\s+"), lambda w: ocr_fold(w))
+    return F.nullif(F.when(token != "", token).otherwise(c), F.lit(""))
+
+
+def model_from_filename(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", file_model(F.col("source_name")).alias("model"))
+
+
+def corroborated(text: Column, model: Column) -> Column:
+    """(model, exact): the pick if its folded form stands in the words after the cover line; else the
+    closest run of one more or one fewer word of the cover that shares a folded word with it, is more
+    than 0.8 similar and holds a digit; earlier runs win ties."""
+    cover, body = F.filter(F.split(F.split(text, "\n", 2)[0], r"\s+"), lambda w: w != ""), ocr_fold(F.get(F.split(text, "\n", 2), F.lit(1)))
+    folded, words = ocr_fold(model), F.split(model, r"\s+")
+    exact = F.contains(body, folded) & (F.length(folded) >= 3)
+    k = F.size(words)
+    grams = F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), k - 1), k + 1), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(cover) - n, F.lit(0))), lambda i: F.struct(i.cast("int").alias("i"), F.array_join(F.slice(cover, i + 1, n), " ").alias("g")))))
+    mine = F.transform(words, lambda w: ocr_fold(w))
     shares = lambda g: F.arrays_overlap(F.transform(F.split(g, r"\s+"), lambda w: ocr_fold(w)), mine)
-    rated = words.select("doc_id", "model", exact.alias("exact"), F.explode_outer(F.when(F.size("cover") > 0, F.filter(grams, lambda x: shares(x["g"]) & x["g"].rlike("[0-9]") & ~x["g"].rlike(RANGE)))).alias("x"))
-    s = rated.withColumn("sim", edit_similarity(ocr_fold(F.col("x.g")), ocr_fold(F.col("model"))))
-    w = W.partitionBy("doc_id").orderBy(F.desc(F.coalesce("sim", F.lit(-1.0))), F.col("x.i"), F.col("x.g"))
-    best = s.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return best.select("doc_id", F.when(F.col("exact"), F.col("model")).when(F.col("sim") > 0.8, F.col("x.g")).alias("model"), "exact")
+    fit = F.filter(grams, lambda x: shares(x["g"]) & x["g"].rlike("[0-9]") & ~x["g"].rlike(RANGE))
+    best = F.array_min(F.transform(F.when(F.size(cover) > 0, fit), lambda x: F.struct((-F.coalesce(edit_similarity(ocr_fold(x["g"]), folded), F.lit(-1.0))).alias("far"), x["i"].alias("i"), x["g"].alias("g"))))
+    return F.struct(F.when(exact, model).when(best["far"] < -0.8, best["g"]).alias("model"), exact.alias("exact"))
+
+
+def corroborate_model(docs: DataFrame, picks: DataFrame) -> DataFrame:
+    c = docs.join(picks, "doc_id").select("doc_id", corroborated(F.col("text"), F.col("model")).alias("c"))
+    return c.select("doc_id", "c.model", "c.exact")
 
 
 def fixture_ids(df: DataFrame) -> DataFrame:
@@ -238,25 +296,19 @@ def resolve_identity(docs: DataFrame, catalog: DataFrame, priority: DataFrame) -
     The model is the manual's own (a title as the body spells it and without the brand), else
     the file name's; brands whose only mention is in the model's words are no candidates.
     """
-    stated = stated_models(docs)
-    named = stated.where("source in ('line', 'number')").select("doc_id", "model")
-    picked = stated.where("source not in ('line', 'number')").select("doc_id", "model")
-    spelt = corroborate_model(docs, picked).select("doc_id", F.col("model").alias("spelt"))
-    title = picked.join(spelt, "doc_id", "left").select("doc_id", F.coalesce("spelt", "model").alias("title"))
-    manual = named.unionByName(title.withColumnRenamed("title", "model"))
-    file = model_from_filename(docs).where("model is not null").select("doc_id", F.col("model").alias("file"))
-    hints = docs.select("doc_id").join(manual, "doc_id", "left").join(file, "doc_id", "left").select("doc_id", F.coalesce("model", "file").alias("hint")).where("hint is not null")
-
-    cands = brand_candidates(docs, catalog)
-    occ = drop_person_contexts(docs, brand_occurrences(docs, cands, catalog))
-    scored = score_brands(occ, early_boundary(docs), model_proximity(docs, occ, hints), self_identification(docs, cands), catalog)
-    scored = exclude_self_reference(scored, manual.withColumnRenamed("model", "title"))
+    text = F.col("text")
+    d = docs.withColumn("_m", stated_model(docs)).withColumn("_file", file_model(F.col("source_name")))
+    named = F.col("_m.source").isin("line", "number")
+    title = F.when(F.col("_m.source").isNotNull() & ~named, F.coalesce(corroborated(text, F.col("_m.model"))["model"], F.col("_m.model")))
+    d = d.withColumn("_title", title).withColumn("_model", F.when(named, F.col("_m.model")).otherwise(F.col("_title")))
+    scored = score_brands(d, catalog, F.coalesce("_model", "_file"))
+    scored = exclude_self_reference(scored, d.select("doc_id", F.col("_model").alias("title")).where("title is not null"), catalog)
     brand = known_brand_override(docs, priority, pick_brand(scored))
     facts = brand.join(scored.select("doc_id", F.col("canonical").alias("brand"), "hits", "early", "co_occurs"), ["doc_id", "brand"], "left")
 
-    bare = title_filters(title, brand.select("doc_id", "brand"))
-    m = docs.select("doc_id").join(manual, "doc_id", "left").join(bare, "doc_id", "left").join(file, "doc_id", "left")
-    m = m.select("doc_id", F.coalesce("title", "model", "file").alias("model"), F.when(F.col("model").isNotNull(), "title").when(F.col("file").isNotNull(), "file").otherwise("none").alias("model_source"))
-    out = identity_confidence(m.join(facts, "doc_id", "left").na.fill(False, ["is_known"]))
+    m = d.select("doc_id", "_model", "_title", "_file").join(facts, "doc_id", "left").na.fill(False, ["is_known"])
+    bare = F.when(is_title(F.col("_title")), without_brand(F.col("_title"), F.col("brand")))
+    m = m.withColumn("model", F.coalesce(bare, "_model", "_file")).withColumn("model_source", F.when(F.col("_model").isNotNull(), "title").when(F.col("_file").isNotNull(), "file").otherwise("none"))
+    out = identity_confidence(m)
     out = out.select("doc_id", F.coalesce("brand", F.lit("Unknown maker")).alias("manufacturer"), F.coalesce("model", F.lit("Unknown model")).alias("model"), "identity_confidence", (F.col("model_source") == "title").alias("from_manual"), (F.col("model_source") == "file").alias("filename_echo"))
     return fixture_ids(out)

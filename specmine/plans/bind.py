@@ -81,7 +81,7 @@ SQL: dict[str, str] = {
         join channels c on c.doc_id = a.doc_id and c.channel_idx = a.r - 1""",
     # ---- B3: prose as manuals
     "manuals": """
-        select doc_id, text, lang, source, concat(source, '_', cast(doc_id as string), case when doc_id % 3 = 0 then '_User_Manual_rev2' when doc_id % 3 = 1 then ' MX' else ' Spot 300X manual' end, '.pdf') as source_name from {documents}""",
+        select doc_id, concat(text, case doc_id % 6 when 0 then ' Thank you for purchasing this Off lamp.' when 1 then ' All of this und product.' when 2 then ' Buying this les' when 3 then ' Model: X-3' else '' end) as text, lang, source, concat(source, '_', cast(doc_id as string), case when doc_id % 3 = 0 then '_User_Manual_rev2' when doc_id % 3 = 1 then ' MX' else ' Spot 300X manual' end, '.pdf') as source_name from {documents}""",
     # ---- B3c: makers and models
     "makers": """
         select case pk % 3 when 0 then p_brand when 1 then lower(p_brand) else concat(upper(p_brand), ' ') end as maker, model, pk from (

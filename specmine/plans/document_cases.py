@@ -45,8 +45,7 @@ def hints(t: Tables) -> DataFrame:
 
 
 def scored(t: Tables) -> DataFrame:
-    m = t("manuals")
-    return identity.score_brands(kept(t), identity.early_boundary(m), identity.model_proximity(m, kept(t), hints(t)), identity.self_identification(m, cands(t), ["is"]), catalog(t))
+    return identity.score_brands(t("manuals"), catalog(t), F.when(F.col("doc_id") % 2 == 0, "with").otherwise("from"))
 
 
 PROX = KEPT + r""", hint as (select doc_id, case when doc_id % 2 = 0 then 'with' else 'from' end as hint from manuals), hcuts as (select doc_id, hint as spelling, string_split(' ' || lower(flat) || ' ', hint) as p from hint join flat using (doc_id)), hsums as (select doc_id, spelling, p, unnest(range(1, len(p))) as i from hcuts where len(p) > 1),
@@ -54,7 +53,7 @@ PROX = KEPT + r""", hint as (select doc_id, case when doc_id % 2 = 0 then 'with'
     near as (select k.doc_id, canonical, bool_or(abs(h - "at") <= 20) as adjacent from kept k join hocc using (doc_id) where abs(h - "at") < 800 group by 1, 2),
     prox as (select e.doc_id, e.canonical, n.adjacent is not null as co_occurs, coalesce(n.adjacent, false) as adjacent from (select distinct doc_id, canonical from occ_all) e left join near n using (doc_id, canonical))"""
 PROX = PROX.replace("occ_all", "kept")
-SELF = "selfs as (select doc_id, canonical, contains(lower(flat), 'is ' || canonical) as self_identifies from cands join flat using (doc_id))"
+SELF = r"selfs as (select doc_id, canonical, bool_or(regexp_matches(flat, '(?i)(purchasing|buying) this\s+' || spelling || '\b|\bthis\s+' || spelling || '\s+product\b')) as self_identifies from cands join spelt using (canonical) join flat using (doc_id) group by 1, 2)"
 SCORED = f"""{PROX}, {SELF}, {BOUND}, o as (select doc_id, canonical, count(*) as hits, bool_or("at" < boundary) as early from kept join bounds using (doc_id) group by 1, 2),
     scored as (select doc_id, canonical, hits, early, coalesce(co_occurs, false) as co_occurs, coalesce(adjacent, false) as adjacent, coalesce(self_identifies, false) as self_identifies, hits + cast(early as int) + cast(coalesce(co_occurs, false) as int) + 20 * cast(coalesce(self_identifies, false) as int) as score from o left join prox using (doc_id, canonical) left join selfs using (doc_id, canonical) where coalesce(self_identifies, false) or canonical <> 'that')"""
 PICK = SCORED + ", picked as (select doc_id, canonical, hits, early, co_occurs, adjacent, self_identifies, score from (select *, row_number() over (partition by doc_id order by score desc, canonical) as r from scored) where r = 1 and (self_identifies or (adjacent and hits >= 2) or hits >= 6))"
@@ -66,10 +65,10 @@ case("i3_brand_candidates", cands, "manuals", f"{CANDS} select * from cands")
 case("i4_brand_occurrences", occ, "manuals", f"{OCC} select * from occ")
 case("i5_drop_person_contexts", kept, "manuals", f"{KEPT} select * from kept")
 case("i6_model_proximity", lambda t: identity.model_proximity(t("manuals"), kept(t), hints(t)), "manuals", f"{PROX} select * from prox")
-case("i7_self_identification", lambda t: identity.self_identification(t("manuals"), cands(t), ["is"]), "manuals", f"{CANDS}, {SELF} select * from selfs")
-case("i8_exclude_self_reference", lambda t: identity.exclude_self_reference(scored(t), t("manuals").select("doc_id", F.substring("text", 1, 60).alias("title"))).select("doc_id", "canonical", "hits"), "manuals", rf"{SCORED} select doc_id, canonical, hits from scored join manuals using (doc_id) where not (hits = 1 and contains(' ' || trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || canonical || ' '))")
+case("i7_self_identification", lambda t: identity.self_identification(t("manuals"), catalog(t)), "manuals", f"{CANDS}, {SELF} select * from selfs")
+case("i8_exclude_self_reference", lambda t: identity.exclude_self_reference(scored(t), t("manuals").select("doc_id", F.substring("text", 1, 60).alias("title")), catalog(t)).select("doc_id", "canonical", "hits"), "manuals", rf"{SCORED} select doc_id, canonical, hits from scored join manuals using (doc_id) where not (hits = 1 and exists (select 1 from spelt where spelt.canonical = scored.canonical and contains(' ' || trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || spelling || ' ')))")
 COVER = "regexp_extract(string_split(text, chr(10))[1], '^([A-Z][A-Za-z0-9]+(?: [A-Z0-9][A-Za-z0-9]*)+)', 1)"
-case("i8_exclude_self_reference_titles", lambda t: identity.exclude_self_reference(scored(t), identity.titles(t("manuals"))).select("doc_id", "canonical", "hits"), "manuals", rf"{SCORED} select doc_id, canonical, hits from scored join manuals using (doc_id) where not (hits = 1 and contains(' ' || trim(regexp_replace(lower({COVER}), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || canonical || ' '))")
+case("i8_exclude_self_reference_titles", lambda t: identity.exclude_self_reference(scored(t), identity.titles(t("manuals")), catalog(t)).select("doc_id", "canonical", "hits"), "manuals", rf"{SCORED} select doc_id, canonical, hits from scored join manuals using (doc_id) where not (hits = 1 and exists (select 1 from spelt where spelt.canonical = scored.canonical and contains(' ' || trim(regexp_replace(lower({COVER}), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || spelling || ' ')))")
 case("i9_score_brands", scored, "manuals", f"{SCORED} select * from scored")
 case("i10_pick_brand", lambda t: identity.pick_brand(scored(t)), "manuals", f"{PICK} select * from picked")
 
