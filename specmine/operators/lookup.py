@@ -16,28 +16,49 @@ def clean_footprints(c: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(c, lambda x: x.between(1, 65535))), 1, 64)
 
 
-def nested_footprints(listing: DataFrame, key: str = "dmxfootprint", depth: int = 5) -> DataFrame:
-    """Values under a key (any case) at any depth up to five of a variant column ``modes``."""
-    listing.createOrReplaceTempView("_listing")
+def nested_footprints(listing: DataFrame, key: str = "dmxfootprint", depth: int = 5, most: int = 64) -> DataFrame:
+    """Values under a key (any case) at any depth up to five of a variant column ``modes``; of a
+    listing's distinct values the first ``most`` in order (a limit of the interface)."""
     levels = []
     for n in range(1, depth + 1):
         joins = "".join(f", lateral variant_explode_outer(v{i - 1}.value) v{i}" for i in range(2, n + 1))
-        levels.append(f"select rid, try_cast(v{n}.value as int) as footprint, v{n}.key as k from _listing, lateral variant_explode_outer(modes) v1{joins}")
-    spark = listing.sparkSession
-    found = reduce(DataFrame.unionAll, [spark.sql(x) for x in levels])
-    return found.where((F.lower("k") == key) & F.col("footprint").isNotNull()).select("rid", "footprint")
+        levels.append(listing.sparkSession.sql(f"select rid, try_cast(v{n}.value as int) as footprint, v{n}.key as k from {{listing}}, lateral variant_explode_outer(modes) v1{joins}", listing=listing))
+    found = reduce(DataFrame.unionAll, levels).where((F.lower("k") == key) & F.col("footprint").isNotNull())
+    w = W.partitionBy("rid").orderBy("footprint")
+    return found.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= most).select("rid", "footprint")
+
+
+def name_pairs(left: DataFrame, right: DataFrame, least: float = 0.55) -> DataFrame:
+    """(x, y, score) of all names x of ``left`` and y of ``right`` with a score of ``least`` or more.
+
+    Names that score by shared words share one among the rarest of each (of n words all but
+    least * n, and one more); of names that hold one another, the longer has the rarest four characters
+    of the shorter. So pairs meet by rare keys, and common words join nothing.
+    """
+    names = left.select(F.col("x").alias("name")).unionByName(right.select(F.col("y").alias("name"))).where("name <> ''").distinct()
+    words = F.array_distinct(F.split("name", " "))
+    grams = F.when(F.length("name") >= 4, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 3), lambda i: F.substring("name", i, F.lit(4))))).otherwise(F.array().cast("array<string>"))
+    units = names.select("name", F.explode(F.concat(F.transform(words, lambda u: F.struct(F.lit("w").alias("kind"), u.alias("u"))), F.transform(grams, lambda u: F.struct(F.lit("g").alias("kind"), u.alias("u"))))).alias("k")).select("name", "k.kind", "k.u")
+    often = units.groupBy("kind", "u").agg(F.count("*").alias("n"))
+    of = lambda kind: F.array_sort(F.filter(F.collect_list(F.struct("kind", "n", "u")), lambda k: k["kind"] == kind))
+    ranked = units.join(often, ["kind", "u"]).groupBy("name").agg(of("w").alias("w"), of("g").alias("g"))
+    few = F.slice("w", F.lit(1), (F.size("w") - F.ceil(F.size("w") * least) + 1).cast("int"))
+    keys = lambda c, kind: F.transform(c, lambda k: F.struct(F.lit(kind).alias("kind"), k["u"].alias("u")))
+    one, every = F.slice("g", 1, 1), F.col("g")
+    x = ranked.join(left.select(F.col("x").alias("name")), "name").select(F.col("name").alias("x"), F.explode(F.concat(keys(few, "w"), keys(one, "in"), keys(every, "holds"))).alias("k"))
+    y = ranked.join(right.select(F.col("y").alias("name")), "name").select(F.col("name").alias("y"), F.explode(F.concat(keys(few, "w"), keys(every, "in"), keys(one, "holds"))).alias("k"))
+    return x.join(y, "k").select("x", "y").distinct().withColumn("score", text_score(F.col("x"), F.col("y"))).where(F.col("score") >= least)
 
 
 def match_listing(queries: DataFrame, listing: DataFrame, least: float = 0.72) -> DataFrame:
-    """Maker and model scores of 0.55 or more, weighed .35 and .6; .05 for the footprint, of which
-    half where none is asked for. Candidates share a word of the maker: an equi-join, no cross."""
-    q = queries.select("query_id", normalize_name(F.col("manufacturer")).alias("qm"), normalize_name(F.col("model")).alias("qf"))
-    r = listing.select("rid", normalize_name(F.col("manufacturer")).alias("rm"), normalize_name(F.col("fixture")).alias("rf"), "rating")
-    words = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
-    makers = q.select("qm").distinct().withColumn("w", words(F.col("qm"))).join(r.select("rm").distinct().withColumn("w", words(F.col("rm"))), "w").select("qm", "rm").distinct().withColumn("maker_score", text_score(F.col("qm"), F.col("rm"))).where("maker_score >= 0.55")
-    models = q.select("qf").distinct().withColumn("w", words(F.col("qf"))).join(r.select("rf").distinct().withColumn("w", words(F.col("rf"))), "w").select("qf", "rf").distinct().withColumn("model_score", text_score(F.col("qf"), F.col("rf"))).where("model_score >= 0.55")
-    j = q.join(makers, "qm").join(r, "rm").join(models, ["qf", "rf"])
-    return j.withColumn("score", 0.35 * F.col("maker_score") + 0.6 * F.col("model_score") + 0.025).where(F.col("score") >= least).select("query_id", "rid", "score", "rating")
+    """Maker and model scores of 0.55 or more, weighed .35 and .6; .05 if a footprint asked for is
+    there, half of that if none is asked for. Both tables have an array ``footprints``."""
+    q = queries.select("query_id", normalize_name(F.col("manufacturer")).alias("qm"), normalize_name(F.col("model")).alias("qf"), F.col("footprints").alias("asked"))
+    r = listing.select("rid", normalize_name(F.col("manufacturer")).alias("rm"), normalize_name(F.col("fixture")).alias("rf"), "rating", "footprints")
+    pairs = lambda a, b, names: name_pairs(q.select(F.col(a).alias("x")).distinct(), r.select(F.col(b).alias("y")).distinct()).toDF(a, b, names)
+    j = q.join(pairs("qf", "rf", "model_score"), "qf").join(r, "rf").join(pairs("qm", "rm", "maker_score"), ["qm", "rm"])
+    print_score = F.when(F.size("asked") == 0, 0.5).when(F.arrays_overlap("asked", "footprints"), 1.0).otherwise(0.0)
+    return j.withColumn("score", 0.35 * F.col("maker_score") + 0.6 * F.col("model_score") + 0.05 * print_score).where(F.col("score") >= least).select("query_id", "rid", "score", "rating")
 
 
 def top_matches(scored: DataFrame, k: int = 5) -> DataFrame:

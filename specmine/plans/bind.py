@@ -87,9 +87,11 @@ SQL: dict[str, str] = {
         select case pk % 3 when 0 then p_brand when 1 then lower(p_brand) else concat(upper(p_brand), ' ') end as maker, model, pk from (
           select p_partkey as pk, p_brand, p_name as model from {part}) x""",
     "listing": """
-        select p_partkey as rid, p_brand as manufacturer, p_name as fixture, cast((p_partkey % 50) / 10.0 as double) as rating from {part} where p_partkey % 5 = 0""",
+        select p_partkey as rid, p_brand as manufacturer, case when p_partkey % 3 = 1 then replace(p_name, ' ', '') else p_name end as fixture, cast((p_partkey % 50) / 10.0 as double) as rating,
+          concat(cast(p_size as string), ' ', cast(p_size + 3 as string)) as footprints from {part} where p_partkey % 5 = 0""",
     "queries": """
-        select p_partkey as query_id, case when p_partkey % 2 = 0 then p_brand else upper(p_brand) end as manufacturer, case when p_partkey % 3 = 0 then concat(p_name, ' pro') else p_name end as model from {part} where p_partkey % 7 = 0""",
+        select p_partkey as query_id, case when p_partkey % 2 = 0 then p_brand else upper(p_brand) end as manufacturer, case when p_partkey % 3 = 0 then concat(p_name, ' pro') when p_partkey % 3 = 1 then concat('x', replace(p_name, ' ', '')) else p_name end as model,
+          case when p_partkey % 2 = 0 then '' else concat(cast(p_size + 3 as string), ' 7') end as footprints from {part} where p_partkey % 7 = 0""",
     # ---- B4: truth and extraction
     "truth_modes": """
         select distinct doc_id * 2 + sk % 2 as mode_id, doc_id as fixture_id, sk % 2 as idx, case when sk % 2 = 0 then 'Basic' else 'Extended' end as name from base""",

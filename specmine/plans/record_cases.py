@@ -380,13 +380,14 @@ case("e18_duplicate_audit", lambda t: evaluate.duplicate_audit(t("documents")),
 
 NAME = "trim(regexp_replace(replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 TSCORE = "case when {a} = '' or {b} = '' then 0.0 when {a} = {b} then 1.0 when (length({b}) >= 4 and contains({a}, {b})) or (length({a}) >= 4 and contains({b}, {a})) then 0.88 else len(list_intersect(string_split({a}, ' '), string_split({b}, ' '))) / len(list_distinct(list_concat(string_split({a}, ' '), string_split({b}, ' ')))) end"
-MATCH = f"""q as (select query_id, {NAME.format('manufacturer')} as qm, {NAME.format('model')} as qf from queries), rr as (select rid, {NAME.format('manufacturer')} as rm, {NAME.format('fixture')} as rf, rating from listing),
+MATCH = f"""q as (select query_id, {NAME.format('manufacturer')} as qm, {NAME.format('model')} as qf, footprints as asked from queries), rr as (select rid, {NAME.format('manufacturer')} as rm, {NAME.format('fixture')} as rf, rating, footprints from listing),
     mk as (select * from (select qm, rm, {TSCORE.format(a='qm', b='rm')} as ms from (select distinct qm from q), (select distinct rm from rr)) where ms >= 0.55), md as (select * from (select qf, rf, {TSCORE.format(a='qf', b='rf')} as fs from (select distinct qf from q), (select distinct rf from rr)) where fs >= 0.55),
-    mt as (select query_id, rid, 0.35 * ms + 0.6 * fs + 0.025 as score, rating from q join mk using (qm) join rr using (rm) join md using (qf, rf) where 0.35 * ms + 0.6 * fs + 0.025 >= 0.72)"""
+    mt as (select query_id, rid, score, rating from (select query_id, rid, 0.35 * ms + 0.6 * fs + 0.05 * case when asked = '' then 0.5 when len(list_intersect(string_split(asked, ' '), string_split(footprints, ' '))) > 0 then 1.0 else 0.0 end as score, rating from q join mk using (qm) join rr using (rm) join md using (qf, rf)) where score >= 0.72)"""
 
 
 def matches(t: Tables) -> DataFrame:
-    return lookup.match_listing(t("queries"), t("listing"))
+    listed = F.transform(F.filter(F.split("footprints", " "), lambda x: x != ""), lambda x: x.cast("int"))
+    return lookup.match_listing(t("queries").withColumn("footprints", listed), t("listing").withColumn("footprints", listed))
 
 
 case("f1_clean_text", lambda t: t("documents").select("doc_id", tx.clean_text(F.col("text"), 80).alias("text")), "", r"select doc_id, substr(trim(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g')), 1, 80) as text from documents")
