@@ -1,7 +1,7 @@
 """Layout: positioned words to visual rows, row text, column headers and cells.
 
-Rows follow neighbours: a word starts a new row if it is further from the one above it than
-the tolerance. Greedy comparison with a row's first word would need order within the row.
+A word joins the topmost row whose first word is within its tolerance, else it starts a row: one
+fold over a page's words in order. A page is one row of the table there, never several pages.
 """
 
 from __future__ import annotations
@@ -13,22 +13,31 @@ from pyspark.sql import functions as F
 PAGE = ["doc_id", "page"]
 
 
-def _clusters(items: DataFrame, centre: Column, tolerance: Column, down: bool) -> DataFrame:
-    """row_id by gaps and islands over the vertical position."""
-    kept = items.where(F.trim("text") != "").withColumn("_y", centre)
-    w = W.partitionBy(*PAGE).orderBy(F.desc("_y") if down else F.asc("_y"), "item_no")
-    gap = F.abs(F.lag("_y").over(w) - F.col("_y")) > tolerance
-    return kept.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("row_id", F.sum("_new").over(w).cast("int")).drop("_y", "_new")
+def _clusters(items: DataFrame, down: Column, tolerance: Column) -> DataFrame:
+    """row_id from the top; ``down`` is how far down a word stands."""
+    names = items.columns
+    kept = items.where(F.trim("text") != "").select(*PAGE, F.struct(down.alias("k"), "x", "item_no", tolerance.alias("tol"), F.struct(*names).alias("row")).alias("w"))
+    pages = kept.groupBy(*PAGE).agg(F.array_sort(F.collect_list("w")).alias("w"))
+    start = F.struct(F.array().cast("array<double>").alias("rows"), F.array().cast("array<int>").alias("ids"))
+
+    def step(s: Column, w: Column) -> Column:
+        at = F.array_position(F.transform(s["rows"], lambda y: F.abs(y - w["k"]) <= w["tol"]), True).cast("int")
+        new = at == 0
+        return F.struct(F.when(new, F.concat(s["rows"], F.array(w["k"]))).otherwise(s["rows"]).alias("rows"), F.concat(s["ids"], F.array(F.when(new, F.size(s["rows"]) + 1).otherwise(at))).alias("ids"))
+
+    slim = F.transform("w", lambda w: F.struct(w["k"].alias("k"), w["tol"].alias("tol")))
+    each = pages.select(*PAGE, "w", F.aggregate(slim, start, step)["ids"].alias("ids")).select(F.explode(F.arrays_zip("w", "ids")).alias("z"))
+    return each.select("z.w.row.*", F.col("z.ids").alias("row_id"))
 
 
 def cluster_rows(items: DataFrame) -> DataFrame:
     """Text items, y upwards; tolerance 0.38 of the height, from 2 to 5."""
-    return _clusters(items, F.col("y"), F.least(F.lit(5.0), F.greatest(F.lit(2.0), F.col("height") * 0.38)), True)
+    return _clusters(items, -F.col("y"), F.least(F.lit(5.0), F.greatest(F.lit(2.0), F.col("height") * 0.38)))
 
 
 def cluster_ocr_rows(words: DataFrame) -> DataFrame:
     """OCR words by vertical centre, y downwards; tolerance 0.55 of the height, from 4 to 12."""
-    return _clusters(words, F.col("y") + F.col("height") / 2, F.least(F.lit(12.0), F.greatest(F.lit(4.0), F.col("height") * 0.55)), False)
+    return _clusters(words, F.col("y") + F.col("height") / 2, F.least(F.lit(12.0), F.greatest(F.lit(4.0), F.col("height") * 0.55)))
 
 
 def _row_text(rows: DataFrame, separator: Column) -> DataFrame:
@@ -52,9 +61,8 @@ def join_ocr_row_text(rows: DataFrame) -> DataFrame:
     return _row_text(rows, F.when(F.col("_gap") > F.greatest(F.lit(24.0), F.col("height") * 2), "   ").otherwise(" "))
 
 
-def detect_count_headers(rows: DataFrame) -> DataFrame:
-    """Rows that name two or more distinct column sizes; a label whose size can't be read voids
-    the row. Columns: page, row_id, counts and centres in order."""
+def _with_headers(rows: DataFrame) -> DataFrame:
+    """A line for each row: ``header`` (counts and centres) if it is one, and its ``words``."""
     w = W.partitionBy(*PAGE, "row_id").orderBy("x", "item_no")
     unit = "(?i)^ch(annels?)?$"
     both = rows.withColumn("_next", F.lead("text").over(w)).withColumn("_right", F.lead(F.col("x") + F.col("width")).over(w))
@@ -63,8 +71,16 @@ def detect_count_headers(rows: DataFrame) -> DataFrame:
     right = F.when(glued.isNotNull(), F.col("x") + F.col("width")).otherwise(F.col("_right"))
     labels = both.withColumn("n", F.coalesce(glued, apart)).withColumn("centre", (F.col("x") + right) / 2)
     void = F.bool_or(F.col("text").rlike("(?i)^[^0-9]+ch$|^[?#]+ ?ch") & F.col("n").isNull())
-    got = labels.groupBy(*PAGE, "row_id").agg(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("centre", "n")))).alias("s"), F.count("n").alias("c"), F.count_distinct("n").alias("d"), void.alias("void"))
-    return got.where("c >= 2 and c = d and not void").select(*PAGE, "row_id", F.transform("s", lambda s: s["n"]).alias("counts"), F.transform("s", lambda s: s["centre"]).alias("centres"))
+    words = F.collect_list(F.struct("item_no", "text", "x", "width"))
+    got = labels.groupBy(*PAGE, "row_id").agg(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("centre", "n")))).alias("s"), F.count("n").alias("c"), F.count_distinct("n").alias("d"), void.alias("void"), words.alias("words"))
+    header = F.struct(F.transform("s", lambda s: s["n"]).alias("counts"), F.transform("s", lambda s: s["centre"]).alias("centres"))
+    return got.select(*PAGE, "row_id", F.when(F.expr("c >= 2 and c = d and not void"), header).alias("header"), "words")
+
+
+def detect_count_headers(rows: DataFrame) -> DataFrame:
+    """Rows that name two or more distinct column sizes; a label whose size can't be read voids
+    the row. Columns: page, row_id, counts and centres in order."""
+    return _with_headers(rows).where("header is not null").select(*PAGE, "row_id", "header.counts", "header.centres")
 
 
 def detect_stacked_headers(rows: DataFrame) -> DataFrame:
@@ -102,16 +118,25 @@ def value_column_edge(rows: DataFrame, active: DataFrame) -> DataFrame:
     return per_row.join(active, [*PAGE, "row_id"]).where("header_row is not null").select(*PAGE, "row_id", "header_row", F.max("_e").over(w).alias("value_edge"))
 
 
-def snap_cells(rows: DataFrame, active: DataFrame, headers: DataFrame) -> DataFrame:
+def snap_cells(rows: DataFrame) -> DataFrame:
     """Numbers under a header go to the nearest column within 0.4 of the pitch; a row is out if
-    one misses or two meet. Blanks are dashes; rows without a blank say nothing new and go."""
-    h = column_pitch(headers).select(*PAGE, F.col("row_id").alias("header_row"), "centres", "pitch", "left_edge", "right_edge")
-    under = rows.join(active, [*PAGE, "row_id"]).where("row_id > header_row").join(h, [*PAGE, "header_row"])
-    centre = F.col("x") + F.col("width") / 2
-    numbers = under.where(F.col("text").rlike("^[0-9]{1,3}$")).withColumn("c", centre).where("c between left_edge and right_edge")
-    near = numbers.select("*", F.posexplode("centres").alias("col", "at")).withColumn("far", F.abs(F.col("c") - F.col("at")))
-    w = W.partitionBy(*PAGE, "row_id", "item_no").orderBy("far", "col")
-    best = near.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("fits", F.col("far") <= F.col("pitch") * 0.4)
-    cells = best.groupBy(*PAGE, "row_id", "header_row").agg(F.bool_and("fits").alias("ok"), F.count("*").alias("n"), F.count_distinct("col").alias("d"), F.first(F.size("centres")).alias("width"), F.array_sort(F.collect_list(F.struct("col", "text"))).alias("m"))
+    one misses or two meet. Blanks are dashes; rows without a blank say nothing new and go.
+
+    Rows are dealt out by page once; headers come down by a window, columns are found in the row.
+    """
+    w = W.partitionBy(*PAGE).orderBy("row_id").rowsBetween(W.unboundedPreceding, 0)
+    latest = F.last(F.when(F.col("header").isNotNull(), F.struct(F.col("row_id").alias("at"), F.col("header.centres").alias("centres"))), ignorenulls=True).over(w)
+    h = _with_headers(rows.repartition(*PAGE)).withColumn("h", latest).where("row_id > h.at")
+    centres = F.col("h.centres")
+    h = column_pitch(h.select(*PAGE, "row_id", F.col("h.at").alias("header_row"), "words", centres.alias("centres")))
+    middle = lambda t: t["x"] + t["width"] / 2
+    numbers = F.filter("words", lambda t: t["text"].rlike("^[0-9]{1,3}$") & middle(t).between(F.col("left_edge"), F.col("right_edge")))
+
+    def nearest(t: Column) -> Column:
+        far = F.array_min(F.transform("centres", lambda c, i: F.struct(F.abs(middle(t) - c).alias("far"), i.alias("col"))))
+        return F.struct(far["col"].alias("col"), far["far"].alias("far"), t["text"].alias("text"))
+
+    m = h.withColumn("m", F.transform(numbers, nearest)).withColumn("width", F.size("centres"))
+    ok = F.forall("m", lambda s: s["far"] <= F.col("pitch") * 0.4) & (F.size("m") > 0) & (F.size("m") < F.col("width")) & (F.size(F.array_distinct(F.transform("m", lambda s: s["col"]))) == F.size("m"))
     text = lambda i: F.coalesce(F.get(F.transform(F.filter("m", lambda s: s["col"] == i), lambda s: s["text"]), F.lit(0)), F.lit("-"))
-    return cells.where("ok and n = d and n < width").select(*PAGE, "row_id", "header_row", F.transform(F.sequence(F.lit(0), F.greatest(F.col("width") - 1, F.lit(0))), text).alias("cells"))
+    return m.where(ok).select(*PAGE, "row_id", "header_row", F.transform(F.sequence(F.lit(0), F.col("width") - 1), text).alias("cells"))

@@ -66,7 +66,7 @@ case("i4_brand_occurrences", occ, "manuals", f"{OCC} select * from occ")
 case("i5_drop_person_contexts", kept, "manuals", f"{KEPT} select * from kept")
 case("i6_model_proximity", lambda t: identity.model_proximity(t("manuals"), kept(t), hints(t)), "manuals", f"{PROX} select * from prox")
 case("i7_self_identification", lambda t: identity.self_identification(t("manuals"), catalog(t)), "manuals", f"{CANDS}, {SELF} select * from selfs")
-case("i8_exclude_self_reference", lambda t: identity.exclude_self_reference(scored(t), t("manuals").select("doc_id", F.substring("text", 1, 60).alias("title")), catalog(t)).select("doc_id", "canonical", "hits"), "manuals", rf"{SCORED} select doc_id, canonical, hits from scored join manuals using (doc_id) where not (hits = 1 and exists (select 1 from spelt where spelt.canonical = scored.canonical and contains(' ' || trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || spelling || ' ')))")
+case("i8_exclude_self_reference", lambda t: identity.exclude_self_reference(scored(t), t("manuals").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title")), catalog(t)).select("doc_id", "canonical", "hits"), "manuals", rf"{SCORED} select doc_id, canonical, hits from scored join manuals using (doc_id) where not (hits = 1 and exists (select 1 from spelt where spelt.canonical = scored.canonical and contains(' ' || trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || spelling || ' ')))")
 COVER = "regexp_extract(string_split(text, chr(10))[1], '^([A-Z][A-Za-z0-9]+(?: [A-Z0-9][A-Za-z0-9]*)+)', 1)"
 case("i8_exclude_self_reference_titles", lambda t: identity.exclude_self_reference(scored(t), identity.titles(t("manuals")), catalog(t)).select("doc_id", "canonical", "hits"), "manuals", rf"{SCORED} select doc_id, canonical, hits from scored join manuals using (doc_id) where not (hits = 1 and exists (select 1 from spelt where spelt.canonical = scored.canonical and contains(' ' || trim(regexp_replace(lower({COVER}), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || spelling || ' ')))")
 case("i9_score_brands", scored, "manuals", f"{SCORED} select * from scored")
@@ -88,7 +88,7 @@ case(
     y as (select doc_id, brand, case when doc_id % 3 = 1 then least(0.45, cast(b + m as double) / 2) else cast(b + m as double) / 2 end as m2 from x) select doc_id, cast({CONF} as double) as identity_confidence from y""",
 )
 case("i13_model_candidates", lambda t: identity.model_candidates(t("manuals")))
-case("i14_title_filters", lambda t: identity.title_filters(t("manuals").select("doc_id", F.substring("text", 1, 40).alias("title")), t("manuals").select("doc_id", F.lit("the").alias("brand"))), "manuals", r"""x as (select doc_id, substr(text, 1, 40) as title from manuals)
+case("i14_title_filters", lambda t: identity.title_filters(t("manuals").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title")), t("manuals").select("doc_id", F.lit("the").alias("brand"))), "manuals", r"""x as (select doc_id, string_split(text, chr(10))[1] as title from manuals)
     select doc_id, case when starts_with(lower(title), 'the ') then substr(title, 5) else title end as title from x where not regexp_matches(title, '(?i)copyright|©|\.{4,}|[0-9]{4}-[0-9]{2}|:|([0-9]+[^0-9]+){3,}') and not regexp_matches(title, '(?i)^(page|rev|contents?|user manual)\b') and regexp_matches(regexp_replace(lower(title), '\b(manual|user|guide|dmx|chart|instructions|quick|start|rev|version)\b', '', 'g'), '[a-z]{2,}')""")
 case("i14_title_filters_lines", lambda t: identity.title_filters(t("manuals").select("doc_id", F.explode(F.split("text", "\n")).alias("title")), t("manuals").select("doc_id", F.lit("the").alias("brand"))), "manuals", r"""x as (select doc_id, unnest(string_split(text, chr(10))) as title from manuals)
     select doc_id, case when starts_with(lower(title), 'the ') then substr(title, 5) else title end as title from x where not regexp_matches(title, '(?i)copyright|©|\.{4,}|[0-9]{4}-[0-9]{2}|:|([0-9]+[^0-9]+){3,}') and not regexp_matches(title, '(?i)^(page|rev|contents?|user manual)\b') and regexp_matches(regexp_replace(lower(title), '\b(manual|user|guide|dmx|chart|instructions|quick|start|rev|version)\b', '', 'g'), '[a-z]{2,}')""")
@@ -96,7 +96,7 @@ case("i15_model_from_filename", lambda t: identity.model_from_filename(t("manual
     y as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(c, '(?i)\b(manual|user|guide|dmx|chart|instructions|quick|start|rev|version)[0-9.]*\b', ' ', 'g'), '\b(19|20)[0-9]{6}\b', ' ', 'g'), '\s+', ' ', 'g')) as c from x)
     select doc_id, nullif(case when regexp_extract(c, '\b([A-Za-z]+[0-9]+[A-Za-z0-9]*|[0-9]+[A-Za-z][A-Za-z0-9]*)\b', 1) <> '' then regexp_extract(c, '\b([A-Za-z]+[0-9]+[A-Za-z0-9]*|[0-9]+[A-Za-z][A-Za-z0-9]*)\b', 1) else c end, '') as model from y""")
 FOLD = "regexp_replace(translate(lower({0}), 'il|!oszb', '11110528'), '[^a-z0-9]', '', 'g')"
-case("i16_ocr_fold", lambda t: t("manuals").select("doc_id", tx.ocr_fold(F.substring("text", 1, 60)).alias("folded")), "manuals", f"select doc_id, {FOLD.format('substr(text, 1, 60)')} as folded from manuals")
+case("i16_ocr_fold", lambda t: t("manuals").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).select("doc_id", "line", tx.ocr_fold(F.col("text")).alias("folded")), "manuals", f"x as (select doc_id, string_split(text, chr(10)) as l from manuals), y as (select doc_id, unnest(range(len(l))) as line, unnest(l) as text from x) select doc_id, cast(line as int) as line, {FOLD.format('text')} as folded from y")
 case("i16_ocr_fold_whole", lambda t: t("manuals").select("doc_id", tx.ocr_fold(F.col("text")).alias("folded")), "manuals", f"select doc_id, {FOLD.format('text')} as folded from manuals")
 case("i17_corroborate_model", lambda t: identity.corroborate_model(t("manuals").withColumn("text", F.concat(F.lit("Wash 300X manual\n"), "text")), t("manuals").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "Wash 3OOX").otherwise("the").alias("model"))), "manuals", f"select doc_id, case when doc_id % 2 = 0 then case when contains({FOLD.format('text')}, 'wa5h300x') then 'Wash 3OOX' else 'Wash 300X' end when contains({FOLD.format('text')}, 'the') then 'the' end as model, case when doc_id % 2 = 0 then contains({FOLD.format('text')}, 'wa5h300x') else contains({FOLD.format('text')}, 'the') end as exact from manuals")
 case("i18_edit_similarity", lambda t: t("makers").select("pk", tx.edit_similarity(F.col("maker"), F.col("model")).alias("sim")), "makers", "select pk, 1 - levenshtein(maker, model) / greatest(length(maker), length(model)) as sim from makers")

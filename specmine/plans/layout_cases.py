@@ -10,13 +10,16 @@ from specmine.plans.case import Tables, case
 from specmine.sources import records
 
 
-def clusters(expr: str, tolerance: str, order: str) -> str:
-    return f"""ci as (select *, {expr} as yy, {tolerance} as tol from items where trim(text) <> ''), cg as (select *, lag(yy) over w as py from ci window w as (partition by doc_id, page order by yy {order}, item_no)),
-    cr as (select * exclude (yy, tol, py), cast(sum(case when abs(py - yy) <= tol then 0 else 1 end) over (partition by doc_id, page order by yy {order}, item_no) as int) as row_id from cg)"""
+def clusters(down: str, tolerance: str) -> str:
+    return f"""recursive ci as (select doc_id, page, list(struct_pack(k := {down}, x := x, n := item_no, tol := {tolerance}) order by {down}, x, item_no) as l from items where trim(text) <> '' group by 1, 2),
+    fold as (select doc_id, page, l, 0 as i, cast([] as double[]) as rs, cast([] as int[]) as ids from ci union all
+      select doc_id, page, l, i + 1, case when p is null then list_append(rs, l[i + 1].k) else rs end, list_append(ids, cast(coalesce(p, len(rs) + 1) as int))
+      from (select *, list_position(list_transform(rs, lambda r: abs(r - l[i + 1].k) <= l[i + 1].tol), true) as p from fold where i < len(l))),
+    cr as (select items.*, f.row_id from (select doc_id, page, unnest(list_transform(l, lambda v: v.n)) as item_no, unnest(ids) as row_id from fold where i = len(l)) f join items using (doc_id, page, item_no))"""
 
 
-ROWS = clusters("y", "least(5.0, greatest(2.0, height * 0.38))", "desc")
-OCR_ROWS = clusters("y + height / 2", "least(12.0, greatest(4.0, height * 0.55))", "asc")
+ROWS = clusters("-y", "least(5.0, greatest(2.0, height * 0.38))")
+OCR_ROWS = clusters("y + height / 2", "least(12.0, greatest(4.0, height * 0.55))")
 JOIN = """jp as (select *, x - max(x + width) over (partition by doc_id, page, row_id order by x, item_no rows between unbounded preceding and 1 preceding) as gap, lag(text) over (partition by doc_id, page, row_id order by x, item_no) as prev from cr)
     select doc_id, page, row_id, string_agg({sep} || trim(text), '' order by x, item_no) as text from jp group by 1, 2, 3"""
 SEP = "case when gap is null then '' when gap > 18 then '   ' when gap < height * 0.15 and regexp_matches(text, '^[A-Za-z]') and regexp_matches(prev, '[A-Za-z]$') then '' else ' ' end"
@@ -72,7 +75,7 @@ def stacked(t: Tables) -> DataFrame:
 case("l6_detect_stacked_headers", lambda t: layout.detect_stacked_headers(stacked(t)).withColumn("counts", F.array_join(F.col("counts").cast("array<string>"), ",")), "base", "select distinct doc_id, 1 as page, 1 as row_id, '4,8,12' as counts from base where r = doc_id % 2 + 2 and doc_id % 5 > 0")
 case("l7_column_pitch", lambda t: layout.column_pitch(headers(t)).select("doc_id", "row_id", "pitch", "left_edge", "right_edge"), "base", f"{PITCH} select doc_id, row_id, pitch, centres[1] - pitch / 2 as left_edge, centres[len(centres)] + pitch / 2 as right_edge from pitched")
 case("l8_active_header", active, "base", f"{ACTIVE} select * from active")
-case("l9_snap_cells", lambda t: layout.snap_cells(grid(t), active(t), headers(t)).withColumn("cells", F.array_join("cells", "|")), "base", f"""{ACTIVE.replace('headers as', 'headers0 as').replace('left join headers h', 'left join headers0 h')}, pitched as (select *, list_min(list_transform(range(1, len(centres)), lambda i: centres[i + 1] - centres[i])) as pitch from headers0),
+case("l9_snap_cells", lambda t: layout.snap_cells(grid(t)).withColumn("cells", F.array_join("cells", "|")), "base", f"""{ACTIVE.replace('headers as', 'headers0 as').replace('left join headers h', 'left join headers0 h')}, pitched as (select *, list_min(list_transform(range(1, len(centres)), lambda i: centres[i + 1] - centres[i])) as pitch from headers0),
     nums as (select g.doc_id, g.page, g.row_id, a.header_row, g.item_no, g.text, g.x + g.width / 2 as c, centres, pitch from grid g join active a using (doc_id, page, row_id) join pitched p on p.doc_id = g.doc_id and p.page = g.page and p.row_id = a.header_row where g.row_id > a.header_row and regexp_matches(g.text, '^[0-9]{{1,3}}$') and g.x + g.width / 2 between centres[1] - pitch / 2 and centres[len(centres)] + pitch / 2),
     near as (select *, unnest(range(0, len(centres))) as col, unnest(list_transform(centres, lambda v: abs(c - v))) as far from nums), best as (select *, far <= pitch * 0.4 as fits from (select *, row_number() over (partition by doc_id, page, row_id, item_no order by far, col) as k from near) where k = 1),
     ok as (select doc_id, page, row_id, header_row, any_value(len(centres)) as width, list(struct_pack(col := col, text := text)) as m from best group by 1, 2, 3, 4 having bool_and(fits) and count(*) = count(distinct col) and count(*) < any_value(len(centres)))

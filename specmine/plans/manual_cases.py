@@ -31,8 +31,10 @@ def _files(t: Tables, docs, folder: str, records: int = 0):
     return manuals.read_manual_text(t.spark, f"{path}/*").select("text")
 
 
-def _some_files(t: Tables):
-    return _files(t, manuals.assemble_text(page_table(t)).where("doc_id % 100 = 0"), "concat('doc', doc_id)")
+def _file_lines(t: Tables):
+    """All manuals, a file each; the lines that the file source gives."""
+    whole = _files(t, manuals.assemble_text(page_table(t)), "pmod(xxhash64(doc_id, 'lines'), 16)", 1)
+    return whole.select(F.explode(F.split("text", "\n")).alias("text")).where("text <> ''")
 
 
 def _every_file(t: Tables):
@@ -40,7 +42,7 @@ def _every_file(t: Tables):
     return _files(t, manuals.assemble_text(page_table(t)), "pmod(xxhash64(doc_id), 64)", 1)
 
 
-case("s1_read_manual_text", _some_files, "lines", f"{DOCS} select text || chr(10) as text from docs_b where doc_id % 100 = 0")
+case("s1_read_manual_text", _file_lines, "lines", f"{DOCS} select * from (select unnest(string_split(text, chr(10))) as text from docs_b) where text <> ''")
 case("s1_read_every_manual_text", _every_file, "lines", f"{DOCS} select text || chr(10) as text from docs_b")
 case(
     "p11_append_region_text",
@@ -71,9 +73,9 @@ case(
 case("p4_table_text_score", lambda t: pages.table_text_score(page_table(t)).select("doc_id", "page", "score"), "lines", f"{PAGES} select doc_id, page, cast({SCORE} as double) as score from pages_b")
 case(
     "p5_merge_readings",
-    lambda t: pages.merge_readings(page_table(t), page_table(t).where("page % 2 = 1").withColumn("text", F.expr("substring(text, 1, 60)"))),
+    lambda t: pages.merge_readings(page_table(t), page_table(t).where("page % 2 = 1").withColumn("text", F.expr("concat('DMX values ', upper(text))"))),
     "lines",
-    f"""{PAGES}, b as (select doc_id, page, text, {SCORE} as s from pages_b), d as (select doc_id, page, text, {SCORE} as s from (select doc_id, page, substr(text, 1, 60) as text from pages_b where page % 2 = 1))
+    f"""{PAGES}, b as (select doc_id, page, text, {SCORE} as s from pages_b), d as (select doc_id, page, text, {SCORE} as s from (select doc_id, page, 'DMX values ' || upper(text) as text from pages_b where page % 2 = 1))
     select b.doc_id, b.page, case when d.s >= b.s * 0.7 then d.text || chr(10) || b.text else b.text end as text from b left join d using (doc_id, page)""",
 )
 case(

@@ -109,7 +109,7 @@ def test_layout_columns(spark):
     assert [x.text for x in layout.join_row_text(r).orderBy("row_id").collect()] == ["24Ch   34Ch   Function", "7   Pan", "8   9   Tilt"]
     h = layout.detect_count_headers(r)
     assert [(x.counts, x.centres) for x in h.collect()] == [([24, 34], [64.0, 109.0])]
-    cells = layout.snap_cells(r, layout.active_header(r, h), h)
+    cells = layout.snap_cells(r)
     assert [(x.row_id, x.cells) for x in cells.collect()] == [(2, ["7", "-"])]
 
 
