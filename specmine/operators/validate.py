@@ -49,88 +49,136 @@ def risky_range(values: DataFrame, ranges: DataFrame) -> DataFrame:
     return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*CHANNEL, "value", "range_idx", "safety")
 
 
-# ---- rules: each gives (doc_id, level, code, path, message)
-
-
-def _issue(df: DataFrame, level: str, code: str, path: Column, message: Column | str) -> DataFrame:
-    return df.select("doc_id", F.lit(level).alias("level"), F.lit(code).alias("code"), path.alias("path"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+# ---- rules: each gives (doc_id, level, code, path, message); those of one table are tested in one pass
 
 
 def _at(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def _rule(broken: Column, level: str, code: str, path: Column, message: Column | str) -> Column:
+    """The issue of a row, null where the rule isn't broken."""
+    return F.when(broken, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), path.alias("path"), (F.lit(message) if isinstance(message, str) else message).alias("message")))
+
+
+def _issues(df: DataFrame, *rules: Column) -> DataFrame:
+    return df.select("doc_id", F.inline(F.array_compact(F.array(*rules))))
+
+
+def identity_rules() -> list[Column]:
+    return [_rule(F.trim(F.coalesce(c, F.lit(""))) == "", "error", "identity." + c, F.lit("identity." + c), f"{c} is blank") for c in ("manufacturer", "model")]
+
+
 def v_identity(fixtures: DataFrame) -> DataFrame:
-    rules = [_issue(fixtures.where(F.trim(F.coalesce(c, F.lit(""))) == ""), "error", "identity." + c, F.lit("identity." + c), f"{c} is blank") for c in ("manufacturer", "model")]
-    return rules[0].unionByName(rules[1])
+    return _issues(fixtures, *identity_rules())
 
 
 def v_no_modes(fixtures: DataFrame, modes: DataFrame) -> DataFrame:
-    return _issue(fixtures.join(modes, "doc_id", "left_anti"), "error", "modes.none", F.lit("modes"), "no modes")
+    return _issues(fixtures.join(modes, "doc_id", "left_anti"), _rule(F.lit(True), "error", "modes.none", F.lit("modes"), "no modes"))
 
 
-def v_duplicate_channel(channels: DataFrame) -> DataFrame:
-    w = W.partitionBy(*CHANNEL).orderBy("channel_idx")
-    return _issue(channels.withColumn("_r", F.row_number().over(w)).where("_r > 1"), "error", "channel.duplicate", _at("channels[", F.col("channel_idx"), "]"), _at("duplicate id ", F.col("channel_id")))
+def _numbered_ranges(ranges: DataFrame) -> DataFrame:
+    path = _at(F.col("channel_id"), ".ranges[", F.row_number().over(by_start()) - 1, "]")
+    return ranges.withColumn("_p", path).withColumn("_e", F.lag("range_end").over(by_start()))
 
 
-def _range_path() -> Column:
-    return _at(F.col("channel_id"), ".ranges[", F.row_number().over(by_start()) - 1, "]")
+def range_rules() -> dict[str, Column]:
+    """An overlap is with the previous range in sorted order only, not the furthest end so far."""
+    p = F.col("_p")
+    return {
+        "reversed": _rule(F.expr("range_start > range_end"), "error", "range.reversed", p, "start is after end"),
+        "overlap": _rule(F.expr("range_start <= _e"), "error", "range.overlap", p, "overlaps the range before"),
+        "uncertain": _rule(F.expr("confidence < 0.6"), "warning", "range.uncertain", p, "low confidence"),
+        "safety": _rule(F.expr("safety <> 'normal' and trim(name) = ''"), "warning", "range.safety", p, "safety without a name"),
+    }
 
 
 def v_range_reversed(ranges: DataFrame) -> DataFrame:
-    return _issue(ranges.withColumn("_p", _range_path()).where("range_start > range_end"), "error", "range.reversed", F.col("_p"), "start is after end")
+    return _issues(_numbered_ranges(ranges), range_rules()["reversed"])
 
 
 def v_range_overlap(ranges: DataFrame) -> DataFrame:
-    """Against the previous range in sorted order only, not the furthest end so far."""
-    r = ranges.withColumn("_p", _range_path()).withColumn("_e", F.lag("range_end").over(by_start()))
-    return _issue(r.where("range_start <= _e"), "error", "range.overlap", F.col("_p"), "overlaps the range before")
+    return _issues(_numbered_ranges(ranges), range_rules()["overlap"])
 
 
 def v_range_uncertain(ranges: DataFrame) -> DataFrame:
-    return _issue(ranges.withColumn("_p", _range_path()).where("confidence < 0.6"), "warning", "range.uncertain", F.col("_p"), "low confidence")
+    return _issues(_numbered_ranges(ranges), range_rules()["uncertain"])
 
 
 def v_safety_unnamed(ranges: DataFrame) -> DataFrame:
-    return _issue(ranges.withColumn("_p", _range_path()).where("safety <> 'normal' and trim(name) = ''"), "warning", "range.safety", F.col("_p"), "safety without a name")
+    return _issues(_numbered_ranges(ranges), range_rules()["safety"])
+
+
+def _known_channels(channels: DataFrame, name: str) -> DataFrame:
+    return channels.select("doc_id", F.col("channel_id").alias(name)).distinct().withColumn("_known", F.lit(True))
+
+
+def _numbered_channels(channels: DataFrame) -> DataFrame:
+    w = W.partitionBy(*CHANNEL).orderBy("channel_idx")
+    return channels.withColumn("_r", F.row_number().over(w)).join(_known_channels(channels, "fine_of"), ["doc_id", "fine_of"], "left")
+
+
+def channel_rules() -> dict[str, Column]:
+    path = _at("channels[", F.col("channel_idx"), "]")
+    return {
+        "duplicate": _rule(F.col("_r") > 1, "error", "channel.duplicate", path, _at("duplicate id ", F.col("channel_id"))),
+        "fine": _rule(F.col("fine_of").isNotNull() & F.col("_known").isNull(), "error", "channel.fine", path, _at("fine of absent ", F.col("fine_of"))),
+    }
+
+
+def v_duplicate_channel(channels: DataFrame) -> DataFrame:
+    return _issues(_numbered_channels(channels), channel_rules()["duplicate"])
 
 
 def v_fine_missing(channels: DataFrame) -> DataFrame:
-    have = channels.select("doc_id", F.col("channel_id").alias("fine_of")).distinct()
-    return _issue(channels.where("fine_of is not null").join(have, ["doc_id", "fine_of"], "left_anti"), "error", "channel.fine", _at("channels[", F.col("channel_idx"), "]"), _at("fine of absent ", F.col("fine_of")))
+    return _issues(_numbered_channels(channels), channel_rules()["fine"])
 
 
-def _slot() -> Column:
-    return _at("modes[", F.col("mode_idx"), "].channels[", F.col("slot_idx"), "]")
+def slot_rules() -> dict[str, Column]:
+    path = _at("modes[", F.col("mode_idx"), "].channels[", F.col("slot_idx"), "]")
+    return {
+        "channel": _rule(F.expr("_known is null"), "error", "slot.channel", path, _at("absent channel ", F.col("channel_id"))),
+        "offset": _rule(F.expr("channel_offset not between 1 and 512"), "error", "slot.offset", path, _at("offset ", F.col("channel_offset"))),
+        "break": _rule(F.expr("dmx_break < 1 or dmx_break > greatest(breaks, 1)"), "error", "slot.break", path, _at("break ", F.col("dmx_break"))),
+        "overlap": _rule(F.expr("_h is not null"), "error", "slot.overlap", path, _at("already held by ", F.col("_h"))),
+    }
+
+
+def _with_holder(assignments: DataFrame) -> DataFrame:
+    w = W.partitionBy("doc_id", "mode_idx", "dmx_break", "channel_offset").orderBy("slot_idx")
+    return assignments.withColumn("_h", F.lag("channel_id").over(w))
+
+
+def _with_breaks(assignments: DataFrame, modes: DataFrame) -> DataFrame:
+    return assignments.join(modes.select("doc_id", "mode_idx", "breaks"), ["doc_id", "mode_idx"], "left")
 
 
 def v_unknown_channel(assignments: DataFrame, channels: DataFrame) -> DataFrame:
-    return _issue(assignments.join(channels.select(*CHANNEL).distinct(), CHANNEL, "left_anti"), "error", "slot.channel", _slot(), _at("absent channel ", F.col("channel_id")))
+    return _issues(assignments.join(_known_channels(channels, "channel_id"), CHANNEL, "left"), slot_rules()["channel"])
 
 
 def v_offset(assignments: DataFrame) -> DataFrame:
-    return _issue(assignments.where("channel_offset not between 1 and 512"), "error", "slot.offset", _slot(), _at("offset ", F.col("channel_offset")))
+    return _issues(assignments, slot_rules()["offset"])
 
 
 def v_break(assignments: DataFrame, modes: DataFrame) -> DataFrame:
-    j = assignments.join(modes.select("doc_id", "mode_idx", "breaks"), ["doc_id", "mode_idx"])
-    return _issue(j.where("dmx_break < 1 or dmx_break > greatest(breaks, 1)"), "error", "slot.break", _slot(), _at("break ", F.col("dmx_break")))
+    return _issues(_with_breaks(assignments, modes).where("breaks is not null"), slot_rules()["break"])
 
 
 def v_slot_overlap(assignments: DataFrame) -> DataFrame:
-    w = W.partitionBy("doc_id", "mode_idx", "dmx_break", "channel_offset").orderBy("slot_idx")
-    return _issue(assignments.withColumn("_h", F.lag("channel_id").over(w)).where("_h is not null"), "error", "slot.overlap", _slot(), _at("already held by ", F.col("_h")))
+    return _issues(_with_holder(assignments), slot_rules()["overlap"])
 
 
 def v_matrix_count(matrices: DataFrame) -> DataFrame:
     """matrices: doc_id, x, y, z, n_pixels."""
-    return _issue(matrices.where("n_pixels > 0 and n_pixels <> x * y * greatest(z, 1)"), "warning", "matrix.count", F.lit("matrix"), _at(F.col("n_pixels"), " pixels"))
+    return _issues(matrices, _rule(F.expr("n_pixels > 0 and n_pixels <> x * y * greatest(z, 1)"), "warning", "matrix.count", F.lit("matrix"), _at(F.col("n_pixels"), " pixels")))
 
 
-def validate(fixtures: DataFrame, channels: DataFrame, ranges: DataFrame, modes: DataFrame, assignments: DataFrame) -> DataFrame:
-    """All rules as one issue table."""
-    parts = [v_identity(fixtures), v_no_modes(fixtures, modes), v_duplicate_channel(channels), v_range_reversed(ranges), v_range_overlap(ranges), v_range_uncertain(ranges), v_safety_unnamed(ranges), v_fine_missing(channels), v_unknown_channel(assignments, channels), v_offset(assignments), v_break(assignments, modes), v_slot_overlap(assignments)]
+def validate(fixtures: DataFrame, channels: DataFrame, ranges: DataFrame, modes: DataFrame, assignments: DataFrame, matrices: DataFrame) -> DataFrame:
+    """All rules as one issue table: a pass over each table."""
+    slots = _with_breaks(_with_holder(assignments), modes).join(_known_channels(channels, "channel_id"), CHANNEL, "left")
+    slot = slot_rules() | {"break": F.when(F.col("breaks").isNotNull(), slot_rules()["break"])}
+    parts = [v_identity(fixtures), v_no_modes(fixtures, modes), _issues(_numbered_channels(channels), *channel_rules().values()), _issues(_numbered_ranges(ranges), *range_rules().values()), _issues(slots, *slot.values()), v_matrix_count(matrices)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -253,14 +253,19 @@ RULE_FN = {"v5_identity": validate.v_identity, "v6_no_modes": validate.v_no_mode
 for _name, (_needs, _sql) in RULES.items():
     case(_name, lambda t, f=RULE_FN[_name], n=_needs: f(*[t(x) for x in n.split()]), _needs, _sql)
 RECORD = "fixtures channels ranges modes assignments"
-ISSUES = f"{RS}, issues as (" + " union all ".join(f"select * from ({s.removeprefix(RS).strip()})" for _, s in RULES.values()) + ")"
+MATRIX = "select doc_id, 'warning' as level, 'matrix.count' as code, 'matrix' as path, (pk % 6) || ' pixels' as message from base where r = 1 and pk % 6 > 0 and pk % 6 <> (pk % 4 + 1) * (sk % 3 + 1)"
+ISSUES = f"{RS}, issues as (" + " union all ".join(f"select * from ({s.removeprefix(RS).strip()})" for s in [*(s for _, s in RULES.values()), MATRIX]) + ")"
+
+
+def matrices(t: Tables) -> DataFrame:
+    return t("base").where("r = 1").select("doc_id", (F.col("pk") % 4 + 1).alias("x"), (F.col("sk") % 3 + 1).alias("y"), F.lit(0).alias("z"), (F.col("pk") % 6).alias("n_pixels"))
 
 
 def issues(t: Tables) -> DataFrame:
-    return validate.validate(*[t(x) for x in RECORD.split()])
+    return validate.validate(*[t(x) for x in RECORD.split()], matrices(t))
 
 
-case("v17_matrix_count", lambda t: validate.v_matrix_count(t("base").where("r = 1").select("doc_id", (F.col("pk") % 4 + 1).alias("x"), (F.col("sk") % 3 + 1).alias("y"), F.lit(0).alias("z"), (F.col("pk") % 6).alias("n_pixels"))), "base", "select doc_id, 'warning' as level, 'matrix.count' as code, 'matrix' as path, (pk % 6) || ' pixels' as message from base where r = 1 and pk % 6 > 0 and pk % 6 <> (pk % 4 + 1) * (sk % 3 + 1)")
+case("v17_matrix_count", lambda t: validate.v_matrix_count(matrices(t)), "base", MATRIX)
 case("v18_validate", issues, RECORD, f"{ISSUES} select * from issues")
 case("v19_exportable", lambda t: validate.exportable(t("fixtures"), issues(t)).select("doc_id"), RECORD, f"{ISSUES} select doc_id from fixtures where doc_id not in (select doc_id from issues where level = 'error')")
 case("flagship_report", lambda t: t("fixtures").select("doc_id", "manufacturer", "model").join(validate.covers_full(t("ranges")).groupBy("doc_id").agg(F.count("*").alias("n_channels"), F.count_if("covers").alias("n_covered")), "doc_id").join(issues(t).groupBy("doc_id").agg(F.count_if(F.col("level") == "error").alias("n_errors"), F.count_if(F.col("level") == "warning").alias("n_warnings")), "doc_id", "left").na.fill(0, ["n_errors", "n_warnings"]), RECORD, f"""{ISSUES}, x as (select *, {REACH} as reach from ranges), cv as (select doc_id, channel_id, bool_and(range_start <= reach + 1) and max(range_end) >= 255 as covers from x group by 1, 2), cc as (select doc_id, count(*) as n_channels, count(*) filter (where covers) as n_covered from cv group by 1),

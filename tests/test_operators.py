@@ -142,9 +142,10 @@ def test_rules_of_a_valid_record(spark):
     c = spark.createDataFrame([(1, 0, "a", None), (1, 1, "b", "a")], "doc_id int, channel_idx int, channel_id string, fine_of string")
     g = spark.createDataFrame([(1, "a", 0, 0, 255, "all", "normal", 0.9)], "doc_id int, channel_id string, range_idx int, range_start int, range_end int, name string, safety string, confidence double")
     m = spark.createDataFrame([(1, 0, 1)], "doc_id int, mode_idx int, breaks int")
+    pixels = lambda n: spark.createDataFrame([(1, 2, 2, 0, n)], "doc_id int, x int, y int, z int, n_pixels int")
     a = lambda second: spark.createDataFrame([(1, 0, 0, "a", 1, 1), (1, 0, 1, "b", second, 1)], "doc_id int, mode_idx int, slot_idx int, channel_id string, channel_offset int, dmx_break int")
-    assert validate.validate(fx, c, g, m, a(2)).count() == 0
-    assert [x.code for x in validate.validate(fx, c, g, m, a(1)).collect()] == ["slot.overlap"]
+    assert validate.validate(fx, c, g, m, a(2), pixels(4)).count() == 0
+    assert [x.code for x in validate.validate(fx, c, g, m, a(1), pixels(5)).collect()] == ["slot.overlap", "matrix.count"]
 
 
 def test_evaluation_edges(spark):
