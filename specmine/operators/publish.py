@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,20 +20,52 @@ def capability_rows(channels: DataFrame, ranges: DataFrame) -> DataFrame:
     j = ranges.join(channels.select("doc_id", "channel_idx", "channel_id", "kind", "color"), ["doc_id", "channel_id"])
     wheel = F.col("kind").isin("goboWheel", "colorWheel")
     kind = F.when(wheel & slot.isNull(), "Generic").otherwise(F.coalesce(F.try_element_at(types, F.col("kind")), F.lit("Generic")))
-    effect = F.when(F.col("kind") == "strobe", F.when(F.lower("name").contains("open"), "Open").when(F.lower("name").contains("closed"), "Closed").otherwise("Strobe"))
-    return j.select("doc_id", "channel_idx", "range_idx", kind.alias("type"), F.when(F.col("kind") == "colorIntensity", F.initcap("color")).alias("color"), effect.alias("shutter_effect"))
+    return j.select("doc_id", "channel_idx", "range_idx", kind.alias("type"), color_name().alias("color"), shutter_effect(F.col("name")).alias("shutter_effect"))
 
 
-def open_format_docs(fixtures: DataFrame, channels: DataFrame, ranges: DataFrame, modes: DataFrame, assignments: DataFrame) -> DataFrame:
-    """One JSON string for each fixture: channels with capabilities, modes with channel lists."""
+def color_name() -> Column:
+    return F.when(F.col("kind") == "colorIntensity", F.coalesce(F.initcap(F.nullif("color", F.lit(""))), F.lit("White")))
+
+
+def shutter_effect(name: Column) -> Column:
+    return F.when(F.col("kind") == "strobe", F.when(F.lower(name).rlike("off|closed"), "Closed").when(F.lower(name).rlike("on|open"), "Open").otherwise("Strobe"))
+
+
+def open_format_docs(fixtures: DataFrame, channels: DataFrame, ranges: DataFrame, modes: DataFrame, assignments: DataFrame, wheels: DataFrame) -> DataFrame:
+    """One JSON string for each fixture: channels by id (fine ones are aliases of their coarse one; a
+    single capability has no range), a mode for each break that holds channels, wheels of two slots or more.
+
+    wheels: doc_id, wheel_id, kind, number, name, color. Of channels with one id the last stands.
+    """
     order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x.dropFields("_o"))
-    caps = capability_rows(channels, ranges)
-    c = caps.groupBy("doc_id", "channel_idx").agg(order(F.struct(F.col("range_idx").alias("_o"), "type", "color")).alias("capabilities"))
-    ch = channels.join(c, ["doc_id", "channel_idx"], "left").groupBy("doc_id").agg(order(F.struct(F.col("channel_idx").alias("_o"), F.col("channel_id").alias("key"), "name", "capabilities")).alias("availableChannels"))
-    slots = assignments.groupBy("doc_id", "mode_idx", "dmx_break").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel_offset", "slot_idx", "channel_id"))), lambda x: x["channel_id"]).alias("channels"))
-    m = modes.join(slots, ["doc_id", "mode_idx"]).groupBy("doc_id").agg(order(F.struct(F.struct("mode_idx", "dmx_break").alias("_o"), "name", "channels")).alias("modes"))
-    j = fixtures.join(ch, "doc_id").join(m, "doc_id")
-    doc = F.struct("manufacturer", "model", F.array(F.coalesce("category", F.lit("Other"))).alias("categories"), F.col("imported").cast("string").alias("lastModified"), "availableChannels", "modes")
+    named = ranges.join(channels.select("doc_id", "channel_idx", "channel_id"), ["doc_id", "channel_id"]).select("doc_id", "channel_idx", "range_idx", "name", "range_start", "range_end")
+    caps = capability_rows(channels, ranges).join(named, ["doc_id", "channel_idx", "range_idx"])
+    one = F.struct(F.col("range_idx").alias("_o"), "type", F.col("name").alias("comment"), F.array("range_start", "range_end").alias("dmxRange"), "color", F.col("shutter_effect").alias("shutterEffect"))
+    c = caps.groupBy("doc_id", "channel_idx").agg(order(one).alias("caps"))
+    types = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
+    kind = F.when(F.col("kind").isin("goboWheel", "colorWheel"), "Generic").otherwise(F.coalesce(F.try_element_at(types, F.col("kind")), F.lit("Generic")))
+    own = F.struct(kind.alias("type"), F.col("name").alias("comment"), color_name().alias("color"), shutter_effect(F.col("name")).alias("shutterEffect"))
+    fine = channels.where("fine_of is not null").groupBy("doc_id", F.col("fine_of").alias("channel_id")).agg(F.min_by("channel_id", "channel_idx").alias("fine"))
+    bare = F.transform("caps", lambda x: x.dropFields("dmxRange"))
+    obj = F.struct(
+        F.when(F.coalesce(F.size("caps"), F.lit(0)) <= 1, F.coalesce(F.get(bare, F.lit(0)), own)).alias("capability"),
+        F.when(F.size("caps") > 1, F.col("caps")).alias("capabilities"),
+        F.when(F.col("fine").isNotNull(), F.array("fine")).alias("fineChannelAliases"),
+        F.when(F.col("fine").isNotNull(), "16bit").alias("dmxValueResolution"),
+    )
+    ch = channels.where("fine_of is null").join(c, ["doc_id", "channel_idx"], "left").join(fine, ["doc_id", "channel_id"], "left")
+    ch = ch.groupBy("doc_id", "channel_id").agg(F.max_by(obj, F.col("channel_idx")).alias("o")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel_id", "o")))).alias("availableChannels"))
+    slots = assignments.groupBy("doc_id", "mode_idx", "dmx_break").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot_idx", "channel_id"))), lambda x: x["channel_id"]).alias("channels"))
+    held = modes.join(slots, ["doc_id", "mode_idx"]).where("dmx_break between 1 and greatest(breaks, 1)")
+    title = F.when(F.col("breaks") > 1, F.concat("name", F.lit(" — Universe "), F.col("dmx_break").cast("string"))).otherwise(F.col("name"))
+    m = held.groupBy("doc_id").agg(order(F.struct(F.struct("mode_idx", "dmx_break").alias("_o"), title.alias("name"), "channels")).alias("modes"))
+    is_open = (F.col("number") == 1) & F.lower("name").contains("open")
+    slot = F.struct(F.col("number").alias("_o"), F.when(is_open, "Open").when(F.col("kind") == "color", "Color").when(F.col("kind") == "prism", "Prism").otherwise("Gobo").alias("type"), F.when(~is_open, F.col("name")).alias("name"), F.when(~is_open & (F.col("kind") == "color") & F.col("color").isNotNull(), F.array("color")).alias("colors"))
+    w = wheels.groupBy("doc_id", "wheel_id").agg(order(slot).alias("slots")).where("size(slots) >= 2").groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("wheel_id", F.struct("slots").alias("w"))))).alias("wheels"))
+    j = fixtures.join(ch, "doc_id", "left").join(m, "doc_id", "left").join(w, "doc_id", "left")
+    day = F.col("imported").cast("string")
+    date = F.when(day.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substring(day, 1, 10)).otherwise("1970-01-01")
+    doc = F.struct(F.col("model").alias("name"), F.col("model").alias("shortName"), F.array(F.coalesce("category", F.lit("Other"))).alias("categories"), F.struct(date.alias("createDate"), date.alias("lastModifyDate")).alias("meta"), F.coalesce("availableChannels", F.create_map().cast(j.schema["availableChannels"].dataType)).alias("availableChannels"), F.coalesce("modes", F.array().cast(j.schema["modes"].dataType)).alias("modes"), "wheels")
     return j.select("doc_id", F.to_json(doc).alias("json"))
 
 

@@ -424,11 +424,41 @@ case("f10_newest_results", lambda t: lookup.newest_results(history(t)), "log", f
 # ---- publishing
 
 CAPS = """caps as (select r.doc_id, c.channel_idx, r.range_idx, case when kind in ('goboWheel', 'colorWheel') then 'Generic' else case kind when 'intensity' then 'Intensity' when 'colorIntensity' then 'ColorIntensity' when 'pan' then 'Pan' when 'tilt' then 'Tilt' when 'strobe' then 'ShutterStrobe' when 'speed' then 'EffectSpeed' when 'maintenance' then 'Maintenance' else 'Generic' end end as type,
-    case when kind = 'colorIntensity' then upper(color[1]) || lower(color[2:]) end as color, case when kind = 'strobe' then case when contains(lower(r.name), 'open') then 'Open' when contains(lower(r.name), 'closed') then 'Closed' else 'Strobe' end end as shutter_effect from ranges r join channels c on c.doc_id = r.doc_id and c.channel_id = r.channel_id)"""
+    case when kind = 'colorIntensity' then case when color = '' then 'White' else upper(color[1]) || lower(color[2:]) end end as color, case when kind = 'strobe' then case when regexp_matches(lower(r.name), 'off|closed') then 'Closed' when regexp_matches(lower(r.name), 'on|open') then 'Open' else 'Strobe' end end as shutter_effect from ranges r join channels c on c.doc_id = r.doc_id and c.channel_id = r.channel_id)"""
 GDTF = rf"""gx as (select *, regexp_matches(name, '(?i)\b(fine|lsb)\b') as f from mode_rows), gy as (select *, lead(f) over w as nf, lead(position) over w as np, lead(kind) over w as nk from gx window w as (partition by doc_id, mode_idx order by position)),
     gdtf as (select doc_id, mode_idx, position, case when coalesce(nf and nk = kind, false) then position || ',' || np else cast(position as varchar) end as "offset", {ATTR} as attribute, {FEAT} as feature from gy where not f)"""
 case("x1_capability_rows", lambda t: publish.capability_rows(t("channels"), t("ranges")), "channels ranges", f"{CAPS} select * from caps")
-case("x2_open_format_docs", lambda t: publish.open_format_docs(t("fixtures"), t("channels"), t("ranges"), t("modes"), t("assignments")))
+
+
+def open_docs(t: Tables) -> DataFrame:
+    n = F.explode(F.sequence(F.lit(1), F.col("pk") % 4 + 1))
+    wheels = t("base").where("r = 1").select("doc_id", F.lit("w1").alias("wheel_id"), F.when(F.col("sk") % 2 == 0, "color").otherwise("gobo").alias("kind"), n.alias("number"), F.when(F.col("sk") % 3 == 0, "open").otherwise("slot").alias("name"), F.lit("#FF0000").alias("color"))
+    return publish.open_format_docs(t("fixtures"), t("channels"), t("ranges"), t("modes"), t("assignments"), wheels)
+
+
+def open_parts(t: Tables) -> DataFrame:
+    """The records read back: a row for each channel, mode and wheel."""
+    cap = "struct<type:string,comment:string,dmxRange:array<int>,color:string,shutterEffect:string>"
+    doc = F.from_json("json", f"name string, meta struct<createDate:string>, availableChannels map<string,struct<capability:{cap},capabilities:array<{cap}>,fineChannelAliases:array<string>,dmxValueResolution:string>>, modes array<struct<name:string,channels:array<string>>>, wheels map<string,struct<slots:array<struct<type:string,name:string,colors:array<string>>>>>")
+    d = open_docs(t).select("doc_id", doc.alias("d"))
+    types = F.array_join(F.transform(F.coalesce("c.capabilities", F.array("c.capability")), lambda x: F.concat_ws(" ", x["type"], F.array_join(x["dmxRange"].cast("array<string>"), "-"), x["color"], x["shutterEffect"])), ",")
+    ch = d.select("doc_id", F.explode("d.availableChannels").alias("key", "c")).select("doc_id", F.lit("channel").alias("part"), "key", F.concat_ws(";", types, F.array_join("c.fineChannelAliases", ","), "c.dmxValueResolution").alias("what"))
+    md = d.select("doc_id", F.explode("d.modes").alias("m")).select("doc_id", F.lit("mode").alias("part"), F.col("m.name").alias("key"), F.array_join("m.channels", ",").alias("what"))
+    wh = d.select("doc_id", F.explode("d.wheels").alias("key", "w")).select("doc_id", F.lit("wheel").alias("part"), "key", F.array_join(F.transform("w.slots", lambda x: F.concat_ws(" ", x["type"], x["name"], F.array_join(x["colors"], ","))), ";").alias("what"))
+    top = d.select("doc_id", F.lit("record").alias("part"), F.col("d.name").alias("key"), F.col("d.meta.createDate").alias("what"))
+    return top.unionByName(ch).unionByName(md).unionByName(wh)
+
+
+case("x2_open_format_docs", open_docs)
+case("x2_open_format_parts", open_parts, "base fixtures channels ranges modes assignments", f"""{CAPS}, cq as (select caps.*, c.channel_id, r.range_start, r.range_end from caps join channels c on c.doc_id = caps.doc_id and c.channel_idx = caps.channel_idx join ranges r on r.doc_id = c.doc_id and r.channel_id = c.channel_id and r.range_idx = caps.range_idx),
+    cn as (select doc_id, channel_idx, count(*) as n from cq group by 1, 2),
+    cs as (select doc_id, channel_idx, string_agg(concat_ws(' ', type, case when n > 1 then range_start || '-' || range_end else null end, color, shutter_effect), ',' order by range_idx) as whole, string_agg(concat_ws(' ', type, color, shutter_effect), ',' order by range_idx) as bare, any_value(n) as n from cq join cn using (doc_id, channel_idx) group by 1, 2),
+    fi as (select doc_id, fine_of as channel_id, arg_min(channel_id, channel_idx) as fine from channels where fine_of is not null group by 1, 2),
+    lastc as (select doc_id, channel_id, max(channel_idx) as channel_idx from channels where fine_of is null group by 1, 2)
+    select doc_id, 'record' as part, model as key, cast(imported as varchar) as what from fixtures
+    union all select l.doc_id, 'channel', l.channel_id, concat_ws(';', case when n > 1 then replace(whole, '  ', ' ') else bare end, fine, case when fine is not null then '16bit' end) from lastc l join fixtures using (doc_id) left join cs using (doc_id, channel_idx) left join fi on fi.doc_id = l.doc_id and fi.channel_id = l.channel_id
+    union all select m.doc_id, 'mode', name, string_agg(channel_id, ',' order by slot_idx) from modes m join assignments a on a.doc_id = m.doc_id and a.mode_idx = m.mode_idx where dmx_break = 1 group by 1, 2, 3, m.mode_idx
+    union all select doc_id, 'wheel', 'w1', string_agg(case when k = 1 and sk % 3 = 0 then 'Open' when sk % 2 = 0 then concat('Color ', case when sk % 3 = 0 then 'open' else 'slot' end, ' #FF0000') else concat('Gobo ', case when sk % 3 = 0 then 'open' else 'slot' end) end, ';' order by k) from (select doc_id, pk, sk, unnest(range(1, pk % 4 + 2)) as k from base where r = 1) where pk % 4 >= 1 group by 1""")
 case("x3_gdtf_channels", lambda t: publish.gdtf_channels(t("mode_rows")), "mode_rows", f"{GDTF} select * from gdtf")
 case("x3_gdtf_attributes", lambda t: publish.gdtf_attributes(t("mode_rows")), "mode_rows", f"{GDTF}, ga as (select doc_id, attribute, feature, min(mode_idx * 10000 + position) as first from gdtf group by 1, 2, 3) select doc_id, attribute, feature, row_number() over (partition by doc_id order by first, attribute) as ord from ga")
 case("x4_stable_uuid", lambda t: t("fixtures").select("doc_id", tx.stable_uuid(F.concat_ws("/", "manufacturer", "model")).alias("uuid")), "fixtures", r"""h as (select doc_id, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat_ws('/', manufacturer, model))) as h from fixtures)
