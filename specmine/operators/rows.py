@@ -204,6 +204,31 @@ def expand_rgb_blocks(blocks: DataFrame) -> DataFrame:
     return e.select("doc_id", (F.col("first") + (F.col("segment") - 1) * F.length("c") + F.col("k")).alias("position"), F.concat(names[F.col("letter")], F.lit(" "), F.col("segment").cast("string")).alias("name"))
 
 
+# How manuals state blocks of pixels at the end of a mode, and their labels.
+PIXELS = [
+    ("Beam pixel", r"(?i)([0-9]{1,3})\s*x\s*RGB\s+channels?\s*=\s*([0-9]{1,4})\s+channels?\s+for\s+individual\s+RGB\s+Beam\s+pixel", 1, 2),
+    ("Aura pixel", r"(?i)([0-9]{1,4})\s+channels?\s+for\s+individual\s+RGB\s+control\s+of\s+all\s+([0-9]{1,4})\s+Aura\s+pixels", 2, 1),
+]
+SEGMENTS = r"(?i)([0-9]{1,4})\s+channels?\s+for\s+Aura\s+control\s+in\s+segments"
+
+
+def pixel_templates(sections: DataFrame) -> DataFrame:
+    """Triplets of the pixel blocks that a section states, which end at its last channel; where blocks
+    overlap the later statement stands. ``sections``: doc_id, mode_idx, text, size."""
+    number = lambda p, g: F.regexp_extract("text", p, g).try_cast("int")
+    parts = [(i, number(p, n), number(p, m), F.lit(label + " ")) for i, (label, p, n, m) in enumerate(PIXELS)]
+    blocks = [F.struct(F.lit(i).alias("o"), n.alias("n"), m.alias("m"), label.alias("label")) for i, n, m, label in parts]
+    size = number(SEGMENTS, 1)
+    blocks.append(F.struct(F.lit(len(parts)).alias("o"), F.floor(size / 3).cast("int").alias("n"), size.alias("m"), F.lit(None).cast("string").alias("label")))
+    b = sections.select("doc_id", "mode_idx", "size", F.explode(F.filter(F.array(*blocks), lambda x: x["n"] > 0)).alias("b"))
+    e = b.select("doc_id", "mode_idx", "b.o", (F.col("size") - F.col("b.m") + 1).alias("start"), "b.label", F.explode(F.sequence(F.lit(1), F.col("b.n"))).alias("k"))
+    segment = F.when(F.col("k") <= 37, F.concat(F.lit("Aura pixels around Beam pixel "), F.col("k").cast("string"))).when(F.col("k") == 38, "Inner Aura ring").when(F.col("k") == 39, "Second Aura ring").otherwise(F.concat(F.lit("Aura segment "), F.col("k").cast("string")))
+    label = F.coalesce(F.concat("label", F.col("k").cast("string")), segment)
+    t = e.select("doc_id", "mode_idx", "o", "start", "k", label.alias("label"), F.posexplode(F.array(*map(F.lit, ["Red", "Green", "Blue"]))).alias("c", "color"))
+    t = t.select("doc_id", "mode_idx", "o", (F.col("start") + (F.col("k") - 1) * 3 + F.col("c")).alias("position"), F.concat_ws(" ", "label", "color").alias("name"))
+    return t.groupBy("doc_id", "mode_idx", "position").agg(F.max_by("name", "o").alias("name"))
+
+
 def fill_color_series(rows: DataFrame) -> DataFrame:
     """Numbered colour groups: the stride from the first two zones; gaps are filled only if every
     observation fits. ``rows``: doc_id, color, zone, position."""
@@ -298,7 +323,10 @@ def unstructured_modes(sizes: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 # Controls looked for anywhere in a text.
-COMPONENTS = [(n, rf"(?i)(^|[^a-z0-9]){w}([^a-z0-9]|$)") for n, w in [("pan", "pan"), ("tilt", "tilt"), ("dimmer", "dimmer"), ("strobe", "strobe"), ("gobo", "gobos?"), ("zoom", "zoom"), ("rgbw", "rgbwa?"), ("in", "in"), ("of", "of")]]
+COMPONENTS = [
+    ("Pan", r"(?i)\bpan\b"), ("Tilt", r"(?i)\btilt\b"), ("Pan / tilt speed", r"(?i)((pan.?tilt|x.?y)\s+speed|speed\s+from\s+100)"), ("Dimmer", "(?i)dimm(ing|er)"), ("Light switch / strobe", r"(?i)(light switch.?strobe|\bstrobe\b)"),
+    ("Color wheel", "(?i)color wheel"), ("Gobo wheel", "(?i)gobo wheel"), ("Prism", r"(?i)\bprism\b"), ("Reserved", "(?i)reserved channel"), ("Reset / function", "(?i)reset.?function channel"),
+]
 
 
 def component_scan(docs: DataFrame, components: list[tuple[str, str]] = COMPONENTS) -> DataFrame:

@@ -105,8 +105,10 @@ case("i20_resolve_identity", lambda t: identity.resolve_identity(t("manuals"), c
 
 # ---- components and wheels
 
-PATTERNS = ", ".join(f"('{n}', '{p}')" for n, p in rows.COMPONENTS)
-case("r35_component_scan", lambda t: rows.component_scan(t("manuals")), "manuals", f"comp(component, pattern) as (values {PATTERNS}) select doc_id, component from manuals join comp on regexp_matches(text, pattern)")
+SCANNED = [*rows.COMPONENTS, ("in", r"\bin\b"), ("of", r"\bof\b")]  # the prose holds no controls: two words of its own, and a line of controls for some
+PATTERNS = ", ".join(f"('{n}', '{p}')" for n, p in SCANNED)
+CONTROLS = "case doc_id % 7 when 0 then ' Pan, tilt and X/Y speed' when 1 then ' Dimming, colour; gobo wheel' when 2 then ' STROBE and Prism, a reserved channel' else '' end"
+case("r35_component_scan", lambda t: rows.component_scan(t("manuals").withColumn("text", F.expr(f"concat(text, {CONTROLS})")), SCANNED), "manuals", f"comp(component, pattern) as (values {PATTERNS}) select doc_id, component from (select doc_id, concat(text, {CONTROLS}) as text from manuals) join comp on regexp_matches(text, pattern)")
 
 
 def wheel_docs(t: Tables) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +142,17 @@ def series(t: Tables) -> DataFrame:
     return t("base").select("doc_id", F.when(F.col("pk") % 2 == 0, "RED").otherwise("BLUE").alias("color"), F.col("ln").alias("zone"), (F.col("ln") * 3 + F.when(F.col("pk") % 29 == 0, 1).otherwise(0)).alias("position")).groupBy("doc_id", "color", "zone").agg(F.min("position").alias("position"))
 
 
+BLOCKS = "select doc_id, sk % 2 as mode_idx, 3 * n + ln as size, case pk % 4 when 0 then concat(cast(n as string), ' x RGB channels = ', cast(3 * n as string), ' channels for individual RGB Beam pixel') when 1 then concat(cast(3 * n as string), ' channels for individual RGB control of all ', cast(n as string), ' Aura pixels') when 2 then concat(cast(n * 40 as string), ' channels for Aura control in segments') else 'no pixels' end as text from base where r = 1"
+
+
+def pixel_sections(t: Tables) -> DataFrame:
+    sections = BLOCKS.removeprefix("select ").partition(" from base")[0]
+    return t("base").where("r = 1").selectExpr(*[x.strip() for x in re.split(r", (?=sk %|3 \* n \+|case pk)", sections)])
+
+
+case("r23_pixel_templates", lambda t: rows.pixel_templates(pixel_sections(t)), "base", f"""b as ({BLOCKS.replace('as string', 'as varchar')}), x as (select doc_id, mode_idx, size, case when text like '%Beam%' then 'Beam pixel ' when text like '%of all%' then 'Aura pixel ' end as label, case when text like '%Beam%' then cast(split_part(text, ' ', 6) as int) else cast(split_part(text, ' ', 1) as int) end as m from b where text <> 'no pixels'),
+    k as (select *, unnest(range(1, m // 3 + 1)) as k from x), c as (select *, unnest(['Red', 'Green', 'Blue']) as color, unnest([0, 1, 2]) as o from k)
+    select doc_id, mode_idx, cast(size - m + 1 + (k - 1) * 3 + o as int) as position, coalesce(label || k, case when k <= 37 then 'Aura pixels around Beam pixel ' || k when k = 38 then 'Inner Aura ring' when k = 39 then 'Second Aura ring' else 'Aura segment ' || k end) || ' ' || color as name from c""")
 case("r24_fill_color_series", lambda t: rows.fill_color_series(series(t)), "base", f"""{SERIES}, o as (select *, row_number() over (partition by doc_id, color order by zone) as k from series), tt as (select a.doc_id, a.color, a.zone as z1, a.position as p1, (b.position - a.position) / (b.zone - a.zone) as stride from o a join o b on a.doc_id = b.doc_id and a.color = b.color and a.k = 1 and b.k = 2 where (b.position - a.position) % (b.zone - a.zone) = 0),
     fit as (select doc_id, color, z1, p1, stride, max(zone) as top from series join tt using (doc_id, color) group by all having bool_and(position = p1 + (zone - z1) * stride) and stride > 0), every as (select doc_id, color, z1, p1, stride, unnest(range(z1, top + 1)) as zone from fit)
     select doc_id, color, cast(zone as int) as zone, cast(p1 + (zone - z1) * stride as int) as position from every e where not exists (select 1 from series s where s.doc_id = e.doc_id and s.color = e.color and s.zone = e.zone)""")

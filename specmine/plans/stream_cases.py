@@ -45,10 +45,54 @@ def sessions(t: Tables) -> tuple[DataFrame, DataFrame]:
 case("t11_session_expiry", lambda t: control.session_expiry(*sessions(t), 48).select("event_id", "valid"), "log", f"""{CMD}, tok as (select controller, arg_min(ts, struct_pack(a := ts, b := event_id)) as t0, arg_min(universe, struct_pack(a := ts, b := event_id)) as o from commands where action = 'request' group by 1)
     select event_id, coalesce(o = universe and ts >= t0 and ts <= t0 + interval 48 hour, false) as valid from commands left join tok using (controller)""")
 
-case("t2_lease_gate", lambda t: control.fold_batch(keyed(t, F.col("k"), {"click": "set", "view": "heartbeat", "signup": "set", "purchase": "set", "error": "end"}), control.lease_gate(HOURS * 3600)))
-case("t6_token_bucket", lambda t: control.fold_batch(keyed(t, F.col("user_id"), dict.fromkeys(["click", "view", "signup", "purchase", "error"], "call")), control.token_bucket(2, 1 / 43200)))
-case("t8_request_lifecycle", lambda t: control.fold_batch(keyed(t, F.col("user_id"), {"click": "fetch", "view": "approve", "signup": "request", "purchase": "fetch", "error": "deny"}), control.request_lifecycle(12 * 3600)))
-case("t9_rendezvous", lambda t: control.fold_batch(keyed(t, F.col("k"), {"click": "read", "view": "read", "signup": "offer", "purchase": "answer", "error": "offer"}), control.rendezvous(12 * 3600)))
+
+
+def folded(key: str, actions: dict[str, str], start: str, state: dict[str, str], outcome: str, before: str = "") -> str:
+    """SQL of a fold: events of a key in order, each step's state from the one before.
+
+    ``start`` are the state's first values, ``state`` its next ones and ``outcome`` the row's, over the
+    old state and the event; ``before`` changes the old state ahead of both.
+    """
+    action = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in actions.items()) + " end"
+    names, event = ", ".join(state), "n.key, n.event_id, n.ts, n.actor, n.action, n.u, n.i"
+    old = before or ", ".join(f"s.{c}" for c in state)
+    step = f"select {{0}}, {', '.join(f'{x} as {c}' for c, x in state.items())}, {outcome} as outcome from"
+    return f"""recursive n as (select cast({key} as varchar) as key, event_id, ts, cast(user_id as varchar) as actor, {action} as action, epoch_us(ts) as u, row_number() over (partition by {key} order by ts, event_id) as i from log),
+    f as ({step.format('key, event_id, ts, actor, action, u, i')} (select {event}, {old} from n, (select {start}) s where n.i = 1) x
+      union all {step.format('key, event_id, ts, actor, action, u, i')} (select {event}, {old} from n join f s on n.key is not distinct from s.key and n.i = s.i + 1) x)
+    select key, event_id, ts, actor, action, outcome from f"""
+
+
+def us(seconds: int) -> str:
+    return f"{seconds}000000"
+
+
+T2 = {"click": "set", "view": "heartbeat", "signup": "set", "purchase": "set", "error": "end"}
+case("t2_lease_gate", lambda t: control.fold_batch(keyed(t, F.col("k"), T2), control.lease_gate(HOURS * 3600)), "log", folded(
+    "k", T2, "cast(null as varchar) as holder, cast(0 as bigint) as until",
+    {"holder": "case when holder is null or u > until then case when action = 'end' then null else actor end when holder <> actor then holder when action = 'end' then null else holder end", "until": f"case when holder is null or u > until or holder = actor then u + {us(HOURS * 3600)} else until end"},
+    "case when holder is null or u > until then case when action = 'end' then 'no lease' else 'granted' end when holder <> actor then 'conflict' when action = 'end' then 'released' else 'accepted' end",
+))
+T6 = dict.fromkeys(["click", "view", "signup", "purchase", "error"], "call")
+case("t6_token_bucket", lambda t: control.fold_batch(keyed(t, F.col("user_id"), T6), control.token_bucket(2, 1 / 43200)), "log", folded(
+    "user_id", T6, "cast(2 as double) as tokens, cast(null as bigint) as seen",
+    {"tokens": "tokens - case when tokens >= 1 then 1 else 0 end", "seen": "u"}, "case when tokens >= 1 then 'allow' else 'deny' end",
+    "least(cast(2 as double), s.tokens + coalesce(n.u - s.seen, 0) / 1000000.0 / 43200) as tokens, s.seen",
+))
+T8 = {"click": "fetch", "view": "approve", "signup": "request", "purchase": "fetch", "error": "deny"}
+case("t8_request_lifecycle", lambda t: control.fold_batch(keyed(t, F.col("user_id"), T8), control.request_lifecycle(12 * 3600)), "log", folded(
+    "user_id", T8, "cast(null as varchar) as state, cast(0 as bigint) as since",
+    {"state": "case when action = 'request' then 'pending' when action in ('approve', 'deny') and state = 'pending' then case action when 'approve' then 'approved' else 'denied' end when action = 'fetch' and state in ('approved', 'denied') then 'served' else state end", "since": "case when action = 'request' or action in ('approve', 'deny') and state = 'pending' then u else since end"},
+    "case when action = 'request' then case when state = 'pending' then 'replaced' else 'pending' end when action in ('approve', 'deny') then case when state = 'pending' then case action when 'approve' then 'approved' else 'denied' end else 'nothing pending (' || coalesce(state, 'none') || ')' end when action = 'fetch' then case when state in ('approved', 'denied') then 'served ' || state else coalesce(state, 'none') end else 'ignored' end",
+    f"case when s.state in ('pending', 'approved') and n.u > s.since + {us(12 * 3600)} then 'expired' else s.state end as state, s.since",
+))
+T9 = {"click": "read", "view": "read", "signup": "offer", "purchase": "answer", "error": "offer"}
+case("t9_rendezvous", lambda t: control.fold_batch(keyed(t, F.col("k"), T9), control.rendezvous(12 * 3600)), "log", folded(
+    "k", T9, "cast(null as varchar) as state, cast(0 as bigint) as since",
+    {"state": "case when action = 'offer' and state is distinct from 'answered' then 'offered' when action = 'answer' and state = 'offered' then 'answered' when action = 'read' and state = 'answered' then null else state end", "since": "case when action = 'offer' and state is distinct from 'answered' then u else since end"},
+    "case action when 'offer' then case when state = 'answered' then 'already answered' when state is null then 'offered' else 'offer replaced' end when 'answer' then case when state = 'offered' then 'matched' when state is null then 'no offer' else 'second answer' end when 'read' then case when state = 'answered' then 'read' else 'nothing to read' end else 'ignored' end",
+    f"case when s.state is not null and n.u > s.since + {us(12 * 3600)} then null else s.state end as state, s.since",
+))
 case("t7_fixed_window_quota", lambda t: control.fold_batch(keyed(t, F.col("user_id"), dict.fromkeys(["click", "view", "signup", "purchase", "error"], "write")), control.fixed_window_quota(48 * 3600, 3)), "log", """recursive n as (select user_id, event_id, ts, event_type, epoch_us(ts) as u, row_number() over (partition by user_id order by ts, event_id) as i from log),
     w as (select user_id, event_id, ts, i, u as start, 1 as c from n where i = 1 union all select n.user_id, n.event_id, n.ts, n.i, case when n.u >= w.start + 172800000000 then n.u else w.start end, case when n.u >= w.start + 172800000000 then 1 else w.c + 1 end from w join n on n.user_id = w.user_id and n.i = w.i + 1)
     select cast(user_id as varchar) as "key", event_id, ts, cast(user_id as varchar) as actor, 'write' as action, case when c <= 3 then 'allow' else 'deny' end as outcome from w""")

@@ -202,8 +202,22 @@ def _folded(rows: pd.DataFrame, state: dict, step: Step) -> pd.DataFrame:
 
 
 def fold_batch(events: DataFrame, step: Step) -> DataFrame:
-    """Every event with its outcome; a key's events are one group, so keys must be fine enough."""
-    return events.select("key", "event_id", "ts", "actor", "action").groupBy("key").applyInPandas(lambda rows: _folded(rows, {}, step), OUT)
+    """Every event with its outcome. Keys are dealt out and put in order by Spark; a task runs through
+    its events as a stream with one state at a time, so a key may have any number of them."""
+    names = ["key", "event_id", "ts", "actor", "action"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, first = None, {}, True
+        for rows in batches:
+            outcome = []
+            for e in rows.itertuples(index=False):
+                now = None if pd.isna(e.key) else e.key
+                if first or now != key:
+                    key, state, first = now, {}, False
+                outcome.append(step(state, e))
+            yield rows.assign(outcome=outcome)
+
+    return events.select(*names).repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(run, OUT)
 
 
 def fold_stream(events: DataFrame, step: Step, *, watermark: str, idle_seconds: int) -> DataFrame:
