@@ -39,3 +39,26 @@ def test_stages(spark, tmp_path):
     packed = corpus_pipeline.run(got, sf)
     assert {x.doc_id for x in packed.collect()} == set(seen["decontamination"])
     assert re.match("doc_id", packed.columns[0])
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, a genuine replacement character, another column, no rows at all."""
+    sf, schema = str(tmp_path / "sf"), "doc_id bigint, text string, lang string, source string, n_chars bigint, _hits string"
+    passage = " ".join(f"ü{i}ß" for i in range(20))
+    words = lambda w, n: " ".join(f"{w}{i % 7}{w}" for i in range(n))
+    rows = [(1, "start \ufffd " + passage, "de", "s", 9, "x"), (2, "the end \ufffd" + passage[1:] + " \ufffd of it", "en", "s", 9, None), (None, words("lorem", 30), "en", None, None, "y"), (None, words("lorem", 30), "en", None, None, "y"), (5, None, None, None, None, None), (5, "", "en", "s", 0, None), (7, words("ipsum", 9), None, "s", 9, "z")]
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, "no such words here")], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(x.doc_id or 0 for x in stages["language_id"](spark, docs, sf).collect()) == [0, 0, 1, 2, 7]
+    assert sorted(x.doc_id or 0 for x in stages["near_dedup"](spark, docs, sf).collect()) == [0, 1, 2, 5, 5, 7]
+    cut = {x.doc_id: x.text for x in stages["repeat_removal"](spark, docs.where("doc_id < 5"), sf).collect()}
+    assert cut == {1: rows[0][1], 2: "the end \ufffd \ufffd of it"} or cut[2].count("\ufffd") == 2 and passage[3:-3] not in cut[2]
+    assert stages["decontamination"](spark, docs, sf).count() == len(rows)
+    packed = stages["best_fit_packing"](spark, docs, sf).collect()
+    assert len(packed) == len(rows) and sum(x.doc_id is None for x in packed) == 2
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, sf)
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == corpus_pipeline.COLUMNS)
