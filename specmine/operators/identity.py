@@ -40,6 +40,12 @@ def spellings(catalog: DataFrame) -> DataFrame:
     return catalog.select("canonical", F.explode(F.array_distinct(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("spelling"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Texts of a small input over all cores: one that has fewer parts than there are is dealt out."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def with_brands(docs: DataFrame, catalog: DataFrame, limit: int = 20_000, small: int = 1_000_000) -> DataFrame:
     """``docs`` with ``_brand`` (canonical, spellings, strong) for each brand of which the text holds a
     spelling, whatever the case.
@@ -54,7 +60,7 @@ def with_brands(docs: DataFrame, catalog: DataFrame, limit: int = 20_000, small:
     n = max(1, -(-total // limit))
     blocks = s.groupBy(F.pmod(F.xxhash64("canonical"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("canonical", F.col("s").alias("spellings"), "strong")).alias("_known"))
     blocks = F.broadcast(blocks.select("_known")) if total <= small else blocks.select("_known")
-    low = docs.withColumn("_low", F.lower("text")).crossJoin(blocks)
+    low = spread(docs).withColumn("_low", F.lower("text")).crossJoin(blocks)
     held = F.filter("_known", lambda k: F.exists(k["spellings"], lambda x: F.contains(F.col("_low"), x)))
     return low.withColumn("_brand", F.explode(held)).drop("_low", "_known")
 
