@@ -6,10 +6,10 @@ special case: rows that are equal in both get equal results, and a null id sorts
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when the query ends: for results that are written
+    or collected once, so that the disk holds one step's files at a time."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/specmine-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,7 +63,8 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        df.write.parquet(f"{self.path}/{self.n}")
+        with cleaned(self.spark):
+            df.write.parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
     def drop(self) -> None:
@@ -58,12 +73,6 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and the row key; other columns (whatever their names) are left behind."""
     ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")

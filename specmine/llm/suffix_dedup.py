@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from specmine.llm.common import LAST_ID, as_bytes, keyed, kmer_hashes, materialize, mix, pieces, release, sliding_min, text_bytes
+from specmine.llm.common import LAST_ID, as_bytes, keyed, kmer_hashes, materialize, mix, pieces, sliding_min, text_bytes
 
 LENGTH = 50
 SEGMENT = 1 << 16  # window starts of one segment of a text
-HOT = 16  # unlike stretches of one anchor in one chunk of 6 MB
+HOT = 64  # unlike stretches of one anchor in one chunk of 6 MB
 HOT_FLAG = np.uint64(1 << 63)
 LOW48 = np.uint64((1 << 48) - 1)
 FOUND = np.dtype([("pos", "<u4"), ("len", "u1")])
@@ -323,19 +323,16 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(k, rank, payload): the intervals to remove of each row (a hash of id and text, and the id),
     in any number of rows."""
     rows = keyed(docs, id_col, text_col).withColumn("rank_id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    spark = docs.sparkSession
     if not 25 <= length <= 160:
         raise ValueError("length must be from 25 to 160 bytes")
     k = length * 11 // 25
     n_buckets = max(1, -(-text_bytes(rows) // bucket_bytes))
     unique = rows.select("_k", "rank_id", "text")
     settled = materialize(_settle(_send(unique, n_buckets, length, k)), "repeats")
-    release(spark)
     wanted = settled.where("wanted").groupBy("k", "rank").agg(F.collect_set("payload").alias("blobs"))
     texts = unique.join(wanted.hint("shuffle_hash"), (unique._k == wanted.k) & (unique.rank_id == wanted["rank"])).select("_k", "rank_id", "text", "blobs")
     factors = _factors(_contents(texts, 8 * n_buckets, length), length)
     out = settled.where("not wanted").select("k", "rank", "payload").unionByName(materialize(factors, "factors"))
-    release(spark)
     return out
 
 
