@@ -163,6 +163,28 @@ def test_evaluation_edges(spark):
     assert sorted((x.name_ratio is None, x.name_ratio) for x in r if x.a) == [(False, 1.0)]
 
 
+def test_scoring_of_slots(spark):
+    """Fine bytes by link, attributes whatever the case and only under a name, missing slots as 0."""
+    t = spark.createDataFrame([(1, 0, 1, 1, "Pan", "pan ", 3, 0), (1, 0, 1, 2, "Pan", "Pan", 0, 1), (1, 0, 1, 3, "!!", "Tilt", 0, 0), (1, 0, 1, 4, "Zoom", "", 2, 0)], "doc_id int, mode_idx int, dmx_break int, slot int, name string, attribute string, n_functions long, fine int")
+    e = spark.createDataFrame([(1, 7, 1, 1, "pan", "PAN", None, 2), (1, 7, 1, 2, "pan fine", None, "", 0), (1, 7, 1, 3, "x", "Tilt", None, 0), (1, 7, 1, 9, "y", None, "c", 0)], "doc_id int, mode_idx int, dmx_break int, slot int, name string, attribute string, fine_of string, n_ranges int")
+    (r,) = evaluate.score_pairs(t, e).collect()
+    assert (r.footprint, r.truth_mode, r.mode, r.name_n, r.name_sum, r.name_score) == (4, 0, 7, 2, 1.0, 0.5)
+    assert (r.fine_hits, r.fine_n, r.attr_hits, r.attr_n, r.rich_hits, r.rich_n) == (0, 1, 1, 1, 1, 2)
+    assert evaluate.score_pairs(t, e.where("false")).count() == 0
+    import numpy as np
+
+    wide = np.zeros((7, 8))
+    wide[0, 3], wide[1, 3], wide[1, 0] = 0.5, 0.9, 0.1
+    assert evaluate.best_of(wide)[:2] == [(0, 3), (1, 0)]  # beyond 6 by 6 truth modes choose in turn
+
+
+def test_names_that_hold_one_another(spark):
+    left = spark.createDataFrame([("xbluebolt",), ("led par",), ("par",), ("a b c d",)], "x string")
+    right = spark.createDataFrame([("bluebolt",), ("led wash",), ("led par can",), ("a b c",)], "y string")
+    got = {(r.x, r.y): round(r.score, 3) for r in lookup.name_pairs(left, right).collect()}
+    assert got == {("xbluebolt", "bluebolt"): 0.88, ("led par", "led par can"): 0.88, ("a b c d", "a b c"): 0.88}
+
+
 def test_nested_footprints(spark):
     df = spark.sql("""select 1L as rid, parse_json('[{"DMXFootprint": 16}, {"a": {"b": {"dmxFootprint": "24"}}}]') as modes""")
     assert sorted(r.footprint for r in lookup.nested_footprints(df).collect()) == [16, 24]
