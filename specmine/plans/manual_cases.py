@@ -32,8 +32,8 @@ def _files(t: Tables, docs, folder: str, records: int = 0):
 
 
 def _file_lines(t: Tables):
-    """All manuals, a file each; the lines that the file source gives."""
-    whole = _files(t, manuals.assemble_text(page_table(t)), "pmod(xxhash64(doc_id, 'lines'), 16)", 1)
+    """All manuals, many to a file; the lines that the file source gives."""
+    whole = _files(t, manuals.assemble_text(page_table(t)), "pmod(xxhash64(doc_id, 'lines'), 16)")
     return whole.select(F.explode(F.split("text", "\n")).alias("text")).where("text <> ''")
 
 
