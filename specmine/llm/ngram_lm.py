@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specmine.llm.common import as_bytes, pieces, shared_dir, text_bytes, word_hashes
+from specmine.llm.common import as_bytes, cleaned, pieces, shared_dir, text_bytes, word_hashes
 from specmine.llm.minhash import LOWER, SPACE
 from specmine.llm.warc import open_fs
 
@@ -153,6 +153,11 @@ def ef_low(ef: dict[str, np.ndarray], at: np.ndarray, low: int) -> np.ndarray:
 # ---- shard files
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 up in 32 bits if they fit, else in 64."""
+    return x.astype("<u4" if not len(x) or int(x.max()) < 1 << 32 else "<u8")
+
+
 def write_shard(path: str, arrays: dict[str, np.ndarray]) -> None:
     fs, target = open_fs(path)
     head = json.dumps([[k, a.dtype.str, len(a)] for k, a in arrays.items()]).encode()
@@ -183,13 +188,19 @@ def load_shard(path: str) -> dict[str, np.ndarray]:
     return out
 
 
+MAPPED, LOADED = 4000, 256 << 20  # shards mapped at a time; bytes of those that can't be mapped
 _shards: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
 
 
 def shard(path: str) -> dict[str, np.ndarray]:
-    if path not in _shards:
-        while len(_shards) >= 4000:
-            _shards.popitem(last=False)
+    """A shard's arrays, kept for the next call: the latest used, as many as the limits allow."""
+    if path in _shards:
+        _shards.move_to_end(path)
+    else:
+        mapped = path.startswith("file:") or "://" not in path
+        held = 0 if mapped else sum(a.nbytes for x in _shards.values() for a in x.values())
+        while len(_shards) >= MAPPED or held > LOADED:
+            held -= sum(a.nbytes for a in _shards.popitem(last=False)[1].values())
         _shards[path] = load_shard(path)
     return _shards[path]
 
@@ -455,7 +466,8 @@ def train(docs: DataFrame, *, text_col: str = "text", min_count: int = 1, discou
         facts = (key[0].as_py(), len(keys), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum()))
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in facts], ["shard", "types", "tokens", "ones", "twos"])
 
-    facts = {r.shard: r for r in _chunks(rows, count_words, COUNTED).groupBy("shard").applyInArrow(write_words, "shard bigint, types bigint, tokens bigint, ones bigint, twos bigint").collect()}
+    with cleaned(spark):
+        facts = {r.shard: r for r in _chunks(rows, count_words, COUNTED).groupBy("shard").applyInArrow(write_words, "shard bigint, types bigint, tokens bigint, ones bigint, twos bigint").collect()}
     for s in range(n):
         if s not in facts:
             write_shard(f"{folder}/words-{s}", {k: np.zeros(0, "<u8") for k in ("hash", "count", "before")})
@@ -493,13 +505,14 @@ def train(docs: DataFrame, *, text_col: str = "text", min_count: int = 1, discou
         pointer = np.concatenate(([0], np.cumsum(np.bincount(left - first, minlength=last - first + 1))))
         base = first * model.types
         before = np.cumsum(counts) - counts
-        write_shard(f"{folder}/bigrams-{number}", {"base": np.array([base], "<u8"), "first": np.array([first], "<i8"), **ef_encode(keys - np.uint64(base), (last - first + 1) * model.types), "pointer": pointer.astype("<u4"), "rest": quantised(rest), "probability": quantised(p), "count": counts.astype("<u8"), "before": before.astype("<u8")})
+        write_shard(f"{folder}/bigrams-{number}", {"base": np.array([base], "<u8"), "first": np.array([first], "<i8"), **ef_encode(keys - np.uint64(base), (last - first + 1) * model.types), "pointer": pointer.astype("<u4"), "rest": quantised(rest), "probability": quantised(p), "count": narrow(counts), "before": narrow(before)})
         some = np.flatnonzero(several)
         facts = ([number], [len(keys)], [int(counts.sum())], [int(np.diff(pointer).max())], [lefts[some].tolist()], [sums[some].tolist()], [pointer[some].tolist()])
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(facts, (*[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())))], ["shard", "kept", "mass", "widest", "cut", "given", "at"])
 
     ddl = "shard bigint, kept bigint, mass bigint, widest bigint, cut array<bigint>, given array<double>, at array<bigint>"
-    facts = {r.shard: r for r in _chunks(rows, count_bigrams, COUNTED).groupBy("shard").applyInArrow(write_bigrams, ddl).collect()}
+    with cleaned(spark):
+        facts = {r.shard: r for r in _chunks(rows, count_bigrams, COUNTED).groupBy("shard").applyInArrow(write_bigrams, ddl).collect()}
     parts, widths = [], {}
     for s in range(model.bigram_shards):
         if s not in facts:
@@ -548,7 +561,8 @@ def train(docs: DataFrame, *, text_col: str = "text", min_count: int = 1, discou
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(facts, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))], ["shard", "kept", "cut", "given"])
 
     ddl = "shard bigint, kept bigint, cut array<bigint>, given array<double>"
-    facts = {r.shard: r for r in _chunks(rows, count_trigrams, COUNTED).groupBy("shard").applyInArrow(write_trigrams, ddl).collect()}
+    with cleaned(spark):
+        facts = {r.shard: r for r in _chunks(rows, count_trigrams, COUNTED).groupBy("shard").applyInArrow(write_trigrams, ddl).collect()}
     model.cut_bigrams = Cut([(s, c, g, 0) for s, r in facts.items() for c, g in zip(r.cut, r.given)])
     for s in range(model.trigram_shards):
         if s not in facts:
