@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmine.llm import decontam, fingerprints, html_density, langid, licenses, minhash, ngram_lm, packing, suffix_dedup, warc
+from specmine.llm import decontam, fingerprints, html_density, langid, licenses, minhash, ngram_lm, packing, suffix_dedup, warc, word_queries
 from specmine.llm.common import crc_mod, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,8 +179,9 @@ def queries() -> dict[str, Query]:
         "op8_html_extraction": op8_html_extraction,
         "op9_license_scan": op9_license_scan,
         "op10_language_id": op10_language_id,
+        **word_queries.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_minhash": OP5_SQL, "op6_warc": OP6_SQL, "op9_license_scan": op9_sql()}
+    return {"op4_decontamination": OP4_SQL, "op5_minhash": OP5_SQL, "op6_warc": OP6_SQL, "op9_license_scan": op9_sql(), **word_queries.ORACLES}
