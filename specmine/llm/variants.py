@@ -9,8 +9,10 @@ Bigrams are ordered from rare to frequent over all words; a word's prefix are it
 2. Of two near words, take the one whose prefix ends with the rarer bigram: the edit lies behind its first pivot or
    ahead of its second. So the other word has that pivot in its prefix, at the same place from the
    start or from the end (the position limit), with the same code points on the side without the edit.
-   Pivots are indexed with that side, and prefixes look there.
-3. Lengths differ by one at most; what is left is verified by edit distance, inside the join.
+   The side with the edit is cut in half, at a place that the other word's length gives: one of the halves is the
+   same as well. Pivots are indexed with the code points that stay, for each length that the other word can have,
+   and prefixes look there: a few rows a word, whatever the number of words, and no list of all words with a bigram.
+3. What meets is verified by edit distance, inside the join.
 
 The table of bigram frequencies has 65,536 counters, whatever the alphabet: bigrams that share one count as
 alike in the order, and are told apart in the index, which holds the code points themselves.
@@ -114,13 +116,37 @@ def gram_prefixes(words: DataFrame, count: np.ndarray) -> DataFrame:
 
 def near_pairs(prefixes: DataFrame) -> DataFrame:
     """(a, na, b, nb): every ordered pair of near words with their counts, once."""
-    head = lambda at: F.concat(F.lit("<"), F.substring("word", F.lit(1), at + 2))
-    tail = lambda at: F.concat(F.lit(">"), F.substring("word", at + 1, F.length("word")))
-    pivots = prefixes.select(F.col("word").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"), F.explode(F.array(head(F.col("first")), tail(F.col("second")))).alias("side"))
-    keys = F.flatten(F.transform("prefix", lambda at: F.array(head(at), tail(at))))
-    others = prefixes.select(F.col("word").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"), F.explode(keys).alias("side"))
-    close = F.abs(F.length("a") - F.length("b")) <= 1
-    found = pivots.join(others, (pivots.side == others.side) & (F.col("la") <= F.col("lb")) & close & (F.levenshtein("a", "b", 1) == 1)).select("a", "na", "b", "nb")
+    word, size = F.col("word"), F.length("word")
+    part = lambda at, n: F.substring(word, at + 1, n)
+    half = lambda n: F.shiftright(n, 1)
+    key = lambda *parts: F.xxhash64(*[F.lit(x) if isinstance(x, int) else x for x in parts])
+
+    def looked_up(at: F.Column) -> F.Column:
+        """Keys of a word as the other one, for a bigram of its prefix: behind it and ahead of it, one half kept each."""
+        h, g = half(size - at - 2), half(at)
+        behind = [key(1, size, at, part(F.lit(0), at + 2 + h)), key(2, size, at, part(F.lit(0), at + 2), part(at + 2 + h, size))]
+        ahead = [key(3, size, size - at, part(g, size)), key(4, size, size - at, part(F.lit(0), g), part(at, size))]
+        return F.array(*behind, *ahead)
+
+    def indexed() -> list[F.Column]:
+        """The same of the pivots, for each length that the other word can have (null where it can't be)."""
+        out = []
+        for more in (-1, 0, 1):
+            other, at = size + more, F.col("first")
+            rest = other - at - 2
+            h = half(rest)
+            kept = rest - h
+            out.append(F.when((rest >= 0) & (at + 2 + h <= size), key(1, other, at, part(F.lit(0), at + 2 + h))))
+            out.append(F.when((rest >= 0) & (kept <= size - at - 2), key(2, other, at, part(F.lit(0), at + 2), part(size - kept, kept))))
+            at = F.col("second")
+            g = half(at + more)
+            out.append(F.when(other - g <= size, key(3, other, size - at, part(size - other + g, size))))
+            out.append(key(4, other, size - at, part(F.lit(0), g), part(at, size)))
+        return out
+
+    pivots = prefixes.select(F.col("word").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"), F.explode(F.array_compact(F.array(*indexed()))).alias("key_a"))
+    others = prefixes.select(F.col("word").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"), F.explode(F.flatten(F.transform("prefix", looked_up))).alias("key_b"))
+    found = pivots.join(others, (F.col("key_a") == F.col("key_b")) & (F.col("la") <= F.col("lb")) & (F.levenshtein("a", "b", 1) == 1)).select("a", "na", "b", "nb")
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb"))).distinct()
 
 
