@@ -1,12 +1,16 @@
 """Identity: which maker and model a manual is about, and how sure that is.
 
-Brand spellings are a catalog table, sent to the texts in blocks. Everything that needs a manual's text
-(candidates, whole-word offsets, contexts, models nearby, phrases that name the maker) is taken in the
-manual's own row, so texts are never shuffled; only what was found goes on.
+Brand spellings are a catalog table, of which an automaton finds all in one pass over a text. Everything
+that needs a manual's text (candidates, whole-word offsets, contexts, models nearby, phrases that name the
+maker) is taken in the manual's own row, so texts are never shuffled; only what was found goes on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,8 +20,7 @@ from specmine.functions.text import RANGE, edit_similarity, flatten_text, ocr_fo
 # Honorifics and roles ahead of person names, phrases around the name of one's own
 # product, words that aren't model names.
 PERSON = ["mr", "mrs", "ms", "dr", "by", "author", "designer", "engineer", "manager"]
-BOUGHT = r"(?:purchasing|buying) this\s+"
-THIS, PRODUCT = r"\bthis\s+", r"\s+product\b"
+BOUGHT = ("purchasing this ", "buying this ")
 TITLE = r"^([A-Z][A-Za-z0-9]+(?: [A-Z0-9][A-Za-z0-9]*)+)"
 KIND = r"(?:user[ \t]+manual|owner'?s?[ \t]+manual|programming[ \t]+manual|instructions?[ \t]+manual|user[ \t]+instructions|dmx[ \t]+traits)"
 DOC_WORDS = ["manual", "user", "guide", "dmx", "chart", "instructions", "quick", "start", "rev", "version"]
@@ -46,28 +49,92 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def with_brands(docs: DataFrame, catalog: DataFrame, limit: int = 20_000, small: int = 1_000_000) -> DataFrame:
-    """``docs`` with ``_brand`` (canonical, spellings, strong) for each brand of which the text holds a
-    spelling, whatever the case.
-
-    The catalog is a stated query set: it is cut into blocks of about ``limit`` spellings, and each text
-    is tested against each block's array. Blocks are broadcast up to ``small`` spellings in all.
+FOUND = "array<struct<canonical:string,strong:boolean,at:array<int>,itself:boolean>>"
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+MARKS = ("©", "®", "™")  # a mark ahead of a name belongs to its place
+
+
+def spelling_finder(rows: list[tuple[str, str, bool]]) -> Callable[[str], list[dict]]:
+    """All spellings' (canonical, spelling in lower case, strong) finder: one pass over a text, whatever their number."""
+    import ahocorasick
+
+    of: dict[str, list[int]] = {}
+    names: list[tuple[str, bool]] = []
+    number: dict[str, int] = {}
+    for canonical, spelling, strong in rows:
+        if canonical not in number:
+            number[canonical] = len(names)
+            names.append((canonical, strong))
+        of.setdefault(spelling, []).append(number[canonical])
+    machine = ahocorasick.Automaton()
+    for spelling, brands in of.items():
+        machine.add_word(spelling, (len(spelling), brands))
+    machine.make_automaton()
+
+    def edge(text: str, at: int) -> bool:
+        """Whether no letter or digit stands at this place."""
+        return not 0 <= at < len(text) or text[at] not in LETTERS
+
+    def found(text: str) -> list[dict]:
+        seen: dict[int, tuple[set[int], list[bool]]] = {}
+        for last, (size, brands) in machine.iter(text) if of else ():
+            start, end = last + 1 - size, last + 1
+            whole = edge(text, start - 1) and edge(text, end)
+            own = text.startswith("this ", start - 5) and start >= 5 and own_product(text, start, end)
+            for b in brands:
+                offsets, itself = seen.setdefault(b, (set(), []))
+                if whole:
+                    offsets.add(start - (text[start - 1 : start] in MARKS and edge(text, start - 2)))
+                if own:
+                    itself.append(True)
+        return [{"canonical": names[b][0], "strong": names[b][1], "at": sorted(at), "itself": bool(itself)} for b, (at, itself) in sorted(seen.items())]
+
+    return found
+
+
+def own_product(text: str, start: int, end: int) -> bool:
+    """ "purchasing (or buying) this X" or "this X product" of what stands from start to end."""
+    word = lambda at: 0 <= at < len(text) and (text[at] in LETTERS or text[at] == "_")
+    if text.endswith(BOUGHT, 0, start) and word(end - 1) != word(end):
+        return True
+    return not word(start - 6) and text.startswith(" product", end) and not word(end + 8)
+
+
+def brand_finder(known: Broadcast) -> Callable[[str], Column]:
+    @F.pandas_udf(FOUND)
+    def brands(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = spelling_finder(known.value)
+        for texts in parts:
+            yield pd.Series([None if x is None else find(x) for x in texts], dtype=object)
+
+    return brands
+
+
+def with_brands(docs: DataFrame, catalog: DataFrame, limit: int = 500_000) -> DataFrame:
+    """``docs`` with ``_brand`` (canonical, strong, at: its whole-word offsets, itself: named as the text's own product) for each
+    brand of which the flat text holds a spelling, whatever the case.
+
+    The catalog is a stated query set. An automaton of all its spellings is built once in each Python worker, and a text is
+    read once, whatever the number of spellings. What is broadcast is their list, of ``limit`` spellings at most; a larger
+    catalog is read in so many blocks, and the texts as often.
     """
     strong = F.col("requires_strong_signal") if "requires_strong_signal" in catalog.columns else F.lit(False)
-    s = spellings(catalog).select("canonical", F.lower("spelling").alias("s")).where("s is not null").groupBy("canonical").agg(F.collect_set("s").alias("s"))
+    s = spellings(catalog).select("canonical", F.lower("spelling").alias("s")).where("s <> ''").distinct()
     s = s.join(catalog.select("canonical", strong.alias("strong")).dropDuplicates(["canonical"]), "canonical")
-    total = s.agg(F.sum(F.size("s"))).first()[0] or 0
-    n = max(1, -(-total // limit))
-    blocks = s.groupBy(F.pmod(F.xxhash64("canonical"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("canonical", F.col("s").alias("spellings"), "strong")).alias("_known"))
-    blocks = F.broadcast(blocks.select("_known")) if total <= small else blocks.select("_known")
-    low = spread(docs).withColumn("_low", F.lower("text")).crossJoin(blocks)
-    held = F.filter("_known", lambda k: F.exists(k["spellings"], lambda x: F.contains(F.col("_low"), x)))
-    return low.withColumn("_brand", F.explode(held)).drop("_low", "_known")
-
-
-def brand_candidates(docs: DataFrame, catalog: DataFrame, limit: int = 20_000) -> DataFrame:
+    n = max(1, -(-s.count() // limit))
+    low = spread(docs).withColumn("_low", F.lower(flatten_text(F.col("text"))))
+    out = None
+    for i in range(n):
+        block = s.where(F.pmod(F.xxhash64("canonical"), F.lit(n)) == i).collect()
+        brands = brand_finder(docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block]))
+        some = low.withColumn("_brand", F.explode(brands("_low"))).drop("_low")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def brand_candidates(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     """(doc_id, canonical) by case-blind containment of any spelling."""
-    return with_brands(docs.select("doc_id", "text"), catalog, limit).select("doc_id", "_brand.canonical")
+    return with_brands(docs.select("doc_id", "text"), catalog).select("doc_id", "_brand.canonical")
 
 
 def escaped(c: Column) -> Column:
@@ -91,18 +158,10 @@ def word_offsets(text: Column, word: Column) -> Column:
     return F.aggregate(hits, start, step)["out"]
 
 
-def offsets_of(flat: Column, spelt: Column) -> Column:
-    """Whole-word offsets of any spelling, each once."""
-    return F.array_distinct(F.flatten(F.transform(spelt, lambda x: word_offsets(flat, x))))
-
-
 def brand_occurrences(docs: DataFrame, candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """Whole-word offsets in the flattened text, distinct by offset over spellings."""
-    every = spellings(catalog).groupBy("canonical").agg(F.collect_set("spelling").alias("s"))
-    c = candidates.join(every, "canonical").groupBy("doc_id").agg(F.collect_list(F.struct("canonical", "s")).alias("c"))
-    found = docs.select("doc_id", flatten_text(F.col("text")).alias("flat")).join(c, "doc_id")
-    hits = F.transform("c", lambda x: F.struct(x["canonical"].alias("canonical"), offsets_of(F.col("flat"), x["s"]).alias("at")))
-    return found.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.canonical", F.explode("h.at").alias("at"))
+    found = with_brands(docs.select("doc_id", "text"), catalog).select("doc_id", "_brand.canonical", "_brand.at")
+    return found.join(candidates, ["doc_id", "canonical"], "left_semi").select("doc_id", "canonical", F.explode("at").alias("at"))
 
 
 def is_person(flat: Column, at: Column) -> Column:
@@ -137,20 +196,9 @@ def is_near(a: Column, b: Column, distance: int) -> Column:
     return F.exists(F.arrays_zip(both.alias("p"), ahead.alias("q")), lambda z: F.coalesce((z["p"]["k"] != z["q"]["k"]) & (z["q"]["x"] - z["p"]["x"] <= distance), F.lit(False)))
 
 
-def names_itself(flat: Column, spelt: Column) -> Column:
-    """Whether the text says "purchasing (or buying) this X" or "this X product" of a spelling X."""
-
-    def said(x: Column) -> Column:
-        w = escaped(x)
-        return F.rlike(flat, F.concat(F.lit("(?i)" + BOUGHT), w, F.lit(r"\b|" + THIS), w, F.lit(PRODUCT)))
-
-    return F.exists(spelt, said)
-
-
 def self_identification(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Candidates, and whether the text names one of their spellings as its own product."""
-    own = with_brands(docs.select("doc_id", "text"), catalog)
-    return own.select("doc_id", "_brand.canonical", names_itself(flatten_text(F.col("text")), F.col("_brand.spellings")).alias("self_identifies"))
+    return with_brands(docs.select("doc_id", "text"), catalog).select("doc_id", "_brand.canonical", F.col("_brand.itself").alias("self_identifies"))
 
 
 def padded_words(c: Column) -> Column:
@@ -171,8 +219,8 @@ def score_brands(docs: DataFrame, catalog: DataFrame, hint: Column) -> DataFrame
     d = docs.select("doc_id", "text", hint.alias("_hint"), boundary_of(F.col("text")).alias("_early"), flatten_text(F.col("text")).alias("_flat"))
     b = with_brands(d, catalog).drop("text")
     flat = F.col("_flat")
-    b = b.withColumn("_at", F.filter(offsets_of(flat, F.col("_brand.spellings")), lambda at: ~is_person(flat, at))).where(F.size("_at") > 0)
-    b = b.withColumn("_self", names_itself(flat, F.col("_brand.spellings"))).where("_self or not _brand.strong")
+    b = b.withColumn("_self", F.col("_brand.itself")).where("size(_brand.at) > 0 and (_self or not _brand.strong)")
+    b = b.withColumn("_at", F.filter("_brand.at", lambda at: ~is_person(flat, at))).where(F.size("_at") > 0)
     b = b.withColumn("_h", F.when(F.length("_hint") >= 3, word_offsets(flat, F.col("_hint"))))
     near = lambda n: F.coalesce(is_near(F.col("_at"), F.col("_h"), n), F.lit(False))
     s = b.select("doc_id", "_brand.canonical", F.size("_at").cast("long").alias("hits"), F.exists("_at", lambda x: x < F.col("_early")).alias("early"), near(799).alias("co_occurs"), near(20).alias("adjacent"), F.col("_self").alias("self_identifies"))

@@ -1,12 +1,16 @@
 """Row mining: lines of a table section to channels and value ranges.
 
-Sections are cut by headings; a section's lines are put in order and either handled by window
-functions or, where a decision depends on earlier decisions, folded by ``aggregate`` over the
-section's array. An array is one table of one manual, never a group across documents.
+Sections are cut by headings; a section's lines are put in order and handled by window functions. Where a
+decision depends on earlier decisions (the next expected number, ranges that clear those kept so far), a task
+runs through its sections' sorted rows as a stream with one small state: linear in the rows, however long a section.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,17 +73,55 @@ def rejoin_split_digits(lines: DataFrame) -> DataFrame:
     return lines.select("*", F.when(use, again).otherwise(F.col("text")).alias("fixed"), use.alias("rejoined"))
 
 
-def _ordered(rows: DataFrame, keys: list[str], order: list[str], *fields: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("_rows"))
+def kept_in_order(rows: DataFrame, keys: list[str], order: list[str], fields: list[str], rule: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """The rows for which a group's rule holds, asked in order. ``rule()`` gives a fresh one for each group."""
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, holds = None, None
+        for batch in batches:
+            keep = []
+            for key, values in zip(zip(*(batch.column(k).to_pylist() for k in keys)), zip(*(batch.column(f).to_pylist() for f in fields))):
+                if holds is None or key != group:
+                    group, holds = key, rule()
+                keep.append(holds(*values))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return sorted_rows.mapInArrow(run, sorted_rows.schema)
+
+
+def next_number() -> Callable[[int], bool]:
+    """Holds for the first number, and then for each that is the next one expected."""
+    due: list[int] = []
+
+    def holds(number: int) -> bool:
+        if due and number != due[0]:
+            return False
+        due[:] = [number + 1]
+        return True
+
+    return holds
+
+
+def clear_of_kept() -> Callable[[int, int], bool]:
+    """Holds for a range that touches none of those for which it held before; they are kept sorted."""
+    starts: list[int] = []
+    ends: list[int] = []
+
+    def holds(start: int, end: int) -> bool:
+        i = bisect_right(starts, end)
+        if i and ends[i - 1] >= start:
+            return False
+        starts.insert(i, start)
+        ends.insert(i, end)
+        return True
+
+    return holds
 
 
 def accept_in_sequence(rows: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
     """A row counts only if its number is the next one expected, from 1 (or the first number)."""
-    a = _ordered(rows, keys, [order], "channel")
-    start = F.struct(F.element_at("_rows", 1)["channel"].alias("next"), F.array().cast("array<int>").alias("kept"))
-    step = lambda s, r: F.when(r["channel"] == s["next"], F.struct((s["next"] + 1).alias("next"), F.concat(s["kept"], F.array(r[order])).alias("kept"))).otherwise(s)
-    done = a.withColumn("_s", F.aggregate("_rows", start, step))
-    return done.select(*keys, F.explode("_s.kept").alias(order))
+    return kept_in_order(rows.select(*keys, order, "channel"), keys, [order], ["channel"], next_number).select(*keys, order)
 
 
 def row_cells(lines: DataFrame, width: int = 2) -> DataFrame:
@@ -117,19 +159,13 @@ def infer_mode_size(positions: DataFrame) -> DataFrame:
 
 def assign_ranges(carried: DataFrame) -> DataFrame:
     """A range extends the open channel until that covers 0 to 255 in order; what comes after
-    waits for the next channel row. Columns: position, ranges (array of start, end)."""
-    a = _ordered(carried, ["doc_id", "section"], ["line_no"], "channel", "range_start", "range_end", "label")
-    row = "struct<position:int,line_no:int,range_start:int,range_end:int>"
-    start = F.struct(F.lit(None).cast("int").alias("open"), F.lit(-1).alias("reach"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        opened = F.coalesce(r["channel"], s["open"])
-        reach = F.when(r["channel"].isNotNull(), -1).otherwise(s["reach"])
-        takes = opened.isNotNull() & (reach < 255)
-        item = F.struct(opened.alias("position"), r["line_no"].alias("line_no"), r["range_start"].alias("range_start"), r["range_end"].alias("range_end"))
-        return F.struct(opened.alias("open"), F.when(takes, F.greatest(reach, r["range_end"])).otherwise(reach).alias("reach"), F.when(takes, F.concat(s["out"], F.array(item))).otherwise(s["out"]).alias("out"))
-
-    return a.select("doc_id", "section", F.explode(F.aggregate("_rows", start, step)["out"]).alias("x")).select("doc_id", "section", "x.position", "x.line_no", "x.range_start", "x.range_end")
+    waits for the next channel row. Ranges are taken until one reaches 255, so how far a channel
+    reaches is the greatest end since its row."""
+    w = W.partitionBy("doc_id", "section").orderBy("line_no")
+    opened = carried.withColumn("_run", F.count("channel").over(w)).withColumn("_open", F.last("channel", ignorenulls=True).over(w))
+    before = W.partitionBy("doc_id", "section", "_run").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    taken = opened.withColumn("_reach", F.coalesce(F.max("range_end").over(before), F.lit(-1))).where("_open is not null and _reach < 255")
+    return taken.select("doc_id", "section", F.col("_open").alias("position"), "line_no", "range_start", "range_end")
 
 
 def merge_channels(rows: DataFrame) -> DataFrame:
@@ -145,11 +181,9 @@ def distinct_ranges(ranges: DataFrame) -> DataFrame:
 
 
 def drop_overlapping_ranges(ranges: DataFrame) -> DataFrame:
-    """In order of appearance, a range stays only if it clears all that stayed; then by start."""
-    a = _ordered(ranges.where("range_start <= range_end"), ["doc_id", "channel_id"], ["range_idx"], "range_start", "range_end")
-    empty = F.array().cast("array<struct<range_idx:int,range_start:int,range_end:int>>")
-    step = lambda s, r: F.when(F.exists(s, lambda k: (k["range_start"] <= r["range_end"]) & (r["range_start"] <= k["range_end"])), s).otherwise(F.concat(s, F.array(r)))
-    return a.select("doc_id", "channel_id", F.explode(F.aggregate("_rows", empty, step)).alias("k")).select("doc_id", "channel_id", "k.range_idx", "k.range_start", "k.range_end")
+    """In order of appearance, a range stays only if it clears all that stayed."""
+    r = ranges.where("range_start <= range_end").select("doc_id", "channel_id", "range_idx", "range_start", "range_end")
+    return kept_in_order(r, ["doc_id", "channel_id"], ["range_idx"], ["range_start", "range_end"], clear_of_kept)
 
 
 def fill_missing_positions(rows: DataFrame) -> DataFrame:
@@ -347,14 +381,8 @@ def table_channels_fallback(classified: DataFrame) -> DataFrame:
 def recover_ordered_rows(classified: DataFrame) -> DataFrame:
     """Range rows that lost their number take the next position of their section, with less
     confidence; numbered rows keep theirs."""
-    s = sections(classified).where("kind in ('full_row', 'range_only')")
-    a = _ordered(s, ["doc_id", "section"], ["line_no"], "channel", "label")
-    out = "array<struct<line_no:int,position:int,confidence:double>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(out).alias("o"))
-
-    def step(st: Column, r: Column) -> Column:
-        at = F.coalesce(r["channel"], st["at"] + 1)
-        item = F.struct(r["line_no"].alias("line_no"), at.alias("position"), F.when(r["channel"].isNotNull(), 0.7).otherwise(0.6).alias("confidence"))
-        return F.struct(at.alias("at"), F.concat(st["o"], F.array(item)).alias("o"))
-
-    return a.select("doc_id", "section", F.explode(F.aggregate("_rows", start, step)["o"]).alias("x")).select("doc_id", "section", "x.*")
+    w = W.partitionBy("doc_id", "section").orderBy("line_no")
+    s = sections(classified).where("kind in ('full_row', 'range_only')").withColumn("_run", F.count("channel").over(w))
+    run = W.partitionBy("doc_id", "section", "_run").orderBy("line_no")
+    since = F.coalesce(F.first("channel", ignorenulls=True).over(run) - 1, F.lit(0)) + F.row_number().over(run)
+    return s.select("doc_id", "section", "line_no", since.alias("position"), F.when(F.col("channel").isNotNull(), 0.7).otherwise(0.6).alias("confidence"))

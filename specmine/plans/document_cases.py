@@ -14,10 +14,10 @@ SPELL = ", ".join(f"('{c}', '{s}', {str(strong).lower()})" for c, aliases, stron
 CAT = f"spelt(canonical, spelling, strong) as (values {SPELL})"
 FLAT = r"flat as (select doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) as flat, source_name from manuals)"
 CANDS = f"{CAT}, {FLAT}, cands as (select distinct doc_id, canonical from manuals join spelt on contains(lower(text), spelling))"
-# whole-word offsets: words of the flat text are cut at spaces, then at other edges
+# whole-word offsets: between the pieces around a spelling; an empty piece is another hit right beside it, so no edge
 OCC = CANDS + r""", cuts as (select doc_id, canonical, spelling, string_split(' ' || lower(flat) || ' ', spelling) as p from cands join spelt using (canonical) join flat using (doc_id)),
     sums as (select doc_id, canonical, spelling, p, unnest(range(1, len(p))) as i from cuts where len(p) > 1),
-    occ as (select distinct doc_id, canonical, cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(spelling) - 1 as int) as "at" from sums where not regexp_matches(p[i], '[A-Za-z0-9]$') and not regexp_matches(p[i + 1], '^[A-Za-z0-9]'))"""
+    occ as (select distinct doc_id, canonical, cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(spelling) - 1 as int) as "at" from sums where p[i] <> '' and p[i + 1] <> '' and not regexp_matches(p[i], '[A-Za-z0-9]$') and not regexp_matches(p[i + 1], '^[A-Za-z0-9]'))"""
 PERSON = ", ".join(f"'{w}'" for w in identity.PERSON)
 KEPT = OCC + rf""", ctx as (select occ.*, list_filter(regexp_split_to_array(lower(substr(flat, greatest(1, "at" - 39), least(40, "at"))), '[^a-z]+'), lambda w: w <> '') as w from occ join flat using (doc_id)),
     kept as (select doc_id, canonical, "at" from ctx where len(list_intersect(case when len(w) > 2 then w[len(w) - 1:] else w end, [{PERSON}])) = 0)"""
