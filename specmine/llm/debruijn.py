@@ -169,7 +169,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = keyed(docs, id_col, text_col).withColumn("rank_id", F.coalesce("doc_id", F.lit(LAST_ID)))
     scratch = Scratch(docs.sparkSession, "de-bruijn")
     every = scratch.keep(places(rows, length))
-    seeds = every.groupBy("seed").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi").select("seed")
+    # what is joined is a table of its own, so that Spark can split a seed or window with very many places
+    seeds = scratch.keep(every.groupBy("seed").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi").select("seed"))
     some = scratch.keep(every.join(seeds, "seed"))
     edges = scratch.keep(
         some.groupBy("e1", "e2").agg(
@@ -177,7 +178,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             F.min("following").alias("least_next"), F.max("following").alias("most_next"), F.min(F.struct("rank", "k", "pos", "n")).alias("src"),
         )
     )
-    several = edges.groupBy("seed").agg(F.count("*").alias("c"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("c > 1 and lo < hi").select("seed", F.lit(True).alias("unlike"))
+    several = scratch.keep(edges.groupBy("seed").agg(F.count("*").alias("c"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("c > 1 and lo < hi").select("seed", F.lit(True).alias("unlike")))
     known = edges.select("e1", "e2", "seed", "first").join(several, "seed", "left").drop("seed").join(compacted(edges), ["e1", "e2"], "left")
     told = scratch.keep(some.select("k", "rank", "pos", "n", "e1", "e2").join(known, ["e1", "e2"]).where("rank > first or unlike").drop("e1", "e2"))
 
@@ -191,7 +192,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ends = told.where("rank = first and unlike").groupBy("k", "rank").agg(F.collect_set(packed("pos", "n")).alias("want"))
     texts = rows.join(ends.hint("shuffle_hash"), (rows._k == ends.k) & (rows.rank_id == ends["rank"])).select("_k", "rank_id", "text", "want")
     single = scratch.keep(windows(texts, length))
-    firsts = single.groupBy("w1", "w2").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
+    firsts = scratch.keep(single.groupBy("w1", "w2").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi").select("w1", "w2", "lo"))
     hits = single.where("later").select("k", "rank", "pos").unionByName(single.where("not later").join(firsts, ["w1", "w2"]).where("rank > lo").select("k", "rank", "pos"))
     none = F.lit(None).cast("long")
     out = materialize(spans.unionByName(hits.select("k", "rank", "pos", F.lit(1).alias("n"), none.alias("src_k"), none.alias("src_rank"), none.cast("int").alias("src_pos"))), "word-spans")
