@@ -257,3 +257,14 @@ def health_counts(board: DataFrame) -> DataFrame:
 def duplicate_audit(docs: DataFrame) -> DataFrame:
     """Byte-identical documents under several names."""
     return docs.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+def conflicting_duplicates(docs: DataFrame, footprints: DataFrame, most: int = 1) -> DataFrame:
+    """Groups of byte-identical documents (of several ids) whose truths have no more than ``most`` footprints in common.
+    ``footprints``: doc_id, footprint. A footprint is common if it belongs to as many documents of the group as it has:
+    counts by group and footprint, never pairs of documents."""
+    d = docs.select("doc_id", F.md5("text").alias("digest")).distinct()
+    groups = d.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    held = d.join(footprints.select("doc_id", "footprint").distinct(), "doc_id").groupBy("digest", "footprint").agg(F.count("*").alias("k"))
+    common = held.join(groups, "digest").where("k = n").groupBy("digest").agg(F.count("*").alias("n_common"))
+    return groups.join(common, "digest", "left").na.fill(0, ["n_common"]).where(F.col("n_common") <= most).select("digest", "n", "first_doc", "n_common")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
+from specmine.functions.text import RANGE
 from specmine.operators.rows import in_document
 
 # Number words, and heading patterns of the grammars in order of preference.
@@ -149,21 +154,147 @@ def named_headings(lines: DataFrame) -> DataFrame:
     return h.withColumn("_k", F.count("*").over(W.partitionBy("doc_id"))).where("_k >= 2").drop("_k")
 
 
-def inherit_modes(modes: DataFrame, rows: DataFrame, depth: int = 3) -> DataFrame:
-    """Positions a mode lacks come from its parent's (an earlier mode) up to its prefix size; the
-    child's own rows win. ``modes``: doc_id, mode_idx, parent_idx, prefix."""
-    out = rows.select("doc_id", "mode_idx", "position", "channel_id")
-    for _ in range(depth):
-        inherited = modes.where("parent_idx < mode_idx").join(out.withColumnRenamed("mode_idx", "parent_idx"), ["doc_id", "parent_idx"]).where("position <= prefix").select("doc_id", "mode_idx", "position", "channel_id")
-        out = out.unionByName(inherited.join(out, ["doc_id", "mode_idx", "position"], "left_anti"))
-    return out
+# Headings of named modes, the lines that name a parent, and what ends a mode's section.
+NAMED = r"(?i)^\s*([A-Za-z][A-Za-z0-9 /-]{1,48}?)\s+DMX\s+Mode\s*$"
+COUNTED = r"(?i)^\s*([0-9]{1,4})\s+DMX\s+channels?\b"
+AS_IN = r"(?i)Channels?\s+1\s*[-–—]\s*([0-9]{1,4})\s+as\s+in\s+(.+?)\s+Mode"
+SUPPLEMENT = r"(?i)^\s*(?:Control/Settings DMX channel|FX list)\s*$"
+
+
+def mode_name_key(c: Column) -> Column:
+    """Blind to case and punctuation."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+
+
+def named_modes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Modes of documents with two named headings or more (mode_idx, name, size, and of the parent that the text
+    names its parent_idx and prefix), and the rows of each mode's own section (mode_idx, position, channel_id)."""
+    head = F.col("text").rlike(NAMED) & F.coalesce(F.col("_next").rlike(COUNTED), F.lit(False))
+    every = W.partitionBy("doc_id")
+    s = lines.withColumn("_next", F.lead("text").over(in_document())).withColumn("_head", head)
+    s = s.withColumn("mode_idx", F.sum(F.col("_head").cast("int")).over(in_document()).cast("int") - 1).withColumn("_n", F.max("mode_idx").over(every)).where("mode_idx >= 0 and _n >= 1")
+    own = W.partitionBy("doc_id", "mode_idx").orderBy("line_no")
+    s = s.withColumn("_over", F.max(F.col("text").rlike(SUPPLEMENT).cast("int")).over(own)).where("_over = 0")
+    part = lambda p, i: F.regexp_extract("text", p, i)
+    title = F.array_join(F.transform(F.split(part(NAMED, 1), r"\s+"), lambda w: F.when(F.upper(w).isin("PXL", "RGB", "DMX"), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))), " ")
+    stated = F.when(F.col("text").rlike(AS_IN), F.struct("line_no", part(AS_IN, 1).try_cast("int").alias("prefix"), mode_name_key(part(AS_IN, 2)).alias("parent")))
+    m = s.groupBy("doc_id", "mode_idx").agg(F.max(F.when(F.col("_head"), title)).alias("name"), F.max(F.when(F.col("_head"), F.regexp_extract("_next", COUNTED, 1).try_cast("int"))).alias("size"), F.min(stated).alias("p")).where("size between 1 and 32768")
+    m = m.select("doc_id", "mode_idx", "name", "size", "p.prefix", "p.parent", mode_name_key(F.col("name")).alias("key"))
+    earlier = m.select(F.col("doc_id").alias("_d"), F.col("mode_idx").alias("_i"), F.col("key").alias("_k"))
+    parents = m.join(earlier, (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_k")) & (F.col("_i") < F.col("mode_idx"))).groupBy("doc_id", "mode_idx").agg(F.max("_i").alias("parent_idx"))
+    m = m.join(parents, ["doc_id", "mode_idx"], "left").select("doc_id", "mode_idx", "name", "size", "parent_idx", "prefix")
+    row = rf"^\s*([0-9]{{1,4}})\s+{RANGE}\s+(.+)$"
+    rows = s.where(F.col("text").rlike(row)).select("doc_id", "mode_idx", "line_no", part(row, 1).try_cast("int").alias("position"), part(row, 4).alias("channel_id"))
+    rows = rows.join(m.select("doc_id", "mode_idx", "size", "prefix"), ["doc_id", "mode_idx"]).where("position > coalesce(prefix, 0) and position <= size")
+    rows = rows.groupBy("doc_id", "mode_idx", "position").agg(F.min_by("channel_id", "line_no").alias("channel_id"))
+    return m, rows
+
+
+def mode_ancestors(modes: DataFrame) -> DataFrame:
+    """(doc_id, mode_idx, ancestor, upto, depth): each mode itself and all whose rows it inherits, with the least prefix on
+    the way. Parents are earlier modes, so one pass over a document's modes in order reaches any depth; a parent that isn't
+    earlier (a cycle) is none."""
+    link = "struct<ancestor:int,upto:int>"
+    start = F.array().cast(f"array<struct<mode_idx:int,up:array<{link}>>>")
+
+    def step(done: Column, m: Column) -> Column:
+        above = F.get(F.filter(done, lambda d: (d["mode_idx"] == m["parent_idx"]) & (m["parent_idx"] < m["mode_idx"])), F.lit(0))["up"]
+        cut = F.transform(F.coalesce(above, F.array().cast(f"array<{link}>")), lambda a: F.struct(a["ancestor"].alias("ancestor"), F.least(a["upto"], m["prefix"]).alias("upto")))
+        own = F.struct(m["mode_idx"].alias("ancestor"), F.lit(2**31 - 1).alias("upto"))
+        return F.concat(done, F.array(F.struct(m["mode_idx"].alias("mode_idx"), F.concat(F.array(own), cut).alias("up"))))
+
+    each = F.struct(F.col("mode_idx").cast("int").alias("mode_idx"), F.col("parent_idx").cast("int").alias("parent_idx"), F.coalesce(F.col("prefix").cast("int"), F.lit(0)).alias("prefix"))
+    d = modes.groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("m"))
+    d = d.select("doc_id", F.explode(F.aggregate("m", start, step)).alias("d"))
+    return d.select("doc_id", "d.mode_idx", F.posexplode("d.up").alias("depth", "a")).select("doc_id", "mode_idx", "a.ancestor", "a.upto", "depth")
+
+
+def inherit_modes(modes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Positions that a mode lacks come from its parent (an earlier mode), that one's parent and so on, up to the prefix
+    sizes on the way; the nearest rows win. ``modes``: doc_id, mode_idx, parent_idx, prefix."""
+    own = rows.select("doc_id", F.col("mode_idx").alias("ancestor"), "position", "channel_id")
+    reached = mode_ancestors(modes).join(own, ["doc_id", "ancestor"]).where("position <= upto")
+    nearest = F.rank().over(W.partitionBy("doc_id", "mode_idx", "position").orderBy("depth"))
+    return reached.withColumn("_r", nearest).where("_r = 1").select("doc_id", "mode_idx", "position", "channel_id")
+
+
+# Headings of the contexts of personalities, with the names that are shown, and of their groups.
+CONTEXTS = {"single control mode": "Single Control", "dual control mode - movement": "Dual Control · Movement", "dual control mode - pixels": "Dual Control · Pixels"}
+CONTEXT = r"(?i)^\s*(Single Control Mode|Dual Control Mode\s*-\s*Movement|Dual Control Mode\s*-\s*Pixels)\s*$"
+GROUP = r"(?i)^\s*([A-Za-z][A-Za-z0-9 ]*?\s*\([0-9]{1,3}CH\)(?:\s*/\s*[A-Za-z][A-Za-z0-9 ]*?\s*\([0-9]{1,3}CH\))*)\s*$"
+PERSONALITY = r"(?i)([A-Za-z][A-Za-z0-9 ]*?)\s*\(([0-9]{1,3})CH\)"
+HEADER_CHARS, HEADER_LINES = 500, 9
+
+
+def column_order(names: list[str], header: list[str]) -> list[int]:
+    """The column of each personality, by where its name stands across the header lines; as listed where one can't be found
+    or two stand within two characters of each other."""
+    at = [header_centre(n, header) for n in names]
+    listed = list(range(len(names)))
+    if any(x is None for x in at):
+        return listed
+    by_place = sorted(listed, key=lambda i: at[i])
+    if any(at[b] - at[a] < 2 for a, b in zip(by_place, by_place[1:])):
+        return listed
+    return [by_place.index(i) for i in listed]
+
+
+def header_centre(name: str, header: list[str]) -> float | None:
+    """The mean centre of the name's parts, each at its place nearest to those before; None if a part is missing or they are
+    more than 8 characters apart."""
+    chosen: list[float] = []
+    for part in re.sub(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", " ", name).split():
+        places = [m.start() + len(part) / 2 for line in header for m in re.finditer(rf"\b{re.escape(part)}\b", line, re.IGNORECASE)]
+        if not places:
+            return None
+        mean = sum(chosen) / len(chosen) if chosen else places[0]
+        chosen.append(min(places, key=lambda x: abs(x - mean)))
+    return sum(chosen) / len(chosen) if chosen and max(chosen) - min(chosen) <= 8 else None
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def columns_of(names: pd.Series, header: pd.Series) -> pd.Series:
+    return pd.Series([column_order(list(n), list(h)) for n, h in zip(names, header)])
+
+
+def _personality_groups(lines: DataFrame) -> DataFrame:
+    """Lines with the context and group heading that they stand under (``_group``: its line), of documents with two
+    contexts or more."""
+    text, w = F.col("text"), in_document()
+    s = lines.withColumn("_ctx", F.when(text.rlike(CONTEXT), F.regexp_replace(F.lower(F.trim("text")), r"\s*-\s*", " - ")))
+    s = s.withColumn("_several", F.count("_ctx").over(W.partitionBy("doc_id"))).where("_several >= 2")
+    s = s.withColumn("_in", F.last("_ctx", ignorenulls=True).over(w)).withColumn("_start", F.when(F.col("_ctx").isNotNull(), -1).when(text.rlike(GROUP), F.col("line_no")))
+    return s.withColumn("_group", F.last("_start", ignorenulls=True).over(w)).where("_group > 0 and _in is not null")
 
 
 def contextual_personalities(lines: DataFrame) -> DataFrame:
-    """Named personalities with sizes under a context heading."""
-    s = lines.withColumn("_ctx", F.last(F.when(F.col("text").rlike("(?i)personalit|operating mode|choose from|^basic"), F.col("line_no")), ignorenulls=True).over(in_document())).where("line_no - _ctx <= 3")
-    hit = s.where(F.col("text").rlike(r"(?i)^[A-Z][a-z]+ [0-9]{1,3} ch$"))
-    return hit.select("doc_id", "line_no", F.regexp_extract("text", "^([A-Za-z]+)", 1).alias("name"), F.regexp_extract("text", r"([0-9]{1,3}) ch$", 1).try_cast("int").alias("size"))
+    """Named personalities with sizes under a context heading, printed in parallel: group_line, context, personality (its
+    number in the group), name, size and column, which the places of the names in the header lines decide."""
+    shown = F.create_map(*[F.lit(x) for kv in CONTEXTS.items() for x in kv])
+    s = _personality_groups(lines)
+    below = W.partitionBy("doc_id", "_group").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.when(F.col("line_no") > F.col("_group"), F.length("text") + 1)).over(below), F.lit(0)) + 1
+    s = s.withColumn("_at", at).withColumn("_k", F.count(F.when((F.col("line_no") > F.col("_group")) & (F.col("text") != ""), 1)).over(W.partitionBy("doc_id", "_group").orderBy("line_no")))
+    seen = F.when((F.col("line_no") > F.col("_group")) & (F.col("text") != "") & (F.col("_k") <= HEADER_LINES) & (F.col("_at") < HEADER_CHARS), F.struct("line_no", F.substring("text", F.lit(1), (HEADER_CHARS - F.col("_at")).cast("int")).alias("t")))
+    g = s.groupBy("doc_id", "_group", "_in").agg(F.max(F.when(F.col("line_no") == F.col("_group"), F.col("text"))).alias("h"), F.array_sort(F.collect_list(seen)).alias("seen"))
+    one = lambda i: F.regexp_extract_all(F.regexp_extract("h", GROUP, 1), F.lit(PERSONALITY), F.lit(i))
+    g = g.withColumn("names", F.transform(one(1), lambda n: F.trim(n))).withColumn("sizes", F.transform(one(2), lambda n: n.cast("int")))
+    g = g.withColumn("columns", columns_of("names", F.transform("seen", lambda x: x["t"])))
+    each = F.posexplode(F.arrays_zip("names", "sizes", "columns"))
+    return g.select("doc_id", F.col("_group").alias("group_line"), shown[F.col("_in")].alias("context"), each.alias("personality", "p")).select("doc_id", "group_line", "context", "personality", F.initcap("p.names").alias("name"), F.col("p.sizes").alias("size"), F.col("p.columns").alias("column"))
+
+
+def personality_rows(lines: DataFrame) -> DataFrame:
+    """Rows of parallel tables: each leading cell is a position of the personality of its column; the first line of a
+    position wins."""
+    cells = rf"^((?:(?:[0-9]{{1,3}}|-)\s+)+){RANGE}\s+(.*)$"
+    hit = _personality_groups(lines).where(F.col("text").rlike(cells)).select("doc_id", F.col("_group").alias("group_line"), "line_no", F.split(F.trim(F.regexp_extract("text", cells, 1)), r"\s+").alias("cells"), F.regexp_extract("text", cells, 4).alias("label"))
+    p = contextual_personalities(lines)
+    width = p.groupBy("doc_id", "group_line").agg(F.count("*").alias("width"))
+    long = hit.join(width, ["doc_id", "group_line"]).where("size(cells) = width").select("doc_id", "group_line", "line_no", "label", F.posexplode("cells").alias("column", "cell")).where("cell <> '-'")
+    placed = long.join(p, ["doc_id", "group_line", "column"]).withColumn("position", F.col("cell").try_cast("int")).where("position between 1 and size")
+    first = W.partitionBy("doc_id", "group_line", "personality", "position").orderBy("line_no")
+    return placed.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("doc_id", "context", "name", "position", "line_no", "label")
 
 
 def choose_grammar(tables: DataFrame) -> DataFrame:

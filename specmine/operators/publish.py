@@ -84,3 +84,48 @@ def gdtf_attributes(mode_rows: DataFrame) -> DataFrame:
     """Attributes of each document, in the order first seen."""
     a = gdtf_channels(mode_rows).groupBy("doc_id", "attribute", "feature").agg(F.min(F.struct("mode_idx", "position")).alias("first"))
     return a.select("doc_id", "attribute", "feature", F.row_number().over(W.partitionBy("doc_id").orderBy("first", "attribute")).alias("ord"))
+
+
+def gdtf_feature_groups(channels: DataFrame) -> DataFrame:
+    """Feature groups and features of a document's coarse channels, in the order first seen; a feature without a group's
+    part is "Control"."""
+    part = F.split(feature_default(F.col("kind"), F.col("gdtf_feature")), r"\.")
+    f = channels.where("fine_of is null").select("doc_id", "channel_idx", part[0].alias("feature_group"), F.coalesce(F.get(part, F.lit(1)), F.lit("Control")).alias("feature"))
+    first = f.groupBy("doc_id", "feature_group", "feature").agg(F.min("channel_idx").alias("at"))
+    return first.select("doc_id", "feature_group", "feature", F.row_number().over(W.partitionBy("doc_id").orderBy("at", "feature_group", "feature")).alias("ord"))
+
+
+def gdtf_wheel_slots(wheels: DataFrame) -> DataFrame:
+    """Slots of each wheel, numbered from 1 in their order. ``wheels``: doc_id, wheel_id, number, name."""
+    return wheels.select("doc_id", "wheel_id", F.row_number().over(W.partitionBy("doc_id", "wheel_id").orderBy("number", "name")).alias("slot"), "name")
+
+
+def completed_ranges(channels: DataFrame, ranges: DataFrame) -> DataFrame:
+    """0 to 255 without gap or overlap for every channel: range_start, range_end, name and ``source`` (place of the range by
+    start, from 0; null for what was filled in)."""
+    order = W.partitionBy("doc_id", "channel_id").orderBy("range_start", "range_idx")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    r = ranges.where("range_start <= range_end and range_start <= 255").withColumn("source", F.row_number().over(order) - 1).withColumn("_next", F.coalesce(F.max("range_end").over(before), F.lit(-1)) + 1)
+    r = r.where("range_end >= _next").withColumn("_last", F.lead("range_start").over(order).isNull())
+    row = lambda a, b, name, source: F.struct(a.alias("range_start"), b.alias("range_end"), name.alias("name"), source.alias("source"))
+    none, gap = F.lit(None).cast("int"), F.lit("Unspecified")
+    end = F.least("range_end", F.lit(255))
+    own = row(F.greatest("range_start", "_next"), end, F.col("name"), F.col("source"))
+    rows = F.array(F.when(F.col("range_start") > F.col("_next"), row(F.col("_next"), F.col("range_start") - 1, gap, none)), own, F.when(F.col("_last") & (end < 255), row(end + 1, F.lit(255), gap, none)))
+    done = r.select("doc_id", "channel_id", F.explode(F.array_compact(rows)).alias("x")).select("doc_id", "channel_id", "x.*")
+    full = channels.select("doc_id", "channel_id").distinct().join(r.select("doc_id", "channel_id").distinct(), ["doc_id", "channel_id"], "left_anti")
+    return done.unionByName(full.select("doc_id", "channel_id", F.lit(0).alias("range_start"), F.lit(255).alias("range_end"), F.lit("Full range").alias("name"), none.alias("source")))
+
+
+def gdtf_functions(mode_rows: DataFrame, channels: DataFrame, ranges: DataFrame, wheel_slots: DataFrame) -> DataFrame:
+    """Channel functions of every coarse row of a mode: bounds in steps of a byte, or of two bytes where the row has a fine
+    one, and for wheels the slot of the range's own number, if the wheel has it. ``wheel_slots``: doc_id, channel_id, slot."""
+    c = gdtf_channels(mode_rows).join(mode_rows.select("doc_id", "mode_idx", "position", "channel_id"), ["doc_id", "mode_idx", "position"])
+    f = c.join(completed_ranges(channels, ranges), ["doc_id", "channel_id"])
+    n_slots = wheel_slots.groupBy("doc_id", "channel_id").agg(F.max("slot").alias("_slots"))
+    f = f.join(n_slots, ["doc_id", "channel_id"], "left")
+    wide = F.col("offset").contains(",")
+    start = F.when(wide, F.col("range_start") * 257).otherwise(F.col("range_start"))
+    end = F.when(wide & (F.col("range_end") == 255), 65535).when(wide, (F.col("range_end") + 1) * 257 - 1).otherwise(F.col("range_end"))
+    number = F.row_number().over(W.partitionBy("doc_id", "mode_idx", "position", "channel_id").orderBy("range_start"))
+    return f.select("doc_id", "mode_idx", "position", "channel_id", number.alias("fn"), "name", "attribute", start.alias("dmx_from"), end.alias("dmx_to"), F.when(F.col("source") < F.col("_slots"), F.col("source") + 1).alias("wheel_slot"))

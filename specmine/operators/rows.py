@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specmine.functions.channels import relationship_key
-from specmine.functions.text import RANGE, normalize_line, parse_range
+from specmine.functions.text import RANGE, clean_function, is_page_furniture, normalize_line, parse_range
 
 FULL_ROW = rf"^([0-9]{{1,3}})\s+(?:[0-9-]{{1,3}}\s+)?{RANGE}\s+(.+)$"
 RANGE_ONLY = rf"^{RANGE}\s+(.+)$"
@@ -321,6 +322,41 @@ def appendix_ranges(lines: DataFrame, heading: str = "(?i)dmx channel table", li
     return c.where("_in and kind in ('range_only', 'full_row')").where(F.col("_at") - F.col("_from") <= limit).withColumn("r", r).where("r is not null").select("doc_id", "line_no", "r.start", "r.end", "r.label")
 
 
+# Value tables in a manual's appendix (key, heading, what ends them), and the channel names that they belong to.
+APPENDICES = [("shutter", r"Shutter", r"Mode\s+table\s*[2②]"), ("virtual-color-wheel", r"Virtual colou?r wheel\*?", r"(?:[0-9]{1,4}\s+)?(?:Zoom|Beamshaper|Pan / tilt|Compact DMX Mode)\*?")]
+APPENDIX_OF = {"shutter / strobe": "shutter", "color temperature": "color-temperature", "mode table 1": "mode-1", "mode table 2": "mode-2", "background color": "background-color", "virtual color wheel": "virtual-color-wheel"}
+
+
+def appendix_sections(lines: DataFrame, appendices: list[tuple[str, str, str]] = APPENDICES, limit: int = 8000) -> DataFrame:
+    """(doc_id, key, line_no, range_start, range_end, name, safety): range lines from an appendix heading to what ends it, if
+    that comes within so many characters; of several headings of a key the first that has an end."""
+    w, text = in_document(), F.col("text")
+    at = F.sum(F.length("text") + 1).over(w)
+    row = r"^\s*(?:[0-9]{1,3}\s+)?([0-9]{1,3})\s*[-–—]\s*([0-9]{1,3})\s+(.+?)\s*$"
+    out = []
+    for key, heading, stop in appendices:
+        head, end = text.rlike(rf"(?i)^\s*{heading}\s*$"), text.rlike(rf"(?i)^\s*{stop}\s*$")
+        s = lines.withColumn("_at", at).withColumn("_from", F.last(F.when(head, F.struct("line_no", F.col("_at").alias("at"))), ignorenulls=True).over(w)).where("_from is not null")
+        section = W.partitionBy("doc_id", "_from.line_no")
+        s = s.withColumn("_end", F.min(F.when(end & (F.col("line_no") > F.col("_from.line_no")) & (F.col("_at") - F.length("text") - 1 - F.col("_from.at") < limit), F.col("line_no"))).over(section)).where("_end is not null")
+        s = s.withColumn("_first", F.min("_from.line_no").over(W.partitionBy("doc_id"))).where("_from.line_no = _first and line_no > _first and line_no < _end").where(text.rlike(row))
+        out.append(s.select("doc_id", F.lit(key).alias("key"), "line_no", F.regexp_extract("text", row, 1).try_cast("int").alias("range_start"), F.regexp_extract("text", row, 2).try_cast("int").alias("range_end"), clean_function(F.regexp_extract("text", row, 3)).alias("name")))
+    every = reduce(DataFrame.unionByName, out).where("range_start <= range_end and range_end <= 255 and name <> ''").where(~is_page_furniture(F.col("name")))
+    low = F.lower("name")
+    return every.withColumn("safety", F.when(low.contains("strobe") & ~low.contains("off"), "strobe").otherwise("normal"))
+
+
+def attach_appendix(sections: DataFrame, channels: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The ranges of an appendix for each channel that it belongs to, by the channel's name; a strobe channel with one range
+    over all values has the shutter's."""
+    one = ranges.groupBy("doc_id", "channel_id").agg(F.count("*").alias("_n"), F.min("range_start").alias("_lo"), F.max("range_end").alias("_hi"))
+    undivided = (F.col("kind") == "strobe") & (F.col("_n") == 1) & (F.col("_lo") == 0) & (F.col("_hi") == 255)
+    named = F.create_map(*[F.lit(x) for kv in APPENDIX_OF.items() for x in kv])
+    key = F.when(undivided, "shutter").otherwise(F.try_element_at(named, F.lower("name")))
+    c = channels.join(one, ["doc_id", "channel_id"], "left").select("doc_id", "channel_idx", "channel_id", key.alias("key")).where("key is not null")
+    return c.join(sections, ["doc_id", "key"]).select("doc_id", "channel_idx", "channel_id", "line_no", "range_start", "range_end", "name", "safety", F.lit(0.95).alias("confidence"))
+
+
 def default_ranges(channels: DataFrame, ranges: DataFrame) -> DataFrame:
     """A full range for channels that have none; surer for kinds without risk."""
     none = channels.join(ranges, ["doc_id", "channel_id"], "left_anti")
@@ -369,13 +405,15 @@ def component_scan(docs: DataFrame, components: list[tuple[str, str]] = COMPONEN
     return docs.select("doc_id", F.explode(F.array_compact(found)).alias("component"))
 
 
-def table_channels_fallback(classified: DataFrame) -> DataFrame:
-    """The section with most rows in sequence wins, the later on ties, if it has 4 or more."""
+def table_channels_fallback(classified: DataFrame, counts: DataFrame) -> DataFrame:
+    """The section with most rows in sequence wins, the later on ties, if it has 4 or more and at least half the
+    document's channel count (``counts``: doc_id, channel_count)."""
     s = sections(classified).where("channel is not null and kind in ('full_row', 'name_only')")
     kept = accept_in_sequence(s, ["doc_id", "section"])
-    counts = kept.groupBy("doc_id", "section").agg(F.count("*").alias("n_rows"))
+    found = kept.groupBy("doc_id", "section").agg(F.count("*").alias("n_rows"))
     w = W.partitionBy("doc_id").orderBy(F.desc("n_rows"), F.desc("section"))
-    return counts.withColumn("_r", F.row_number().over(w)).where("_r = 1 and n_rows >= 4").select("doc_id", "section", "n_rows")
+    best = found.withColumn("_r", F.row_number().over(w)).where("_r = 1 and n_rows >= 4")
+    return best.join(counts, "doc_id").where("2 * n_rows >= channel_count").select("doc_id", "section", "n_rows")
 
 
 def recover_ordered_rows(classified: DataFrame) -> DataFrame:

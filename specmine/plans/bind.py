@@ -42,6 +42,36 @@ SQL: dict[str, str] = {
               when 1 then concat(cast(n as string), 'Ch ', cast(n + 3 as string), 'Ch Function') when 0 then 'DMX channel table' when 3 then '...' else 'User manual' end as text from base where r = 3
             union all
             select doc_id, 10 * r + 6 as pos, concat(cast(n + 1 as string), ' DMX channels') as text from base where r = 3 and doc_id % 8 = 6) x) y""",
+    # modes named one after another, most of which name the mode whose first channels they share
+    "named_lines": """
+        select doc_id, cast(row_number() over (partition by doc_id order by pos) as int) as line_no, text from (
+          select doc_id, 10 * r as pos, concat(case when pk % 3 = 0 then 'LEVEL/' else 'Level ' end, cast(r as string), ' DMX Mode') as text from base
+          union all select doc_id, 10 * r + 1, concat(cast(pk % 6 + 4 as string), ' DMX channels') from base
+          union all select doc_id, 10 * r + 2, concat('Channels 1 - ', cast(pk % 5 + 1 as string), ' as in ', case when pk % 2 = 0 then 'level-' else 'Level ' end, cast(case when pk % 7 = 0 then r + 1 when pk % 4 = 0 and r > 2 then r - 2 else r - 1 end as string), ' Mode') from base where r > 1
+          union all select doc_id, 10 * r + 3, concat(cast(case when r = 1 then 1 else pk % 5 + 2 end as string), '   0-255   part ', cast(pk as string)) from base
+          union all select doc_id, 10 * r + 4, concat(cast(case when r = 1 then 2 else pk % 5 + 1 + sk % 3 end as string), '   0-99   second ', cast(pk as string)) from base
+          union all select doc_id, 10 * r + 5, 'FX list' from base where pk % 9 = 0
+          union all select doc_id, 10 * r + 6, concat(cast(pk % 5 + 3 as string), '   0-9   listed') from base where pk % 9 = 0) x""",
+    # personalities in parallel columns, whose names stand in another order than they are listed in
+    "personality_lines": """
+        select doc_id, cast(row_number() over (partition by doc_id order by pos) as int) as line_no, text from (
+          select doc_id, 1 as pos, 'Single Control Mode' as text from base where r = 1
+          union all select doc_id, 2, concat('Alpha (', cast(n + 2 as string), 'CH) / Beta (', cast(n + 4 as string), 'CH)') from base where r = 1
+          union all select doc_id, 3, case pk % 5 when 0 then 'Alpha      Beta' when 1 then concat(repeat(' ', pk % 7), 'Beta        ALPHA') when 2 then '   Alpha' when 3 then 'Alpha' else '      Function' end from base where r = 1
+          union all select doc_id, 4, case pk % 5 when 3 then 'Beta' when 4 then 'beta alpha' else 'no names' end from base where r = 1
+          union all select doc_id, 10 + r, concat(cast(ln as string), '   ', case when pk % 3 = 0 then '-' else cast(r as string) end, '   ', cast((qty * 5) % 200 as string), '-', cast((qty * 5) % 200 + pk % 56 as string), '   value ', cast(pk as string)) from base
+          union all select doc_id, 40, 'Dual Control Mode - Pixels' from base where r = 1 and pk % 6 > 0
+          union all select doc_id, 41, concat('Gamma ray (', cast(n as string), 'CH)') from base where r = 1
+          union all select doc_id, 50 + r, concat(cast(r as string), '   0-', cast(pk % 256 as string), '   pixel ', cast(ln as string)) from base) x""",
+    # value tables in an appendix, with and without an end
+    "appendix_lines": """
+        select doc_id, cast(row_number() over (partition by doc_id order by pos) as int) as line_no, text from (
+          select doc_id, 1 as pos, 'Shutter' as text from base where r = 1
+          union all select doc_id, 10 + r, concat(case when pk % 4 = 0 then '7   ' else '' end, cast((qty * 5) % 200 as string), case when pk % 2 = 0 then '-' else ' – ' end, cast((qty * 5) % 200 + pk % 90 as string), '   ', case pk % 5 when 0 then 'Strobe fast ...' when 1 then 'Strobe off' when 2 then 'Page 7' else 'Open' end) from base
+          union all select doc_id, 40, case when sk % 2 = 0 then 'Mode table 2' else 'MODE  TABLE ②' end from base where r = 1 and pk % 3 > 0
+          union all select doc_id, 41, 'Virtual colour wheel*' from base where r = 1
+          union all select doc_id, 50 + r, concat(cast(r * 10 as string), '-', cast(r * 10 + 9 as string), '   Colour ', cast(pk as string)) from base
+          union all select doc_id, 90, case when pk % 2 = 0 then '12   Zoom' else 'Other' end from base where r = 1) x""",
     # ---- B2: structured records
     "channels": """
         select doc_id, r - 1 as channel_idx, concat('ch', cast(ln as string)) as channel_id,

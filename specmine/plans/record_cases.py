@@ -92,6 +92,30 @@ case("s11_parse_manifest", lambda t: records.parse_manifest(manifest_lines(t)),
 
 case("m14_inherit_modes", lambda t: modes.inherit_modes(t("modes").withColumn("parent_idx", F.col("mode_idx") - 1).withColumn("prefix", F.lit(3)), t("mode_rows")), "modes mode_rows", """select doc_id, mode_idx, position, channel_id from mode_rows union all
     select m.doc_id, 1 as mode_idx, r.position, r.channel_id from modes m join mode_rows r on r.doc_id = m.doc_id and r.mode_idx = 0 where m.mode_idx = 1 and r.position <= 3 and not exists (select 1 from mode_rows x where x.doc_id = m.doc_id and x.mode_idx = 1 and x.position = r.position)""")
+NAMED = r"""heads as (select *, cast(sum(case when head then 1 else 0 end) over w as int) - 1 as mode_idx, count(*) filter (where head) over (partition by doc_id) as k from (select *, coalesce(text like '%DMX Mode' and regexp_matches(lead(text) over (partition by doc_id order by line_no), '^[0-9]+ DMX channels'), false) as head, lead(text) over (partition by doc_id order by line_no) as nxt from named_lines) window w as (partition by doc_id order by line_no)),
+    inner_lines as (select * from (select *, count(*) filter (where text = 'FX list') over (partition by doc_id, mode_idx order by line_no) as over_ from heads where k >= 2 and mode_idx >= 0) where over_ = 0),
+    named as (select doc_id, mode_idx, 'Level' || case when max(case when head then text end) like 'LEVEL/%' then '/' else ' ' end || regexp_extract(max(case when head then text end), '([0-9]+)', 1) as name, cast(max(case when head then regexp_extract(nxt, '^([0-9]+)', 1) end) as int) as size,
+      cast(max(regexp_extract(text, '^Channels 1 - ([0-9]+) as in', 1)) as int) as prefix0, max(regexp_extract(text, 'as in [Ll]evel.([0-9]+) Mode', 1)) as parent from (select doc_id, mode_idx, head, nxt, text from inner_lines) group by 1, 2),
+    mm as (select a.doc_id, a.mode_idx, a.name, a.size, case when a.parent = '' then null else a.prefix0 end as prefix, (select max(b.mode_idx) from named b where b.doc_id = a.doc_id and b.mode_idx < a.mode_idx and regexp_extract(b.name, '([0-9]+)', 1) = a.parent) as parent_idx from (select * replace (try_cast(nullif(cast(prefix0 as varchar), '') as int) as prefix0) from named) a),
+    own as (select doc_id, mode_idx, position, label from (select l.doc_id, l.mode_idx, cast(regexp_extract(text, '^([0-9]+) ', 1) as int) as position, regexp_extract(text, '[0-9]+-[0-9]+ +(.*)$', 1) as label, row_number() over (partition by l.doc_id, l.mode_idx, cast(regexp_extract(text, '^([0-9]+) ', 1) as int) order by line_no) as r
+      from inner_lines l join mm on mm.doc_id = l.doc_id and mm.mode_idx = l.mode_idx where regexp_matches(text, '^[0-9]+ +[0-9]+-[0-9]+ ') and cast(regexp_extract(text, '^([0-9]+) ', 1) as int) between coalesce(mm.prefix, 0) + 1 and mm.size) where r = 1)""".replace("cast(max(regexp_extract(text, '^Channels 1 - ([0-9]+) as in', 1)) as int)", "try_cast(max(regexp_extract(text, '^Channels 1 - ([0-9]+) as in', 1)) as int)").replace("(select * replace (try_cast(nullif(cast(prefix0 as varchar), '') as int) as prefix0) from named) a", "named a")
+case("m14_named_modes", lambda t: modes.named_modes(t("named_lines"))[0], "named_lines", f"{NAMED} select doc_id, mode_idx, name, size, parent_idx, prefix from mm")
+case("m14_inherited_rows", lambda t: modes.inherit_modes(*modes.named_modes(t("named_lines"))), "named_lines", f"""recursive {NAMED}, up as (select doc_id, mode_idx, mode_idx as a, 100000 as upto, 0 as depth from mm union all select up.doc_id, up.mode_idx, mm.parent_idx, least(upto, prefix), depth + 1 from up join mm on mm.doc_id = up.doc_id and mm.mode_idx = up.a where mm.parent_idx is not null)
+    select doc_id, mode_idx, position, label as channel_id from (select up.doc_id, up.mode_idx, position, label, row_number() over (partition by up.doc_id, up.mode_idx, position order by depth) as r from up join own on own.doc_id = up.doc_id and own.mode_idx = up.a where position <= upto) where r = 1""")
+PARALLEL = r"""ctx as (select *, case when text in ('Single Control Mode', 'Dual Control Mode - Pixels') then text end as c, case when text like '%CH)' then line_no end as g from personality_lines),
+    inside as (select * from (select *, last_value(c ignore nulls) over w as of_ctx, last_value(case when c is not null then -1 else g end ignore nulls) over w as grp, count(c) over (partition by doc_id) as several from ctx window w as (partition by doc_id order by line_no)) where several >= 2 and grp > 0),
+    heads as (select doc_id, grp, any_value(case of_ctx when 'Single Control Mode' then 'Single Control' else 'Dual Control · Pixels' end) as context, max(case when line_no = grp then text end) as h from inside group by 1, 2),
+    top as (select * from (select *, row_number() over (partition by doc_id, grp order by line_no) as k, coalesce(sum(length(text) + 1) over (partition by doc_id, grp order by line_no rows between unbounded preceding and 1 preceding), 0) + 1 as off from inside where line_no > grp) where k <= 9 and off < 500),
+    people as (select doc_id, grp, context, unnest(range(len(l))) as personality, unnest(l) as raw from (select *, regexp_extract_all(h, '[A-Z][a-z ]*\([0-9]+CH\)') as l from heads)),
+    named as (select doc_id, grp, context, personality, trim(split_part(raw, '(', 1)) as name, cast(regexp_extract(raw, '([0-9]+)CH', 1) as int) as size from people),
+    places as (select n.doc_id, n.grp, n.personality, arg_min(instr(lower(t.text), lower(n.name)) - 1 + length(n.name) / 2.0, t.line_no) as place from named n join top t on t.doc_id = n.doc_id and t.grp = n.grp and regexp_matches(lower(t.text), '\b' || lower(n.name) || '\b') group by 1, 2, 3),
+    both_ as (select doc_id, grp, count(*) as k, max(place) - min(place) as apart from places group by 1, 2),
+    cols as (select n.*, case when b.k = 2 and b.apart >= 2 then cast(rank() over (partition by n.doc_id, n.grp order by p.place) as int) - 1 else n.personality end as col from named n left join places p using (doc_id, grp, personality) left join both_ b using (doc_id, grp))"""
+case("m15_personalities", lambda t: modes.contextual_personalities(t("personality_lines")), "personality_lines", f"""{PARALLEL} select doc_id, grp as group_line, context, cast(personality as int) as personality, case name when 'Gamma ray' then 'Gamma Ray' else name end as name, size, cast(col as int) as "column" from cols""")
+case("m15_personality_rows", lambda t: modes.personality_rows(t("personality_lines")), "personality_lines", rf"""{PARALLEL}, wide as (select doc_id, grp, count(*) as n from named group by 1, 2),
+    cells as (select i.doc_id, i.grp, line_no, regexp_split_to_array(trim(regexp_extract(text, '^((?:(?:[0-9]{{1,3}}|-)\s+)+)[0-9]+-[0-9]+\s', 1)), '\s+') as c, regexp_extract(text, '^(?:(?:[0-9]{{1,3}}|-)\s+)+[0-9]+-[0-9]+\s+(.*)$', 1) as label from inside i where regexp_matches(text, '^((?:(?:[0-9]{{1,3}}|-)\s+)+)[0-9]+-[0-9]+\s')),
+    long as (select c.doc_id, c.grp, line_no, label, unnest(range(len(c.c))) as col, unnest(c.c) as cell from cells c join wide using (doc_id, grp) where len(c.c) = n)
+    select doc_id, context, case name when 'Gamma ray' then 'Gamma Ray' else name end as name, position, line_no, label from (select l.doc_id, context, name, try_cast(cell as int) as position, line_no, label, row_number() over (partition by l.doc_id, l.grp, personality, try_cast(cell as int) order by line_no) as r from long l join cols using (doc_id, grp, col) where cell <> '-' and try_cast(cell as int) between 1 and size) where r = 1""")
 GRAMMAR = "case doc_id % 5 when 0 then 'sparse' when 1 then 'coded' when 2 then 'named' when 3 then 'traits' else 'sequential' end"
 case("m16_choose_grammar", lambda t: modes.choose_grammar(t("base").select("doc_id", "pk", F.element_at(F.array(*map(F.lit, ["sparse", "coded", "named", "traits", "sequential"])), F.col("pk") % 5 + 1).alias("grammar"))), "base", f"""g as (select doc_id, pk, {GRAMMAR.replace('doc_id', 'pk')} as grammar from base)
     select doc_id, pk, grammar from (select *, rank() over (partition by doc_id order by case grammar when 'named' then 1 when 'sparse' then 3 when 'traits' then 5 when 'sequential' then 6 else 8 end) as r from g) where r = 1""")
@@ -167,6 +191,24 @@ case("r25_expand_ellipsis", lambda t: rows.expand_ellipsis(dotted(t)), "base", "
     select doc_id, cast(1 + i as int) as block, cast(1 + i * 4 as int) as first, 4 as size from e""")
 case("r30_default_ranges", lambda t: rows.default_ranges(t("channels"), t("ranges").where("range_start % 3 = 0")), "channels ranges", """select doc_id, channel_idx, channel_id, 0 as range_start, 255 as range_end, case when kind = 'intensity' then 'Brightness' else 'Full range' end as name, case kind when 'strobe' then 'strobe' when 'maintenance' then 'reset' else 'normal' end as safety, cast(case when kind in ('strobe', 'maintenance') then 0.45 else 0.8 end as double) as confidence
     from channels c where not exists (select 1 from ranges r where r.doc_id = c.doc_id and r.channel_id = c.channel_id and r.range_start % 3 = 0)""")
+def some_ranges(t: Tables) -> DataFrame:
+    """Ranges, and a default one for channels without any that starts at a multiple of 3."""
+    few = t("ranges").where("range_start % 3 = 0")
+    return few.select("doc_id", "channel_id", "range_start", "range_end").unionByName(rows.default_ranges(t("channels"), few).select("doc_id", "channel_id", "range_start", "range_end"))
+
+
+def lit_channels(t: Tables) -> DataFrame:
+    return t("channels").withColumn("name", F.when(F.col("name") == "Red", "Virtual color wheel").when(F.col("name") == "Tilt", "Shutter / Strobe").otherwise(F.col("name")))
+
+
+case("r29_appendix_of_channels", lambda t: rows.attach_appendix(rows.appendix_sections(t("appendix_lines")), lit_channels(t), some_ranges(t)), "appendix_lines channels ranges", r"""few as (select doc_id, channel_id, range_start, range_end from ranges where range_start % 3 = 0),
+    sr as (select * from few union all select doc_id, channel_id, 0, 255 from channels c where not exists (select 1 from few where few.doc_id = c.doc_id and few.channel_id = c.channel_id)),
+    one as (select doc_id, channel_id from sr group by 1, 2 having count(*) = 1 and min(range_start) = 0 and max(range_end) = 255),
+    keyed as (select c.doc_id, c.channel_idx, c.channel_id, case when c.name = 'Red' then 'wheel' when c.name = 'Tilt' or (c.kind = 'strobe' and one.doc_id is not null) then 'shutter' end as key from channels c left join one on one.doc_id = c.doc_id and one.channel_id = c.channel_id),
+    marks as (select doc_id, min(case when text = 'Shutter' then line_no end) as s, min(case when text in ('Mode table 2', 'MODE  TABLE ②') then line_no end) as e, min(case when text = 'Virtual colour wheel*' then line_no end) as vs, min(case when text = '12   Zoom' then line_no end) as ve from appendix_lines group by 1),
+    parts as (select l.doc_id, case when line_no > s and line_no < e then 'shutter' when line_no > vs and line_no < ve then 'wheel' end as key, line_no, text from appendix_lines l join marks using (doc_id)),
+    read as (select doc_id, key, line_no, try_cast(regexp_extract(text, '^(?:[0-9]{1,3}\s+)?([0-9]{1,3})\s*[-–]\s*([0-9]{1,3})\s+(.+?)\s*$', 1) as int) as a, try_cast(regexp_extract(text, '^(?:[0-9]{1,3}\s+)?([0-9]{1,3})\s*[-–]\s*([0-9]{1,3})\s+(.+?)\s*$', 2) as int) as b, regexp_replace(regexp_extract(text, '^(?:[0-9]{1,3}\s+)?([0-9]{1,3})\s*[-–]\s*([0-9]{1,3})\s+(.+?)\s*$', 3), '[ .]+$', '') as name from parts where key is not null and regexp_matches(text, '^(?:[0-9]{1,3}\s+)?([0-9]{1,3})\s*[-–]\s*([0-9]{1,3})\s+(.+?)\s*$'))
+    select k.doc_id, channel_idx, channel_id, line_no, a as range_start, b as range_end, name, case when name = 'Strobe fast' then 'strobe' else 'normal' end as safety, cast(0.95 as double) as confidence from keyed k join read r on r.doc_id = k.doc_id and r.key = k.key where a <= b and b <= 255 and name <> 'Page 7'""")
 case("r32_assign_ids", lambda t: rows.assign_ids(t("channels")), "channels", """select doc_id, channel_idx, case when k > 1 then channel_id || '-' || lpad(cast(k as varchar), 2, '0') else channel_id end as channel_id, case when k > 1 then name || ' (' || k || ')' else name end as name from (select *, row_number() over (partition by doc_id, channel_id order by channel_idx) as k from channels)""")
 case("r33_split_breaks", lambda t: rows.split_breaks(t("base").select("doc_id", "r", (F.col("pk") * 7).alias("slot"))), "base", "select doc_id, r, pk * 7 as slot, cast(floor(pk * 7 / 512) as int) + 1 as dmx_break, (pk * 7) % 512 + 1 as channel_offset from base")
 case("r34_unstructured_modes", lambda t: rows.unstructured_modes(t("base").select("doc_id", (F.col("sk") % 6 + 1).alias("size")).distinct(), t("channels")), "base channels", "s as (select distinct doc_id, sk % 6 + 1 as size from base) select doc_id, size || '-channel' as mode_name, channel_idx + 1 as position, channel_id from s join channels using (doc_id) where channel_idx + 1 <= size")
@@ -394,6 +436,22 @@ case("e16_brand_rollup", lambda t: evaluate.brand_rollup(small_board(t)), EVAL,
 case("e17_health_counts", lambda t: evaluate.health_counts(small_board(t)), EVAL, f"{BOARD} select count(*) filter (where recall = 0) as zero_recall, count(*) filter (where recall = 1) as perfect_recall, count(*) as n from bd")
 case("e18_duplicate_audit", lambda t: evaluate.duplicate_audit(t("documents")), "", "select md5(text) as digest, count(*) as n, count(distinct source) as n_sources, min(doc_id) as first_doc from documents group by 1 having count(*) > 1")
 
+def rehosted(t: Tables) -> DataFrame:
+    """Documents, and copies of one in five under other ids and another name."""
+    d = t("documents").select("doc_id", "text", "source")
+    return d.unionByName(d.where("doc_id % 5 = 0").select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text", F.lit("mirror").alias("source")))
+
+
+def footprints_of(docs: DataFrame) -> DataFrame:
+    prints = F.array(F.when(F.col("doc_id") % 3 != 1, 5), (F.col("doc_id") % 4 + 10).cast("int"), F.when(F.col("doc_id") % 10 < 6, 28))
+    return docs.select("doc_id", F.explode(F.array_compact(prints)).alias("footprint"))
+
+
+case("e18_conflicting_duplicates", lambda t: evaluate.conflicting_duplicates(rehosted(t), footprints_of(rehosted(t))), "", """d as (select doc_id, md5(text) as digest from documents union all select doc_id + 10000000, md5(text) from documents where doc_id % 5 = 0),
+    g as (select digest, count(*) as n, min(doc_id) as first_doc from d where digest is not null group by 1 having count(*) > 1),
+    p as (select digest, footprint, count(*) as k from (select distinct digest, doc_id, unnest([case when doc_id % 3 <> 1 then 5 end, doc_id % 4 + 10, case when doc_id % 10 < 6 then 28 end]) as footprint from d) where footprint is not null group by 1, 2)
+    select g.digest, n, first_doc, count(p.k) as n_common from g left join p on p.digest = g.digest and p.k = g.n group by 1, 2, 3 having count(p.k) <= 1""")
+
 # ---- lookup
 
 NAME = "trim(regexp_replace(replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
@@ -474,5 +532,25 @@ case("x2_open_format_parts", open_parts, "base fixtures channels ranges modes as
     union all select doc_id, 'wheel', 'w1', string_agg(case when k = 1 and sk % 3 = 0 then 'Open' when sk % 2 = 0 then concat('Color ', case when sk % 3 = 0 then 'open' else 'slot' end, ' #FF0000') else concat('Gobo ', case when sk % 3 = 0 then 'open' else 'slot' end) end, ';' order by k) from (select doc_id, pk, sk, unnest(range(1, pk % 4 + 2)) as k from base where r = 1) where pk % 4 >= 1 group by 1""")
 case("x3_gdtf_channels", lambda t: publish.gdtf_channels(t("mode_rows")), "mode_rows", f"{GDTF} select * from gdtf")
 case("x3_gdtf_attributes", lambda t: publish.gdtf_attributes(t("mode_rows")), "mode_rows", f"{GDTF}, ga as (select doc_id, attribute, feature, min(mode_idx * 10000 + position) as first from gdtf group by 1, 2, 3) select doc_id, attribute, feature, row_number() over (partition by doc_id order by first, attribute) as ord from ga")
+case("x3_gdtf_feature_groups", lambda t: publish.gdtf_feature_groups(t("channels").withColumn("gdtf_feature", F.when(F.col("kind") == "laser", "Beam.Beam").when(F.col("kind") == "generic", "Gobo").otherwise(""))), "channels", f"""f as (select doc_id, channel_idx, case when kind = 'laser' then 'Beam' when kind = 'generic' then 'Gobo' else {FEAT} end as feature_group, case when kind = 'laser' then 'Beam' else 'Control' end as feature from channels where fine_of is null)
+    select doc_id, feature_group, feature, cast(row_number() over (partition by doc_id order by first_at, feature_group, feature) as int) as ord from (select doc_id, feature_group, feature, min(channel_idx) as first_at from f group by 1, 2, 3)""")
+WHEELS = "ws as (select distinct doc_id, concat('ch', cast(ln as varchar)) as channel_id, unnest(range(1, pk % 3 + 2)) as slot from base where pk % 16 in (10, 11))"
+
+
+def slots_of_wheels(t: Tables) -> DataFrame:
+    w = t("base").where("pk % 16 in (10, 11)")
+    return w.select("doc_id", F.concat(F.lit("ch"), F.col("ln").cast("string")).alias("channel_id"), F.explode(F.sequence(F.lit(1), F.col("pk") % 3 + 1)).alias("slot")).distinct()
+
+
+case("x3_gdtf_wheel_slots", lambda t: publish.gdtf_wheel_slots(slots_of_wheels(t).select("doc_id", F.col("channel_id").alias("wheel_id"), (F.col("slot") * 5).alias("number"), F.concat(F.lit("Slot "), F.col("slot").cast("string")).alias("name"))), "base", f"{WHEELS} select doc_id, channel_id as wheel_id, cast(row_number() over (partition by doc_id, channel_id order by slot) as int) as slot, 'Slot ' || slot as name from ws")
+case("x3_gdtf_functions", lambda t: publish.gdtf_functions(t("mode_rows"), t("channels"), t("ranges"), slots_of_wheels(t)), "base mode_rows channels ranges", f"""{GDTF}, {WHEELS}, x as (select *, row_number() over (partition by doc_id, channel_id order by range_start, range_idx) - 1 as source, {REACH} + 1 as nxt from ranges where range_start <= range_end and range_start <= 255),
+    tops as (select doc_id, channel_id, max(range_end) as top from x group by 1, 2),
+    done as (select doc_id, channel_id, greatest(range_start, nxt) as a, least(range_end, 255) as b, name, source from x where range_end >= nxt
+      union all select doc_id, channel_id, nxt, range_start - 1, 'Unspecified', null from x where range_start > nxt union all select doc_id, channel_id, top + 1, 255, 'Unspecified', null from tops where top < 255
+      union all select distinct doc_id, channel_id, 0, 255, 'Full range', null from channels c where not exists (select 1 from tops where tops.doc_id = c.doc_id and tops.channel_id = c.channel_id)),
+    n as (select doc_id, channel_id, max(slot) as slots from ws group by 1, 2)
+    select g.doc_id, g.mode_idx, g.position, m.channel_id, cast(row_number() over (partition by g.doc_id, g.mode_idx, g.position, m.channel_id order by a) as int) as fn, d.name, g.attribute, case when "offset" like '%,%' then a * 257 else a end as dmx_from,
+      case when "offset" like '%,%' then case when b = 255 then 65535 else (b + 1) * 257 - 1 end else b end as dmx_to, cast(case when source < slots then source + 1 end as int) as wheel_slot
+    from gdtf g join mode_rows m on m.doc_id = g.doc_id and m.mode_idx = g.mode_idx and m.position = g.position join done d on d.doc_id = g.doc_id and d.channel_id = m.channel_id left join n on n.doc_id = g.doc_id and n.channel_id = m.channel_id""")
 case("x4_stable_uuid", lambda t: t("fixtures").select("doc_id", tx.stable_uuid(F.concat_ws("/", "manufacturer", "model")).alias("uuid")), "fixtures", r"""h as (select doc_id, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat_ws('/', manufacturer, model))) as h from fixtures)
     select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', cast(cast(concat('0x', substr(h, 17, 1)) as integer) % 4 + 1 as bigint), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as uuid from h""")
