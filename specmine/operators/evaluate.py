@@ -247,11 +247,15 @@ def metric_summary(board: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def brand_rollup(board: DataFrame) -> DataFrame:
-    return board.groupBy("manufacturer").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg("precision"), 6).alias("mean_precision")).orderBy(F.desc("n"), "manufacturer")
+    """Documents of each brand and the means of three scores over those that have them, most documents first."""
+    mean = lambda c: F.round(F.avg(c), 6)
+    r = board.groupBy("brand").agg(F.count("*").alias("n"), mean("footprint_recall").alias("mean_recall"), mean("footprint_precision").alias("mean_precision"), mean("channel_name_score").alias("mean_name_score"))
+    return r.orderBy(F.desc("n"), "brand")
 
 
 def health_counts(board: DataFrame) -> DataFrame:
-    return board.agg(F.count_if(F.col("recall") == 0).alias("zero_recall"), F.count_if(F.col("recall") == 1).alias("perfect_recall"), F.count("*").alias("n"))
+    """Documents of which nothing, and of which all was found, and models that echo the file's name."""
+    return board.agg(F.count_if(F.col("footprint_recall") == 0).alias("zero_recall"), F.count_if(F.col("footprint_recall") == 1).alias("perfect_recall"), F.count_if("filename_echo").alias("filename_echo"), F.count("*").alias("n"))
 
 
 def duplicate_audit(docs: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ PERSON = ["mr", "mrs", "ms", "dr", "by", "author", "designer", "engineer", "mana
 BOUGHT = ("purchasing this ", "buying this ")
 TITLE = r"^([A-Z][A-Za-z0-9]+(?: [A-Z0-9][A-Za-z0-9]*)+)"
 KIND = r"(?:user[ \t]+manual|owner'?s?[ \t]+manual|programming[ \t]+manual|instructions?[ \t]+manual|user[ \t]+instructions|dmx[ \t]+traits)"
+STOPWORDS = ["this", "the", "a", "an", "your", "our", "my", "its", "read", "see", "review", "entire", "complete", "following", "above", "before", "use", "safety", "service", "general", "advanced", "important", "basic", "quick", "full", "technical", "programming", "installation", "operation", "operating", "troubleshooting", "maintenance", "reference"]
 DOC_WORDS = ["manual", "user", "guide", "dmx", "chart", "instructions", "quick", "start", "rev", "version"]
 
 
@@ -132,9 +133,9 @@ def with_brands(docs: DataFrame, catalog: DataFrame, limit: int = 500_000) -> Da
     return out
 
 
-def brand_candidates(docs: DataFrame, catalog: DataFrame) -> DataFrame:
+def brand_candidates(docs: DataFrame, catalog: DataFrame, limit: int = 500_000) -> DataFrame:
     """(doc_id, canonical) by case-blind containment of any spelling."""
-    return with_brands(docs.select("doc_id", "text"), catalog).select("doc_id", "_brand.canonical")
+    return with_brands(docs.select("doc_id", "text"), catalog, limit).select("doc_id", "_brand.canonical")
 
 
 def escaped(c: Column) -> Column:
@@ -262,7 +263,10 @@ def model_sources(docs: DataFrame) -> Column:
     e = lambda c, p: F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit(""))
     cover = F.element_at(F.split("text", r"(?m)^=== PAGE (?!1 ===)[0-9]+ ==="), 1)
     above = e(cover, rf"(?im)^[ \t]*(?!===)([^\n]{{3,70}}?)[ \t]*\n[ \t]*{KIND}(?:[ \t]+(?:rev\.?|revision)[ \t]*[A-Z0-9.]+)?[ \t]*$")
-    sources = [("line", e(F.col("text"), r"(?i)product(?: line)?: *([A-Za-z0-9 ]{3,40})")), ("number", e(F.col("text"), r"(?i)model: *([A-Za-z0-9-]{2,20})")), ("title", e(first, TITLE)), ("two_line", F.when(is_title(above), above)), ("spaced", F.nullif(F.regexp_replace(e(first, r"^((?:[A-Z] ){3,}[A-Z])\b"), " ", ""), F.lit(""))), ("cover", e(cover, rf"\b([A-Z][A-Za-z0-9_-]{{2,30}})[ \t]+(?i:{KIND})\b")), ("word", e(F.col("text"), r"\b([A-Z][a-z]{3,})\b"))]
+    # words right ahead of the document's kind, in any case: the first that can be a name
+    words = F.regexp_extract_all(flatten_text(cover), F.lit(rf"(?i)\b([A-Z][A-Za-z0-9_-]{{2,30}})[™®]?\s+{KIND}\b"), F.lit(1))
+    named = lambda w: ~F.lower(w).isin(*STOPWORDS) & (w.rlike("^[A-Z]") | w.rlike("[0-9]")) & is_title(w)
+    sources = [("line", e(F.col("text"), r"(?i)product(?: line)?: *([A-Za-z0-9 ]{3,40})")), ("number", e(F.col("text"), r"(?i)model: *([A-Za-z0-9-]{2,20})")), ("title", e(first, TITLE)), ("two_line", F.when(is_title(above), above)), ("spaced", F.nullif(F.regexp_replace(e(first, r"^((?:[A-Z] ){3,}[A-Z])\b"), " ", ""), F.lit(""))), ("cover", F.get(F.filter(words, named), F.lit(0)))]
     return F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("source"), c.alias("model"))) for n, c in sources]))
 
 
@@ -272,9 +276,8 @@ def model_candidates(docs: DataFrame) -> DataFrame:
 
 
 def stated_model(docs: DataFrame) -> Column:
-    """(source, model) of the first source whose model can stand: titles must pass the title
-    filters, and any capitalised word of the text is no statement of the model."""
-    return F.get(F.filter(model_sources(docs), lambda m: m["source"].isin("line", "number") | (m["source"] != "word") & is_title(m["model"])), F.lit(0))
+    """(source, model) of the first source whose model can stand: titles must pass the title filters."""
+    return F.get(F.filter(model_sources(docs), lambda m: m["source"].isin("line", "number") | is_title(m["model"])), F.lit(0))
 
 
 def titles(docs: DataFrame) -> DataFrame:

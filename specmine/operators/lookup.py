@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specmine.functions.text import normalize_name, text_score
+from specmine.functions.text import clean_text, normalize_name, text_score
 
 
 def clean_footprints(c: Column) -> Column:
@@ -67,19 +67,29 @@ def top_matches(scored: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def sanitize_matches(rows: DataFrame, hosts: list[str]) -> DataFrame:
-    """Only https URLs of allowed hosts stay, without user info and fragment; ratings outside 0 to
-    5 are null and scores are clamped. Columns: id, url, rating, score."""
-    host = F.try_parse_url("url", F.lit("HOST"))
-    allowed = reduce(lambda a, h: a | (host == h) | host.endswith("." + h), hosts, F.lit(False)) & F.col("url").startswith("https://")
-    clean = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "^https://[^/@]*@", "https://")
-    return rows.where("id is not null").select("id", F.when(allowed, clean).alias("url"), F.when(F.col("rating").between(0, 5), F.col("rating")).alias("rating"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
+def sanitize_matches(rows: DataFrame, hosts: list[str], home: str = "") -> DataFrame:
+    """Matches that may be shown: maker, fixture and an https URL of an allowed host are required (a missing URL is ``home``). User
+    info and fragment of the URL go, texts are cleaned and cut, any source but "manufacturer" is "community", scores are
+    clamped to 0 to 1 and ratings to 0 to 5 (null where no number). Columns: id, manufacturer, fixture, source, url, rating, score."""
+    url = F.coalesce(F.nullif("url", F.lit("")), F.lit(home))
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    clean = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "(?i)^https://[^/@?]*@", "https://")
+    clean = F.when(clean.rlike("(?i)^https://[^/?]+$"), F.concat(clean, F.lit("/"))).otherwise(clean)
+    allowed = F.lower(url).startswith("https://") & host.isin(*[h.lower() for h in hosts])
+    number = lambda c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double"))
+    clamp = lambda c, a, b: F.when(c.isNotNull(), F.least(F.lit(b), F.greatest(F.lit(a), c)))
+    rating = F.when(F.abs(number("rating")) != float("inf"), number("rating"))
+    s = rows.select(clean_text(F.col("id").cast("string"), 80).alias("id"), clean_text(F.col("manufacturer"), 96).alias("manufacturer"), clean_text(F.col("fixture"), 128).alias("fixture"), F.when(F.col("source") == "manufacturer", "manufacturer").otherwise("community").alias("source"), F.when(allowed, clean).alias("url"), clamp(rating, 0.0, 5.0).alias("rating"), clamp(number("score"), 0.0, 1.0).alias("score"))
+    return s.where("manufacturer <> '' and fixture <> '' and url is not null")
 
 
 def lookup_eligible(fixtures: DataFrame, footprints: DataFrame) -> DataFrame:
-    """Records with both names; maker, model and distinct footprints as the query."""
+    """Records whose identity was read from the manual, with both names known; maker, model and distinct footprints as
+    the query. fixtures: doc_id, manufacturer, model, from_manual."""
+    known = lambda c: (F.trim(c) != "") & ~F.lower(F.trim(c)).startswith("unknown")
     f = footprints.where("footprint > 0").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("footprint")), " ").alias("footprints"))
-    return fixtures.where("trim(manufacturer) <> '' and trim(model) <> '' and model <> 'Unknown model'").join(f, "doc_id", "left").select("doc_id", "manufacturer", "model", F.coalesce("footprints", F.lit("")).alias("footprints"))
+    named = fixtures.where(F.col("from_manual") & known("manufacturer") & known("model"))
+    return named.join(f, "doc_id", "left").select("doc_id", "manufacturer", "model", F.coalesce("footprints", F.lit("")).alias("footprints"))
 
 
 def changed_lookups(history: DataFrame) -> DataFrame:

@@ -71,25 +71,33 @@ def header_labeled(lines: DataFrame) -> DataFrame:
     return _headers(lines, counts, F.col("text").rlike("(?i)function") & (F.size(counts) >= 2))
 
 
-def header_sparse(lines: DataFrame, above: int = 5) -> DataFrame:
-    """2 to 8 bare distinct counts ahead of "Function", if some header of the document has a
-    legend in the lines above it."""
-    p = r"(?i)^([0-9]{1,3}(?:\s+[0-9]{1,3}){1,7})\s+function"
-    legend = F.max(F.col("text").rlike("(?i)channel mode|ch mode").cast("int")).over(in_document().rowsBetween(-above, -1))
+def text_above(lines: DataFrame, chars: int) -> DataFrame:
+    """Lines with ``_above``: the last so many characters of the document's text ahead of the line."""
+    s = lines.withColumn("_at", F.coalesce(F.sum(F.length("text") + 1).over(in_document().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    by_place = W.partitionBy("doc_id").orderBy("_at")
+    s = s.withColumn("_near", F.collect_list("text").over(by_place.rangeBetween(-chars, -1))).withColumn("_cut", F.last("text").over(by_place.rangeBetween(W.unboundedPreceding, -chars - 1)))
+    above = F.concat(F.array_join(F.array_compact(F.concat(F.array("_cut"), "_near")), "\n"), F.when(F.col("_at") > 0, "\n").otherwise(""))
+    return s.withColumn("_above", F.right(above, F.least(F.lit(chars), F.length(above)))).drop("_at", "_near", "_cut")
+
+
+def header_sparse(lines: DataFrame, above: int = 500) -> DataFrame:
+    """2 to 8 bare distinct counts ahead of "Function", if some header of the document has a legend ("12: Name") in the
+    characters above it."""
+    p = r"(?i)^[ \t]*([0-9]{1,3}(?:[ \t]+[0-9]{1,3}){1,7})[ \t]+function\b"
     counts = ints(F.regexp_extract("text", p, 1), "([0-9]{1,3})")
-    h = lines.withColumn("_l", legend).where(F.col("text").rlike(p)).withColumn("counts", counts).where("size(counts) between 2 and 8 and size(array_distinct(counts)) = size(counts)")
-    trusted = h.groupBy("doc_id").agg(F.bool_or(F.col("_l") == 1).alias("t")).where("t").select("doc_id")
-    return h.join(trusted, "doc_id", "left_semi").select("doc_id", "page", "line_no", "counts")
+    h = text_above(lines, above).where(F.col("text").rlike(p)).withColumn("counts", counts).where("size(array_distinct(counts)) = size(counts)")
+    trusted = F.max(F.col("_above").rlike(r"[0-9]{1,3}\s*:\s*[A-Za-z]").cast("int")).over(W.partitionBy("doc_id"))
+    return h.withColumn("_t", trusted).where("_t = 1").select("doc_id", "page", "line_no", "counts")
 
 
-def header_index_total(lines: DataFrame, above: int = 5) -> DataFrame:
-    """ "mode/total 5 9 Value" or bare indices under a mode label; bare ones have unknown totals."""
-    total = r"(?i)^mode.*total((?:\s+[0-9]{1,3})+)\s+value"
-    bare = r"(?i)^((?:[0-9]\s+){2,})value"
-    label = F.max(F.col("text").rlike("(?i)mode|channel").cast("int")).over(in_document().rowsBetween(-above, -1))
+def header_index_total(lines: DataFrame, above: int = 400) -> DataFrame:
+    """ "1/5 2/28 Value" (mode and total) or bare mode numbers ahead of "Value", with a "Mode/channel" label in the characters
+    above; bare ones have unknown totals."""
+    total, bare = r"^[ \t]*((?:[0-9]{1,2}/[0-9]{1,3}[ \t]+){1,7})Value\b", r"^[ \t]*((?:[0-9]{1,2}[ \t]+){1,7})Value\b"
+    label = F.col("_above").rlike(r"(?i)Mode\s*/\s*(?:Total\s+)?channels?\b")
     t, b = F.regexp_extract("text", total, 1), F.regexp_extract("text", bare, 1)
-    counts = F.when(t != "", ints(t, "([0-9]{1,3})")).otherwise(F.transform(ints(b, "([0-9])"), lambda x: F.lit(None).cast("int")))
-    return _headers(lines.withColumn("_l", label), counts, ((t != "") | (b != "")) & (F.col("_l") == 1))
+    counts = F.when(t != "", ints(t, "/([0-9]{1,3})")).otherwise(F.transform(ints(b, "([0-9]{1,2})"), lambda x: F.lit(None).cast("int")))
+    return _headers(text_above(lines, above), counts, ((t != "") | (b != "")) & label)
 
 
 def header_traits(lines: DataFrame) -> DataFrame:
@@ -304,12 +312,20 @@ def choose_grammar(tables: DataFrame) -> DataFrame:
     return t.withColumn("_r", F.rank().over(W.partitionBy("doc_id").orderBy("_p"))).where("_r = 1").drop("_p", "_r")
 
 
-def channel_counts(lines: DataFrame, structured: DataFrame, declared: DataFrame) -> DataFrame:
-    """Table vocabulary flag, and the count: most structured, else most declared, else 0."""
-    v = lines.groupBy("doc_id").agg(F.bool_or(F.col("text").rlike(r"(?i)\b(dmx|channel|function|value)")).alias("has_vocabulary"))
+# What a manual with a channel table says somewhere.
+HAS_TABLE = r"(?i)(channel value table|dmx channel assignments(?: and values)?|dmx charts?|dmx traits|dmx channels?\s*[:\-]?\s*[0-9])"
+
+
+def channel_counts(lines: DataFrame, structured: DataFrame, declared: DataFrame, components: DataFrame) -> DataFrame:
+    """Whether the text has the words of a channel table, and the count: most structured, else most declared, else of a text
+    with such words the number of its known components, else 0."""
+    flat = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ")
+    v = lines.groupBy("doc_id").agg(F.regexp_replace(flat, r"\s+", " ").rlike(HAS_TABLE).alias("has_vocabulary"))
     s = structured.groupBy("doc_id").agg(F.max("table_count").alias("s"))
     d = declared.groupBy("doc_id").agg(F.max("size").alias("d"))
-    return v.join(s, "doc_id", "left").join(d, "doc_id", "left").select("doc_id", "has_vocabulary", F.coalesce("s", "d", F.lit(0)).alias("channel_count"))
+    k = components.groupBy("doc_id").agg(F.count("*").cast("int").alias("k"))
+    j = v.join(s, "doc_id", "left").join(d, "doc_id", "left").join(k, "doc_id", "left")
+    return j.select("doc_id", "has_vocabulary", F.coalesce("s", "d", F.when(F.col("has_vocabulary"), F.col("k")), F.lit(0)).alias("channel_count"))
 
 
 def reject_thin_tables(modes: DataFrame) -> DataFrame:

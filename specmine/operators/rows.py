@@ -188,11 +188,14 @@ def drop_overlapping_ranges(ranges: DataFrame) -> DataFrame:
 
 
 def fill_missing_positions(rows: DataFrame) -> DataFrame:
-    """Placeholders of confidence 0.25 for positions nothing was read for."""
+    """Placeholders of confidence 0.25 for positions nothing was read for; of what was read, the first row's name, kind,
+    colour and fine link (where the rows have one)."""
+    link = F.col("fine_of") if "fine_of" in rows.columns else F.lit(None).cast("string")
     size = rows.groupBy("doc_id", "mode_idx").agg(F.max("position").alias("size"), F.count_distinct("position").alias("parsed"))
     every = size.select("doc_id", "mode_idx", "parsed", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("position"))
-    first = rows.groupBy("doc_id", "mode_idx", "position").agg(F.min_by(F.struct("name", "confidence"), F.col("channel_idx")).alias("f"))
-    return every.join(first, ["doc_id", "mode_idx", "position"], "left").select("doc_id", "mode_idx", "position", "parsed", F.coalesce("f.name", F.concat(F.lit("Channel "), F.col("position").cast("string"))).alias("name"), F.coalesce("f.confidence", F.lit(0.25)).alias("confidence"))
+    first = rows.groupBy("doc_id", "mode_idx", "position").agg(F.min_by(F.struct("name", "confidence", "kind", "color", link.alias("fine_of")), F.col("channel_idx")).alias("f"))
+    filled = every.join(first, ["doc_id", "mode_idx", "position"], "left")
+    return filled.select("doc_id", "mode_idx", "position", "parsed", F.coalesce("f.name", F.concat(F.lit("Channel "), F.col("position").cast("string"))).alias("name"), F.coalesce("f.confidence", F.lit(0.25)).alias("confidence"), "f.kind", "f.color", "f.fine_of")
 
 
 def in_mode():
@@ -208,12 +211,24 @@ def pair_fine_channels(rows: DataFrame) -> DataFrame:
     return r.select("doc_id", "mode_idx", "position", "channel_idx", F.when(linked, F.concat("_p.name", F.lit(" fine"))).otherwise(F.col("name")).alias("name"), F.when(linked, F.col("_p.color")).otherwise(F.col("color")).alias("color"), F.when(linked, F.col("_p.channel_id")).alias("fine_of"))
 
 
+WIDE_KINDS = ["colorIntensity", "intensity", "pan", "tilt", "zoom"]  # fixed values: kinds whose next byte may be fine
+
+
 def infer_fine_gaps(filled: DataFrame) -> DataFrame:
-    """A placeholder between a read pan, tilt or dimmer and another read row is its fine byte."""
+    """A hole between a coarse row of a wide kind and another read row is its fine byte, and so is a row right behind
+    it that links to a coarse one, begins with "fine" or is a bare number. A row that has become a fine byte has none itself:
+    of rows in a row that could be one, every other is."""
     w = W.partitionBy("doc_id", "mode_idx").orderBy("position")
-    f = filled.withColumn("_hole", F.col("confidence") == 0.25).withColumn("_b", F.lag(F.struct("name", "_hole")).over(w)).withColumn("_a", F.lead("_hole").over(w))
-    is_fine = F.col("_hole") & ~F.col("_b._hole") & ~F.col("_a") & F.col("_b.name").rlike("^(Pan|Tilt|Dimmer)$")
-    return f.select("doc_id", "mode_idx", "position", F.when(is_fine, F.concat("_b.name", F.lit(" fine"))).otherwise(F.col("name")).alias("name"), F.coalesce(is_fine, F.lit(False)).alias("inferred"))
+    hole = F.col("kind").isNull()
+    f = filled.withColumn("_hole", hole).withColumn("_b", F.lag(F.struct("name", "kind", "color", "fine_of", "_hole")).over(w)).withColumn("_a", F.lead("_hole").over(w))
+    coarse = F.coalesce(~F.col("_b._hole") & F.col("_b.fine_of").isNull() & F.col("_b.kind").isin(*WIDE_KINDS), F.lit(False))
+    bare = F.col("fine_of").isNotNull() | F.lower("name").startswith("fine ") | ((F.col("kind") == "generic") & F.col("name").rlike("^[0-9]{1,3}$"))
+    f = f.withColumn("_can", coarse & F.when(F.col("_hole"), F.coalesce(~F.col("_a"), F.lit(False))).otherwise(F.coalesce(bare, F.lit(False))))
+    f = f.withColumn("_run", F.sum((~F.col("_can")).cast("int")).over(w))
+    nth = F.sum(F.col("_can").cast("int")).over(W.partitionBy("doc_id", "mode_idx", "_run").orderBy("position"))
+    is_fine = F.col("_can") & (nth % 2 == 1)
+    own = lambda c: F.when(is_fine, F.col(f"_b.{c}")).otherwise(F.col(c)).alias(c)
+    return f.select("doc_id", "mode_idx", "position", F.when(is_fine, F.concat("_b.name", F.lit(" fine"))).otherwise(F.col("name")).alias("name"), own("kind"), own("color"), is_fine.alias("inferred"))
 
 
 def resolve_fine_of(rows: DataFrame) -> DataFrame:
@@ -392,17 +407,27 @@ def unstructured_modes(sizes: DataFrame, channels: DataFrame) -> DataFrame:
     return sizes.join(c, "doc_id").where("position <= size").select("doc_id", F.concat(F.col("size").cast("string"), F.lit("-channel")).alias("mode_name"), "position", "channel_id")
 
 
-# Controls looked for anywhere in a text.
+# Controls looked for anywhere in a text, and how fine bytes of a position and colours are written.
 COMPONENTS = [
     ("Pan", r"(?i)\bpan\b"), ("Tilt", r"(?i)\btilt\b"), ("Pan / tilt speed", r"(?i)((pan.?tilt|x.?y)\s+speed|speed\s+from\s+100)"), ("Dimmer", "(?i)dimm(ing|er)"), ("Light switch / strobe", r"(?i)(light switch.?strobe|\bstrobe\b)"),
     ("Color wheel", "(?i)color wheel"), ("Gobo wheel", "(?i)gobo wheel"), ("Prism", r"(?i)\bprism\b"), ("Reserved", "(?i)reserved channel"), ("Reset / function", "(?i)reset.?function channel"),
 ]
+POSITION_FINE = r"(?i)(pan\s+fine|tilt\s+fine|[xy][ -]?axis\s+fine|16[ -]?bit(?:\s+precision)?\s+scan)"
+SIGNATURE = "RGB(?:W)?(?:A)?(?:UV)?"
+SIGNED = [("Red", "RGB"), ("Green", "RGB"), ("Blue", "RGB"), ("White", "W"), ("Amber", "A"), ("UV", "UV")]
 
 
 def component_scan(docs: DataFrame, components: list[tuple[str, str]] = COMPONENTS) -> DataFrame:
-    """Components whose pattern occurs anywhere in the text, in one pass over it."""
-    found = F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in components])
-    return docs.select("doc_id", F.explode(F.array_compact(found)).alias("component"))
+    """Components whose pattern occurs anywhere in the text, in one pass over it; fine bytes of pan and tilt where the text
+    speaks of a fine position; and, without a colour wheel, the colours of the first signature (RGB, then W, A, UV) in the
+    text's small letters and digits put together."""
+    text = F.regexp_replace("text", r"\s+", " ")
+    d = docs.select("doc_id", text.alias("text")).withColumn("_sign", F.regexp_extract(F.upper(F.regexp_replace("text", "[^a-z0-9]+", "")), SIGNATURE, 0))
+    has = lambda p: F.col("text").rlike(p)
+    found = [F.when(has(p), F.lit(n)) for n, p in components]
+    fine = [F.when(has(POSITION_FINE) & has(rf"(?i)\b{n}\b"), F.lit(f"{n.capitalize()} fine")) for n in ("pan", "tilt")]
+    colours = [F.when(~has("(?i)color wheel") & F.col("_sign").contains(letters), F.lit(n)) for n, letters in SIGNED]
+    return d.select("doc_id", F.explode(F.array_compact(F.array(*found, *fine, *colours))).alias("component"))
 
 
 def table_channels_fallback(classified: DataFrame, counts: DataFrame) -> DataFrame:

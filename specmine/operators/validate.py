@@ -186,16 +186,50 @@ def exportable(fixtures: DataFrame, issues: DataFrame) -> DataFrame:
     return fixtures.join(issues.where("level = 'error'").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def review_queue(fixtures: DataFrame, channels: DataFrame, modes: DataFrame) -> DataFrame:
-    """Help prompts: names not found, unsure identity, the first 6 incomplete modes, else the first
-    3 unsure channels. modes: doc_id, mode_idx, name, size, parsed."""
-    names = fixtures.where("trim(manufacturer) = '' or model in ('', 'Unknown model')").select("doc_id", F.lit("identity.name").alias("prompt"), F.lit("").alias("subject"))
-    unsure = fixtures.where("confidence < 0.5").select("doc_id", F.lit("identity.confidence").alias("prompt"), F.lit("").alias("subject"))
+# Fixed value: words of lights that are dimmed by their mains.
+MAINS = r"(?i)(phase cut|triac dimmer|mains dim)"
+
+
+def unknown(c: str) -> Column:
+    return (F.trim(c) == "") | F.col(c).startswith("Unknown")
+
+
+def review_queue(fixtures: DataFrame, channels: DataFrame, modes: DataFrame, wheels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Help prompts (doc_id, prompt, subject) of a document: no channels (and whether its text describes a light dimmed by its mains), no maker, no
+    model, both but unsure; of a document with modes the first 6 incomplete ones, of others the first 3 unsure channels, by
+    number; an unsure colour wheel, a gobo wheel, a locked reset. modes: doc_id, mode_idx, name, size, parsed; wheels: doc_id,
+    kind, confidence; texts: doc_id, text."""
+    ask = lambda df, prompt, subject=None: df.select("doc_id", F.lit(prompt).alias("prompt"), (F.lit("") if subject is None else subject).alias("subject"))
+    bare = fixtures.select("doc_id").join(channels.select("doc_id").distinct(), "doc_id", "left_anti").join(texts.select("doc_id", F.col("text").rlike(MAINS).alias("mains")), "doc_id", "left")
+    none = bare.select("doc_id", F.when(F.col("mains"), "channels.mains").otherwise("channels.none").alias("prompt"), F.lit("").alias("subject"))
+    maker, model = ask(fixtures.where(unknown("manufacturer")), "identity.manufacturer"), ask(fixtures.where(unknown("model")), "identity.model")
+    unsure = ask(fixtures.where(~unknown("manufacturer") & ~unknown("model") & (F.col("confidence") < 0.5)), "identity.confidence")
     wm = W.partitionBy("doc_id").orderBy("mode_idx")
-    thin = modes.where("parsed < size").withColumn("_r", F.row_number().over(wm)).where("_r <= 6").select("doc_id", F.lit("mode.incomplete").alias("prompt"), F.col("name").alias("subject"))
+    read = F.concat_ws(" ", "name", F.concat_ws("/", F.col("parsed").cast("string"), F.col("size").cast("string")))
+    thin = ask(modes.where("parsed < size").withColumn("_r", F.row_number().over(wm)).where("_r <= 6"), "mode.incomplete", read)
     wc = W.partitionBy("doc_id").orderBy("channel_idx")
-    weak = channels.where("confidence < 0.6").join(thin, "doc_id", "left_anti").withColumn("_r", F.row_number().over(wc)).where("_r <= 3").select("doc_id", F.lit("channel.confidence").alias("prompt"), F.col("name").alias("subject"))
-    return reduce(DataFrame.unionByName, [names, unsure, thin, weak])
+    weak = channels.where("confidence < 0.6").join(modes.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("_r", F.row_number().over(wc)).where("_r <= 3")
+    weak = ask(weak, "channel.confidence", (F.col("channel_idx") + 1).cast("string"))
+    colours = ask(wheels.where("kind = 'color' and confidence < 0.6").select("doc_id").distinct(), "wheel.color")
+    gobos = ask(wheels.where("kind = 'gobo'").select("doc_id").distinct(), "wheel.gobo")
+    locked = ask(channels.where("kind = 'maintenance'").select("doc_id").distinct(), "channel.reset")
+    return reduce(DataFrame.unionByName, [none, maker, model, unsure, thin, weak, colours, gobos, locked])
+
+
+def apply_name_edits(fixtures: DataFrame, edits: DataFrame) -> DataFrame:
+    """Maker and model after curators' edits (doc_id, manufacturer, model, ts, event_id): the latest that isn't blank, each."""
+    last = lambda c: F.max_by(F.when(F.trim(c) != "", F.trim(c)), F.when(F.trim(c) != "", F.struct("ts", "event_id"))).alias(f"_{c}")
+    e = edits.groupBy("doc_id").agg(last("manufacturer"), last("model"))
+    return fixtures.join(e, "doc_id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("manufacturer", "model")}).drop("_manufacturer", "_model")
+
+
+def open_prompts(queue: DataFrame, edited_channels: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """The prompts that edits leave open: one about a channel goes when a channel whose number its own begins with was
+    edited (edited_channels: doc_id, channel_idx), one about a name when that isn't unknown any more."""
+    done = edited_channels.select(F.col("doc_id").alias("_d"), (F.col("channel_idx") + 1).cast("string").alias("_n")).distinct()
+    left = queue.join(done, (F.col("prompt") == "channel.confidence") & (F.col("doc_id") == F.col("_d")) & F.col("subject").startswith(F.col("_n")), "left_anti")
+    named = fixtures.select("doc_id", F.explode(F.array_compact(F.array(F.when(~unknown("manufacturer"), "identity.manufacturer"), F.when(~unknown("model"), "identity.model")))).alias("prompt"))
+    return left.join(named, ["doc_id", "prompt"], "left_anti")
 
 
 def apply_edits(channels: DataFrame, edits: DataFrame) -> DataFrame:

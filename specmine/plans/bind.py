@@ -63,6 +63,16 @@ SQL: dict[str, str] = {
           union all select doc_id, 40, 'Dual Control Mode - Pixels' from base where r = 1 and pk % 6 > 0
           union all select doc_id, 41, concat('Gamma ray (', cast(n as string), 'CH)') from base where r = 1
           union all select doc_id, 50 + r, concat(cast(r as string), '   0-', cast(pk % 256 as string), '   pixel ', cast(ln as string)) from base) x""",
+    # headers of matrix tables, with a legend or label near, far or missing above them
+    "matrix_lines": """
+        select doc_id, 1 as page, cast(row_number() over (partition by doc_id order by pos) as int) as line_no, text from (
+          select doc_id, 1 as pos, case doc_id % 4 when 0 then '5: Basic mode' when 1 then 'Legend 7 :' when 2 then 'no legend' else '3:Tilt' end as text from base where r = 1
+          union all select doc_id, 2, repeat('filler text ', pk % 45) from base where r = 1
+          union all select doc_id, 3, case when pk % 5 = 0 then '3   3   Function' when pk % 5 = 1 then '4 8 12 FUNCTION name' when pk % 5 = 2 then '3   Function' else '  3   12   Function' end from base where r = 1
+          union all select doc_id, 10 + r, concat(cast(ln as string), '   ', cast(r as string), '   0-', cast(pk % 256 as string), '   part') from base
+          union all select doc_id, 30, case pk % 4 when 0 then 'Mode/Total channels' when 1 then 'DMX mode / channel list' when 2 then 'Mode overview' else 'Mode/' end from base where r = 1
+          union all select doc_id, 31, case when pk % 4 = 3 then 'Total channel' else repeat('more text ', sk % 60) end from base where r = 1
+          union all select doc_id, 32, case pk % 3 when 0 then '1/5   2/28   Value   control' when 1 then '1   2   Value' else '3   Value 1' end from base where r = 1) x""",
     # value tables in an appendix, with and without an end
     "appendix_lines": """
         select doc_id, cast(row_number() over (partition by doc_id order by pos) as int) as line_no, text from (

@@ -87,7 +87,24 @@ case(
     f"""x as (select doc_id, case when doc_id % 3 > 0 then 'x' end as brand, case when doc_id % 5 = 0 then 0.95 when doc_id % 3 > 0 then least(0.85, 0.5 + 0.1 * least(doc_id % 7, 3) + case when doc_id % 2 = 0 then 0.1 else 0 end + case when doc_id % 4 = 0 then 0.15 else 0 end) else 0.15 end as b, case doc_id % 3 when 0 then 0.9 when 1 then 0.35 else 0.15 end as m from manuals),
     y as (select doc_id, brand, case when doc_id % 3 = 1 then least(0.45, cast(b + m as double) / 2) else cast(b + m as double) / 2 end as m2 from x) select doc_id, cast({CONF} as double) as identity_confidence from y""",
 )
-case("i13_model_candidates", lambda t: identity.model_candidates(t("manuals")))
+LEADS = "case doc_id % 6 when 0 then concat('Lumabeam', chr(10), 'User Manual', chr(10)) when 1 then concat('W A S H E R', chr(10)) when 2 then 'please read this user manual and the SPIKIE-7 owner''s manual, ' when 3 then concat('Product line: Aura XB', chr(10)) when 4 then concat('cover', chr(10), 'Model: MHX-250', chr(10)) else '' end"
+
+
+def led(t: Tables) -> DataFrame:
+    """Manuals that begin with a statement of the model, of each kind."""
+    return t("manuals").withColumn("text", F.expr(f"concat({LEADS}, text)"))
+
+
+STOP = ", ".join(f"'{w}'" for w in identity.STOPWORDS)
+SUFFIX = identity.KIND.replace("'", "''")
+DOC_WORD = r"\b(" + "|".join(identity.DOC_WORDS) + r")\b"
+TITLED = r"(not regexp_matches({0}, '(?i)copyright|©|\.{{4,}}|[0-9]{{4}}-[0-9]{{2}}|:|([0-9]+[^0-9]+){{3,}}') and not regexp_matches({0}, '(?i)^(page|rev|contents?|user manual)\b') and regexp_matches(regexp_replace(lower({0}), '" + DOC_WORD + r"', '', 'g'), '[a-z]{{2,}}'))"
+case("i13_model_candidates", lambda t: identity.model_candidates(led(t)), "manuals", rf"""led as (select doc_id, concat({LEADS}, text) as text from manuals), x as (select doc_id, text, string_split(text, chr(10))[1] as first from led),
+    y as (select doc_id, nullif(trim(regexp_extract(text, '(?i)product(?: line)?: *([A-Za-z0-9 ]{{3,40}})', 1)), '') as s1, nullif(trim(regexp_extract(text, '(?i)model: *([A-Za-z0-9-]{{2,20}})', 1)), '') as s2, nullif(trim(regexp_extract(first, '{identity.TITLE}', 1)), '') as s3,
+      nullif(trim(regexp_extract(text, '(?im)^[ \t]*([^\n]{{3,70}}?)[ \t]*\n[ \t]*{SUFFIX}(?:[ \t]+(?:rev\.?|revision)[ \t]*[A-Z0-9.]+)?[ \t]*$', 1)), '') as s4, nullif(replace(trim(regexp_extract(first, '^((?:[A-Z] ){{3,}}[A-Z])\b', 1)), ' ', ''), '') as s5,
+      list_filter(regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '(?i)\b([A-Z][A-Za-z0-9_-]{{2,30}})[™®]?\s+{SUFFIX}\b', 1), lambda w: lower(w) not in ({STOP}) and regexp_matches(w, '^[A-Z]|[0-9]') and {TITLED.format('w')})[1] as s6 from x)
+    select doc_id, case when s1 is not null then 'line' when s2 is not null then 'number' when s3 is not null then 'title' when {TITLED.format('s4')} then 'two_line' when s5 is not null then 'spaced' else 'cover' end as source,
+      coalesce(s1, s2, s3, case when {TITLED.format('s4')} then s4 end, s5, s6) as model from y where coalesce(s1, s2, s3, case when {TITLED.format('s4')} then s4 end, s5, s6) is not null""")
 case("i14_title_filters", lambda t: identity.title_filters(t("manuals").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title")), t("manuals").select("doc_id", F.lit("the").alias("brand"))), "manuals", r"""x as (select doc_id, string_split(text, chr(10))[1] as title from manuals)
     select doc_id, case when starts_with(lower(title), 'the ') then substr(title, 5) else title end as title from x where not regexp_matches(title, '(?i)copyright|©|\.{4,}|[0-9]{4}-[0-9]{2}|:|([0-9]+[^0-9]+){3,}') and not regexp_matches(title, '(?i)^(page|rev|contents?|user manual)\b') and regexp_matches(regexp_replace(lower(title), '\b(manual|user|guide|dmx|chart|instructions|quick|start|rev|version)\b', '', 'g'), '[a-z]{2,}')""")
 case("i14_title_filters_lines", lambda t: identity.title_filters(t("manuals").select("doc_id", F.explode(F.split("text", "\n")).alias("title")), t("manuals").select("doc_id", F.lit("the").alias("brand"))), "manuals", r"""x as (select doc_id, unnest(string_split(text, chr(10))) as title from manuals)
@@ -105,10 +122,18 @@ case("i20_resolve_identity", lambda t: identity.resolve_identity(t("manuals"), c
 
 # ---- components and wheels
 
+def components_sql(source: str, components: list[tuple[str, str]] = rows.COMPONENTS) -> str:
+    """``found`` (doc_id, component) over a table (doc_id, text)."""
+    cases = [f"case when regexp_matches(text, '{p}') then '{n}' end" for n, p in components]
+    cases += [f"case when regexp_matches(text, '(?i)(pan\\s+fine|tilt\\s+fine|[xy][ -]?axis\\s+fine|16[ -]?bit(?:\\s+precision)?\\s+scan)') and regexp_matches(text, '(?i)\\b{n}\\b') then '{n} fine' end" for n in ("Pan", "Tilt")]
+    cases += [f"case when not regexp_matches(text, '(?i)color wheel') and contains(sign, '{x}') then '{n}' end" for n, x in (("Red", "RGB"), ("Green", "RGB"), ("Blue", "RGB"), ("White", "W"), ("Amber", "A"), ("UV", "UV"))]
+    return f"""scanned as (select doc_id, text, regexp_extract(upper(regexp_replace(text, '[^a-z0-9]+', '', 'g')), 'RGB(?:W)?(?:A)?(?:UV)?') as sign from (select doc_id, regexp_replace(text, '\\s+', ' ', 'g') as text from {source})),
+    found as (select * from (select doc_id, unnest([{', '.join(cases)}]) as component from scanned) where component is not null)"""
+
+
 SCANNED = [*rows.COMPONENTS, ("in", r"\bin\b"), ("of", r"\bof\b")]  # the prose holds no controls: two words of its own, and a line of controls for some
-PATTERNS = ", ".join(f"('{n}', '{p}')" for n, p in SCANNED)
-CONTROLS = "case doc_id % 7 when 0 then ' Pan, tilt and X/Y speed' when 1 then ' Dimming, colour; gobo wheel' when 2 then ' STROBE and Prism, a reserved channel' else '' end"
-case("r35_component_scan", lambda t: rows.component_scan(t("manuals").withColumn("text", F.expr(f"concat(text, {CONTROLS})")), SCANNED), "manuals", f"comp(component, pattern) as (values {PATTERNS}) select doc_id, component from (select doc_id, concat(text, {CONTROLS}) as text from manuals) join comp on regexp_matches(text, pattern)")
+CONTROLS = "case doc_id % 7 when 0 then ' Pan, tilt and X/Y speed, pan  fine' when 1 then ' Dimming, colour; gobo wheel, 16 bit precision scan' when 2 then ' STROBE and Prism, a reserved channel, rgbw' when 3 then ' RGB and rgb a uv led' when 4 then ' rgbwa color wheel' when 5 then ' tilt with y-axis fine, rgb uv' else '' end"
+case("r35_component_scan", lambda t: rows.component_scan(t("manuals").withColumn("text", F.expr(f"concat(text, {CONTROLS})")), SCANNED), "manuals", f"with_controls as (select doc_id, concat(text, {CONTROLS}) as text from manuals), {components_sql('with_controls', SCANNED)} select doc_id, component from found")
 
 
 def wheel_docs(t: Tables) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from specmine.functions import text as tx
 from specmine.operators import modes, pages, rows
 from specmine.plans.case import Tables, case
+from specmine.plans.document_cases import components_sql
 from specmine.sources import manuals
 
 # ---- sources
@@ -243,21 +244,21 @@ def joined_counts(df):
 
 LABELED = r"labeled as (select doc_id, page, line_no, list_transform(regexp_extract_all(text, '(?i)\b([0-9]{1,3}) ?ch\b', 1), lambda x: cast(x as int)) as counts from lines where regexp_matches(text, '(?i)function') and len(regexp_extract_all(text, '(?i)\b([0-9]{1,3}) ?ch\b', 1)) >= 2)"
 case("m5_header_labeled", lambda t: joined_counts(modes.header_labeled(t("lines"))), "lines", f"{LABELED} select doc_id, page, line_no, {LIST.format('counts')} as counts from labeled")
+ABOVE = "placed as (select *, coalesce(sum(length(text) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as before from matrix_lines), whole as (select doc_id, string_agg(text, chr(10) order by line_no) || chr(10) as whole from matrix_lines group by 1), near as (select p.*, right(substr(whole, 1, cast(before as bigint)), {}) as above from placed p join whole using (doc_id))"
 case(
     "m6_header_sparse",
-    lambda t: joined_counts(modes.header_sparse(t("lines"))),
-    "lines",
-    rf"""x as (select *, max(case when regexp_matches(text, '(?i)channel mode|ch mode') then 1 else 0 end) over (partition by doc_id order by line_no rows between 5 preceding and 1 preceding) as legend from lines),
-    h as (select doc_id, page, line_no, legend, regexp_extract_all(regexp_extract(text, '(?i)^([0-9]{{1,3}}(?:\s+[0-9]{{1,3}}){{1,7}})\s+function', 1), '[0-9]{{1,3}}') as c from x where regexp_matches(text, '(?i)^([0-9]{{1,3}}(?:\s+[0-9]{{1,3}}){{1,7}})\s+function')),
-    g as (select * from h where len(c) between 2 and 8 and len(list_distinct(c)) = len(c))
-    select doc_id, page, line_no, array_to_string(c, ',') as counts from g where doc_id in (select doc_id from g where legend = 1)""",
+    lambda t: joined_counts(modes.header_sparse(t("matrix_lines"))),
+    "matrix_lines",
+    rf"""{ABOVE.format(500)}, h as (select doc_id, page, line_no, above, regexp_extract_all(regexp_extract(text, '(?i)^[ \t]*([0-9]{{1,3}}(?:[ \t]+[0-9]{{1,3}}){{1,7}})[ \t]+function\b', 1), '[0-9]{{1,3}}') as c from near where regexp_matches(text, '(?i)^[ \t]*([0-9]{{1,3}}(?:[ \t]+[0-9]{{1,3}}){{1,7}})[ \t]+function\b')),
+    g as (select * from h where len(list_distinct(c)) = len(c))
+    select doc_id, page, line_no, array_to_string(c, ',') as counts from g where doc_id in (select doc_id from g where regexp_matches(above, '[0-9]{{1,3}}\s*:\s*[A-Za-z]'))""",
 )
 case(
     "m7_header_index_total",
-    lambda t: joined_counts(modes.header_index_total(t("lines"))),
-    "lines",
-    r"""x as (select *, max(case when regexp_matches(text, '(?i)mode|channel') then 1 else 0 end) over (partition by doc_id order by line_no rows between 5 preceding and 1 preceding) as label, regexp_extract(text, '(?i)^mode.*total((?:\s+[0-9]{1,3})+)\s+value', 1) as total, regexp_extract(text, '(?i)^((?:[0-9]\s+){2,})value', 1) as bare from lines)
-    select doc_id, page, line_no, case when total <> '' then array_to_string(regexp_extract_all(total, '[0-9]{1,3}'), ',') else regexp_replace(array_to_string(regexp_extract_all(bare, '[0-9]'), ','), '[0-9]', '?', 'g') end as counts from x where (total <> '' or bare <> '') and label = 1""",
+    lambda t: joined_counts(modes.header_index_total(t("matrix_lines"))),
+    "matrix_lines",
+    rf"""{ABOVE.format(400)}, x as (select *, regexp_extract(text, '^[ \t]*((?:[0-9]{{1,2}}/[0-9]{{1,3}}[ \t]+){{1,7}})Value\b', 1) as total, regexp_extract(text, '^[ \t]*((?:[0-9]{{1,2}}[ \t]+){{1,7}})Value\b', 1) as bare from near where regexp_matches(above, '(?i)Mode\s*/\s*(?:Total\s+)?channels?\b'))
+    select doc_id, page, line_no, case when total <> '' then array_to_string(regexp_extract_all(total, '/([0-9]{{1,3}})', 1), ',') else array_to_string(list_transform(regexp_extract_all(bare, '[0-9]{{1,2}}'), lambda v: '?'), ',') end as counts from x where total <> '' or bare <> ''""",
 )
 case(
     "m8_header_traits",
@@ -298,10 +299,24 @@ case(
     f"""h as (select doc_id, line_no, regexp_extract(text, '^([A-Z][a-z]+)', 1) as name, cast(regexp_extract(nxt, '^([0-9]+)', 1) as int) as size from (select *, lead(text) over w as nxt from lines {W}) where regexp_matches(text, '^[A-Z][a-z]+ DMX Mode$') and regexp_matches(nxt, '^[0-9]{{1,3}} DMX channels$'))
     select doc_id, line_no, name, size from (select *, count(*) over (partition by doc_id) as k from h) where k >= 2""",
 )
+TRAITS = "case when line_no = 1 and doc_id % 8 = 5 then 'DMX Traits of pan, tilt and 16-bit scan' when line_no = 1 and doc_id % 8 = 3 then 'pan, tilt and prism' else text end"
+FLAT_LINES = f"flat_lines as (select doc_id, string_agg({TRAITS}, ' ' order by line_no) as text from lines group by 1)"
+
+
+def with_traits(t: Tables):
+    return t("lines").withColumn("text", F.expr(TRAITS))
+
+
+def flat_lines(t: Tables):
+    """A manual's lines in one text."""
+    return with_traits(t).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
 case(
     "m17_channel_counts",
-    lambda t: modes.channel_counts(t("lines"), modes.table_row_count(t("lines")), modes.declared_mode_counts(t("lines"))),
+    lambda t: modes.channel_counts(with_traits(t), modes.table_row_count(t("lines")).where("doc_id % 3 > 0"), modes.declared_mode_counts(t("lines")), rows.component_scan(flat_lines(t))),
     "lines",
-    rf"""{DECLARED}, {TABLES}, v as (select doc_id, bool_or(regexp_matches(text, '(?i)\b(dmx|channel|function|value)')) as has_vocabulary from lines group by 1)
-    select doc_id, has_vocabulary, coalesce(table_count, (select max(size) from declared d where d.doc_id = v.doc_id), 0) as channel_count from v left join table_counts using (doc_id)""",
+    rf"""{DECLARED}, {TABLES}, {FLAT_LINES}, {components_sql("flat_lines")}, known as (select doc_id, count(*) as k from found group by 1),
+    v as (select doc_id, regexp_matches(regexp_replace(text, '\s+', ' ', 'g'), '(?i)(channel value table|dmx channel assignments(?: and values)?|dmx charts?|dmx traits|dmx channels?\s*[:\-]?\s*[0-9])') as has_vocabulary from flat_lines)
+    select doc_id, has_vocabulary, cast(coalesce(table_count, (select max(size) from declared d where d.doc_id = v.doc_id), case when has_vocabulary then k end, 0) as int) as channel_count from v left join (select * from table_counts where doc_id % 3 > 0) using (doc_id) left join known using (doc_id)""",
 )

@@ -74,6 +74,7 @@ case("s13_fixture_json", lambda t: nested(t).select("doc_id", F.to_json(F.struct
 case("s15_extraction_summary", lambda t: records.extraction_summary(t("fixtures"), t("modes"), t("assignments")), "fixtures modes assignments", """s as (select doc_id, mode_idx, count(distinct (dmx_break, channel_offset)) as n from assignments group by 1, 2),
     l as (select doc_id, string_agg(name || ':' || n, ', ' order by mode_idx) as footprints from modes join s using (doc_id, mode_idx) group by 1)
     select doc_id, manufacturer, model, coalesce(footprints, '') as footprints, footprints is null as failed from fixtures left join l using (doc_id)""")
+case("s15_extraction_totals", lambda t: records.extraction_totals(records.extraction_summary(t("fixtures"), t("modes"), t("assignments"))), "fixtures modes assignments", "l as (select distinct doc_id from modes join assignments using (doc_id, mode_idx)) select count(l.doc_id) as ok, count(*) - count(l.doc_id) as failed from fixtures left join l using (doc_id)")
 case("s10_read_truth", lambda t: records.read_truth(t("truth_fixtures"), t("truth_modes"), t("truth_channels"), t("truth_functions"))[2].select("channel_id", "mode_id", "offset_coarse"), "truth_fixtures truth_modes truth_channels", "select channel_id, mode_id, offset_coarse from truth_channels join truth_modes using (mode_id) join truth_fixtures using (fixture_id) where source = 'library'")
 MANIFEST = """manifest_lines as (select o_orderkey as line_no, case when o_orderkey = 0 then 'File | Note | GUID' when o_orderkey % 7 = 0 then '' else 'm' || (o_orderkey // 3) || '.txt | note | ' || case when o_orderkey % 2 = 0 then 'abcd-ef' || lpad(cast(o_orderkey as varchar), 6, '0') else o_orderkey || ' (int id x)' end end as value from orders)"""
 
@@ -145,12 +146,29 @@ def holes(t: Tables) -> DataFrame:
     return t("mode_rows").where("position % 3 > 0 or position = 3")
 
 
-case("r17_fill_missing_positions", lambda t: rows.fill_missing_positions(holes(t)), "mode_rows", f"{FILLED} select doc_id, mode_idx, cast(position as int) as position, parsed, name, confidence from filled")
+case("r17_fill_missing_positions", lambda t: rows.fill_missing_positions(holes(t)).select("doc_id", "mode_idx", "position", "parsed", "name", "confidence"), "mode_rows", f"{FILLED} select doc_id, mode_idx, cast(position as int) as position, parsed, name, confidence from filled")
 case("r18_pair_fine_channels", lambda t: rows.pair_fine_channels(t("mode_rows")), "mode_rows", r"""x as (select *, regexp_matches(name, '(?i)\b(fine|lsb|16.?bit)\b') as f from mode_rows), y as (select *, lag(name) over w as pn, lag(kind) over w as pk, lag(color) over w as pc, lag(channel_id) over w as pi, lag(f) over w as pf from x window w as (partition by doc_id, mode_idx order by position, channel_idx)),
     z as (select *, coalesce(f and not pf and pk = kind, false) as l from y)
     select doc_id, mode_idx, position, channel_idx, case when l then pn || ' fine' else name end as name, case when l then pc else color end as color, case when l then pi end as fine_of from z""")
-case("r19_infer_fine_gaps", lambda t: rows.infer_fine_gaps(rows.fill_missing_positions(holes(t))), "mode_rows", f"""{FILLED}, y as (select *, confidence = 0.25 as hole, lag(name) over w as pn, lag(confidence = 0.25) over w as ph, lead(confidence = 0.25) over w as nh from filled window w as (partition by doc_id, mode_idx order by position)), z as (select *, coalesce(hole and not ph and not nh and pn in ('Pan', 'Tilt', 'Dimmer'), false) as l from y)
-    select doc_id, mode_idx, cast(position as int) as position, case when l then pn || ' fine' else name end as name, l as inferred from z""")
+SPARSE = """select m.doc_id, m.mode_idx, m.position, m.channel_idx, case when m.name = 'Dimmer fine' then 'Fine dimmer' when m.name like 'Green%' then 'Zoom' else m.name end as name, case when m.name = '255' then 'generic' when m.name like 'Green%' then 'zoom' else m.kind end as kind, m.color, m.confidence, case when m.name = 'Dimmer fine' then null else c.fine_of end as fine_of
+    from mode_rows m join channels c on c.doc_id = m.doc_id and c.channel_idx = m.channel_idx where m.position % 3 > 0 or m.position = 3"""
+
+
+def sparse_rows(t: Tables) -> DataFrame:
+    """Mode rows with holes, with fine links, bare numbers and a zoom."""
+    m = t("mode_rows").where("position % 3 > 0 or position = 3").join(t("channels").select("doc_id", "channel_idx", "fine_of"), ["doc_id", "channel_idx"])
+    green, fine = F.col("name").startswith("Green"), F.col("name") == "Dimmer fine"
+    kind = F.when(F.col("name") == "255", "generic").when(green, "zoom").otherwise(F.col("kind"))
+    return m.withColumn("kind", kind).withColumn("fine_of", F.when(~fine, F.col("fine_of"))).withColumn("name", F.when(fine, "Fine dimmer").when(green, "Zoom").otherwise(F.col("name")))
+
+
+case("r19_infer_fine_gaps", lambda t: rows.infer_fine_gaps(rows.fill_missing_positions(sparse_rows(t))).select("doc_id", "mode_idx", "position", "name", "kind", "inferred"), "mode_rows channels", f"""recursive sp as ({SPARSE}), sized as (select doc_id, mode_idx, max(position) as size from sp group by 1, 2),
+    firsts as (select doc_id, mode_idx, position, arg_min({{'name': name, 'kind': kind, 'fine_of': fine_of}}, channel_idx) as f from sp group by 1, 2, 3),
+    cells as (select s.doc_id, s.mode_idx, cast(p.position as int) as position, coalesce(f.name, 'Channel ' || p.position) as name, f.kind as kind, f.fine_of as fine_of, lead(f.kind) over (partition by s.doc_id, s.mode_idx order by p.position) as next_kind from sized s, lateral (select unnest(range(1, s.size + 1)) as position) p left join firsts h on h.doc_id = s.doc_id and h.mode_idx = s.mode_idx and h.position = p.position),
+    walk as (select doc_id, mode_idx, position, name, kind, false as inferred, kind is not null and fine_of is null and kind in ('colorIntensity', 'intensity', 'pan', 'tilt', 'zoom') as coarse from cells where position = 1
+      union all select c.doc_id, c.mode_idx, c.position, case when w.coarse and c.hit then w.name || ' fine' else c.name end, case when w.coarse and c.hit then w.kind else c.kind end, w.coarse and c.hit, not (w.coarse and c.hit) and c.kind is not null and c.fine_of is null and c.kind in ('colorIntensity', 'intensity', 'pan', 'tilt', 'zoom')
+      from walk w join (select *, case when kind is null then next_kind is not null else fine_of is not null or lower(name) like 'fine %' or (kind = 'generic' and regexp_matches(name, '^[0-9]{{1,3}}$')) end as hit from cells) c on c.doc_id = w.doc_id and c.mode_idx = w.mode_idx and c.position = w.position + 1)
+    select doc_id, mode_idx, position, name, kind, inferred from walk""")
 REL = "kind || case when color <> '' then ':' || color else '' end || case when regexp_extract(name, '([0-9]{1,3})', 1) <> '' then ':' || regexp_extract(name, '([0-9]{1,3})', 1) else '' end"
 case("r20_relationship_key", lambda t: t("channels").select("doc_id", "channel_idx", ch.relationship_key(F.col("kind"), F.col("color"), F.col("name")).alias("rel_key")), "channels", f"select doc_id, channel_idx, {REL} as rel_key from channels")
 case("r21_resolve_fine_of", lambda t: rows.resolve_fine_of(t("mode_rows")), "mode_rows", rf"""x as (select *, regexp_matches(name, '(?i)\b(fine|lsb)\b') as f, {REL} as rel_key from mode_rows)
@@ -326,9 +344,30 @@ case("v19_exportable", lambda t: validate.exportable(t("fixtures"), issues(t)).s
 case("flagship_report", lambda t: t("fixtures").select("doc_id", "manufacturer", "model").join(validate.covers_full(t("ranges")).groupBy("doc_id").agg(F.count("*").alias("n_channels"), F.count_if("covers").alias("n_covered")), "doc_id").join(issues(t).groupBy("doc_id").agg(F.count_if(F.col("level") == "error").alias("n_errors"), F.count_if(F.col("level") == "warning").alias("n_warnings")), "doc_id", "left").na.fill(0, ["n_errors", "n_warnings"]), RECORD, f"""{ISSUES}, x as (select *, {REACH} as reach from ranges), cv as (select doc_id, channel_id, bool_and(range_start <= reach + 1) and max(range_end) >= 255 as covers from x group by 1, 2), cc as (select doc_id, count(*) as n_channels, count(*) filter (where covers) as n_covered from cv group by 1),
     ic as (select doc_id, count(*) filter (where level = 'error') as n_errors, count(*) filter (where level = 'warning') as n_warnings from issues group by 1)
     select doc_id, manufacturer, model, n_channels, n_covered, coalesce(n_errors, 0) as n_errors, coalesce(n_warnings, 0) as n_warnings from fixtures join cc using (doc_id) left join ic using (doc_id)""")
-case("v20_review_queue", lambda t: validate.review_queue(t("fixtures"), t("channels"), parsed_sizes(t)), "fixtures channels assignments", f"""{PARSED}, thin as (select doc_id, 'mode.incomplete' as prompt, name as subject from (select *, row_number() over (partition by doc_id order by mode_idx) as k from sizes where parsed < size) where k <= 6)
-    select doc_id, 'identity.name' as prompt, '' as subject from fixtures where trim(manufacturer) = '' or model in ('', 'Unknown model') union all select doc_id, 'identity.confidence', '' from fixtures where confidence < 0.5 union all select * from thin
-    union all select doc_id, 'channel.confidence', name from (select *, row_number() over (partition by doc_id order by channel_idx) as k from channels where confidence < 0.6 and doc_id not in (select doc_id from thin)) where k <= 3""")
+WHEEL_KINDS = "wk as (select doc_id, case when sk % 2 = 0 then 'color' else 'gobo' end as kind, (pk % 10) / 10.0 as confidence from base where r <= 2)"
+QUEUE = f"""{PARSED}, {WHEEL_KINDS}, nm as (select *, trim(manufacturer) = '' or manufacturer like 'Unknown%' as no_maker, trim(model) = '' or model like 'Unknown%' as no_model from fixtures),
+    queue as (select doc_id, case when doc_id % 3 = 0 then 'channels.mains' else 'channels.none' end as prompt, '' as subject from fixtures where doc_id not in (select doc_id from channels)
+    union all select doc_id, 'identity.manufacturer', '' from nm where no_maker union all select doc_id, 'identity.model', '' from nm where no_model union all select doc_id, 'identity.confidence', '' from nm where not no_maker and not no_model and confidence < 0.5
+    union all select doc_id, 'mode.incomplete', name || ' ' || parsed || '/' || size from (select *, row_number() over (partition by doc_id order by mode_idx) as k from sizes where parsed < size and doc_id % 4 > 0) where k <= 6
+    union all select doc_id, 'channel.confidence', cast(channel_idx + 1 as varchar) from (select *, row_number() over (partition by doc_id order by channel_idx) as k from channels where confidence < 0.6 and doc_id not in (select doc_id from sizes where doc_id % 4 > 0)) where k <= 3
+    union all select distinct doc_id, 'wheel.color', '' from wk where kind = 'color' and confidence < 0.6 union all select distinct doc_id, 'wheel.gobo', '' from wk where kind = 'gobo' union all select distinct doc_id, 'channel.reset', '' from channels where kind = 'maintenance')"""
+
+
+def queue(t: Tables) -> DataFrame:
+    wheels = t("base").where("r <= 2").select("doc_id", F.when(F.col("sk") % 2 == 0, "color").otherwise("gobo").alias("kind"), ((F.col("pk") % 10) / 10.0).alias("confidence"))
+    texts = t("fixtures").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "for a Triac Dimmer only").otherwise("a lamp").alias("text"))
+    return validate.review_queue(t("fixtures"), t("channels"), parsed_sizes(t).where("doc_id % 4 > 0"), wheels, texts)
+
+
+def name_edits(t: Tables) -> DataFrame:
+    return t("log").select("doc_id", F.when(F.col("k") % 3 == 0, " ").otherwise(F.concat(F.lit(" Maker "), F.col("k").cast("string"))).alias("manufacturer"), F.when(F.col("level") % 2 == 0, "").otherwise(F.concat(F.lit("Model "), F.col("level").cast("string"))).alias("model"), "ts", "event_id")
+
+
+NAMES = "edits as (select doc_id, case when k % 3 > 0 then 'Maker ' || k end as m, case when level % 2 > 0 then 'Model ' || level end as d, ts, event_id from log), last_names as (select doc_id, arg_max(m, struct_pack(a := ts, b := event_id)) filter (where m is not null) as m, arg_max(d, struct_pack(a := ts, b := event_id)) filter (where d is not null) as d from edits group by 1), renamed as (select f.doc_id, coalesce(m, manufacturer) as manufacturer, coalesce(d, model) as model from fixtures f left join last_names using (doc_id))"
+case("v20_review_queue", queue, "fixtures channels assignments base", f"{QUEUE} select * from queue")
+case("v21_apply_name_edits", lambda t: validate.apply_name_edits(t("fixtures"), name_edits(t)).select("doc_id", "manufacturer", "model"), "fixtures log", f"{NAMES} select doc_id, manufacturer, model from renamed")
+case("v21_open_prompts", lambda t: validate.open_prompts(queue(t), t("log").select("doc_id", (F.col("k") % 4).alias("channel_idx")), validate.apply_name_edits(t("fixtures"), name_edits(t))), "fixtures channels assignments base log", f"""{QUEUE}, {NAMES} select doc_id, prompt, subject from queue q where not (prompt = 'channel.confidence' and exists (select 1 from log where log.doc_id = q.doc_id and starts_with(subject, cast(k % 4 + 1 as varchar))))
+    and not (prompt = 'identity.manufacturer' and exists (select 1 from renamed r where r.doc_id = q.doc_id and trim(manufacturer) <> '' and manufacturer not like 'Unknown%')) and not (prompt = 'identity.model' and exists (select 1 from renamed r where r.doc_id = q.doc_id and trim(model) <> '' and model not like 'Unknown%'))""")
 case("v21_apply_edits", lambda t: validate.apply_edits(t("channels"), t("log").select("doc_id", (F.col("k") % 4).alias("channel_idx"), F.when(F.col("level") % 3 == 0, " ").otherwise(F.col("event_type")).alias("name"), F.lit("").alias("kind"), "ts", "event_id")), "channels log", """e as (select doc_id, k % 4 as channel_idx, arg_max(case when level % 3 = 0 then ' ' else event_type end, struct_pack(a := ts, b := event_id)) as name from log group by 1, 2)
     select c.doc_id, c.channel_idx, coalesce(nullif(trim(e.name), ''), c.name) as name, c.kind, case when e.name is not null then 1.0 else c.confidence end as confidence from channels c left join e on e.doc_id = c.doc_id and e.channel_idx = c.channel_idx""")
 
@@ -432,8 +471,8 @@ FULL = f"""{SCORED}, {TOL1.removeprefix(f"recursive {SLOTS}, ")}, bs as (select
 case("e14_scoreboard", lambda t: board(t).withColumns({c: F.round(c, 9) for c in FLOATS}), SCORING, f"{FULL} select * replace ({', '.join(f'round({c}, 9) as {c}' for c in FLOATS)}) from full_board")
 case("s14_scoreboard_rows", lambda t: records.scoreboard_rows(board(t)), SCORING, f"{FULL} select * replace ({', '.join(f'round({c}, 4) as {c}' for c in FLOATS)}) from full_board")
 case("e15_metric_summary", lambda t: evaluate.metric_summary(small_board(t), ["recall", "precision"]), EVAL, f"""{BOARD} select 'recall' as metric, count(recall) as n, round(avg(recall), 6) as mean, round(median(recall), 6) as median, min(recall) as lowest, max(recall) as highest from bd union all select 'precision', count("precision"), round(avg("precision"), 6), round(median("precision"), 6), min("precision"), max("precision") from bd""")
-case("e16_brand_rollup", lambda t: evaluate.brand_rollup(small_board(t)), EVAL, f"""{BOARD} select manufacturer, count(*) as n, round(avg(recall), 6) as mean_recall, round(avg("precision"), 6) as mean_precision from bd group by 1""")
-case("e17_health_counts", lambda t: evaluate.health_counts(small_board(t)), EVAL, f"{BOARD} select count(*) filter (where recall = 0) as zero_recall, count(*) filter (where recall = 1) as perfect_recall, count(*) as n from bd")
+case("e16_brand_rollup", lambda t: evaluate.brand_rollup(board(t)), SCORING, f"""{FULL} select brand, count(*) as n, round(avg(footprint_recall), 6) as mean_recall, round(avg(footprint_precision), 6) as mean_precision, round(avg(channel_name_score), 6) as mean_name_score from full_board group by 1""")
+case("e17_health_counts", lambda t: evaluate.health_counts(board(t)), SCORING, f"{FULL} select count(*) filter (where footprint_recall = 0) as zero_recall, count(*) filter (where footprint_recall = 1) as perfect_recall, count(*) filter (where filename_echo) as filename_echo, count(*) as n from full_board")
 case("e18_duplicate_audit", lambda t: evaluate.duplicate_audit(t("documents")), "", "select md5(text) as digest, count(*) as n, count(distinct source) as n_sources, min(doc_id) as first_doc from documents group by 1 having count(*) > 1")
 
 def rehosted(t: Tables) -> DataFrame:
@@ -480,8 +519,18 @@ def variant_listing(t: Tables) -> DataFrame:
 case("f5_nested_footprints", lambda t: lookup.nested_footprints(variant_listing(t)), "", "select p_partkey as rid, p_size as footprint from part union all select p_partkey, cast(p_partkey % 30 as int) from part")
 case("f6_match_listing", matches, "queries listing", f"{MATCH} select query_id, rid, score, rating from mt")
 case("f7_top_matches", lambda t: lookup.top_matches(matches(t)), "queries listing", f"{MATCH} select query_id, rid, score, rating, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, coalesce(rating, 0) desc, rid) as rank from mt) where rank <= 5")
-case("f8_sanitize_matches", lambda t: lookup.sanitize_matches(t("pages").select(F.col("page_id").alias("id"), "url", (F.col("page_id") % 9 - 1.5).cast("double").alias("rating"), (F.col("page_id") % 7 / 4 - 0.25).alias("score")), ["example.com", "example.org"]), "", r"""select page_id as id, case when regexp_matches(url, '^https://([a-z0-9.-]+\.)?example\.(com|org)(/|$)') then regexp_replace(url, '#.*$', '') end as url, case when page_id % 9 - 1.5 between 0 and 5 then cast(page_id % 9 - 1.5 as double) end as rating, least(1.0, greatest(0.0, page_id % 7 / 4 - 0.25)) as score from pages""")
-case("f9_lookup_eligible", lambda t: lookup.lookup_eligible(t("fixtures"), parsed_sizes(t).select("doc_id", F.col("size").alias("footprint"))), "fixtures assignments", f"{PARSED}, p as (select doc_id, string_agg(size, ' ' order by size) as f from (select distinct doc_id, size from sizes) group by 1) select doc_id, manufacturer, model, coalesce(f, '') as footprints from fixtures left join p using (doc_id) where trim(manufacturer) <> '' and trim(model) <> '' and model <> 'Unknown model'")
+def shown_matches(t: Tables) -> DataFrame:
+    k = F.col("page_id")
+    url = F.when(k % 11 == 0, "").when(k % 11 == 1, F.regexp_replace("url", "^https?://", "https://user:pw@")).when(k % 11 == 2, F.concat("url", F.lit("#part"))).when(k % 11 == 3, "https://EXAMPLE.com").otherwise(F.regexp_replace("url", "^http://", "https://"))
+    maker = F.when(k % 13 == 0, " ").otherwise(F.concat(F.lit("Maker\t"), k.cast("string")))
+    return t("pages").select(k.alias("id"), maker.alias("manufacturer"), F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise("lamp").alias("fixture"), F.when(k % 2 == 0, "manufacturer").otherwise("forum").alias("source"), url.alias("url"), F.when(k % 5 == 0, "none").otherwise((k % 9 - 1.5).cast("string")).alias("rating"), (k % 7 / 4 - 0.25).alias("score"))
+
+
+case("f8_sanitize_matches", lambda t: lookup.sanitize_matches(shown_matches(t), ["example.com", "example.org"], "https://example.org/"), "", r"""x as (select page_id, case page_id % 11 when 0 then 'https://example.org/' when 1 then regexp_replace(url, '^https?://', 'https://') when 2 then url when 3 then 'https://EXAMPLE.com/' else regexp_replace(url, '^http://', 'https://') end as u, page_id % 11 = 1 as user_, url from pages)
+    select cast(page_id as varchar) as id, 'Maker ' || page_id as manufacturer, 'lamp' as fixture, case when page_id % 2 = 0 then 'manufacturer' else 'community' end as source, regexp_replace(case when regexp_matches(u, '(?i)^https://[^/?]+$') then u || '/' else u end, '#.*$', '') as url,
+      case when page_id % 5 > 0 then cast(least(5.0, greatest(0.0, page_id % 9 - 1.5)) as double) end as rating, cast(least(1.0, greatest(0.0, page_id % 7 / 4 - 0.25)) as double) as score
+    from x where page_id % 13 > 0 and page_id % 17 > 0 and regexp_matches(u, '(?i)^https://example\.(com|org)(/|$|\?)')""")
+case("f9_lookup_eligible", lambda t: lookup.lookup_eligible(t("fixtures").withColumn("from_manual", F.col("doc_id") % 6 > 0), parsed_sizes(t).select("doc_id", F.col("size").alias("footprint"))), "fixtures assignments", f"{PARSED}, p as (select doc_id, string_agg(size, ' ' order by size) as f from (select distinct doc_id, size from sizes) group by 1) select doc_id, manufacturer, model, coalesce(f, '') as footprints from fixtures left join p using (doc_id) where doc_id % 6 > 0 and trim(manufacturer) <> '' and trim(model) <> '' and model <> 'Unknown model'")
 HISTORY = "history as (select doc_id, ts, event_id, event_type as key, level % 17 = 0 as forced from log)"
 
 

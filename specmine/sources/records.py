@@ -132,3 +132,8 @@ def extraction_summary(fixtures: DataFrame, modes: DataFrame, assignments: DataF
     sizes = assignments.groupBy("doc_id", "mode_idx").agg(F.count_distinct("dmx_break", "channel_offset").alias("n"))
     listed = modes.join(sizes, ["doc_id", "mode_idx"]).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mode_idx", "name", "n"))), lambda x: F.concat_ws(":", x["name"], x["n"].cast("string"))), ", ").alias("footprints"))
     return fixtures.join(listed, "doc_id", "left").select("doc_id", "manufacturer", "model", F.coalesce("footprints", F.lit("")).alias("footprints"), F.col("footprints").isNull().alias("failed"))
+
+
+def extraction_totals(summary: DataFrame) -> DataFrame:
+    """How many documents of an extraction summary were read, and how many failed."""
+    return summary.agg(F.count_if(~F.col("failed")).alias("ok"), F.count_if("failed").alias("failed"))

@@ -261,12 +261,13 @@ def test_identity_takes_the_model_from_any_source(spark):
         (4, "W A S H E R\nbody", "d.pdf", ("spaced", "WASHER"), ("Unknown maker", "WASHER", True, "unknown-maker-washer")),
         (5, "Robe Spikie Wash\nbody", "e.pdf", ("title", "Robe Spikie Wash"), ("Unknown maker", "Robe Spikie Wash", True, "unknown-maker-robe-spikie-wash")),
         (6, "Robe Spikie Wash\nthank you for choosing Robe lamps", "f.pdf", ("title", "Robe Spikie Wash"), ("Robe", "Spikie Wash", True, "robe-spikie-wash")),
-        (7, "text. Then nothing", "Spot 300X manual.pdf", ("word", "Then"), ("Unknown maker", "300X", False, "unknown-maker-300x")),
+        (7, "text. Then nothing", "Spot 300X manual.pdf", None, ("Unknown maker", "300X", False, "unknown-maker-300x")),
+        (8, "please read this user manual and the SPIKIE-7 owner's manual", "g.pdf", ("cover", "SPIKIE-7"), ("Unknown maker", "SPIKIE-7", True, "unknown-maker-spikie-7")),
     ]
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id int, text string, source_name string")
     catalog = spark.createDataFrame([("Robe", [], False)], "canonical string, aliases array<string>, requires_strong_signal boolean")
     priority = spark.createDataFrame([], "rank int, canonical string, pattern string, min_hits int")
-    assert {r.doc_id: (r.source, r.model) for r in identity.model_candidates(docs).collect()} == {r[0]: r[3] for r in rows}
+    assert {r.doc_id: (r.source, r.model) for r in identity.model_candidates(docs).collect()} == {r[0]: r[3] for r in rows if r[3]}
     got = identity.resolve_identity(docs, catalog, priority).collect()
     assert {r.doc_id: (r.manufacturer, r.model, r.from_manual, r.fixture_id) for r in got} == {r[0]: r[4] for r in rows} and len(got) == len(rows)
     assert {r.doc_id: r.filename_echo for r in got} == {r[0]: r[0] == 7 for r in rows}
