@@ -8,11 +8,13 @@ from the densest subtree the choice goes up as long as what its parent adds is m
 text. Last, it takes in a headline right before it, and an enclosing article or main element of
 whose text it has the greater part. Nothing is dropped from the chosen subtree but furniture.
 
-Furniture are elements that never hold the article, by tag, or if hidden; and those whose class, id
-or role has as a whole token a word of adverts or reader comments, or, if they lie outside article
-and main elements or are mostly links, of menus, sidebars, notices and the like. Elements that hold
-an article or main element, or more than half of the page's text that isn't links (adverts and
-comments: all of it), are no furniture.
+Furniture are elements that never hold the article, by tag, or if hidden. Words of class, id or role, whole or as
+parts of a compound ("ad-box"), are a hint which structure and place confirm: words of adverts and of sections of
+reader comments count anywhere; a lone "comment" inside an article only if it has a sibling like it; words of
+menus, sidebars, notices and the like outside article and main elements, inside them only on elements that are
+mostly links, or as part of a compound ("related-articles") on elements of at most a quarter of the page's text.
+Elements that hold an article or main element, or more than half of the page's text that isn't links
+(adverts and comments: all of it), are no furniture.
 
 Defined results: null, empty or markup-only pages give an empty text; unclosed, stray and
 truncated tags are read as a browser would close them; repeated rows give equal texts.
@@ -37,22 +39,22 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 INLINE |= {"math", "semantics", "mrow", "mi", "mo", "mn", "ms", "mtext", "mspace", "mstyle", "mpadded", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mfenced", "menclose"}
-FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "object", "embed", "head", "fieldset", "audio", "video", "canvas", "annotation", "annotation-xml"}
+FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "svg", "object", "embed", "head", "fieldset", "audio", "video", "canvas", "annotation", "annotation-xml"}
 WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription",
     "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "masthead", "footer", "sidebar", "aside", "widget", "related", "recommended", "share", "sharing", "social", "comment", "comments", "disqus", "respond", "reply", "login", "signup", "search", "pagination", "pager", "toolbar", "complementary", "contentinfo", "alert",
 }
-CERTAIN = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "comment", "comments", "disqus"}
+CERTAIN = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "comments", "disqus"}
 HEADER = {"header", "banner"}
 HOLDERS = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 # what a start tag closes if it is open, up to a boundary
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BOUNDS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 P_BOUNDS = {"table", "td", "th", "button", "caption", "object"}
 P_CLOSERS = {"address", "article", "aside", "blockquote", "center", "details", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dd", "dt"}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"\s+")
 
@@ -83,18 +85,23 @@ def is_furniture(tag: str, attributes: str, within_article: bool) -> bool:
 
 
 def suspicion(tag: str, attributes: str, within_article: bool) -> int:
-    """1 if a whole token of class, id or role is a word of page furniture, 2 if it is one wherever
-    it stands, 3 if it is one only if mostly links."""
+    """How class, id or role hint at furniture: 2 wherever it stands, 1 outside articles, 5 if it is a small part of the
+    page, 4 if it has a sibling like it, 3 if it is mostly links."""
+    most = 0 if tag != "menu" else 3 if within_article else 1
     if not attributes:
-        return 0
-    most = 0
+        return most
     for name, *value in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role"):
             words = {*(value[0] or value[1] or value[2]).lower().split()}
-            if words & CERTAIN:
+            parts = [[x for x in re.split("[-_]+", w) if x] for w in words]
+            if any(x in CERTAIN for p in parts for x in p) or any(len(p) > 1 and "comment" in p for p in parts):
                 return 2
-            if tag not in HOLDERS and (words & WORDS or words & HEADER):
-                most = 3 if within_article else 1
+            if "comment" in words:
+                most = 4 if within_article else 2
+            elif tag not in HOLDERS and any(len(p) > 1 and (p[0] in WORDS or p[-1] in WORDS) for p in parts):
+                most = most or (5 if within_article else 1)
+            elif tag not in HOLDERS and (words & WORDS or words & HEADER):
+                most = most or (3 if within_article else 1)
     return most
 
 
@@ -111,7 +118,12 @@ def without_suspects(nodes: list[Node]) -> list[Node]:
             p.linked += node.linked
             p.holds |= node.holds or node.tag in HOLDERS and not node.suspect
     out, touched = [], {}
+    alike = Counter(id(x.parent) for x in nodes if x.suspect == 4)
     for node in nodes:  # parents come first
+        if node.suspect == 4:
+            node.suspect = 2 if alike[id(node.parent)] > 1 else 0
+        elif node.suspect == 5:
+            node.suspect = 1 if 4 * node.plain <= nodes[0].plain else 3
         p = node.parent
         if p is not None and p.furniture:
             node.furniture = True
