@@ -45,10 +45,11 @@ def sample_by_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
     if not counts:
         return []
-    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_003)) / 1_000_003
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * docs_per_lang / n))])
-    # an expected four times what is wanted, so that the exact pick below is over few rows
-    few = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("i"), place.alias("p")).where(F.col("p") < share[F.col("lang")])
+    # 63 bits of a hash of id and text; repeated rows share theirs and are taken once
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), 1)
+    below = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 4 * docs_per_lang / n) * (2**63 - 1)))])
+    # an expected four times what is wanted, however many rows there are: that is what the exact pick below gathers
+    few = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("i"), place.alias("p")).where(F.col("p") <= below[F.col("lang")]).dropDuplicates(["lang", "p"])
     picked: dict[str, list[str]] = {}
     for r in few.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("p", "i", F.substring("text", 1, 4 * bytes_per_lang // 10).alias("text")))), 1, docs_per_lang).alias("rows")).collect():
         picked[r.lang] = [x.text for x in r.rows]
