@@ -4,8 +4,8 @@ Words are maximal runs of digits, lower-cased letters and non-ASCII characters.
 words make one automaton; every document's words run through it, which gives the longest
 match ending at each word. A match of ``window`` words (or of a whole shorter item) is a hit.
 
-Items are streamed in blocks of bounded size, so what the driver holds and what is sent to the
-executors is bounded for any number of items. Each block is a pass over the rows without a
+Items are streamed in blocks of a bounded number of words, so what the driver holds, what is sent to the
+executors and the automaton that each Python worker builds (some 200 MB) are bounded for any number of items. Each block is a pass over the rows without a
 shuffle; between two passes the rows are written to the shared folder, and the block before is
 given up.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from specmine.llm.common import as_bytes, materialize, pieces, unused
 
 WORD_TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-BLOCK_BYTES = 8 << 20
+BLOCK_WORDS = 150_000  # of items in one automaton: up to twice as many states, of about 700 bytes each
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -147,11 +147,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of at most ``limit`` bytes (one item at least), streamed."""
+    """The items in blocks of at most ``limit`` words (one item at least), streamed."""
     block, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
     for row in rows.toLocalIterator():
-        n = len(row.t.encode())
+        n = len(words_of(row.t.encode()))
         if block and size + n > limit:
             yield block
             block, size = [], 0
@@ -164,7 +164,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
 _built: dict[str, ItemAutomaton] = {}
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "_hits", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "_hits", window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every row of ``docs`` with a struct ``out_col`` of ``n_words``, ``spans`` (hit runs of words)
     and ``items`` added; a column of that name is replaced."""
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
@@ -174,7 +174,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     names = [n for n in schema.names if n != out_col]
     spark = docs.sparkSession
     sent = None
-    for block in chain(item_blocks(benchmark, item_col, item_text_col, block_bytes), [None]):
+    for block in chain(item_blocks(benchmark, item_col, item_text_col, block_words), [None]):
         if block is None and sent is not None:
             break
         if sent is not None:  # one more pass: the rows so far are written, and the last block is given up

@@ -259,7 +259,7 @@ def test_decontamination_by_definition(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     for limit in (1 << 20, 30):
-        rows = {x.doc_id: x for x in decontam.find_hits(table(spark, texts), bench, block_bytes=limit).withColumn("c", decontam.is_contaminated()).collect()}
+        rows = {x.doc_id: x for x in decontam.find_hits(table(spark, texts), bench, block_words=limit).withColumn("c", decontam.is_contaminated()).collect()}
         for i, t in enumerate(texts):
             w, hit, found = words(t), set(), set()
             for k, item in enumerate(items):
