@@ -21,7 +21,8 @@ Stretches that repeat within a task's own chunk are settled there and sent once,
 or document that fills a third of the table reaches its bucket once a chunk. An anchor with
 ``HOT`` unlike stretches in some chunk (the edge of a passage that very many documents share) is
 hot: chunks send but a witness of it, no bucket gathers it, and its windows are dealt out by a hash
-of their own bytes in step 3, where equal ones still meet. All buckets grow in number with the input.
+of their own bytes in step 3, where equal ones still meet: of equal windows of a chunk only those of the smallest
+document, as the others are settled there. All buckets grow in number with the input.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; of rows with
 equal ids none is smaller; a null id comes after all others; an empty table gives an empty one.
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
@@ -173,6 +175,11 @@ def _blobs_by_row(keys: np.ndarray, ranks: np.ndarray, values: np.ndarray) -> li
     return list(zip(keys[first].tolist(), ranks[first].tolist(), [x.tobytes() for x in np.split(values, cut)]))
 
 
+def rows_of(keys: np.ndarray, ranks: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    k, rank, blobs = zip(*_blobs_by_row(keys, ranks, found))
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(rank, pa.int64()), pa.array(blobs, pa.binary())], ["k", "rank", "payload"])
+
+
 def _settle(sent: DataFrame) -> DataFrame:
     """Of each bucket: intervals to remove (wanted = false) and contents that must be compared."""
 
@@ -229,31 +236,67 @@ def _settle(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "k bigint, rank bigint, wanted boolean, payload binary")
 
 
+def _hot_windows(asked: list[tuple[bytes, int, int, np.ndarray]], n_buckets: int, length: int) -> Iterator[tuple]:
+    """Rows of the windows asked for at hot anchors (text, rank, key, wanted places of each row of a chunk): of equal
+    windows those of the smallest document go to the bucket of their bytes; the others are settled, and go as runs of
+    windows (empty content, the number of windows behind the place) to a bucket of their row's."""
+    if not asked:
+        return
+    data = np.frombuffer(b"".join(t for t, *_ in asked), np.uint8)
+    base = np.cumsum([0, *[len(t) for t, *_ in asked]])
+    row = np.repeat(np.arange(len(asked)), [len(w) for *_, w in asked])
+    want = np.concatenate([w for *_, w in asked])
+    n = want["len"].astype(np.int64) - length + 1
+    at = np.repeat(want["pos"].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row = np.repeat(row, n)
+    once = np.unique(np.stack((row, at), 1), axis=0)  # stretches of one row may share windows
+    row, at = once[:, 0], once[:, 1]
+    view = np.lib.stride_tricks.as_strided(data, (max(0, len(data) - length + 1), length), (1, 1))
+    body = np.ascontiguousarray(view[base[row] + at]).view(f"V{length}").ravel()
+    rank, key = np.array([r for _, r, _, _ in asked])[row], np.array([k for _, _, k, _ in asked])[row]
+    kinds, of = np.unique(body.view(np.uint8).reshape(len(body), length), axis=0, return_inverse=True)
+    of = of.ravel()
+    first = np.full(len(kinds), LAST_ID)
+    np.minimum.at(first, of, rank)
+    later = rank > first[of]
+    bucket = np.array([zlib.crc32(w) % n_buckets for w in kinds], np.int64)[of]
+    for i in np.flatnonzero(~later).tolist():
+        yield int(bucket[i]), int(rank[i]), int(key[i]), int(at[i]), 0, body[i].tobytes()
+    told = np.flatnonzero(later)
+    if len(told):
+        new = np.concatenate(([True], (row[told][1:] != row[told][:-1]) | (np.diff(at[told]) > 1)))
+        within = np.arange(len(told)) - np.maximum.accumulate(np.where(new, np.arange(len(told)), 0))
+        start = np.flatnonzero(within % (255 - length) == 0)  # an interval's length is a byte
+        for i, m in zip(told[start].tolist(), np.diff([*start.tolist(), len(told)]).tolist()):
+            yield int(key[i]) % n_buckets, int(rank[i]), int(key[i]), int(at[i]), m, b""
+
+
 def _contents(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
     """The bytes of the stretches that were asked for, by bucket of their anchors; those of hot
-    anchors window by window, by bucket of the window's own bytes."""
+    anchors window by window, each once a chunk, by bucket of the window's own bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", 6 << 20):
                 batch = once(batch)
                 out: list[tuple] = []
+                asked: list[tuple[bytes, int, int, np.ndarray]] = []
                 for text, key, rank, blobs in zip(as_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in ("_k", "rank_id", "blobs"))):
                     want = np.unique(np.frombuffer(b"".join(blobs), WANTED))
                     hot = want["kmer"] >= HOT_FLAG
                     few = want[~hot]
                     bucket = (few["kmer"] % np.uint64(n_buckets)).astype(np.int64)
                     for b, pos, size in zip(bucket.tolist(), few["pos"].tolist(), few["len"].tolist()):
-                        out.append((b, rank, key, pos, text[pos : pos + size]))
-                    for pos, size in zip(want["pos"][hot].tolist(), want["len"][hot].tolist()):
-                        for at in range(pos, pos + size - length + 1):
-                            window = text[at : at + length]
-                            out.append((zlib.crc32(window) % n_buckets, rank, key, at, window))
+                        out.append((b, rank, key, pos, 0, text[pos : pos + size]))
+                    if hot.any():
+                        asked.append((text, rank, key, want[hot]))
+                out += _hot_windows(asked, n_buckets, length)
                 for i in range(0, len(out), 20000):
                     cols = list(zip(*out[i : i + 20000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "rank_id", "k", "pos", "content"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["bucket", "rank_id", "k", "pos", "settled", "content"])
 
-    return texts.mapInArrow(run, "bucket bigint, rank_id bigint, k bigint, pos bigint, content binary")
+    return texts.mapInArrow(run, "bucket bigint, rank_id bigint, k bigint, pos bigint, settled int, content binary")
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,6 +340,14 @@ def _factors(contents: DataFrame, length: int) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
+        told = table.filter(pc.greater(table["settled"], 0))
+        table = table.filter(pc.equal(table["settled"], 0))
+        if told.num_rows:
+            runs = np.zeros(told.num_rows, FOUND)
+            runs["pos"], runs["len"] = told["pos"].to_numpy(), told["settled"].to_numpy() + length - 1
+            yield rows_of(told["k"].to_numpy(), told["rank_id"].to_numpy(), runs)
+        if not table.num_rows:
+            return
         body = table["content"].to_pylist()
         ids, keys, pos = (table[c].to_numpy() for c in ("rank_id", "k", "pos"))
         sizes = np.fromiter(map(len, body), np.int64, len(body))
@@ -313,8 +364,7 @@ def _factors(contents: DataFrame, length: int) -> DataFrame:
             first, last = hit[gap], hit[np.concatenate((gap[1:], [True]))]
             found = np.zeros(len(first), FOUND)
             found["pos"], found["len"] = pos[owner[first]] + within[first], within[last] - within[first] + length
-            k, rank, blobs = zip(*_blobs_by_row(keys[owner[first]], ids[owner[first]], found))
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(rank, pa.int64()), pa.array(blobs, pa.binary())], ["k", "rank", "payload"])
+            yield rows_of(keys[owner[first]], ids[owner[first]], found)
 
     return contents.groupBy("bucket").applyInArrow(run, "k bigint, rank bigint, payload binary")
 

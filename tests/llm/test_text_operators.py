@@ -422,3 +422,21 @@ def test_columns_with_clashing_names(spark):
     assert packing.pack(packing.token_pieces(docs, queries.tokenizer_path()), 3).count() == 3
     assert fingerprints.fingerprints_with_edits(docs).count() == 3
     assert [r.n_tokens for r in ngram_lm.score(docs, ngram_lm.train(docs)).orderBy("n_tokens").collect()] == [1, 7, 7]
+
+
+def test_hot_windows_go_to_a_bucket_once_a_chunk(spark):
+    """A passage that all documents share between unlike texts: rows of one window don't grow with the documents."""
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage = letters(108)
+    texts = [letters(190) + passage + letters(190) for _ in range(3000)]
+    rows = suffix_dedup.keyed(table(spark, texts), "doc_id", "text").withColumn("rank_id", F.col("doc_id")).coalesce(1)
+    n, k = 64, 22
+    settled = suffix_dedup._settle(suffix_dedup._send(rows, n, 50, k))
+    wanted = settled.where("wanted").groupBy(F.col("k").alias("_w"), "rank").agg(F.collect_set("payload").alias("blobs"))
+    asked = rows.join(wanted, (rows._k == wanted._w) & (rows.rank_id == wanted["rank"])).select("_k", "rank_id", "text", "blobs").coalesce(1)
+    sent = suffix_dedup._contents(asked, n, 50)
+    assert sent.where("settled = 0").groupBy("content").count().agg(F.max("count")).first()[0] <= 2
+    data, gone = brute_removed(texts)
+    got = {x.doc_id: bytes(x.kept) for x in suffix_dedup.remove_repeats(table(spark, texts)).collect()}
+    assert all(got[i] == bytes(b for b, x in zip(d, g) if not x) for i, (d, g) in enumerate(zip(data, gone)))
