@@ -47,7 +47,7 @@ def sample_by_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return []
     # 63 bits of a hash of id and text; repeated rows share theirs and are taken once
     place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), 1)
-    below = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 4 * docs_per_lang / n) * (2**63 - 1)))])
+    below = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(2**63 - 1, 2**63 * 4 * docs_per_lang // n))])
     # an expected four times what is wanted, however many rows there are: that is what the exact pick below gathers
     few = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("i"), place.alias("p")).where(F.col("p") <= below[F.col("lang")]).dropDuplicates(["lang", "p"])
     picked: dict[str, list[str]] = {}
