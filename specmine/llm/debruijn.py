@@ -169,7 +169,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = keyed(docs, id_col, text_col).withColumn("rank_id", F.coalesce("doc_id", F.lit(LAST_ID)))
     scratch = Scratch(docs.sparkSession, "de-bruijn")
     every = scratch.keep(places(rows, length))
-    # what is joined is a table of its own, so that Spark can split a seed or window with very many places
+    # what is joined is a table of its own, so that Spark can split a seed, edge or window with very many places
     seeds = scratch.keep(every.groupBy("seed").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi").select("seed"))
     some = scratch.keep(every.join(seeds, "seed"))
     edges = scratch.keep(
@@ -179,7 +179,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         )
     )
     several = scratch.keep(edges.groupBy("seed").agg(F.count("*").alias("c"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("c > 1 and lo < hi").select("seed", F.lit(True).alias("unlike")))
-    known = edges.select("e1", "e2", "seed", "first").join(several, "seed", "left").drop("seed").join(compacted(edges), ["e1", "e2"], "left")
+    known = scratch.keep(edges.select("e1", "e2", "seed", "first").join(several, "seed", "left").drop("seed").join(compacted(edges), ["e1", "e2"], "left"))
     told = scratch.keep(some.select("k", "rank", "pos", "n", "e1", "e2").join(known, ["e1", "e2"]).where("rank > first or unlike").drop("e1", "e2"))
 
     behind = told.where("rank > first").withColumn("away", F.col("pos") - F.col("src.pos"))
