@@ -376,3 +376,19 @@ You may obtain a copy of the License at
     rows = [(i, "\n".join((m + line).rstrip() for line in text.split("\n")), name) for i, (text, name, m) in enumerate((t, n, m) for t, n in notices for m in marks)]
     df = spark.createDataFrame(rows, "doc_id int, text string, name string")
     assert [(r.text, r.licenses) for r in licenses.scan(df).collect()] == [(t, [n]) for _, t, n in rows]
+
+
+def test_words_of_furniture_need_structure_or_place():
+    body = "<p>" + "Long text of the article about many things. " * 6 + "</p>"
+    page = lambda probe: f"<html><body><nav><a href=x>menu</a></nav><article><h1>T</h1>{body * 2}{probe}{body}</article></body></html>"
+    for kept in ('<p class="comment">PROBE words</p>', '<div class="promo">PROBE words</div>', "<menu><li>PROBE one</li><li>two</li></menu>"):
+        assert "PROBE" in html_density.main_text(page(kept)), kept
+    many = '<div class="comment">PROBE fine</div>' * 2
+    for gone in ('<div class="ad-box">PROBE</div>', '<div class="user-comments"><p>PROBE</p></div>', '<div class="newsletter-signup">PROBE</div>', '<section id="related-articles">PROBE</section>', many, '<menu><li><a href="x">PROBE</a></li></menu>'):
+        assert "PROBE" not in html_density.main_text(page(gone)), gone
+
+
+def test_time_is_linear_in_unclosed_declarations():
+    began = time.time()
+    assert html_density.main_text("<!" * 500_000) == ""
+    assert time.time() - began < 2
