@@ -206,7 +206,9 @@ def mode_ancestors(modes: DataFrame) -> DataFrame:
     start = F.array().cast(f"array<struct<mode_idx:int,up:array<{link}>>>")
 
     def step(done: Column, m: Column) -> Column:
-        above = F.get(F.filter(done, lambda d: (d["mode_idx"] == m["parent_idx"]) & (m["parent_idx"] < m["mode_idx"])), F.lit(0))["up"]
+        known = F.get(F.filter(done, lambda d: d["mode_idx"] == m["parent_idx"]), F.lit(0))["up"]
+        alone = F.array(F.struct(m["parent_idx"].alias("ancestor"), F.lit(2**31 - 1).alias("upto")))  # a parent of which only rows are known
+        above = F.when(m["parent_idx"] < m["mode_idx"], F.coalesce(known, alone))
         cut = F.transform(F.coalesce(above, F.array().cast(f"array<{link}>")), lambda a: F.struct(a["ancestor"].alias("ancestor"), F.least(a["upto"], m["prefix"]).alias("upto")))
         own = F.struct(m["mode_idx"].alias("ancestor"), F.lit(2**31 - 1).alias("upto"))
         return F.concat(done, F.array(F.struct(m["mode_idx"].alias("mode_idx"), F.concat(F.array(own), cut).alias("up"))))
@@ -220,8 +222,9 @@ def mode_ancestors(modes: DataFrame) -> DataFrame:
 def inherit_modes(modes: DataFrame, rows: DataFrame) -> DataFrame:
     """Positions that a mode lacks come from its parent (an earlier mode), that one's parent and so on, up to the prefix
     sizes on the way; the nearest rows win. ``modes``: doc_id, mode_idx, parent_idx, prefix."""
-    own = rows.select("doc_id", F.col("mode_idx").alias("ancestor"), "position", "channel_id")
-    reached = mode_ancestors(modes).join(own, ["doc_id", "ancestor"]).where("position <= upto")
+    own = rows.select("doc_id", "mode_idx", "position", "channel_id")
+    above = mode_ancestors(modes).where("depth > 0").join(own.withColumnRenamed("mode_idx", "ancestor"), ["doc_id", "ancestor"]).where("position <= upto")
+    reached = own.withColumn("depth", F.lit(0)).unionByName(above.drop("ancestor", "upto"))
     nearest = F.rank().over(W.partitionBy("doc_id", "mode_idx", "position").orderBy("depth"))
     return reached.withColumn("_r", nearest).where("_r = 1").select("doc_id", "mode_idx", "position", "channel_id")
 

@@ -1,6 +1,9 @@
 """Operators on inline rows: cases of layout, mining, identity, evaluation and streams."""
 
+import datetime
 import json
+import random
+import time
 from pathlib import Path
 
 import pytest
@@ -10,7 +13,7 @@ from specmine.functions import channels as ch
 from specmine.functions import text as tx
 from specmine.operators import evaluate, identity, layout, lookup, modes, pages, rows, validate
 from specmine.sources import manuals, records
-from specmine.streaming import control
+from specmine.streaming import control, live
 
 
 def one(spark, expr, **values):
@@ -271,3 +274,92 @@ def test_identity_takes_the_model_from_any_source(spark):
     got = identity.resolve_identity(docs, catalog, priority).collect()
     assert {r.doc_id: (r.manufacturer, r.model, r.from_manual, r.fixture_id) for r in got} == {r[0]: r[4] for r in rows} and len(got) == len(rows)
     assert {r.doc_id: r.filename_echo for r in got} == {r[0]: r[0] == 7 for r in rows}
+
+
+def test_spellings_are_found_in_one_pass():
+    find = identity.spelling_finder([("Robe", "robe", False), ("Robe", "robe lighting", False), ("That", "that", True), ("Probe", "probe", False)])
+    got = {x["canonical"]: x for x in find("thatthat ®robe lighting, probe; robe's buying this robe product and this robe product.")}
+    assert got["That"]["at"] == [] and got["Probe"]["at"] == [25] and got["Robe"]["at"] == [9, 32, 51, 73] and got["Robe"]["itself"]
+    assert not {x["canonical"]: x for x in find("this robe products, xthis robe product")}["Robe"]["itself"]
+    assert identity.spelling_finder([])("text") == []
+
+
+def test_finding_time_does_not_follow_the_spellings():
+    text = "some words of a manual about lamps and their makers " * 200
+    took = {}
+    for n in (2_000, 200_000):
+        find = identity.spelling_finder([(f"maker {i}", f"maker{i} lamps", False) for i in range(n)])
+        took[n] = min(timed(lambda: find(text)) for _ in range(5))
+    assert took[200_000] < 5 * took[2_000] + 0.01
+
+
+def timed(f):
+    began = time.time()
+    f()
+    return time.time() - began
+
+
+def test_long_sections_take_linear_time(spark):
+    n = 100_000
+    lines = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(1).alias("section"), F.col("id").cast("int").alias("line_no"), F.when(F.col("id") % 3 > 0, (F.col("id") * 2 / 3).cast("int")).alias("channel"), (F.col("id") % 200).cast("int").alias("range_start"), (F.col("id") % 200 + 9).cast("int").alias("range_end"), F.lit("x").alias("label"), F.lit("full_row").alias("kind"))
+    ranges = lines.select("doc_id", F.lit("c").alias("channel_id"), F.col("line_no").alias("range_idx"), (F.col("line_no") * 3 % 100_003).cast("int").alias("range_start"), (F.col("line_no") * 3 % 100_003 + 1).cast("int").alias("range_end"))
+    rows.accept_in_sequence(lines.limit(10).where("channel is not null"), ["doc_id", "section"]).count()  # starts the workers
+    for f in (lambda: rows.accept_in_sequence(lines.where("channel is not null"), ["doc_id", "section"]), lambda: rows.assign_ranges(lines), lambda: rows.recover_ordered_rows(lines), lambda: rows.drop_overlapping_ranges(ranges)):
+        assert timed(lambda f=f: f().count()) < 10
+
+
+def test_chains_of_parents_to_any_depth(spark):
+    m = spark.createDataFrame([(1, i, i - 1, 20 - i) for i in range(1, 13)] + [(1, 13, 14, 5), (1, 14, 13, 5)], "doc_id int, mode_idx int, parent_idx int, prefix int")
+    r = spark.createDataFrame([(1, 0, p, f"a{p}") for p in range(1, 21)] + [(1, 6, 3, "own"), (1, 13, 1, "x"), (1, 14, 2, "y")], "doc_id int, mode_idx int, position int, channel_id string")
+    got = {}
+    for x in modes.inherit_modes(m, r).collect():
+        got.setdefault(x.mode_idx, {})[x.position] = x.channel_id
+    assert got[12] == {p: "own" if p == 3 else f"a{p}" for p in range(1, 9)}
+    assert got[13] == {1: "x"} and got[14] == {1: "x", 2: "y"}  # a later mode is no parent
+
+
+def test_columns_follow_the_names_in_the_header():
+    order = modes.column_order
+    assert order(["Basic16", "Extended"], ["   Extended     Basic", "                  16"]) == [1, 0]
+    assert order(["Basic16", "Extended"], ["   Extended     Basic", "16"]) == [0, 1]  # its parts are too far apart
+    assert order(["Alpha", "Beta"], ["Beta", "Alpha"]) == [0, 1]  # one above the other
+    assert order(["Alpha", "Beta"], ["Beta   only"]) == [0, 1]
+
+
+def test_rules_of_components_and_headers(spark):
+    docs = spark.createDataFrame([(1, "pan and tilt, 16-bit scan, rgbw leds"), (2, "RGBW only"), (3, "rgb color wheel")], "doc_id int, text string")
+    got = {}
+    for x in rows.component_scan(docs).collect():
+        got.setdefault(x.doc_id, []).append(x.component)
+    assert got[1] == ["Pan", "Tilt", "Pan fine", "Tilt fine", "Red", "Green", "Blue", "White"] and 2 not in got and got[3] == ["Color wheel"]
+    lines = spark.createDataFrame([(1, 1, 1, "7 :"), (1, 1, 2, "Wash"), (1, 1, 3, "x" * 489), (1, 1, 4, "3 12 Function"), (2, 1, 1, "7: Wash"), (2, 1, 2, "x" * 499), (2, 1, 3, "3 12 Function")], "doc_id int, page int, line_no int, text string")
+    assert [x.doc_id for x in modes.header_sparse(lines).collect()] == [1]
+
+
+def test_prompts_go_with_edits(spark):
+    queue = spark.createDataFrame([(1, "channel.confidence", "12"), (1, "channel.confidence", "2"), (1, "identity.model", ""), (2, "identity.model", "")], "doc_id int, prompt string, subject string")
+    fixtures = spark.createDataFrame([(1, "M", "Unknown model"), (2, "M", "Unknown model")], "doc_id int, manufacturer string, model string")
+    edits = spark.createDataFrame([(2, " ", " Spot ", 1, 1), (2, "New", "", 2, 2)], "doc_id int, manufacturer string, model string, ts int, event_id int")
+    after = validate.apply_name_edits(fixtures, edits)
+    assert [(x.manufacturer, x.model) for x in after.orderBy("doc_id").collect()] == [("M", "Unknown model"), ("New", "Spot")]
+    left = validate.open_prompts(queue, spark.createDataFrame([(1, 0)], "doc_id int, channel_idx int"), after)
+    assert sorted((x.doc_id, x.prompt, x.subject) for x in left.collect()) == [(1, "channel.confidence", "2"), (1, "identity.model", "")]
+
+
+def test_streams_give_the_same_rows_however_they_are_cut(spark, tmp_path):
+    r = random.Random(1)
+    start = datetime.datetime(2024, 1, 1)
+    events = sorted((start + datetime.timedelta(minutes=r.randrange(3000)), i, r.randrange(4)) for i in range(120))
+    log = spark.createDataFrame([(c, i, ts, r.choice(["set", "set", "unlock", "end", "heartbeat"]), r.randrange(1, 6), r.choice([0, 9, 300]), r.randrange(2), r.random() < 0.3) for ts, i, c in events], "controller bigint, event_id bigint, ts timestamp, action string, channel int, value int, universe int, risky boolean")
+    cuts = [start, *(start + datetime.timedelta(minutes=m) for m in (700, 1500, 2600)), start + datetime.timedelta(days=9)]
+    parts = lambda k: [log.where((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(cuts[:-1:k], [*cuts[k:-1:k], cuts[-1]])]
+    out = {}
+    for k in (1, 4):
+        assert len(parts(k)) == 4 // k
+        got = live.run_in_parts(spark, parts(k), lambda s: live.live_leases(s, 3600), str(tmp_path / f"leases{k}"))
+        out[k] = sorted(map(repr, got.collect()))
+    assert out[1] == out[4] and any("expired" in x for x in out[1])
+    sources = log.select(F.col("controller").alias("key"), F.when(F.col("action") == "set", "lease").otherwise("socket").alias("source"), "ts")
+    cut = lambda k: [sources.where((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(cuts[:-1:k], [*cuts[k:-1:k], cuts[-1]])]
+    spans = [sorted(map(repr, live.run_in_parts(spark, cut(k), lambda s: live.idle_spans(s, {"lease": 600, "socket": 1800}, 900), str(tmp_path / f"idle{k}")).collect())) for k in (2, 4)]
+    assert spans[0] == spans[1] and spans[0]
