@@ -30,7 +30,6 @@ equal ids none is smaller; a null id comes after all others; an empty table give
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -236,39 +235,47 @@ def _settle(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "k bigint, rank bigint, wanted boolean, payload binary")
 
 
-def _hot_windows(asked: list[tuple[bytes, int, int, np.ndarray]], n_buckets: int, length: int) -> Iterator[tuple]:
+SENT = ["bucket", "rank_id", "k", "pos", "settled", "content"]
+
+
+def _hot_windows(asked: list[tuple[bytes, int, int, np.ndarray]], n_buckets: int, length: int) -> Iterator[pa.RecordBatch]:
     """Rows of the windows asked for at hot anchors (text, rank, key, wanted places of each row of a chunk): of equal
-    windows those of the smallest document go to the bucket of their bytes; the others are settled, and go as runs of
-    windows (empty content, the number of windows behind the place) to a bucket of their row's."""
-    if not asked:
-        return
+    windows those of the smallest document go to the bucket of their bytes' hash; the others are settled, and go as runs
+    of windows (empty content, the number of windows behind the place) to a bucket of their row's."""
     data = np.frombuffer(b"".join(t for t, *_ in asked), np.uint8)
     base = np.cumsum([0, *[len(t) for t, *_ in asked]])
     row = np.repeat(np.arange(len(asked)), [len(w) for *_, w in asked])
     want = np.concatenate([w for *_, w in asked])
     n = want["len"].astype(np.int64) - length + 1
-    at = np.repeat(want["pos"].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    row = np.repeat(row, n)
-    once = np.unique(np.stack((row, at), 1), axis=0)  # stretches of one row may share windows
-    row, at = once[:, 0], once[:, 1]
-    view = np.lib.stride_tricks.as_strided(data, (max(0, len(data) - length + 1), length), (1, 1))
-    body = np.ascontiguousarray(view[base[row] + at]).view(f"V{length}").ravel()
+    at = base[np.repeat(row, n)] + np.repeat(want["pos"].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.unique(at)  # stretches of one row may share windows
+    row = np.searchsorted(base, at, "right") - 1
     rank, key = np.array([r for _, r, _, _ in asked])[row], np.array([k for _, _, k, _ in asked])[row]
-    kinds, of = np.unique(body.view(np.uint8).reshape(len(body), length), axis=0, return_inverse=True)
-    of = of.ravel()
-    first = np.full(len(kinds), LAST_ID)
-    np.minimum.at(first, of, rank)
-    later = rank > first[of]
-    bucket = np.array([zlib.crc32(w) % n_buckets for w in kinds], np.int64)[of]
-    for i in np.flatnonzero(~later).tolist():
-        yield int(bucket[i]), int(rank[i]), int(key[i]), int(at[i]), 0, body[i].tobytes()
+    h = mix(kmer_hashes(data, length)[0])[at]
+    order = np.lexsort((rank, h))
+    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    head = np.empty(len(at), np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    later = rank > rank[head]
+    view = np.lib.stride_tricks.as_strided(data, (len(data) - length + 1, length), (1, 1))
+    for i in range(0, len(at), 1 << 16):  # windows that share a hash and nothing else are sent
+        later[i : i + (1 << 16)] &= (view[at[i : i + (1 << 16)]] == view[at[head[i : i + (1 << 16)]]]).all(axis=1)
+    bucket, pos = (h % np.uint64(n_buckets)).astype(np.int64), at - base[row]
+    sent = np.flatnonzero(~later)
+    for i in range(0, len(sent), 20_000):
+        some = sent[i : i + 20_000]
+        body = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.arange(0, length * len(some) + 1, length, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(view[at[some]]).tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[some]), pa.array(rank[some]), pa.array(key[some]), pa.array(pos[some]), pa.array(np.zeros(len(some), np.int32)), body], SENT)
     told = np.flatnonzero(later)
     if len(told):
         new = np.concatenate(([True], (row[told][1:] != row[told][:-1]) | (np.diff(at[told]) > 1)))
         within = np.arange(len(told)) - np.maximum.accumulate(np.where(new, np.arange(len(told)), 0))
         start = np.flatnonzero(within % (255 - length) == 0)  # an interval's length is a byte
-        for i, m in zip(told[start].tolist(), np.diff([*start.tolist(), len(told)]).tolist()):
-            yield int(key[i]) % n_buckets, int(rank[i]), int(key[i]), int(at[i]), m, b""
+        count = np.diff([*start.tolist(), len(told)])
+        some = told[start]
+        for i in range(0, len(some), 20_000):
+            j = some[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[j] % n_buckets), pa.array(rank[j]), pa.array(key[j]), pa.array(pos[j]), pa.array(count[i : i + 20_000].astype(np.int32)), pa.array([b""] * len(j), pa.binary())], SENT)
 
 
 def _contents(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
@@ -290,11 +297,12 @@ def _contents(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
                         out.append((b, rank, key, pos, 0, text[pos : pos + size]))
                     if hot.any():
                         asked.append((text, rank, key, want[hot]))
-                out += _hot_windows(asked, n_buckets, length)
+                if asked:
+                    yield from _hot_windows(asked, n_buckets, length)
                 for i in range(0, len(out), 20000):
                     cols = list(zip(*out[i : i + 20000]))
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["bucket", "rank_id", "k", "pos", "settled", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], SENT)
 
     return texts.mapInArrow(run, "bucket bigint, rank_id bigint, k bigint, pos bigint, settled int, content binary")
 
