@@ -9,7 +9,7 @@ text. Last, it takes in a headline right before it, and an enclosing article or
 whose text it has the greater part. Nothing is dropped from the chosen subtree but furniture.
 
 Furniture are elements that never hold the article, by tag, or if hidden. Words of class, id or role, whole or as
-parts of a compound ("ad-box"), are a hint which structure and place confirm: words of adverts and of sections of
+compounds of such and neutral words ("ad-box"), are a hint which structure and place confirm: words of adverts and of sections of
 reader comments count anywhere; a lone "comment" inside an article only if it has a sibling like it; words of
 menus, sidebars, notices and the like outside article and main elements, inside them only on elements that are
 mostly links, or as part of a compound ("related-articles") on elements of at most a quarter of the page's text.
@@ -45,6 +45,8 @@ WORDS = {
     "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "masthead", "footer", "sidebar", "aside", "widget", "related", "recommended", "share", "sharing", "social", "comment", "comments", "disqus", "respond", "reply", "login", "signup", "search", "pagination", "pager", "toolbar", "complementary", "contentinfo", "alert",
 }
 CERTAIN = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "comments", "disqus"}
+# parts of compounds that say nothing themselves; a compound counts if it has no other words
+NEUTRAL = {"area", "article", "articles", "bar", "block", "bottom", "box", "button", "container", "feed", "form", "group", "inline", "item", "items", "left", "link", "links", "list", "more", "panel", "post", "posts", "reader", "readers", "right", "section", "side", "slot", "thread", "top", "unit", "user", "users", "wrapper"}
 HEADER = {"header", "banner"}
 HOLDERS = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
@@ -94,11 +96,12 @@ def suspicion(tag: str, attributes: str, within_article: bool) -> int:
         if name.lower() in ("class", "id", "role"):
             words = {*(value[0] or value[1] or value[2]).lower().split()}
             parts = [[x for x in re.split("[-_]+", w) if x] for w in words]
+            parts = [p for p in parts if all(x in WORDS or x in CERTAIN or x in NEUTRAL or x.isdigit() for x in p)]
             if any(x in CERTAIN for p in parts for x in p) or any(len(p) > 1 and "comment" in p for p in parts):
                 return 2
             if "comment" in words:
                 most = 4 if within_article else 2
-            elif tag not in HOLDERS and any(len(p) > 1 and (p[0] in WORDS or p[-1] in WORDS) for p in parts):
+            elif tag not in HOLDERS and any(len(p) > 1 and any(x in WORDS for x in p) for p in parts):
                 most = most or (5 if within_article else 1)
             elif tag not in HOLDERS and (words & WORDS or words & HEADER):
                 most = most or (3 if within_article else 1)
