@@ -112,7 +112,7 @@ class CrossParser:
     def __init__(self, sample: list[tuple[str, bytes]]):
         self.langs = [k for k, _ in sample]
         seen = sorted(set(b"".join(t for _, t in sample)) - {0x0A})
-        self.symbol = np.full(256, len(seen), np.int64)
+        self.symbol = np.full(256, len(seen), np.int32)
         self.symbol[seen] = np.arange(len(seen))
         self.symbol[0x0A] = len(seen)
         self.tables = [automaton_table(t, self.symbol, len(seen) + 1) for _, t in sample]
@@ -202,12 +202,15 @@ def identify(docs: DataFrame, sample: list[tuple[str, bytes]], *, text_col: str
     schema = clean.withColumns({out_cols[0]: F.lit("").cast("string"), out_cols[1]: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch], key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-        if key not in _parsers:  # once for each worker process
+        if key not in _parsers:
             _parsers.clear()
             _parsers[key] = CrossParser(sent.value)
-        for whole in batches:
-            for batch in pieces(whole, text_col):
-                found = _parsers[key].predict(batch.column(text_col).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*names, *out_cols])
+        try:
+            for whole in batches:
+                for batch in pieces(whole, text_col):
+                    found = _parsers[key].predict(batch.column(text_col).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*names, *out_cols])
+        finally:
+            _parsers.clear()  # some 150 MB, which the worker's later tasks of other steps have no use for
 
     return clean.mapInArrow(run, schema)
