@@ -354,6 +354,68 @@ def test_near_duplicates_chain_and_crowd(spark):
     assert minhash.near_duplicates(table(spark, []).where("false")).count() == 0
 
 
+def boilerplate(n, common, own, seed=3):
+    """n texts of one passage of ``common`` words and ``own`` words each of their own."""
+    r = random.Random(seed)
+    return [[*(f"c{j}" for j in range(common)), *(f"o{r.randrange(1 << 40)}" for _ in range(own))] for _ in range(n)]
+
+
+def test_near_duplicates_in_buckets_of_unlike_members(spark):
+    """Boilerplate of two thirds to four fifths of each text: its members share bands and aren't linked,
+    but planted pairs and texts of nothing but boilerplate are."""
+    r = random.Random(5)
+    words = boilerplate(220, 120, 60) + boilerplate(60, 120, 34, 4)
+    for i in range(0, 200, 5):
+        w = list(words[i])
+        w[120 + r.randrange(10)] = "new"
+        words.append(w)
+    words += [[f"c{j}" for j in range(120)], [f"c{j}" for j in range(120)] + ["x1", "x2"], [f"c{j}" for j in range(118)]]
+    texts = [" ".join(w) for w in words]
+    r.shuffle(texts)
+    _, roots = brute_components(texts)
+    assert 60 < len(set(roots)) < len(texts) - 40
+    rows = {x.doc_id: x.component_id for x in minhash.near_duplicates(table(spark, texts), block=8).collect()}
+    assert [rows[i] for i in range(len(texts))] == roots
+
+
+def crowd(spark, words, block=8):
+    """Members of the buckets that these texts share, none of them joined yet; their sets and the sets' table."""
+    from specmine.llm.common import Scratch
+
+    sets = minhash.shingle_sets([" ".join(w).encode() for w in words])
+    scratch = Scratch(spark, "crowd")
+    reps = scratch.keep(spark.createDataFrame([(i, minhash.signature(x).tobytes()) for i, x in enumerate(sets)], "rep bigint, sig binary"))
+    full = scratch.keep(spark.createDataFrame([(i, x.astype("<u8").tobytes()) for i, x in enumerate(sets)], "rep bigint, shingles binary"))
+    placed = minhash.banded(reps).select("bucket", "rep", F.col("rep").alias("root"))
+    return scratch.keep(minhash.split(placed, reps, full, scratch, block)), sets, full
+
+
+def test_rows_of_a_crowded_bucket_grow_with_its_members(spark):
+    def rows(n):
+        blocks = minhash.in_blocks(crowd(spark, boilerplate(n, 120, 60))[0], 8)
+        groups = [r["count"] for r in blocks.groupBy("bucket", "blk", "prb").count().collect()]
+        return sum(groups), max(groups)
+
+    (few, _), (many, largest) = rows(500), rows(2000)
+    assert many < 6 * few and largest < 64
+
+
+def test_recall_of_further_minima(spark):
+    """Pairs of 0.75 to 0.8 whose boilerplate alone is below the threshold, in buckets that are split."""
+    words = boilerplate(400, 120, 40)
+    for i in range(200):  # the last words are others
+        words.append([*words[i][: 148 + i % 4], *(f"p{i}.{j}" for j in range(12 - i % 4))])
+    members, sets, full = crowd(spark, words)
+    assert members.where("quiet").select("rep").distinct().count() == len(words)
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    linked = {(i, 400 + i) for i in range(200) if jaccard(sets[i], sets[400 + i]) >= 0.75}
+    share = 0.75 - 4 * (0.75 * 0.25 / 112) ** 0.5
+    close = minhash.involved(members, share, 8)
+    links = minhash.cross_links(members.join(close, ["bucket", "rep"]).join(full, "rep"), share, 75, 8)
+    found = {tuple(sorted((r.a, r.b))) for r in links.collect()}
+    assert len(linked) > 150 and found <= linked and len(found) >= 0.99 * len(linked)
+
+
 # ---- language
 
 
