@@ -1,6 +1,7 @@
 """Packing of tokenised documents into sequences by the sum-of-squares rule.
 
-Documents longer than a sequence are cut into whole sequences and a rest. Pieces are dealt by
+Documents longer than a sequence are cut into whole sequences; what is left over is the first piece,
+so that every later piece fills a sequence. Pieces are dealt by
 a hash of what they hold into groups of at most about ``group_size``; in a group, longest first,
 each piece goes where the sum over gaps of (open sequences with that gap) squared becomes
 smallest; of equal choices the tightest. With ``dissolve`` the emptiest sequences are then taken
@@ -103,8 +104,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
                     ids.append(end_id)
                     data = np.array(ids, "<u4").tobytes()
-                    for k, at in enumerate(range(0, len(ids), size)):
-                        part = data[4 * at : 4 * (at + size)]
+                    first = len(ids) % size or size
+                    for k, at in enumerate([0, *range(first, len(ids), size)]):
+                        part = data[4 * at : 4 * (at + size if k else first)]
                         out.append((doc, k, at, len(part) // 4, zlib.crc32(part), part))
                 columns = list(zip(*out)) if out else [[]] * 6
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]

@@ -135,6 +135,18 @@ def test_packing_is_gapless_and_tight(spark):
     assert packing.pack(packing.token_pieces(empty, queries.tokenizer_path()), packing.most_pieces(empty)).count() == 0
 
 
+def test_of_a_long_document_the_first_piece_is_the_shorter_one(spark):
+    docs = spark.createDataFrame([(1, "x " * 5000), (2, "a b"), (3, None), (4, "")], "doc_id bigint, text string")
+    rows = packing.token_pieces(docs, queries.tokenizer_path(), size=64).collect()
+    for doc in (1, 2, 3, 4):
+        own = sorted((x for x in rows if x.doc_id == doc), key=lambda x: x.piece)
+        total = sum(x.length for x in own)
+        assert [x.length for x in own] == [total % 64 or 64, *[64] * (len(own) - 1)]
+        assert [x.start for x in own] == [0, *range(own[0].length, total, 64)]
+    whole = packing.token_pieces(docs.where("doc_id = 1"), queries.tokenizer_path(), size=sum(x.length for x in rows if x.doc_id == 1)).collect()
+    assert [(x.piece, x.start) for x in whole] == [(0, 0)]
+
+
 def test_encoder_gives_the_library_s_ids():
     from tokenizers import Tokenizer
 
