@@ -363,3 +363,10 @@ def test_streams_give_the_same_rows_however_they_are_cut(spark, tmp_path):
     cut = lambda k: [sources.where((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(cuts[:-1:k], [*cuts[k:-1:k], cuts[-1]])]
     spans = [sorted(map(repr, live.run_in_parts(spark, cut(k), lambda s: live.idle_spans(s, {"lease": 600, "socket": 1800}, 900), str(tmp_path / f"idle{k}")).collect())) for k in (2, 4)]
     assert spans[0] == spans[1] and spans[0]
+
+
+def test_words_end_at_letters_that_are_not_ascii(spark):
+    assert tx.ascii_edges(r"(?i)\bpan\b|\bs?x{2}\b|\d\b") == r"(?i)(?<!\w)pan(?!\w)|" + (edge := r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))") + rf"s?x{{2}}{edge}|\d{edge}"
+    docs = spark.createDataFrame([(1, "panß und Ätilt, strobe"), (2, "span panel tilt_"), (3, "ünprism 16-bit scan panö")], "doc_id int, text string")
+    got = sorted((x.doc_id, x.component) for x in rows.component_scan(docs).collect())
+    assert got == [(1, "Light switch / strobe"), (1, "Pan"), (1, "Tilt"), (3, "Pan"), (3, "Pan fine")]
