@@ -370,3 +370,11 @@ def test_words_end_at_letters_that_are_not_ascii(spark):
     docs = spark.createDataFrame([(1, "panß und Ätilt, strobe"), (2, "span panel tilt_"), (3, "ünprism 16-bit scan panö")], "doc_id int, text string")
     got = sorted((x.doc_id, x.component) for x in rows.component_scan(docs).collect())
     assert got == [(1, "Light switch / strobe"), (1, "Pan"), (1, "Tilt"), (3, "Pan"), (3, "Pan fine")]
+
+
+def test_priority_patterns_end_at_letters_that_are_not_ascii(spark):
+    docs = spark.createDataFrame([(1, "von vonüber"), (2, "von vonuber"), (3, "evon")], "doc_id int, text string")
+    priority = spark.createDataFrame([(1, "Gamma", r"\bvon\b", 2)], "rank int, canonical string, pattern string, min_hits int")
+    picked = spark.createDataFrame([(2, "and")], "doc_id int, canonical string")
+    got = sorted(tuple(x) for x in identity.known_brand_override(docs, priority, picked).collect())
+    assert got == [(1, "Gamma", True), (2, "and", False), (3, None, False)]
