@@ -378,3 +378,13 @@ def test_priority_patterns_end_at_letters_that_are_not_ascii(spark):
     picked = spark.createDataFrame([(2, "and")], "doc_id int, canonical string")
     got = sorted(tuple(x) for x in identity.known_brand_override(docs, priority, picked).collect())
     assert got == [(1, "Gamma", True), (2, "and", False), (3, None, False)]
+
+
+def test_corroboration_is_linear_in_a_cover_line(spark):
+    cover = "".join(f"word{i} " for i in range(6_000)) + "Wash 300X end"
+    docs = spark.createDataFrame([(1, f"{cover}\nbody"), (2, f"{cover}\nthe wash 3oox"), (3, "Wash 300X"), (4, "\nbody"), (5, None)], "doc_id int, text string")
+    picks = docs.select("doc_id", F.lit("Wash 3OO").alias("model"))
+    identity.corroborate_model(docs.limit(0), picks).count()
+    got = {}
+    assert timed(lambda: got.update({x.doc_id: (x.model, x.exact) for x in identity.corroborate_model(docs, picks).collect()})) < 10
+    assert got == {1: ("Wash 300X", False), 2: ("Wash 3OO", True), 3: ("Wash 300X", None), 4: (None, False), 5: (None, None)}
