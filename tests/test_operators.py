@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 import time
 from pathlib import Path
 
@@ -388,3 +389,18 @@ def test_corroboration_is_linear_in_a_cover_line(spark):
     got = {}
     assert timed(lambda: got.update({x.doc_id: (x.model, x.exact) for x in identity.corroborate_model(docs, picks).collect()})) < 10
     assert got == {1: ("Wash 300X", False), 2: ("Wash 3OO", True), 3: ("Wash 300X", None), 4: (None, False), 5: (None, None)}
+
+
+def test_open_format_docs_meet_by_document_alone(spark):
+    from specmine.plans.case import Tables
+    from specmine.plans.record_cases import open_docs
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = open_docs(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    keys = re.findall(r"SortMergeJoin \[(.*?)\]", plan)
+    assert keys and not [x for x in keys if "," in x]
