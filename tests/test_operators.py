@@ -404,3 +404,20 @@ def test_open_format_docs_meet_by_document_alone(spark):
         spark.conf.set(key, before)
     keys = re.findall(r"SortMergeJoin \[(.*?)\]", plan)
     assert keys and not [x for x in keys if "," in x]
+
+
+def test_matches_of_one_model_by_many_makers_and_of_many_copies(spark):
+    n = 20_000
+    prints = F.array((F.col("id") % 3).cast("int"))
+    maker = lambda salt: F.substring(F.md5(F.concat(F.lit(salt), F.col("id").cast("string"))), 1, 12)
+    queries = spark.range(n).select(F.col("id").alias("query_id"), maker("q").alias("manufacturer"), F.lit("Aura Spot").alias("model"), prints.alias("footprints"))
+    listing = spark.range(n).select(F.col("id").alias("rid"), F.when(F.col("id") == 7, maker("q")).otherwise(maker("r")).alias("manufacturer"), F.lit("Aura Spot").alias("fixture"), (F.col("id") % 7 / 2).alias("rating"), prints.alias("footprints"))
+    lookup.match_listing(queries.limit(5), listing.limit(5)).count()
+    got = []
+    assert timed(lambda: got.extend(lookup.match_listing(queries, listing).collect())) < 25
+    assert [(x.query_id, x.rid) for x in got] == [(7, 7)]
+    copies = lambda df: df.withColumn("manufacturer", F.lit("Robe"))
+    small = lambda df: copies(df).limit(60)
+    want = sorted(map(tuple, lookup.top_matches(lookup.match_listing(small(queries), small(listing))).collect()))
+    assert sorted(map(tuple, lookup.best_matches(small(queries), small(listing)).collect())) == want and len(want) == 300
+    assert timed(lambda: got.append(lookup.best_matches(copies(queries), copies(listing)).count())) < 25 and got[-1] == 5 * n
