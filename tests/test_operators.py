@@ -421,3 +421,16 @@ def test_matches_of_one_model_by_many_makers_and_of_many_copies(spark):
     want = sorted(map(tuple, lookup.top_matches(lookup.match_listing(small(queries), small(listing))).collect()))
     assert sorted(map(tuple, lookup.best_matches(small(queries), small(listing)).collect())) == want and len(want) == 300
     assert timed(lambda: got.append(lookup.best_matches(copies(queries), copies(listing)).count())) < 25 and got[-1] == 5 * n
+
+
+def test_files_of_their_own_are_written_by_many_tasks(spark, tmp_path):
+    from specmine.plans import manual_cases, record_cases
+    from specmine.plans.case import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    t.folder = lambda name: f"{tmp_path}/{name}"
+    manual_cases._every_file(t)
+    record_cases.fixture_files(t)
+    for name in ("manuals", "fixtures"):
+        tasks = [f.name.split("-")[1] for f in (tmp_path / name).rglob("part-*.txt")]
+        assert len(tasks) > 1000 and len(set(tasks)) > 32
