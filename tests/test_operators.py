@@ -434,3 +434,12 @@ def test_files_of_their_own_are_written_by_many_tasks(spark, tmp_path):
     for name in ("manuals", "fixtures"):
         tasks = [f.name.split("-")[1] for f in (tmp_path / name).rglob("part-*.txt")]
         assert len(tasks) > 1000 and len(set(tasks)) > 32
+
+
+def test_appendix_lines_are_read_once(spark):
+    text = ["Shutter", "0-9   Strobe fast ...", "10-19   Strobe off", "20-29   Page 7", "300-9   Open", "Mode table 2"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text, 1)], "doc_id long, line_no int, text string")
+    out = rows.appendix_sections(lines)
+    assert {(r.key, r.line_no, r.range_start, r.range_end, r.name, r.safety) for r in out.collect()} == {("shutter", 2, 0, 9, "Strobe fast", "strobe"), ("shutter", 3, 10, 19, "Strobe off", "normal")}
+    filters = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("regexp_replace" in x or "regexp_extract" in x for x in filters)
