@@ -17,20 +17,19 @@ def pages_needing_ocr(pages: DataFrame) -> DataFrame:
     return pages.where(F.length("text") < 80)
 
 
-def page_table_stats(pages: DataFrame) -> DataFrame:
+def page_table_stats(pages: DataFrame, *keep: str) -> DataFrame:
     count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return pages.select("doc_id", "page", count(RANGES).alias("n_ranges"), F.col("text").rlike(VOCABULARY).alias("has_vocabulary"), count(HEADINGS).alias("n_headings"))
+    return pages.select("doc_id", "page", count(RANGES).alias("n_ranges"), F.col("text").rlike(VOCABULARY).alias("has_vocabulary"), count(HEADINGS).alias("n_headings"), *keep)
 
 
 def pages_for_detailed_read(pages: DataFrame) -> DataFrame:
     """Pages with 1 to 3 headings but no readable table, and the page after under the same test;
     and pages read by OCR with 5 ranges or more. ``pages`` has from_ocr."""
-    s = page_table_stats(pages).join(pages.select("doc_id", "page", "from_ocr"), ["doc_id", "page"])
-    unreadable = F.col("from_ocr") | (F.col("n_ranges") < 5)
-    heads = s.where(F.col("n_headings").between(1, 3) & unreadable).select("doc_id", "page")
-    after = heads.select("doc_id", (F.col("page") + 1).alias("page"))
-    following = s.where(unreadable).join(after, ["doc_id", "page"], "left_semi").select("doc_id", "page")
-    return heads.unionByName(following).unionByName(s.where("from_ocr and n_ranges >= 5").select("doc_id", "page")).distinct()
+    s = page_table_stats(pages, "from_ocr").withColumn("_unreadable", F.col("from_ocr") | (F.col("n_ranges") < 5))
+    s = s.withColumn("_head", F.coalesce(F.col("n_headings").between(1, 3) & F.col("_unreadable"), F.lit(False)))
+    before = W.partitionBy("doc_id").orderBy("page").rangeBetween(-1, -1)
+    s = s.withColumn("_follows", F.coalesce(F.max("_head").over(before), F.lit(False)))
+    return s.where("_head or (doc_id is not null and _follows and _unreadable) or (from_ocr and n_ranges >= 5)").select("doc_id", "page").distinct()
 
 
 def table_text_score(pages: DataFrame) -> DataFrame:

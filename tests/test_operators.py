@@ -443,3 +443,10 @@ def test_appendix_lines_are_read_once(spark):
     assert {(r.key, r.line_no, r.range_start, r.range_end, r.name, r.safety) for r in out.collect()} == {("shutter", 2, 0, 9, "Strobe fast", "strobe"), ("shutter", 3, 10, 19, "Strobe off", "normal")}
     filters = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
     assert filters and not any("regexp_replace" in x or "regexp_extract" in x for x in filters)
+
+
+def test_pages_are_counted_once(spark):
+    rows_in = [(1, 1, "DMX chart", False), (1, 2, "plain", False), (1, 4, "plain", False), (2, 1, "0-1 2-3 4-5 6-7 8-9", True), (2, 2, "plain", None), (None, 1, "DMX chart", True), (None, 2, "plain", True), (3, 1, "plain", True)]
+    out = pages.pages_for_detailed_read(spark.createDataFrame(rows_in, "doc_id long, page int, text string, from_ocr boolean"))
+    assert {tuple(r) for r in out.collect()} == {(1, 1), (1, 2), (2, 1)} | {(None, 1)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
