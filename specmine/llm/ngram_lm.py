@@ -95,19 +95,35 @@ def ef_encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     return {"lower": lower, "upper": upper, "zeros": zeros.astype("<u4" if size < 1 << 32 else "<u8"), "low": np.array([low, n], np.int64)}
 
 
-def _ends(ef: dict[str, np.ndarray], high: np.ndarray) -> np.ndarray:
-    """Number of values whose high part is ``high`` or less: ones before the zero of that rank."""
+def _ends(ef: dict[str, np.ndarray], high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of values whose high part is ``high`` or less: ones before the zero of that rank. Also that zero's word and its
+    place in it."""
     word = np.searchsorted(ef["zeros"], high.astype(ef["zeros"].dtype), "right") - 1
-    left = high - ef["zeros"][word].astype(np.int64)
-    bits = ~ef["upper"][word]
-    place = np.zeros(len(high), np.int64)
+    left = (high - ef["zeros"][word].astype(np.int64)).astype(np.uint8)
+    own = ef["upper"][word]
+    bits, place = ~own, np.zeros(len(high), np.uint64)
     for width in (32, 16, 8, 4, 2, 1):  # the zero of rank `left` in its word, by halves
-        here = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
+        here = np.bitwise_count(bits & np.uint64((1 << width) - 1))
         over = left >= here
-        left -= np.where(over, here, 0)
-        place += np.where(over, width, 0)
-        bits = np.where(over, bits >> np.uint64(width), bits)
-    return 64 * word + place - high
+        left -= here * over
+        step = over * np.uint64(width)
+        place += step
+        bits >>= step
+    return 64 * word + place.astype(np.int64) - high, own, place
+
+
+def _ranges(ef: dict[str, np.ndarray], high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) of the values whose high part is ``high``: the run of ones before the zero of that rank."""
+    end, own, place = _ends(ef, high)
+    # the word's zeros before that place, moved to the top, and all places below the highest: what is left over is the run
+    gaps = np.where(place > 0, ~own << (np.uint64(64) - np.maximum(place, np.uint64(1))), np.uint64(0))
+    for width in (1, 2, 4, 8, 16, 32):
+        gaps |= gaps >> np.uint64(width)
+    begin = end - (64 - np.bitwise_count(gaps).astype(np.int64))
+    far = np.flatnonzero(gaps == 0)  # ones from the word's start on: the run may begin in an earlier word
+    if len(far):
+        begin[far] = np.where(high[far] > 0, _ends(ef, np.maximum(high[far] - 1, 0))[0], 0)
+    return begin, end
 
 
 def ef_find(ef: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -124,11 +140,9 @@ def ef_find(ef: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
     part = high[todo]  # increasing, as the keys are
     new = np.concatenate(([True], part[1:] != part[:-1]))
     back, part = np.cumsum(new) - 1, part[new]
-    end = _ends(ef, part)
-    begin = np.where(part > 0, _ends(ef, np.maximum(part - 1, 0)), 0)
-    at, end = begin[back], end[back]
+    at, end = (x[back] for x in _ranges(ef, part))
     want = keys[todo] & np.uint64((1 << low) - 1)
-    stop, live = end.copy(), np.flatnonzero(at < end)
+    stop, live = end.copy(), np.flatnonzero(at + 1 < end)  # a single one is compared below
     while len(live):  # low parts increase within a high part: halve the range
         middle = (at[live] + stop[live]) // 2
         less = ef_low(ef, middle, low) < want[live]
@@ -174,7 +188,7 @@ def write_shard(path: str, arrays: dict[str, np.ndarray]) -> None:
 def load_shard(path: str) -> dict[str, np.ndarray]:
     """The shard's arrays: mapped into memory where the folder is a local path, else read."""
     if path.startswith("file:") or "://" not in path:
-        data = np.memmap("/" + path.removeprefix("file:").lstrip("/"), np.uint8, "r")
+        data = np.asarray(np.memmap("/" + path.removeprefix("file:").lstrip("/"), np.uint8, "r"))
     else:
         fs, target = open_fs(path)
         with fs.open_input_stream(target, compression=None) as f:

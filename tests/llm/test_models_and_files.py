@@ -29,6 +29,19 @@ def test_elias_fano_finds_what_it_holds():
         assert ngram_lm.ef_find(ef, keys).tolist() == [where.get(int(k), -1) for k in keys]
 
 
+def test_elias_fano_ranges_are_read_in_one_pass():
+    """op7: where the values of a high part begin is read off the same word as where they end, over words' edges too."""
+    rng = np.random.default_rng(3)
+    for n, universe in ((1, 1), (700, 900), (900, 40_000), (5_000, 10**11)):
+        values = np.unique(np.concatenate([rng.integers(0, universe, n), np.arange(min(universe, 300))]).astype(np.uint64))
+        ef = ngram_lm.ef_encode(values, universe)
+        high = (values >> np.uint64(int(ef["low"][0]))).astype(np.int64)
+        asked = np.arange(int(high[-1]) + 1) if high[-1] < 10_000 else np.unique(high)
+        begin, end = ngram_lm._ranges(ef, asked)
+        assert begin.tolist() == np.searchsorted(high, asked, "left").tolist()
+        assert end.tolist() == np.searchsorted(high, asked, "right").tolist()
+
+
 def reference_scores(train, texts, least=1, less=0.75):
     """The same model by dictionaries, without quantisation."""
     words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + ["</s>"]
