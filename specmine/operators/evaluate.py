@@ -8,6 +8,7 @@ row gathers is one manual's record, never rows of several documents.
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import permutations
 
@@ -26,14 +27,17 @@ FILENAME_ECHO = r"(?i)\bum$"  # fixed value: a model that ends like a file name'
 
 def truth_slots(modes: DataFrame, channels: DataFrame, functions: DataFrame) -> DataFrame:
     """Coarse and distinct fine offsets as slots of (break, offset); a later channel overwrites an
-    earlier one, a fine byte its own coarse one. Names are pretty names, else attributes."""
+    earlier one, a fine byte its own coarse one. Names are pretty names, else attributes. Slots are dealt out
+    by document once, for all that follows."""
     n = functions.groupBy("channel_id").agg(F.count("*").alias("n_functions"))
     c = channels.join(n, "channel_id", "left").join(modes.select("mode_id", F.col("fixture_id").alias("doc_id"), F.col("idx").alias("mode_idx")), "mode_id")
     c = c.select(*MODE, "channel_id", F.coalesce("dmx_break", F.lit(1)).alias("dmx_break"), F.coalesce("pretty", "attribute").alias("name"), "attribute", F.coalesce("n_functions", F.lit(0)).alias("n_functions"), "offset_coarse", "offset_fine")
-    coarse = c.where("offset_coarse is not null").select(*MODE, "channel_id", "dmx_break", F.col("offset_coarse").alias("slot"), "name", "attribute", "n_functions", F.lit(0).alias("fine"))
-    fine = c.where("offset_fine is not null and not offset_fine <=> offset_coarse").select(*MODE, "channel_id", "dmx_break", F.col("offset_fine").alias("slot"), "name", "attribute", F.lit(0).cast("long").alias("n_functions"), F.lit(1).alias("fine"))
+    own = F.when(F.col("offset_coarse").isNotNull(), F.struct(F.col("offset_coarse").alias("slot"), F.col("n_functions"), F.lit(0).alias("fine")))
+    below = F.when(F.expr("offset_fine is not null and not offset_fine <=> offset_coarse"), F.struct(F.col("offset_fine").alias("slot"), F.lit(0).cast("long").alias("n_functions"), F.lit(1).alias("fine")))
+    both = c.select(*MODE, "channel_id", "dmx_break", "name", "attribute", F.explode(F.array(own, below)).alias("x")).where("x is not null")
+    slots = both.select(*MODE, "channel_id", "dmx_break", "x.slot", "name", "attribute", "x.n_functions", "x.fine").repartition("doc_id")
     w = W.partitionBy(*MODE, "dmx_break", "slot").orderBy(F.desc("channel_id"), F.desc("fine"))
-    return coarse.unionByName(fine).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "channel_id")
+    return slots.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "channel_id")
 
 
 def extract_slots(rows: DataFrame) -> DataFrame:
@@ -96,6 +100,11 @@ def recall_tol1(truth: DataFrame, extracted: DataFrame) -> DataFrame:
 
 @lru_cache(1 << 16)  # a pair of names comes again and again
 def _ratio_of(a: str, b: str) -> float | None:
+    if len(a) < 200 and len(b) < 200:  # longer ones have letters that difflib leaves out
+        if a == b:
+            return 1.0 if a else None
+        if not a or not b:
+            return 0.0
     return difflib.SequenceMatcher(None, a, b).ratio() if a or b else None
 
 
@@ -204,21 +213,36 @@ def _chosen(buckets: pd.Series, truth_modes: pd.Series, modes: pd.Series, scores
     return pd.Series(out)
 
 
-def best_pairing(scored: DataFrame) -> DataFrame:
-    """The pairs of each (document, footprint) bucket's best pairing."""
+def best_pairing(scored: DataFrame, once: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The pairs of each (document, footprint) bucket's best pairing. Buckets with one mode on a side, or two on both, are
+    settled by windows; only larger ones go through ``best_of``. What is read twice is put through ``once``, which may write it."""
     names = [c for c in scored.columns if c != "doc_id"]
-    docs = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("footprint", "truth_mode", "mode", *[c for c in names if c not in ("footprint", "truth_mode", "mode")]))).alias("p"))
-    docs = docs.withColumn("keep", _chosen(F.col("p.footprint"), F.col("p.truth_mode"), F.col("p.mode"), F.col("p.name_score")))
-    kept = docs.select("doc_id", F.explode(F.arrays_zip("p", "keep")).alias("x")).where("x.keep")
-    return kept.select("doc_id", *[F.col(f"x.p.{c}").alias(c) for c in names])
-
-
-def scoreboard(fixtures: DataFrame, identities: DataFrame, truth: DataFrame, extracted: DataFrame) -> DataFrame:
+    w = W.partitionBy("doc_id", "footprint")
+    ends = {f"_{f}_{c}": getattr(F, f)(c).over(w) for f in ("min", "max") for c in ("truth_mode", "mode")}
+    s = scored.withColumns({**ends, "_n": F.count("*").over(w), "_full": F.least(*[F.count(c).over(w) for c in ("truth_mode", "mode", "name_score")]), "_first": F.min(F.struct((-F.round("name_score", 9)).alias("s"), "truth_mode", "mode")).over(w)})
+    first = {c: F.col(c) == F.col(f"_min_{c}") for c in ("truth_mode", "mode")}
+    corner = (first["truth_mode"] | (F.col("truth_mode") == F.col("_max_truth_mode"))) & (first["mode"] | (F.col("mode") == F.col("_max_mode")))
+    straight = first["truth_mode"] == first["mode"]
+    total = lambda c: F.round(F.sum(F.when(c, F.col("name_score"))).over(w), 9)
+    s = s.withColumns({"_corners": F.count_if(corner).over(w), "_straight": total(straight) >= total(~straight)})
+    full = F.col("_n") == F.col("_full")
+    one = full & (F.col("_n") <= 6) & ((F.col("_min_truth_mode") == F.col("_max_truth_mode")) | (F.col("_min_mode") == F.col("_max_mode")))
+    two = full & (F.col("_n") == 4) & (F.col("_corners") == 4) & (F.col("_min_truth_mode") < F.col("_max_truth_mode")) & (F.col("_min_mode") < F.col("_max_mode"))
+    keep = F.when(one, (F.col("truth_mode") == F.col("_first.truth_mode")) & (F.col("mode") == F.col("_first.mode"))).when(two, F.col("_straight") == straight)
+    s = once(s.withColumn("_keep", keep).where("_keep is null or _keep").select("doc_id", *names, "_keep"))
+    pair = F.struct("footprint", "truth_mode", "mode", *[c for c in names if c not in ("footprint", "truth_mode", "mode")])
+    docs = s.where("_keep is null").groupBy("doc_id").agg(F.array_sort(F.collect_list(pair)).alias("p"))
+    docs = docs.withColumn("picked", _chosen(F.col("p.footprint"), F.col("p.truth_mode"), F.col("p.mode"), F.col("p.name_score")))
+    large = docs.select("doc_id", F.inline(F.filter("p", lambda x, i: F.get("picked", i)))).select("doc_id", *names)
+    return s.where("_keep").select("doc_id", *names).unionByName(large)
+
+
+def scoreboard(fixtures: DataFrame, identities: DataFrame, truth: DataFrame, extracted: DataFrame, once: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The 22 columns of a scored document: fixtures(fixture_id, manufacturer, model) is the truth,
     identities(fixture_id, file, manufacturer, model) what was extracted. Scores of slots are pooled over
     all of a document's chosen pairs."""
-    modes = document_modes(truth, extracted)
-    b = best_pairing(scored_modes(modes)).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("name_sum", "name_n", "fine_hits", "fine_n", "attr_hits", "attr_n", "rich_hits", "rich_n")], F.count("*").alias("n_mode_pairs"))
+    modes = once(document_modes(truth, extracted))
+    b = best_pairing(scored_modes(modes), once).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("name_sum", "name_n", "fine_hits", "fine_n", "attr_hits", "attr_n", "rich_hits", "rich_n")], F.count("*").alias("n_mode_pairs"))
     sizes = lambda c: F.array_sort(F.transform(F.coalesce(F.col(c), F.array().cast(modes.schema[c].dataType)), lambda x: x["footprint"]))
     m = modes.select("doc_id", sizes("t").alias("tc"), sizes("e").alias("ec"))
     times = lambda c, x: F.size(F.filter(c, lambda y: y == x))

@@ -474,3 +474,39 @@ def test_named_mode_parents_are_the_latest_before(spark):
     m, _ = modes.named_modes(lines)
     assert sorted((r.mode_idx, r.name, r.size, r.parent_idx, r.prefix) for r in m.collect()) == [(0, "Red", 4, None, None), (1, "Blue", 5, 0, 2), (2, "Red", 6, None, 3), (3, "Tail", 7, 2, 4)]
     assert "SortMergeJoin" not in m._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" not in m._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairing_of_small_and_large_buckets(spark):
+    """What windows settle (one mode on a side, two on both; ties) is what best_of gives; larger buckets go through it. The
+    step is read twice and written once."""
+    import random
+
+    import numpy as np
+
+    from specmine.operators import evaluate
+
+    rng, rows, expected = random.Random(3), [], set()
+    for doc, (n, m) in enumerate([(1, 1), (1, 3), (3, 1), (2, 2), (1, 8), (8, 1), (2, 3), (7, 7), (4, 1), (6, 6)] * 6):
+        table = np.array([[rng.choice([0.0, 0.25, 0.5, 1.0]) for _ in range(m)] for _ in range(n)])
+        rows += [(doc, 5, 10 + i, 20 + j, float(table[i, j])) for i in range(n) for j in range(m)]
+        expected |= {(doc, 10 + i, 20 + j) for i, j in evaluate.best_of(table)}
+    calls = []
+
+    def once(df):
+        calls.append(1)
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    got = evaluate.best_pairing(spark.createDataFrame(rows, "doc_id long, footprint long, truth_mode int, mode int, name_score double"), once)
+    assert {(r.doc_id, r.truth_mode, r.mode) for r in got.collect()} == expected and calls == [1]
+
+
+def test_slots_are_dealt_out_by_document_once(spark):
+    """A later channel's coarse byte overwrites a fine one; all of it, and what follows by document, after one shuffle by document."""
+    from specmine.operators import evaluate
+
+    modes = spark.createDataFrame([(1, 7, 0)], "mode_id long, fixture_id long, idx int")
+    channels = spark.createDataFrame([(1, 1, None, 1, 2, "Pan", "P"), (2, 1, 1, 2, 2, None, "T"), (3, 1, 1, None, 9, "Z", "z")], "channel_id long, mode_id long, dmx_break int, offset_coarse int, offset_fine int, pretty string, attribute string")
+    functions = spark.createDataFrame([(1,), (1,), (2,)], "channel_id long")
+    got = evaluate.truth_slots(modes, channels, functions)
+    assert sorted((r.doc_id, r.slot, r.name, r.n_functions, r.fine) for r in got.collect()) == [(7, 1, "Pan", 2, 0), (7, 2, "T", 1, 0), (7, 9, "Z", 0, 1)]
+    assert "Union" not in got._jdf.queryExecution().executedPlan().toString()
