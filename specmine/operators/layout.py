@@ -62,19 +62,24 @@ def join_ocr_row_text(rows: DataFrame) -> DataFrame:
 
 
 def _with_headers(rows: DataFrame) -> DataFrame:
-    """A line for each row: ``header`` (counts and centres) if it is one, and its ``words``."""
-    w = W.partitionBy(*PAGE, "row_id").orderBy("x", "item_no")
+    """A line for each row: ``header`` (counts and centres) if it is one, and its ``words`` in order. Words of a row are
+    gathered once; labels are read only in rows where at least two words can belong to one."""
     unit = "(?i)^ch(annels?)?$"
-    both = rows.withColumn("_next", F.lead("text").over(w)).withColumn("_right", F.lead(F.col("x") + F.col("width")).over(w))
-    glued = F.regexp_extract("text", "(?i)^([0-9]{1,3}) ?ch(?:annels?)?$", 1).try_cast("int")
-    apart = F.when(F.col("_next").rlike(unit), F.col("text").try_cast("int"))
-    right = F.when(glued.isNotNull(), F.col("x") + F.col("width")).otherwise(F.col("_right"))
-    labels = both.withColumn("n", F.coalesce(glued, apart)).withColumn("centre", (F.col("x") + right) / 2)
-    void = F.bool_or(F.col("text").rlike("(?i)^[^0-9]+ch$|^[?#]+ ?ch") & F.col("n").isNull())
-    words = F.collect_list(F.struct("item_no", "text", "x", "width"))
-    got = labels.groupBy(*PAGE, "row_id").agg(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("centre", "n")))).alias("s"), F.count("n").alias("c"), F.count_distinct("n").alias("d"), void.alias("void"), words.alias("words"))
-    header = F.struct(F.transform("s", lambda s: s["n"]).alias("counts"), F.transform("s", lambda s: s["centre"]).alias("centres"))
-    return got.select(*PAGE, "row_id", F.when(F.expr("c >= 2 and c = d and not void"), header).alias("header"), "words")
+    label = F.col("text").rlike("(?i)^([0-9]{1,3} ?)?ch(annels?)?$")
+    got = rows.groupBy(*PAGE, "row_id").agg(F.sort_array(F.collect_list(F.struct("x", "item_no", "text", "width"))).alias("words"), F.count_if(label).alias("_labels"))
+
+    def read(t: Column, i: Column) -> Column:
+        after = F.get("words", i + 1)
+        glued = F.regexp_extract(t["text"], "(?i)^([0-9]{1,3}) ?ch(?:annels?)?$", 1).try_cast("int")
+        right = F.when(glued.isNotNull(), t["x"] + t["width"]).otherwise(after["x"] + after["width"])
+        n = F.coalesce(glued, F.when(after["text"].rlike(unit), t["text"].try_cast("int")))
+        return F.struct(((t["x"] + right) / 2).alias("centre"), n.alias("n"), t["text"].rlike("(?i)^[^0-9]+ch$|^[?#]+ ?ch").alias("odd"))
+
+    some = got.withColumn("_read", F.when(F.col("_labels") >= 2, F.transform("words", read)))
+    some = some.withColumn("s", F.when(~F.exists("_read", lambda t: F.coalesce(t["odd"], F.lit(False)) & t["n"].isNull()), F.array_sort(F.filter("_read", lambda t: t["n"].isNotNull()))))
+    counts = F.transform("s", lambda t: t["n"])
+    header = F.struct(counts.alias("counts"), F.transform("s", lambda t: t["centre"]).alias("centres"))
+    return some.select(*PAGE, "row_id", F.when((F.size("s") >= 2) & (F.size("s") == F.size(F.array_distinct(counts))), header).alias("header"), "words")
 
 
 def detect_count_headers(rows: DataFrame) -> DataFrame:
@@ -122,11 +127,11 @@ def snap_cells(rows: DataFrame) -> DataFrame:
     """Numbers under a header go to the nearest column within 0.4 of the pitch; a row is out if
     one misses or two meet. Blanks are dashes; rows without a blank say nothing new and go.
 
-    Rows are dealt out by page once; headers come down by a window, columns are found in the row.
+    Headers come down by a window, columns are found in the row.
     """
     w = W.partitionBy(*PAGE).orderBy("row_id").rowsBetween(W.unboundedPreceding, 0)
     latest = F.last(F.when(F.col("header").isNotNull(), F.struct(F.col("row_id").alias("at"), F.col("header.centres").alias("centres"))), ignorenulls=True).over(w)
-    h = _with_headers(rows.repartition(*PAGE)).withColumn("h", latest).where("row_id > h.at")
+    h = _with_headers(rows).withColumn("h", latest).where("row_id > h.at")
     centres = F.col("h.centres")
     h = column_pitch(h.select(*PAGE, "row_id", F.col("h.at").alias("header_row"), "words", centres.alias("centres")))
     middle = lambda t: t["x"] + t["width"] / 2

@@ -44,7 +44,7 @@ ACTIVE = HEADERS + ", active as (select g.doc_id, g.page, g.row_id, last_value(h
 
 
 def grid(t: Tables) -> DataFrame:
-    b = t("base").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    b = t.kept("base").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     head = F.when((F.col("doc_id") % 4 == 0) & (F.col("k") == 2), "oneCh").otherwise(F.concat((F.col("k") * 3 + F.col("doc_id") % 2).cast("string"), F.lit("Ch")))
     body = F.when((F.col("pk") + F.col("k")) % 3 == 0, "Dimmer").otherwise((F.col("ln") + F.col("k")).cast("string"))
     return b.select("doc_id", F.lit(1).alias("page"), F.col("r").alias("row_id"), F.col("k").alias("item_no"), F.when(F.col("r") == 1, head).otherwise(body).alias("text"), (F.col("k") * 50 + F.when(F.col("r") > 1, (F.col("pk") * F.col("k")) % 23).otherwise(0)).cast("double").alias("x"), F.lit(12.0).alias("width"), F.lit(10.0).alias("height"))

@@ -510,3 +510,13 @@ def test_slots_are_dealt_out_by_document_once(spark):
     got = evaluate.truth_slots(modes, channels, functions)
     assert sorted((r.doc_id, r.slot, r.name, r.n_functions, r.fine) for r in got.collect()) == [(7, 1, "Pan", 2, 0), (7, 2, "T", 1, 0), (7, 9, "Z", 0, 1)]
     assert "Union" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headers_gather_a_row_once(spark):
+    """Labels glued and apart, an unread one that voids its row, a size named twice; a row's words are gathered by one
+    aggregate without a count of distinct sizes beside it."""
+    words = {1: ["3Ch", "6", "ch", "12 channels"], 2: ["3Ch", "fewCh", "6Ch"], 3: ["3Ch", "3", "Ch"], 4: ["3Ch", "text"], 5: ["7", "Ch", "9", "Ch"]}
+    rows = spark.createDataFrame([(1, 1, r, i, t, i * 50.0, 10.0, 10.0) for r, ts in words.items() for i, t in enumerate(ts)], "doc_id long, page int, row_id int, item_no int, text string, x double, width double, height double")
+    got = layout.detect_count_headers(rows)
+    assert {r.row_id: (list(r.counts), list(r.centres)) for r in got.collect()} == {1: ([3, 6, 12], [5.0, 80.0, 155.0]), 5: ([7, 9], [30.0, 130.0])}
+    assert "count(distinct" not in got._jdf.queryExecution().optimizedPlan().toString()
