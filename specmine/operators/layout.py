@@ -141,7 +141,8 @@ def snap_cells(rows: DataFrame) -> DataFrame:
         far = F.array_min(F.transform("centres", lambda c, i: F.struct(F.abs(middle(t) - c).alias("far"), i.alias("col"))))
         return F.struct(far["col"].alias("col"), far["far"].alias("far"), t["text"].alias("text"))
 
-    m = h.withColumn("m", F.transform(numbers, nearest)).withColumn("width", F.size("centres"))
+    # exploded, so that the filter below isn't pushed ahead of m and doesn't find columns again for each use of it
+    m = h.withColumn("m", F.explode(F.array(F.transform(numbers, nearest)))).withColumn("width", F.size("centres"))
     ok = F.forall("m", lambda s: s["far"] <= F.col("pitch") * 0.4) & (F.size("m") > 0) & (F.size("m") < F.col("width")) & (F.size(F.array_distinct(F.transform("m", lambda s: s["col"]))) == F.size("m"))
     text = lambda i: F.coalesce(F.get(F.transform(F.filter("m", lambda s: s["col"] == i), lambda s: s["text"]), F.lit(0)), F.lit("-"))
     return m.where(ok).select(*PAGE, "row_id", "header_row", F.transform(F.sequence(F.lit(0), F.col("width") - 1), text).alias("cells"))
