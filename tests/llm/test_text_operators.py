@@ -428,6 +428,61 @@ def test_recall_of_further_minima(spark):
     assert len(linked) > 150 and found <= linked and len(found) >= 0.99 * len(linked)
 
 
+def links_of(spark, words):
+    """Links between members of buckets that are split, and those of brute force."""
+    members, sets, full = crowd(spark, words)
+    share = 0.75 - 4 * (0.75 * 0.25 / 112) ** 0.5
+    close = minhash.involved(members, share, 8)
+    links = minhash.cross_links(members.join(close, ["bucket", "rep"]).join(full, "rep"), share, 75, 8)
+    n = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    size = np.array(list(map(len, sets)))
+    a, b = np.nonzero(np.triu(100 * n >= 75 * (size[:, None] + size - n), 1))
+    return {tuple(sorted((r.a, r.b))) for r in links.collect()}, set(zip(a.tolist(), b.tolist())), members
+
+
+def test_no_link_of_a_crowded_bucket_is_lost(spark):
+    """Pairs that have a single shingle in common beside boilerplate that is just below 6/7 of each."""
+    words = []
+    for i in range(90):
+        words += [[*(f"c{j}" for j in range(144)), f"s{i}", *(f"o{i}.{k}.{j}" for j in range(23))] for k in range(2)]
+    found, linked, members = links_of(spark, words)
+    assert linked == {(2 * i, 2 * i + 1) for i in range(90)} and found == linked
+    assert members.where("quiet").select("rep").distinct().count() == len(words)
+
+
+def test_links_of_crowded_buckets_of_mixed_members(spark):
+    """Boilerplate of some half to nine tenths of each text, in part left out, and pairs, threes and fours about the threshold."""
+    r = random.Random(12)
+    words = []
+    for i in range(70):
+        own = [f"o{i}.{j}" for j in range(r.choice([0, 8, 16, 24, 40, 90]))]
+        base = [f"c{j}" for j in range(r.randrange(3), 120 - r.randrange(3))]
+        for _ in range(r.randint(1, 4)):
+            w = [*base, *own]
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"n{r.randrange(1 << 40)}"
+            words.append([*w, *(f"e{r.randrange(1 << 40)}" for _ in range(r.randint(0, 12)))])
+    found, linked, _ = links_of(spark, words)
+    group = lambda pairs: sorted(sorted(x) for x in joined_groups(pairs, len(words)))
+    assert found <= linked and group(found) == group(linked) and len(linked) > 60
+
+
+def joined_groups(pairs, n):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[find(a)] = find(b)
+    groups = {}
+    for i in range(n):
+        groups.setdefault(find(i), []).append(i)
+    return list(groups.values())
+
+
 # ---- language
 
 
