@@ -15,6 +15,7 @@ from specmine.functions import text as tx
 from specmine.operators import evaluate, identity, layout, lookup, modes, pages, rows, validate
 from specmine.plans.bind import bound
 from specmine.sources import manuals, records
+from specmine.sources.files import through_files
 from specmine.streaming import control, live
 
 
@@ -80,6 +81,23 @@ def test_manual_files(spark, tmp_path):
     assert [(x.doc_id, x.source_name, x.text) for x in r] == [("one", "one.pdf", "=== PAGE 1 ===\nhello")]
 
 
+def test_texts_pass_through_files_some_at_a_time(spark, tmp_path):
+    """Each text is a file of its own, all are read back whole, and no more files are there at once than told."""
+    texts = {f"{i}.txt": ["", "one", "two\nlines\n", "größe\r\n☃"][i % 4] * (i % 7) for i in range(200)}
+    there = []
+
+    def read(path):
+        there.append([p.name for p in tmp_path.rglob("*.txt")])
+        return manuals.read_manual_text(spark, path)
+
+    rows = spark.createDataFrame(list(texts.items()), "name string, text string")
+    got = through_files(rows, f"file://{tmp_path}/new", read, limit=60)
+    assert {f"{r.doc_id.split('-')[2]}.txt": r.text for r in got.collect()} == {k: f"{v}\n" for k, v in texts.items()} and got.count() == 200
+    assert len(there) == 4 and max(map(len, there)) < 100 and sorted(x.split("-")[2] for x in sum(there, [])) == sorted(texts)
+    assert not list(tmp_path.rglob("*.txt"))
+    assert through_files(rows.where("false"), f"file://{tmp_path}/none", lambda path: manuals.read_manual_text(spark, path)).count() == 0
+
+
 FIXTURE = {"id": "f1", "identity": {"manufacturer": "ACME", "model": "Beam"}, "channels": [{"id": "c1", "name": "Red", "ranges": [{"start": 0, "end": 255, "name": "Red"}]}, {"id": "c2", "name": "Dim", "kind": "intensity"}], "modes": [{"id": "m1", "name": "Basic", "channels": [{"channelId": "c1", "offset": 1, "dmxBreak": 1}]}], "unknown": 1}
 
 
