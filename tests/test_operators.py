@@ -538,3 +538,19 @@ def test_headers_gather_a_row_once(spark):
     got = layout.detect_count_headers(rows)
     assert {r.row_id: (list(r.counts), list(r.centres)) for r in got.collect()} == {1: ([3, 6, 12], [5.0, 80.0, 155.0]), 5: ([7, 9], [30.0, 130.0])}
     assert "count(distinct" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_searched_once_for_a_model(spark):
+    docs = spark.createDataFrame([(1, "Spot 300X\nModel: X-3", "a.pdf")], "doc_id long, text string, source_name string")
+    catalog = spark.createDataFrame([("ACME", [], False)], "canonical string, aliases array<string>, requires_strong_signal boolean")
+    priority = spark.createDataFrame([], "rank int, canonical string, pattern string, min_hits int")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    steps = []
+
+    def keep(df):
+        steps.append(plan(df))
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    out = identity.resolve_identity(docs, catalog, priority, keep)
+    assert steps[0].count("product(?: line)?") == 1 and "product(?: line)?" not in "".join(steps[1:]) + plan(out)
+    assert out.select("model", "from_manual").first() == ("X-3", True)
